@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, mixing
+from tracewell.llm import exact_dedup, mixing, packing, token_counts, warc
 from tracewell.llm.common import read_table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.in_training_order(mixing.mix(read_table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -22,10 +34,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_warc": op4_warc,
+        "op7_packing": op7_packing,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
