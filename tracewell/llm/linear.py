@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Log of the number of feature slots, fixed whatever the corpus.
 BITS = 18
@@ -59,11 +64,14 @@ def ngram_features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.n
 
 
 def word_features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the distinct words (letters only, lower case) of a text, with the value 1 each.
+    """Slots of the distinct words (letters only, lower case) of a text and of their first 4 and 5
+    letters, with the value 1 each.
 
-    Presence doesn't thin out with length, so a few words tell in a very long text too.
+    Presence doesn't thin out with length, so a few words tell in a very long text too; beginnings
+    stand for inflected forms that the labelled texts don't hold.
     """
-    h = token_hashes(list(set(_WORDS.findall((text or "").lower()))))
+    words = set(_WORDS.findall((text or "").lower()))
+    h = token_hashes([*words, *{w[:4] + "^" for w in words if len(w) > 4}, *{w[:5] + "^" for w in words if len(w) > 5}])
     s = np.unique(_slots(h, bits))
     return s, np.ones(len(s))
 
@@ -76,7 +84,7 @@ class Ftrl:
     """Logistic regression with per-coordinate FTRL-proximal updates; slot ``2**bits`` is the bias
     and ``extra`` further dense slots follow it."""
 
-    def __init__(self, bits: int = BITS, extra: int = 0, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0, l2: float = 1e-3) -> None:
+    def __init__(self, bits: int = BITS, extra: int = 0, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.0, l2: float = 1e-3) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.bias = 1 << bits
         self.z, self.n = np.zeros(self.bias + 1 + extra), np.zeros(self.bias + 1 + extra)
@@ -86,9 +94,9 @@ class Ftrl:
         w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def update(self, i: np.ndarray, x: np.ndarray, y: float) -> None:
+    def update(self, i: np.ndarray, x: np.ndarray, y: float, weight: float = 1.0) -> None:
         w = self._at(i)
-        g = (sigmoid(w @ x) - y) * x
+        g = weight * (sigmoid(w @ x) - y) * x
         n = self.n[i]
         self.z[i] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[i] = n + g * g
@@ -103,10 +111,43 @@ def with_bias(slots: np.ndarray, values: np.ndarray, bits: int = BITS, extra: np
     return np.concatenate([slots, (1 << bits) + np.arange(len(tail))]), np.concatenate([values, tail])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels, epochs: int, **options) -> np.ndarray:
-    """Weights after ``epochs`` passes over ``rows`` (bias included) in the order given."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels, epochs: int, positive: float = 1.0, **options) -> np.ndarray:
+    """Weights after ``epochs`` passes over ``rows`` (bias included) in the order given; a row with
+    label 1 counts ``positive`` times."""
     model = Ftrl(**options)
     for _ in range(epochs):
         for (i, x), y in zip(rows, labels, strict=True):
-            model.update(i, x, float(y))
+            model.update(i, x, float(y), positive if y else 1.0)
     return model.weights()
+
+
+def pack_features(slots: np.ndarray, values: np.ndarray) -> bytes:
+    return slots.astype("<i4").tobytes() + values.astype("<f4").tobytes()
+
+
+def unpack_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 8
+    return np.frombuffer(data, "<i4", n).astype(np.int64), np.frombuffer(data, "<f4", n, 4 * n).astype(np.float64)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, features: Callable, rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple]]:
+    """Features and labels of at most ``rows`` labelled documents, in the order of their ids' MD5.
+
+    ``docs`` has ``id`` and ``text``; ``labels`` has ``id`` and label columns. Ids are drawn
+    first, so only the texts of the sample are turned into features and come to the driver, as
+    sparse vectors. Of rows that repeat an id, the greatest labels and the least text count.
+    """
+    names = [c for c in labels.columns if c != "id"]
+    known = labels.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(c).alias(c) for c in names]).dropna()
+    sample = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(rows)
+    texts = docs.join(F.broadcast(sample), "id").groupBy("id", *names).agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [pack_features(*features(t.as_py())) for t in batch.column(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 1], pa.array(data, pa.binary())], names=["id", *names, "data"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]) + ", data binary"
+    found = texts.mapInArrow(run, shape).collect()
+    found.sort(key=lambda r: (hashlib.md5(str(r["id"]).encode()).hexdigest(), r["id"]))
+    return [unpack_features(r["data"]) for r in found], [tuple(r[c] for c in names) for r in found]

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, mixing, packing, token_counts, warc
+from tracewell.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity, warc
 from tracewell.llm.common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.in_training_order(mixing.mix(read_table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -34,10 +42,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
         "op7_packing": op7_packing,
+        "op8_quality": op8_quality,
         "op10_mixing": op10_mixing,
     }
 
