@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity, warc
+from tracewell.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from tracewell.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.in_training_order(mixing.mix(read_table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -46,11 +54,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
+        "op5_near_dedup": op5_near_dedup,
         "op7_packing": op7_packing,
         "op8_quality": op8_quality,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
