@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import materialise, small
@@ -66,6 +66,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with their own columns.
+
+    Rows whose id occurs once are kept by leaving the dropped ids out, a list that is broadcast
+    only if a count proves it small. Rows that share an id are told apart by text.
+    """
+    decided = materialise(exact_dedup(docs, id_col, text_col), "exact-decided")
+    many = materialise(decided.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__id")), "exact-many")
+    same = lambda other: docs[id_col].cast("long").eqNullSafe(other["__id"])
+    dropped = materialise(decided.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "exact-dropped")
+    dropped = small(dropped)
+    out = docs.join(dropped, same(dropped), "left_anti")
+    if many.isEmpty():
+        return out
+    many = small(many)
+    rest = docs.join(many, same(many), "left_semi").withColumn("__sha", F.sha2(normalised(docs[text_col]), 256))
+    order = Window.partitionBy(id_col, "__sha").orderBy(F.length(text_col).desc_nulls_last(), text_col)
+    rest = rest.withColumn("__k", F.row_number().over(order)).where("__k = 1")
+    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
+    rest = rest.join(kept, rest[id_col].cast("long").eqNullSafe(kept["__id"]) & (rest["__sha"] == kept["__kept"]), "left_semi")
+    return out.join(many, same(many), "left_anti").unionByName(rest.select(*docs.columns))
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents

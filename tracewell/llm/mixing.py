@@ -124,12 +124,48 @@ def mix(
     for p in range(repeats):
         left = goal - F.col("source_size") * F.lit(p) - F.col("offset")
         taken = taken + F.greatest(F.lit(0).cast("long"), F.least(left, F.col("size")))
-    place = F.least(F.try_divide(F.col("offset").cast("double"), F.col("target")), F.lit(1.0))
-    position = F.lit(None).cast("double")
-    for k in range(len(weights)):
-        position = F.when(F.col("turn") == k, invert(place, schedules[k % len(schedules)])).otherwise(position)
+    position = _position(F.col("offset"), len(weights), schedules)
     out = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, position))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "offset", "position")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "offset", "position", "turn")
+
+
+def _position(offset: Column, turns: int, schedules) -> Column:
+    """Training time at which a source (with ``target`` and ``turn``) has yielded ``offset`` words."""
+    place = F.least(F.coalesce(F.try_divide(offset.cast("double"), F.col("target")), F.lit(0.0)), F.lit(1.0))
+    out = F.lit(None).cast("double")
+    for k in range(turns):
+        out = F.when(F.col("turn") == k, invert(place, schedules[k % len(schedules)])).otherwise(out)
+    return out
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars",
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES,
+) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each use of a document, range-sorted by training position.
+
+    A document that is used twice comes twice. The last use of a source may be a part of its
+    document: its first words, parted by single spaces, with ``chars_col`` counted anew. Documents
+    that aren't used don't come; those without words never do. Rows that share an id are matched
+    with their places in order of size.
+    """
+    plan = mix(docs, id_col, text_col, source_col, weights, share, repeats, schedules)
+    goal = F.floor("target").cast("long")
+    uses = plan.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source", "offset")))
+    uses = uses.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    uses = uses.withColumn("__words", F.least(goal - F.col("source_size") * F.col("__pass") - F.col("offset"), F.col("size"))).where("__words > 0")
+    uses = uses.withColumn("__position", _position(F.col("offset") + F.col("source_size") * F.col("__pass"), len(weights), schedules))
+    uses = uses.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__k", "__pass", "__words", "__position")
+    order = Window.partitionBy("__doc").orderBy("__n", source_col)
+    rows = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__n", word_count(F.col(text_col)))
+    rows = rows.withColumn("__row", F.row_number().over(order))
+    out = rows.join(uses, rows["__doc"].eqNullSafe(uses["__id"]) & (rows["__row"] == uses["__k"]))
+    first = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")))
+    part = F.col("__words") < F.col("__size")
+    out = out.withColumn(text_col, F.when(part, first).otherwise(F.col(text_col)))
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(part, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out.orderBy("__position", F.md5(F.col("__doc").cast("string")), "__pass").select(*docs.columns)
 
 
 def in_training_order(plan: DataFrame) -> DataFrame:

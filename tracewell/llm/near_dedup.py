@@ -303,6 +303,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`near_dedup` keeps, with their own columns."""
-    kept = near_dedup(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept.distinct(), docs[id_col] == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` whose id :func:`near_dedup` keeps, with their own columns."""
+    found = near_dedup(docs, id_col, text_col).where("doc_id is not null")
+    dropped = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__id"))
+    dropped = small(materialise(dropped, "near-dropped"))
+    return docs.join(dropped, docs[id_col].cast("long") == dropped["__id"], "left_anti")

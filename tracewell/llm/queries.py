@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from tracewell.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from tracewell.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_warc": op4_warc,
         "op5_near_dedup": op5_near_dedup,
+        "op6_html_text": op6_html_text,
         "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_embedding_dedup": op9_embedding_dedup,
