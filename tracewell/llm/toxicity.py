@@ -13,8 +13,9 @@ from tracewell.llm.linear import labelled_features, sigmoid, train, with_bias, w
 
 #: Labelled documents that the chain is fitted on at most, passes over them, and folds.
 TRAIN_ROWS, EPOCHS, FOLDS = 6_000, 5, 5
-#: FTRL options of each link. Toxic texts are few, so a row of a category counts three times.
-OPTIONS = {"alpha": 0.3, "l1": 3.0, "positive": 3.0}
+#: FTRL options of each link. Words are many and few of them tell, so the L1 weight is large; toxic
+#: texts are few, so a row of a category counts three times.
+OPTIONS = {"alpha": 1.0, "l1": 10.0, "positive": 3.0}
 THRESHOLD = 0.5
 
 
