@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +20,31 @@ LENGTH, END_ID, OPEN_WINDOWS = 2048, 1, 16
 #: Partitions whose leftover windows one task merges: 32 x 16 windows of less than 8 kB of ids.
 MERGE_PARTITIONS = 32
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _RAW = PIECES + ", part int, window int, ids binary"
 
 
+#: Words that the vocabulary's rule parts into letters and marks: Latin letters (composed, with a
+#: lower case that doesn't depend on context), then ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible
+    in Latin-1, else one of those from U+0100, in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
     """Ids of whole texts, from a word cache in front of a tokenizer that drops white space.
 
     The vocabulary's rule never joins characters across ASCII white space, so a text's ids are
-    the ids of its words, one after another. Each distinct word is encoded once.
+    the ids of its words, one after another. Each distinct word is encoded once; plain words go
+    straight to the merges, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
@@ -36,24 +52,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(8192, np.uint32), 0
+        self.parts: dict[str, list[int]] = {}
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            raw = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = self.parts[part] = [t.id for t in self.merge(raw)]
+        return ids
+
+    def _ids(self, word: str) -> list[int]:
+        plain = _PLAIN.fullmatch(word)
+        if plain is None:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = self._part(plain[1].lower())
+        return ids + self._part(plain[2]) if plain[2] else ids
 
     def _learn(self, words: list[bytes]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words, strict=True):
-            ids, k = enc.ids, len(self.index)
-            if k >= len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[word] = k
+        index, flat = self.index, self.flat
+        for word in words:
+            ids = self._ids(word.decode("utf-8", "replace"))
+            self.starts.append(len(flat))
+            self.sizes.append(len(ids))
+            flat.extend(ids)
+            index[word] = len(index)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of ``text`` and the id that ends a document."""
@@ -64,12 +92,14 @@ class WordEncoder:
         if None in at:
             self._learn([w for w in dict.fromkeys(words) if w not in self.index])
             at = list(map(self.index.__getitem__, words))
-        at = np.array(at, dtype=np.int64)
-        sizes = self.sizes[at]
-        total = int(sizes.sum())
+        if not at:
+            return np.array([END_ID], np.uint32)
+        where = np.array(at, dtype=np.int64)
+        sizes = np.frombuffer(self.sizes, np.int64)[where]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1])
         out = np.empty(total + 1, np.uint32)
-        before = np.cumsum(sizes) - sizes
-        out[:total] = self.flat[np.repeat(self.starts[at] - before, sizes) + np.arange(total)]
+        out[:total] = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.starts, np.int64)[where] - ends + sizes, sizes) + np.arange(total)] if total else 0
         out[total] = END_ID
         return out
 
