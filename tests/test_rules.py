@@ -389,3 +389,69 @@ def test_settings():
 def test_bad_json_is_null(spark):
     assert one(spark, S.json_or_null(F.lit("{bad"), "array<double>")) is None and one(spark, S.json_or_null(F.lit("null"), "array<double>")) is None
     assert one(spark, S.json_or_null(F.lit("[1.5]"), "array<double>")) == [1.5]
+
+
+def test_model_responses(spark):
+    from tracewell.functions import model_io as M
+
+    use = lambda t: tuple(one(spark, M.usage_tokens(F.lit(t))))
+    assert use('{"prompt_tokens":5,"output_tokens":7}') == (5, 7) and use('{"prompt_tokens":"x"}') == (None, None) and use("{") == (None, None)
+    assert M.reasoning('{"reasoning":"a","provider_data":{"reasoning_content":"a","reasoning_details":[{"text":"b\\nc"}]},"content":"<think>z</think>"}') == "a\n\nb\n\nc"
+    assert M.reasoning('{"content":"x <think> z </think>"}') == "z" and M.reasoning("[") == "" and M.content_text('{"content":"x"}') == "x"
+    assert M.tool_calls('{"tool_calls":[{"id":"1","function":{"name":"f","arguments":"{bad"}},{"name":"g","arguments":{"a":1}}]}') == [{"id": "1", "type": "function", "function": {"name": "f", "arguments": "{}"}}, {"id": "", "type": "function", "function": {"name": "g", "arguments": '{"a": 1}'}}]
+
+
+def test_prompt_texts():
+    from tracewell.functions import prompts as P
+
+    e = J.turn_entry(2, "h", '{"changes":[{"core_change":"c","stage_tag":"计划","ooda":"决策与方案"}],"consensus":["k"]}')
+    assert P.turns_for_prompt([e]) == "changes:\n\n# 轮次 2\n    ## 决策与方案\n    - [计划] c\n# 轮次 2 额外信息\n    ## 共识\n    - k"
+    text = P.strands_for_prompt([{"hdl": "s", "turns": [1], "ooda": {"后续行动": ["x"]}, "candidates": [{"name": "n", "hdl": "a", "current_status": {"goals": ["g"]}}]}], "现象与问题", "候选 reality")
+    assert text == "# Strand 1\nhdl: s\n## 后续行动\n- x\n## 候选 reality\n  [0] n\n      hdl: a\n      goals: g"
+    assert P.topic_carryover([], "s") == "" and "1. r" in P.topic_carryover([{"title": "t", "user_requests": ["r"]}], "s")
+    assert "goals: 9 条" in P.size_warnings({"goals": list("abcdefghi")}, merge.SECTION_LIMITS) and P.size_warnings({}, merge.SECTION_LIMITS) == ""
+    assert P.merge_wiki({"title": "a", "changes": ["x"]}, {"changes": ["x", "y"]})["changes"] == ["x", "y"]
+
+
+def test_batches_and_prefilter(spark):
+    s = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "strand_id long, vec array<double>")
+    r = spark.createDataFrame([(7, [1.0, 0.1]), (8, [0.1, 1.0]), (9, [-1.0, -1.0]), (10, [0.0, 0.0])], "reality_id long, vec array<double>")
+    assert {x.reality_id for x in merge.prefilter(s.where("strand_id < 3"), r, 1).collect()} == {7, 8}
+    said = spark.createDataFrame([(1, "NEWa"), (2, "7"), (3, "NEWa")], "strand_id long, target string")
+    got = merge.build_in_batches([s.where("strand_id < 3"), s.where("strand_id = 3")], 10, lambda b: said)
+    assert {x.strand_id: x.reality_id for x in got.collect()} == {1: 11, 2: 7, 3: 12}
+    gone = merge.uncovered(s, spark.createDataFrame([(1, 7)], S.STRAND_MAP), spark.createDataFrame([(3,)], "strand_id long"))
+    assert [x.strand_id for x in gone.collect()] == [2]
+
+
+def test_other_sources(spark, tmp_path):
+    from tracewell.sources import extra
+
+    (tmp_path / "g.json").write_text('{"nodes":[{"id":"reality_1","label":"L","metadata":{"uri":"u"}}],"links":[{"source":"a","target":"b","relation":"r","weight":2.0}]}')
+    nodes, links = extra.read_graph(spark, f"file://{tmp_path}/g.json")
+    assert nodes.first().metadata == {"uri": "u"} and links.first().weight == 2.0
+    (tmp_path / "s1.db").write_bytes(b"x")
+    (tmp_path / "topics.db").write_bytes(b"x")
+    assert {p.path.rsplit("/", 1)[1] for p in extra.recent_sessions(spark, f"file://{tmp_path}").collect()} == {"g.json", "s1.db"}
+    rows = spark.createDataFrame([("a",), ("b",)], "t string")
+    known = spark.createDataFrame([("a", [9.0])], "text string, vec array<double>")
+    got = {x.t: x.vec for x in extra.embed(rows, "t", known, 4).collect()}
+    assert got["a"] == [9.0] and len(got["b"]) == 4 and got["b"] == extra.seeded_vector("b", 4)
+    m = spark.createDataFrame([("up", "Up", {"p": 'a"b'}, 1.0)], "name string, help string, labels map<string,string>, value double")
+    assert extra.metrics_text(m) == '# HELP up Up\n# TYPE up gauge\nup{p="a\\"b"} 1.0\n'
+
+
+def test_streams_end_to_end(spark, tmp_path):
+    from tracewell.streaming import counters, segmentation
+
+    turns_ = spark.createDataFrame([("s", 1, "alpha beta", "alpha beta", 0), ("s", 2, "alpha again", "alpha again", 0), ("s", 3, "moving on", "zz", 0), ("t", 1, "x y z words", None, 0)], "session_id string, turn long, message string, fct string, total_tokens long")
+    turns_.write.parquet(str(tmp_path / "turns"))
+    stream = spark.readStream.schema(turns_.schema).parquet(str(tmp_path / "turns"))
+    q = segmentation.segment_stream(stream, expire=False).writeStream.format("memory").queryName("seg").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = sorted((r.session_id, r.turn, r.topic_id, r.is_switch) for r in spark.table("seg").collect())
+    assert got == sorted((r.session_id, r.turn, r.topic_id, r.is_switch) for r in topics.segment(turns_).collect())
+    d = spark.sql("select 's' as session_id, 'r' as request_id, id as event_id, timestamp'2024-01-01' as ts, if(id % 2 = 0, 'text', 'reasoning') as kind, id as chars from range(6)")
+    d.unionByName(d).write.parquet(str(tmp_path / "deltas"))
+    counters.start_counters(spark.readStream.schema(d.schema).parquet(str(tmp_path / "deltas")), "counted", str(tmp_path / "c2")).awaitTermination()
+    assert tuple(spark.table("counted").first()) == ("s", "r", 6, 9, 6)

@@ -215,3 +215,42 @@ def merge_blocks(blocks: list[DataFrame], realities: DataFrame, decide, config:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` with its plan cut by a checkpoint, where the session has a folder for it."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def prefilter(strands: DataFrame, realities: DataFrame, k: int = 30) -> DataFrame:
+    """The work objects that any of a batch's work-lines is most like: ``reality_id``. ``strands`` has
+    ``strand_id, vec``, ``realities`` has ``reality_id, vec``; zero vectors are like nothing."""
+    pairs = strands.select("strand_id", F.col("vec").alias("sv")).join(realities.select("reality_id", F.col("vec").alias("rv")).where(V.norm(F.col("vec")) > 0), F.size("sv") == F.size("rv"))
+    order = Window.partitionBy("strand_id").orderBy(V.cosine(F.col("sv"), F.col("rv")).desc(), "reality_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("reality_id").distinct()
+
+
+def uncovered(strands: DataFrame, mapped: DataFrame, discarded: DataFrame) -> DataFrame:
+    """Work-lines that are neither mapped nor discarded."""
+    return strands.select("strand_id").exceptAll(strands.select("strand_id").join(mapped.select("strand_id").union(discarded.select("strand_id")).distinct(), "strand_id", "left_semi"))
+
+
+def build_in_batches(batches: list[DataFrame], top_id: int, decide) -> DataFrame:
+    """Batches one after another by decision tables: ``strand_id, reality_id``. ``decide(batch)`` gives
+    ``strand_id, target``, a number or a name that begins with NEW; equal names of a batch are one new
+    object, numbered in the order of their names after the greatest number so far."""
+    out = None
+    for batch in batches:
+        said = decide(batch).join(batch.select("strand_id"), "strand_id", "left_semi")
+        named = said.where(F.upper("target").startswith("NEW")).select("target").distinct()
+        new = named.withColumn("reality_id", F.row_number().over(Window.orderBy("target")) + F.lit(top_id))  # of one batch
+        known = said.where(~F.upper("target").startswith("NEW")).select("strand_id", F.col("target").cast("long").alias("reality_id"))
+        part = cut_lineage(known.unionByName(said.join(new, "target").select("strand_id", F.col("reality_id").cast("long").alias("reality_id"))))
+        top_id = max(top_id, part.agg(F.coalesce(F.max("reality_id"), F.lit(0))).first()[0])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def merge_themes(strands: DataFrame, themes: DataFrame, refs: DataFrame, decisions: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """Which theme each work-line goes to: the one it names, else a decision among its candidates, else
+    a new one: ``strand_id, action, target_id, method``. ``refs`` has ``strand_id, theme_id``."""
+    direct = refs.join(themes.select("theme_id"), "theme_id", "left_semi").groupBy("strand_id").agg(F.min("theme_id").alias("target_id"))
+    rest = strands.join(direct.select("strand_id"), "strand_id", "left_anti")
+    found = theme_candidates(rest, themes, threshold).select("strand_id", F.col("theme_id").alias("id"), "rank")
+    fate = resolve(rest, found, decisions).select("strand_id", "action", "target_id", F.lit("decided").alias("method"))
+    return direct.select("strand_id", F.lit("merge").alias("action"), "target_id", F.lit("direct").alias("method")).unionByName(fate)

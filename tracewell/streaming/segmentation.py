@@ -84,12 +84,13 @@ class Session:
         return topic, before is not None and topic != before
 
 
-def segment_stream(turns: DataFrame, config: Config = Config(), watermark: str | None = None) -> DataFrame:
+def segment_stream(turns: DataFrame, config: Config = Config(), expire: bool = True) -> DataFrame:
     """Topics of a stream of turns: ``session_id, turn, topic_id, is_switch``.
 
     ``turns`` is a streaming frame with ``session_id, turn, message, fct, total_tokens``. Rows of a batch are
-    taken in order of turn; late or repeated turns are ignored. A session that is silent for the
-    time to live is forgotten. After a failure the query goes on from its checkpoint.
+    taken in order of turn; late or repeated turns are ignored. With ``expire``, a session that is silent
+    for the time to live is forgotten; leave it off for a run over what is there (such a run has no
+    clock to wait for). After a failure the query goes on from its checkpoint.
     """
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,10 +104,11 @@ def segment_stream(turns: DataFrame, config: Config = Config(), watermark: str |
             if (got := session.take(int(turn), message, fct or None, int(tokens or 0), config)) is not None:
                 out.append((key[0], int(turn), got[0], got[1]))
         state.update((session.dump(),))
-        state.setTimeoutDuration(config.session_ttl_s * 1000)
+        if expire:
+            state.setTimeoutDuration(config.session_ttl_s * 1000)
         yield pd.DataFrame({"session_id": [o[0] for o in out], "turn": [o[1] for o in out], "topic_id": pd.array([o[2] for o in out], dtype="Int32"), "is_switch": [o[3] for o in out]})
 
-    return turns.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def backfill_users(turns: DataFrame, sink, checkpoint: str):
