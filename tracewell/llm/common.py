@@ -6,7 +6,9 @@ machine-local folder; the setting is only made here where the session has none.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:  # local runs and tests only
-        found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
+        folder = tempfile.mkdtemp(prefix="tracewell-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
