@@ -103,16 +103,17 @@ def sync_cooccurrences(links: DataFrame, found: DataFrame) -> DataFrame:
 def neighbours(links: DataFrame, budget: DataFrame, candidates: DataFrame, limit: int = 5) -> DataFrame:
     """Work objects one link away from those of a query's budget: ``q, reality_id, pos``.
 
-    ``links`` has ``pos`` (its order), ``source, target, relation``; ``budget`` and ``candidates`` have
-    ``q, reality_id``. Both directions count; a neighbour must be a candidate and not be in the budget;
-    the first ``limit`` by link order stay.
+    ``links`` has ``pos`` (its order), ``source, target, relation``; ``budget`` has ``q, reality_id``, and
+    ``candidates`` has ``reality_id``, with ``q`` if they differ by query. Both directions count; a
+    neighbour must be a candidate and not be in the budget; the first ``limit`` by link order stay.
     """
+    keys = [c for c in ("q", "reality_id") if c in candidates.columns]
     own = links.where(F.col("relation").isin(*RECALL_RELATIONS))
     rid = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^reality_([0-9]+)$', 1) as bigint)")
     own = own.select("pos", rid("source").alias("s"), rid("target").alias("t")).where("s is not null and t is not null")
     near = own.select("pos", F.col("s").alias("reality_id"), F.col("t").alias("other")).unionByName(own.select("pos", F.col("t").alias("reality_id"), F.col("s").alias("other")))
     found = budget.join(near, "reality_id").groupBy("q", "other").agg(F.min("pos").alias("pos")).withColumnRenamed("other", "reality_id")
-    found = found.join(candidates.select("q", "reality_id"), ["q", "reality_id"], "left_semi").join(budget.select("q", "reality_id"), ["q", "reality_id"], "left_anti")
+    found = found.join(candidates.select(*keys), keys, "left_semi").join(budget.select("q", "reality_id"), ["q", "reality_id"], "left_anti")
     order = Window.partitionBy("q").orderBy("pos", "reality_id")
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).drop("k")
 

@@ -52,8 +52,7 @@ def recall(questions: DataFrame, realities: DataFrame, links: DataFrame, decisio
     usable = realities.where("query_centroid is not null").limit(1).count() > 0
     with_vec = questions.where("qv is not null") if usable else questions.where("false")
     budget = in_range(with_vec, realities, config).select("q", "reality_id", "rank")
-    candidates = questions.select("q").crossJoin(realities.select("reality_id"))  # the stated question set
-    extra = graph.neighbours(links, budget.select("q", "reality_id"), candidates, config.recall_neighbours)
+    extra = graph.neighbours(links, budget.select("q", "reality_id"), realities.select("reality_id"), config.recall_neighbours)
     extra = extra.select("q", "reality_id", (F.col("pos") + config.recall_candidates + 1).alias("rank"))
     plain = lexical(questions.join(with_vec.select("q"), "q", "left_anti"), realities, config).select("q", "reality_id", "rank")
     pool = budget.unionByName(extra).unionByName(plain)

@@ -100,7 +100,7 @@ def graph_neighbours(spark, sf_dir):
     links = e.withColumn("pos", F.row_number().over(Window.orderBy("a", "b"))).select("pos", node("a").alias("source"), node("b").alias("target"), F.lit("co_occurs_with").alias("relation"))
     budget = S.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), (F.col("c_custkey") % 500).cast("long").alias("reality_id"))
     ids = _members(spark, sf_dir).select("reality_id").distinct().where("reality_id % 2 = 0")
-    return graph.neighbours(links, budget, budget.select("q").crossJoin(ids)).select("q", "reality_id")
+    return graph.neighbours(links, budget, ids).select("q", "reality_id")
 
 
 @query(f"""WITH {_EDGES}, old AS (SELECT 'reality_' || a AS source, 'reality_' || b AS target, 'co_occurs_with' AS relation, 0.5::DOUBLE AS weight FROM e WHERE (a + b) % 2 = 0 UNION ALL SELECT 'reality_' || a, 'reality_' || b, 'depends_on', 1.0 FROM e WHERE (a + b) % 5 = 0),
