@@ -61,6 +61,23 @@ def cleanup(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_dir(spark)}/tracewell-llm")
 
 
+#: How to empty each cache that this worker process keeps between tasks.
+_CACHES: dict = {}
+
+
+def keeps_cache(name: str, clear) -> None:
+    """Name a cache of this process; ``clear`` empties it."""
+    _CACHES[name] = clear
+
+
+def uses_cache(name: str | None) -> None:
+    """Empty all caches but one. A worker outlives its task, and a pipeline's stages would else fill
+    their caches beside each other in the same process."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import keeps_cache, uses_cache
+
 #: Log of the number of feature slots, fixed whatever the corpus.
 BITS = 18
 #: Hashes that a worker keeps of tokens already seen.
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -31,6 +33,7 @@ class _Cache(dict):
 
 
 _HASH = _Cache()
+keeps_cache("hashes", _HASH.clear)
 
 
 def token_hashes(tokens: list[str]) -> np.ndarray:
@@ -107,8 +110,9 @@ class Ftrl:
 
 def with_bias(slots: np.ndarray, values: np.ndarray, bits: int = BITS, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Features with the bias, and with dense extra features in the slots after it."""
-    tail = np.ones(1) if extra is None else np.concatenate([np.ones(1), extra])
-    return np.concatenate([slots, (1 << bits) + np.arange(len(tail))]), np.concatenate([values, tail])
+    tail = np.ones(1, np.float32) if extra is None else np.concatenate([np.ones(1), extra]).astype(np.float32)
+    places = (1 << bits) + np.arange(len(tail), dtype=np.int32)
+    return np.concatenate([slots.astype(np.int32), places]), np.concatenate([values.astype(np.float32), tail])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels, epochs: int, positive: float = 1.0, **options) -> np.ndarray:
@@ -127,7 +131,7 @@ def pack_features(slots: np.ndarray, values: np.ndarray) -> bytes:
 
 def unpack_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) // 8
-    return np.frombuffer(data, "<i4", n).astype(np.int64), np.frombuffer(data, "<f4", n, 4 * n).astype(np.float64)
+    return np.frombuffer(data, "<i4", n), np.frombuffer(data, "<f4", n, 4 * n)
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, features: Callable, rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple]]:
@@ -143,6 +147,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, features: Callable, ro
     texts = docs.join(F.broadcast(sample), "id").groupBy("id", *names).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses_cache("hashes")
         for batch in batches:
             data = [pack_features(*features(t.as_py())) for t in batch.column(len(names) + 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) + 1], pa.array(data, pa.binary())], names=["id", *names, "data"])

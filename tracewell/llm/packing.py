@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, tokenizer_path
+from tracewell.llm.common import keeps_cache, materialise, tokenizer_path, uses_cache
 
 #: Tokens of a sequence, the id that ends a document, and open windows per partition.
 LENGTH, END_ID, OPEN_WINDOWS = 2048, 1, 16
@@ -158,6 +158,7 @@ def _rows(sequences: list[list[tuple]], first_id: int, part: int, keep_ids: bool
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("window", pa.int32()), ("ids", pa.binary())])
 _ENCODERS: dict[str, WordEncoder] = {}
+keeps_cache("words", lambda: [e._clear() for e in _ENCODERS.values()])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -171,6 +172,7 @@ def _pack_partition(vocabulary: str, length: int, open_windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        uses_cache("words")
         part, made = TaskContext.get().partitionId(), 0
         packer, enc = Packer(length, open_windows), encoder(tokenizer_path(vocabulary))
         for batch in batches:

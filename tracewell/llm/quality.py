@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import uses_cache
 from tracewell.llm.linear import labelled_features, ngram_features, sigmoid, train, with_bias
 
 #: Labelled documents that the model is fitted on at most, and passes over them.
@@ -30,6 +31,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def _score(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses_cache("hashes")
         w = weights.value
         for batch in batches:
             scores = []

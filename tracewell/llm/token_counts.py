@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import tokenizer_path
+from tracewell.llm.common import keeps_cache, tokenizer_path, uses_cache
 
 #: Nodes and words that a worker's trie may hold before it starts afresh.
 TRIE_NODES, TRIE_WORDS = 1_000_000, 400_000
@@ -106,6 +106,7 @@ class Trie:
 
 
 _TRIES: dict[str, Trie] = {}
+keeps_cache("tries", lambda: [t.clear() for t in _TRIES.values()])
 
 
 def trie(vocabulary: str) -> Trie:
@@ -118,6 +119,7 @@ def _count(vocabulary: str):
     schema = pa.schema([(x.split()[0], pa.int64()) for x in OUT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses_cache("tries")
         own = trie(vocabulary)
         for batch in batches:
             sizes, tokens = [], []

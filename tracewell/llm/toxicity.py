@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import uses_cache
 from tracewell.llm.linear import labelled_features, sigmoid, train, with_bias, word_features
 
 #: Labelled documents that the chain is fitted on at most, passes over them, and folds.
@@ -61,6 +62,7 @@ def chain_scores(chain: list[np.ndarray], text: str | None) -> list[float]:
 
 def _score(chain, names: list[str], carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses_cache("hashes")
         for batch in batches:
             p = [chain_scores(chain.value, t.as_py()) if chain.value else [0.0] * len(names) for t in batch.column(0)]
             columns = [pa.array([x[k] for x in p], pa.float64()) for k in range(len(names))]
