@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm import embedding_dedup, exact_dedup, html_text, linear, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from tracewell.llm import common, embedding_dedup, exact_dedup, html_text, linear, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
 from tracewell.llm.common import connected_components, new_path, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -366,7 +366,9 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert {(a, b) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in zip(*np.nonzero(x @ near.T / np.linalg.norm(near, axis=1) >= 0.98), strict=True)} and exact < 200
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(41)}

@@ -102,9 +102,13 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     until nothing changes, so the number of rounds grows with the logarithm of a component's
     diameter. Each round writes its edges; no link list ever goes to the driver. Minima are
     aggregated before the shuffle, and the join back is one whose hot side Spark may split.
-    An empty table gives an empty table.
+    A graph whose counted edges stay under ``BROADCAST_ROWS`` is solved by one task instead, in
+    memory of that bound; rounds over many partitions would only cost time. An empty table gives an
+    empty table.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    if now.count() <= BROADCAST_ROWS:
+        return now.coalesce(1).mapInArrow(_solve, "id long, component long")
     last = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -123,6 +127,19 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def _solve(batches):
+    """Components of all edges of one partition, which the caller has bounded."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    edges = np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1)
+    ids, places = np.unique(edges, return_inverse=True)
+    places = places.reshape(edges.shape)
+    root = local_components(len(ids), places[0], places[1])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], names=["id", "component"])
+
+
 def local_components(n: int, left, right):
     """Union-find over ``n`` local nodes: an array with the smallest member of each node's set."""
     import numpy as np

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import connected_components, materialise, small
+from tracewell.llm.common import connected_components, materialise, small, uses_cache
 from tracewell.llm.linear import token_hashes
 
 #: Words of a shingle and the least weighted Jaccard similarity of near duplicates.
@@ -31,6 +31,10 @@ PRIOR = 0.2
 #: Sketch bits that may differ in a candidate. At the threshold 5.6 of 56 do on average, and more
 #: than 16 in 2 of 100,000 pairs.
 SKETCH_BITS = 16
+#: Larger buckets that hold several classes get a second sketch of 1024 bits, for their texts alone.
+#: At the threshold 102 differ on average, with a standard deviation of 9.6; more than 150 in 1 of a
+#: million pairs. Of pairs at similarity 0.65 some 1 in 100 pass.
+LARGE_BUCKET, WIDE_WORDS, WIDE_BITS = 16, 16, 150
 #: Members that one task compares with a leader before the leader is sent to another task.
 MEMBERS = 512
 
@@ -83,22 +87,26 @@ def _gamma2_quantiles(n: int = 4096) -> np.ndarray:
 
 _R = _gamma2_quantiles().astype(np.float32)
 _LNC = np.log(_gamma2_quantiles()).astype(np.float32)
-_SEEDS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
+def _seeds(first: int, n: int) -> np.ndarray:
+    return _mixed(np.arange(first, first + n, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def weighted_samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024) -> np.ndarray:
+_SEEDS, _WIDE_SEEDS = _seeds(1, BANDS * ROWS), _seeds(1000, 64 * WIDE_WORDS)
+
+
+def weighted_samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024, seeds: np.ndarray = _SEEDS) -> np.ndarray:
     """One consistent sample per seed, as a hash of (shingle, quantised weight).
 
     Two weighted sets have equal samples with the probability of their weighted Jaccard
     similarity. For a shingle and seed, r and c are Gamma(2, 1) and b is uniform, all from one hash;
     t = floor(ln w / r + b), and the shingle with the least ln c - r (t - b + 1) is drawn.
     """
-    n_seeds = len(_SEEDS)
+    n_seeds = len(seeds)
     best, shingle, level = np.full(n_seeds, np.inf, np.float32), np.zeros(n_seeds, np.uint64), np.zeros(n_seeds, np.float32)
     log_w = np.log(weights).astype(np.float32)
     for at in range(0, len(hashes), block):
         s, lw = hashes[at : at + block], log_w[at : at + block]
-        x = _SEEDS[:, None] * (s ^ (s >> _U(29)))[None, :]
+        x = seeds[:, None] * (s ^ (s >> _U(29)))[None, :]
         x ^= x >> _U(32)
         x *= _C2
         r = _R[(x >> _U(52)).view(np.int64)]
@@ -110,7 +118,7 @@ def weighted_samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024)
         less = a[rows, i] < best
         best = np.where(less, a[rows, i], best)
         shingle, level = np.where(less, s[i], shingle), np.where(less, t[rows, i], level)
-    return _mixed(shingle + _mixed(level.astype(np.int64).view(np.uint64) + _SEEDS))
+    return _mixed(shingle + _mixed(level.astype(np.int64).view(np.uint64) + seeds))
 
 
 def signature(hashes: np.ndarray, idf: np.ndarray) -> tuple[list[int], int]:
@@ -124,6 +132,13 @@ def signature(hashes: np.ndarray, idf: np.ndarray) -> tuple[list[int], int]:
     return keys.view(np.int64).tolist(), bits - (1 << 64) if bits >> 63 else bits
 
 
+def wide_sketch(hashes: np.ndarray, idf: np.ndarray) -> list[int]:
+    """A bit of each of many further samples, 64 to a number."""
+    s, tf = np.unique(hashes, return_counts=True)
+    drawn = weighted_samples(s, tf * idf[slots(s)], block=64, seeds=_WIDE_SEEDS)
+    return np.packbits((drawn >> _U(63)).astype(np.uint8)).view(np.int64).tolist()
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     """Of two multisets of 32-bit shingles."""
     ua, ca = np.unique(a, return_counts=True)
@@ -138,6 +153,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    uses_cache("hashes")
     counts, part = np.zeros(SLOTS + 1, np.int64), TaskContext.get().partitionId()
     for batch in batches:
         for text in batch.column(0):
@@ -170,6 +186,7 @@ def _signatures(idf):
     shape = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses_cache("hashes")
         for batch in batches:
             keys, bands, sketches = [], [], []
             for text in batch.column(1):
@@ -183,6 +200,15 @@ def _signatures(idf):
     return run
 
 
+def _wide(idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [wide_sketch(shingles(t.as_py())[0], idf.value) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "wide"])
+
+    return run
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = [np.sort((shingles(t.as_py())[0] >> _U(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
@@ -234,11 +260,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document of that id is kept.
 
     1. Texts with the same words are one node from the start; copies never meet each other.
-    2. Nodes that share a band are compared with the bucket's smallest id (its leader).
+    2. Nodes that share a band are compared with the bucket's leader: the member that shares most
+       buckets with others, which in a group of copies is the text that they come from or the like.
     3. In buckets that then hold more than one class, pairs of different classes are compared too.
        One minus weighted Jaccard is a metric, so a pair whose distances to the leader differ by
        more than ``1 - similarity`` can't be linked and isn't compared; nor is one whose sketches
-       rule a link out.
+       rule a link out (members of large buckets get a second, wide sketch for this).
 
     Pairs inside a class are never enumerated, and no link between different texts of a shared
     bucket is lost but by the sketch. Document frequencies cover all texts in a hashed table.
@@ -257,9 +284,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialise(nodes, "near-nodes")
     texts = rows.where("id is not null")
     placed = nodes.select("node", "sketch", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "sketch"), "node").alias("leader"), F.count("*").alias("c")).where("c > 1")
+    sizes = materialise(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-sizes")
+    shared = materialise(placed.join(small(sizes), "bucket"), "near-shared")
+    # The member that meets most others over all its buckets is likely to be what the others are
+    # copies of, and as near to them as any.
+    meets = materialise(shared.groupBy("node").agg(F.sum("c").alias("meets")), "near-meets")
+    central = F.max_by(F.struct("node", "sketch"), F.struct("meets", F.bitwise_not("node"))).alias("leader")
+    leaders = shared.join(meets, "node").groupBy("bucket").agg(central)
     leaders = materialise(leaders.select("bucket", F.col("leader.node").alias("leader"), F.col("leader.sketch").alias("l_sketch")), "near-buckets")
-    members = placed.join(small(leaders), "bucket").where("node <> leader")
+    members = shared.drop("c").join(small(leaders), "bucket").where("node <> leader")
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("l_sketch"))) <= SKETCH_BITS
     members = materialise(members.select("bucket", "leader", "node", "sketch", alike.alias("alike")), "near-members")
     pairs = materialise(members.where("alike").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
@@ -272,23 +305,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = members.join(of("node", "n_class"), "node", "left").join(of("leader", "l_class"), "leader", "left")
     labelled = labelled.withColumn("class", F.coalesce("n_class", "node")).withColumn("l_class", F.coalesce("l_class", "leader"))
     labelled = materialise(labelled.select("bucket", "leader", "node", "sketch", "class", "l_class"), "near-labelled")
-    mixed = labelled.where("class <> l_class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c"))
+    mixed = labelled.where("class <> l_class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     mixed = mixed.join(labelled.where("class = l_class").select("bucket").distinct().withColumn("inside", F.lit(True)), "bucket", "left")
-    mixed = materialise(mixed.where("lo <> hi or inside").select("bucket"), "near-mixed")
+    mixed = materialise(mixed.where("lo <> hi or inside").select("bucket").join(sizes, "bucket"), "near-mixed")
     if not mixed.isEmpty():
         distance = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
-        open_ = labelled.join(small(mixed), "bucket").join(distance, ["leader", "node"], "left").select("bucket", "node", "sketch", "class", "d")
+        open_ = labelled.join(small(mixed), "bucket").join(distance, ["leader", "node"], "left").select("bucket", "node", "sketch", "class", "d", "c")
         open_ = materialise(open_, "near-open")
+        crowd = materialise(open_.where(F.col("c") > LARGE_BUCKET).select(F.col("node").alias("id")).distinct(), "near-crowd")
+        wide = texts.join(small(crowd), "id", "left_semi").mapInArrow(_wide(idf), "node long, wide array<long>").dropDuplicates(["node"])
+        wide = materialise(wide.select("node", *[F.col("wide")[i].alias(f"w{i}") for i in range(WIDE_WORDS)]), "near-wide")
+        open_ = open_.join(wide, "node", "left")
         x, y = open_.alias("x"), open_.alias("y")
         near = F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
         apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class"))
         alike = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS
-        more = x.join(y, apart & alike & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        differ = F.lit(0)
+        for i in range(WIDE_WORDS):
+            differ = differ + F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}")))
+        closely = F.coalesce(differ <= WIDE_BITS, F.lit(True))  # null: not in a large bucket
+        more = x.join(y, apart & alike & near & closely).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         more = materialise(more.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-more")
         if not more.isEmpty():
             found = similarities(more, texts, idf).where(F.col("sim") >= similarity).select("a", "b")
             if not found.isEmpty():
-                classes = materialise(connected_components(links.union(found)), "near-classes")
+                # The new links join classes: their graph is small, whatever the classes' sizes.
+                named = found.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+                named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+                joined = materialise(connected_components(named), "near-joined").select(F.col("id").alias("component"), F.col("component").alias("to"))
+                moved = classes.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                alone = joined.select(F.col("component").alias("id"), F.col("to").alias("component")).join(classes.select("id"), "id", "left_anti")
+                classes = materialise(moved.unionByName(alone), "near-classes")
 
     each = known.groupBy("id", "key", F.col("bands").isNull().alias("bare")).agg(F.count("*").alias("m"))
     node_of = nodes.select(F.col("key").alias("k"), "node")
