@@ -1,0 +1,97 @@
+"""Registered queries that use whole keys and whole texts where a query of :mod:`graph_queries` folds or cuts them; with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.operators import graph
+from tracewell.plans import graph_queries as G
+from tracewell.sources import tables as S
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- orders as blocks, every part a work object of its own -----------------------------------------
+
+_PAIRS = G._PAIRS.replace("(l_partkey % 500)::BIGINT", "l_partkey::BIGINT")
+_EDGES = G._EDGES.replace("(l_partkey % 500)::BIGINT", "l_partkey::BIGINT")
+
+
+def _members(spark, sf_dir) -> DataFrame:
+    rows = S.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    owner = rows.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("owner"))
+    profile = F.when(F.col("owner") % 2 == 0, "even").otherwise("odd")
+    return rows.join(owner, "l_orderkey").select(F.col("owner").cast("string").alias("session_id"), F.col("l_orderkey").alias("topic_id"), profile.alias("profile"), F.col("l_partkey").cast("long").alias("reality_id")).distinct()
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return graph.block_pairs(_members(spark, sf_dir)).withColumn("created_at", F.lit(0.0))
+
+
+def _node(c):
+    return F.concat(F.lit("reality_"), F.col(c).cast("string"))
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM p")
+def cooc_pairs_parts(spark, sf_dir):
+    return graph.block_pairs(_members(spark, sf_dir)).select("session_id", "topic_id", "profile", "reality_a", "reality_b")
+
+
+@query(f"WITH {_PAIRS}, old AS (SELECT * FROM p WHERE topic_id % 3 = 0) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.session_id = p.session_id AND old.topic_id = p.topic_id AND old.reality_a = p.reality_a AND old.reality_b = p.reality_b)")
+def cooc_new_pairs_parts(spark, sf_dir):
+    known = _events(spark, sf_dir).where("topic_id % 3 = 0")
+    return graph.record_cooccurrences(_members(spark, sf_dir), known).select("session_id", "topic_id", "profile", "reality_a", "reality_b")
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e")
+def cooc_edges_parts(spark, sf_dir):
+    return graph.edges(_events(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT reality_a AS a, reality_b AS b, count(*) AS w FROM p WHERE profile = 'even' GROUP BY 1, 2")
+def cooc_edges_of_profile_parts(spark, sf_dir):
+    return graph.edges(_events(spark, sf_dir), profile="even")
+
+
+@query(f"WITH {_EDGES} SELECT id, sum(w)::BIGINT AS degree FROM (SELECT a AS id, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY 1")
+def cooc_degree_parts(spark, sf_dir):
+    return graph.degrees(graph.edges(_events(spark, sf_dir)))
+
+
+@query(f"WITH {_PAIRS} SELECT count(DISTINCT session_id || ':' || topic_id) AS n_blocks FROM p")
+def cooc_blocks_parts(spark, sf_dir):
+    return graph.block_count(_events(spark, sf_dir))
+
+
+@query(f"""WITH {_EDGES}, old AS (SELECT 'reality_' || a AS source, 'reality_' || b AS target, 'co_occurs_with' AS relation, 0.5::DOUBLE AS weight FROM e WHERE (a + b) % 2 = 0 UNION ALL SELECT 'reality_' || a, 'reality_' || b, 'depends_on', 1.0 FROM e WHERE (a + b) % 5 = 0),
+new AS (SELECT 'reality_' || a AS source, 'reality_' || b AS target, 'co_occurs_with' AS relation, w::DOUBLE AS weight FROM e)
+SELECT coalesce(o.source, n.source) AS source, coalesce(o.target, n.target) AS target, coalesce(o.relation, n.relation) AS relation, coalesce(n.weight, o.weight) AS weight FROM old o FULL JOIN new n ON o.source = n.source AND o.target = n.target AND o.relation = n.relation""")
+def cooc_sync_parts(spark, sf_dir):
+    e = graph.edges(_events(spark, sf_dir))
+    old = e.where("(a + b) % 2 = 0").select(_node("a").alias("source"), _node("b").alias("target"), F.lit("co_occurs_with").alias("relation"), F.lit(0.5).alias("weight"))
+    old = old.unionByName(e.where("(a + b) % 5 = 0").select(_node("a").alias("source"), _node("b").alias("target"), F.lit("depends_on").alias("relation"), F.lit(1.0).alias("weight")))
+    return graph.sync_cooccurrences(old, e).select("source", "target", "relation", "weight")
+
+
+@query(f"""WITH {_EDGES}, nodes AS (SELECT 'reality_' || p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'code' ELSE 'knowledge' END AS file_type FROM part UNION ALL SELECT 'theme_' || i, 'knowledge' FROM range(0, 20) t(i)),
+kept AS (SELECT id FROM nodes WHERE file_type <> 'knowledge' OR id IN (SELECT 'reality_' || reality_id FROM m WHERE reality_id % 3 <> 0))
+SELECT 'reality_' || a AS source, 'reality_' || b AS target FROM e WHERE 'reality_' || a IN (SELECT id FROM kept) AND 'reality_' || b IN (SELECT id FROM kept)""")
+def knowledge_cleanup_parts(spark, sf_dir):
+    nodes = S.read(spark, sf_dir, "part").select(_node("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "code").otherwise("knowledge").alias("file_type"))
+    nodes = nodes.unionByName(spark.range(20).select(F.concat(F.lit("theme_"), F.col("id").cast("string")).alias("id"), F.lit("knowledge").alias("file_type")))
+    links = graph.edges(_events(spark, sf_dir)).select(_node("a").alias("source"), _node("b").alias("target"))
+    live = _members(spark, sf_dir).where("reality_id % 3 <> 0").select("reality_id").distinct()
+    _, left = graph.clean_knowledge(nodes, links, live, spark.createDataFrame([], "id string"), None)
+    return left
