@@ -13,7 +13,7 @@ from tracewell.plans import registry
 
 #: Parts that are equal modulo 500, in and across orders: order, supplier, part.
 LINES = [(1, 4, 7), (1, 3, 507), (1, 9, 1007), (2, 2, 7), (2, 2, 1507), (3, 6, 507), (3, 6, 1507), (3, 8, 20), (4, 5, 20), (4, 5, 520)]
-GRAPH = ["cooc_pairs", "cooc_new_pairs", "cooc_edges", "cooc_edges_of_profile", "cooc_degree", "cooc_blocks", "cooc_sync", "knowledge_cleanup"]
+GRAPH = ["cooc_pairs", "cooc_new_pairs", "cooc_edges", "cooc_edges_of_profile", "cooc_degree", "cooc_blocks", "cooc_sync", "knowledge_cleanup", "s_candidates", "graph_neighbours"]
 
 
 def folder_with(spark, folder, **tables):

@@ -95,3 +95,38 @@ def knowledge_cleanup_parts(spark, sf_dir):
     live = _members(spark, sf_dir).where("reality_id % 3 <> 0").select("reality_id").distinct()
     _, left = graph.clean_knowledge(nodes, links, live, spark.createDataFrame([], "id string"), None)
     return left
+
+
+# A customer's anchors and budget are the parts of the customer's own orders.
+_OWN = "own AS (SELECT c_custkey AS q, l_partkey::BIGINT AS id, bool_or(o_orderstatus = 'F') AS fused FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey % 50 = 0 GROUP BY 1, 2)"
+
+
+def _own_parts(spark, sf_dir) -> DataFrame:
+    c = S.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"))
+    o = S.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "F").alias("fused"))
+    parts = S.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("long").alias("id"))
+    return c.join(o, "q").join(parts, "l_orderkey").groupBy("q", "id").agg(F.max("fused").alias("fused"))
+
+
+@query(f"""WITH {_EDGES}, {_OWN},
+d AS (SELECT q, id, CASE WHEN fused THEN 0.8 ELSE 0.4 END AS wa, 0.0 AS d FROM own
+  UNION ALL SELECT own.q, e2.id, CASE WHEN fused THEN 0.8 ELSE 0.4 END, 1.0 / (w + 1) FROM own JOIN (SELECT a AS anchor, b AS id, w FROM e UNION ALL SELECT b, a, w FROM e) e2 ON e2.anchor = own.id),
+s AS (SELECT q, id, sum(wa::DOUBLE * d::DOUBLE) / sum(wa::DOUBLE) AS s FROM d WHERE id IN (SELECT reality_id FROM m) GROUP BY 1, 2),
+r AS (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 12), id) AS rank FROM s WHERE round(s, 12) <= 0.5)
+SELECT q, id, round(s, 9) AS s, rank FROM r WHERE rank <= 3""")
+def s_candidates_parts(spark, sf_dir):
+    from tracewell.operators import merge
+
+    works = _members(spark, sf_dir).select(F.col("reality_id").alias("id"))
+    found = merge.s_candidates(works, _own_parts(spark, sf_dir), graph.edges(_events(spark, sf_dir)))
+    return found.select("q", "id", F.round("s", 9).alias("s"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_EDGES}, {_OWN}, l AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS pos FROM e),
+n AS (SELECT q, other, min(pos) AS pos FROM own JOIN (SELECT a AS id, b AS other, pos FROM l UNION ALL SELECT b, a, pos FROM l) x USING (id) WHERE other % 2 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos, other) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.q = n.q AND own.id = n.other)) SELECT q, other AS reality_id FROM r WHERE k <= 5""")
+def graph_neighbours_parts(spark, sf_dir):
+    # The edges' own order stands for their number, so that no single task numbers them all.
+    links = graph.edges(_events(spark, sf_dir)).select(F.struct("a", "b").alias("pos"), _node("a").alias("source"), _node("b").alias("target"), F.lit("co_occurs_with").alias("relation"))
+    ids = _members(spark, sf_dir).select("reality_id").distinct().where("reality_id % 2 = 0")
+    return graph.neighbours(links, _own_parts(spark, sf_dir).select("q", F.col("id").alias("reality_id")), ids).select("q", "reality_id")
