@@ -57,3 +57,18 @@ def test_parts_are_nodes_of_their_own(spark, orders_of_far_parts):
 def test_whole_graph_query(spark, orders_of_far_parts, name):
     said = compare(spark, f"{name}_parts", orders_of_far_parts, registry.queries(), registry.oracle_sql())
     assert "match" in said and not said.startswith(f"{name}_parts: 0 rows"), said
+
+
+def test_titles_match_beyond_80_characters(spark, tmp_path):
+    filler = "the same opening words stand in front of every text here and so they weigh little " * 2
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(120)]
+    docs = [(i, filler + " ".join(words[4 * i : 4 * i + 4])) for i in range(30)]
+    items = [(i, "zzz " + " ".join(words[4 * i : 4 * i + 4])) for i in range(0, 30, 3)]
+    at = folder_with(spark, tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    q = registry.queries()
+    assert {(r.id, r.doc) for r in q["title_matches_whole"](spark, at).collect()} == {(i, i) for i in range(0, 30, 3)}
+    assert q["title_matches"](spark, at).count() == 0
+    assert {r.f for r in q["pair_idf_whole"](spark, at).collect()} == {w for _, t in docs for w in t.split() if len(w) > 1}
+    for name in ("pair_idf_whole", "title_matches_whole"):
+        assert "match" in compare(spark, name, at, q, registry.oracle_sql())

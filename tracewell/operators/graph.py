@@ -15,6 +15,8 @@ LINK_VERBS = ("基于", "承接", "详见", "延续", "参照")
 NAVIGATION = ("index", "readme", "changelog", "overview")
 #: Relations between work objects that recall follows.
 RECALL_RELATIONS = ("co_occurs_with", "shares_topic", "depends_on", "continues")
+#: Words of documents' titles that are broadcast at most.
+BROADCAST_WORDS = 200_000
 EVENT_KEY = ["session_id", "topic_id", "profile", "reality_a", "reality_b"]
 
 
@@ -169,9 +171,11 @@ def reference_edges(hits: DataFrame, known: DataFrame, threshold: float | None,
     return rows.select(F.concat(F.lit("reality_"), F.col("reality_id").cast("string")).alias("source"), "target", F.lit("references_ov").alias("relation"), F.round(F.least("score", F.lit(0.95)), 3).alias("weight"))
 
 
-def pair_idf(titles: DataFrame, text: str = "title") -> DataFrame:
-    """How rare each word or CJK pair is among titles: ``f, idf``."""
-    pairs = titles.select(F.explode(F.array_distinct(T.mixed_pairs(F.col(text)))).alias("f")).groupBy("f").agg(F.count("*").alias("df"))
+def pair_idf(titles: DataFrame, text: str = "title", only: DataFrame | None = None) -> DataFrame:
+    """How rare each word or CJK pair is among titles: ``f, idf``; with ``only`` (``f``), of those alone."""
+    pairs = titles.select(F.explode(F.array_distinct(T.mixed_pairs(F.col(text)))).alias("f"))
+    pairs = pairs if only is None else pairs.join(only, "f", "left_semi")
+    pairs = pairs.groupBy("f").agg(F.count("*").alias("df"))
     n = titles.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     return pairs.crossJoin(F.broadcast(n)).select("f", F.ln(F.col("n") / F.col("df")).alias("idf"))
 
@@ -184,7 +188,10 @@ def title_matches(names: DataFrame, documents: DataFrame, least_idf: float = 2.5
     """
     a = names.select("id", F.explode(F.array_distinct(T.mixed_pairs(F.col("title")))).alias("f"))
     b = documents.select("doc", F.explode(F.array_distinct(T.mixed_pairs(F.col("title")))).alias("f"))
-    shared = a.join(pair_idf(names), "f").join(b, "f").groupBy("id", "doc").agg(F.sum("idf").alias("score"), F.sum(F.when(F.col("idf") >= least_idf, 1).otherwise(0)).alias("valid"))
+    few = b.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    sent = F.broadcast if few else lambda x: x
+    weights = b.join(pair_idf(names, only=sent(b.select("f").distinct())), "f")
+    shared = a.join(sent(weights), "f").groupBy("id", "doc").agg(F.sum("idf").alias("score"), F.sum(F.when(F.col("idf") >= least_idf, 1).otherwise(0)).alias("valid"))
     shared = shared.where((F.col("valid") >= least_shared) & (F.col("score") >= least_score))
     return shared.select("id", "doc", "score", F.round(F.least(F.col("score") / 8.0, F.lit(0.95)), 3).alias("confidence"))
 

@@ -130,3 +130,18 @@ def graph_neighbours_parts(spark, sf_dir):
     links = graph.edges(_events(spark, sf_dir)).select(F.struct("a", "b").alias("pos"), _node("a").alias("source"), _node("b").alias("target"), F.lit("co_occurs_with").alias("relation"))
     ids = _members(spark, sf_dir).select("reality_id").distinct().where("reality_id % 2 = 0")
     return graph.neighbours(links, _own_parts(spark, sf_dir).select("q", F.col("id").alias("reality_id")), ids).select("q", "reality_id")
+
+
+# -- titles: documents' whole texts ----------------------------------------------------------------
+
+
+@query(G.ORACLES["pair_idf"].replace("substr(text, 1, 80)", "text"))
+def pair_idf_whole(spark, sf_dir):
+    return graph.pair_idf(S.read(spark, sf_dir, "documents").select(F.col("text").alias("title"))).select("f", F.round("idf", 9).alias("idf"))
+
+
+@query(G.ORACLES["title_matches"].replace("substr(text, 1, 80)", "text"))
+def title_matches_whole(spark, sf_dir):
+    names = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    found = graph.title_matches(names, S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.col("text").alias("title")))
+    return found.select("id", "doc", F.round("score", 6).alias("score"), "confidence")
