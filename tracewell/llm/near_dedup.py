@@ -200,6 +200,16 @@ def _signatures(idf):
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [shingles(t.as_py())[1] for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["id", "key", "text"])
+
+
+def _key_of(texts):
+    return texts.map(lambda t: shingles(t)[1])
+
+
 def _wide(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,9 +281,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket is lost but by the sketch. Document frequencies cover all texts in a hashed table.
 
     Texts without words (null, empty, punctuation) are classes of their own. Rows that repeat an
-    id are one document: each has a row in the result, one of them kept. A null id gives a null
-    class, not compared and kept. An empty table gives an empty result.
+    id and a text are one document: each has a row in the result, one of them kept. Rows that share
+    an id but hold different texts are compared each by its own text; classes of such texts may have
+    the same name, but they count and keep their own rows. A null id gives a null class, not
+    compared and kept. An empty table gives an empty result.
     """
+    return _decided(docs, id_col, text_col, similarity).drop("key")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """The result of :func:`near_dedup` with the ``key`` of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counts, n = document_frequencies(rows)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))
@@ -283,6 +300,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = known.where("bands is not null").groupBy("key").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
     texts = rows.where("id is not null")
+    # Ids that hold several texts: each text that is a node gets a number of its own, beyond all ids.
+    several = materialise(known.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id"), "near-several")
+    if not several.isEmpty():
+        top = known.agg(F.max("id")).first()[0] + 1
+        numbered = materialise(nodes.join(small(several), nodes["node"] == several["id"], "left_semi").select(F.col("node").alias("id"), "key"), "near-told")
+        numbered = materialise(numbered.withColumn("number", F.lit(top) + F.monotonically_increasing_id()), "near-numbered")
+        nodes = nodes.join(numbered.select("key", "number"), "key", "left").withColumn("node", F.coalesce("number", "node")).drop("number")
+        nodes = materialise(nodes, "near-nodes")
+        told = texts.join(small(several), "id", "left_semi").select("id", "text").mapInArrow(_keyed, "id long, key binary, text string")
+        told = told.join(numbered, ["id", "key"]).select(F.col("number").alias("id"), "text")
+        texts = texts.join(small(several), "id", "left_anti").select("id", "text").unionByName(materialise(told, "near-texts"))
     placed = nodes.select("node", "sketch", F.explode("bands").alias("bucket"))
     sizes = materialise(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-sizes")
     shared = materialise(placed.join(small(sizes), "bucket"), "near-shared")
@@ -340,18 +368,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = known.groupBy("id", "key", F.col("bands").isNull().alias("bare")).agg(F.count("*").alias("m"))
     node_of = nodes.select(F.col("key").alias("k"), "node")
     each = each.join(node_of, (F.col("key") == F.col("k")) & ~F.col("bare"), "left").withColumn("node", F.coalesce("node", "id"))
-    each = each.join(classes.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("class_id", F.coalesce("component", "node"))
-    each = materialise(each.select("id", "class_id", "m"), "near-each")
-    sizes = each.groupBy(F.col("class_id").alias("c")).agg(F.sum("m").alias("class_size"))
-    full = each.join(sizes, F.col("class_id") == F.col("c")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    full = full.select(F.col("id").alias("doc_id"), "class_id", "class_size", ((F.col("id") == F.col("class_id")) & (F.col("k") == 1)).alias("kept"))
-    nameless = signed.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    # A text without words has its id as class; ``bare`` tells it from a class of other texts of that id.
+    each = each.join(classes.select(F.col("id").alias("node"), "component", F.lit(False).alias("bare")), ["node", "bare"], "left")
+    each = materialise(each.select("id", "key", "bare", F.coalesce("component", "node").alias("class"), "m"), "near-each")
+    sizes = each.groupBy(F.col("bare").alias("b"), F.col("class").alias("c")).agg(F.sum("m").alias("class_size"), F.min(F.struct("id", "key")).alias("first"))
+    full = each.join(sizes, (F.col("class") == F.col("c")) & (F.col("bare") == F.col("b"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    mine = (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    full = full.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (mine & (F.col("k") == 1)).alias("kept"), "key")
+    nameless = signed.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "key")
     return full.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id :func:`near_dedup` keeps, with their own columns."""
-    found = near_dedup(docs, id_col, text_col).where("doc_id is not null")
-    dropped = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__id"))
-    dropped = small(materialise(dropped, "near-dropped"))
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["__id"], "left_anti")
+    """The rows of ``docs`` whose document :func:`near_dedup` keeps, with their own columns.
+
+    Ids of which nothing is kept are left out by a list; texts that share an id with one that is
+    kept are told apart by their key.
+    """
+    found = _decided(docs, id_col, text_col).where("doc_id is not null")
+    some = found.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all").select(F.col("doc_id").alias("__id"), "any")
+    some = materialise(some, "near-dropped")
+    dropped = small(some.where("not any").select("__id"))
+    out = docs.join(dropped, docs[id_col].cast("long") == dropped["__id"], "left_anti")
+    partly = some.where("any").select("__id")
+    texts = found.join(partly, F.col("doc_id") == F.col("__id"), "left_semi").groupBy("doc_id", "key").agg(F.max("kept").alias("kept")).where("not kept")
+    texts = materialise(texts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "near-dropped-texts")
+    if texts.isEmpty():
+        return out
+    ids = small(materialise(texts.select("__id").distinct(), "near-dropped-ids"))
+    same = docs[id_col].cast("long") == ids["__id"]
+    rest = out.join(ids, same, "left_semi").withColumn("__of", F.pandas_udf(_key_of, "binary")(docs[text_col].cast("string")))
+    rest = rest.join(texts, (rest[id_col].cast("long") == texts["__id"]) & (rest["__of"] == texts["__key"]), "left_anti")
+    return out.join(ids, same, "left_anti").unionByName(rest.select(*docs.columns))
