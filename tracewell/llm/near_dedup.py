@@ -278,7 +278,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        rule a link out (members of large buckets get a second, wide sketch for this).
 
     Pairs inside a class are never enumerated, and no link between different texts of a shared
-    bucket is lost but by the sketch. Document frequencies cover all texts in a hashed table.
+    bucket is lost but by the sketches (the wide one is for large buckets only). Document frequencies cover all texts in a hashed table.
 
     Texts without words (null, empty, punctuation) are classes of their own. Rows that repeat an
     id and a text are one document: each has a row in the result, one of them kept. Rows that share
