@@ -72,3 +72,9 @@ def test_titles_match_beyond_80_characters(spark, tmp_path):
     assert {r.f for r in q["pair_idf_whole"](spark, at).collect()} == {w for _, t in docs for w in t.split() if len(w) > 1}
     for name in ("pair_idf_whole", "title_matches_whole"):
         assert "match" in compare(spark, name, at, q, registry.oracle_sql())
+
+
+def test_every_labelled_vector_is_graded(spark):
+    want = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("label is not null").collect()}
+    assert {r.vec_id for r in registry.queries()["radius_grades_whole"](spark, SF).collect()} == want
+    assert "match" in compare(spark, "radius_grades_whole", SF, registry.queries(), registry.oracle_sql())

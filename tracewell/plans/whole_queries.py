@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph
+from tracewell.functions import vector as V
+from tracewell.operators import graph, topics
+from tracewell.plans import core_queries as C
 from tracewell.plans import graph_queries as G
 from tracewell.sources import tables as S
 
@@ -145,3 +147,13 @@ def title_matches_whole(spark, sf_dir):
     names = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     found = graph.title_matches(names, S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.col("text").alias("title")))
     return found.select("id", "doc", F.round("score", 6).alias("score"), "confidence")
+
+
+# -- grades of every vector ------------------------------------------------------------------------
+
+
+@query(C.ORACLES["radius_grades"].replace(" WHERE vec_id % 50 = 0", ""))
+def radius_grades_whole(spark, sf_dir):
+    asked = S.read(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", V.doubles(F.col("embedding")).alias("qv"))
+    # Topics are one row a label.
+    return asked.crossJoin(C._geometry(spark, sf_dir)).select("vec_id", "label", topics.radius_grade(F.col("qv"), F.col("centroid"), F.col("max_intra"), F.col("nearest"), F.lit(False)).alias("grade"))
