@@ -78,3 +78,14 @@ def test_every_labelled_vector_is_graded(spark):
     want = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("label is not null").collect()}
     assert {r.vec_id for r in registry.queries()["radius_grades_whole"](spark, SF).collect()} == want
     assert "match" in compare(spark, "radius_grades_whole", SF, registry.queries(), registry.oracle_sql())
+
+
+def test_final_answers_are_whole(spark):
+    texts = {r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").collect()}
+    q = registry.queries()
+    got = [r.prev_fct for r in q["prev_fin_whole"](spark, SF).collect() if r.prev_fct]
+    assert max(map(len, got)) > 200 and set(got) <= texts
+    assert max(len(r.prev_fct or "") for r in q["prev_fin"](spark, SF).collect()) == 200
+    assert "match" in compare(spark, "prev_fin_whole", SF, q, registry.oracle_sql())
+    size = lambda n: sum(len(str(r)) for r in q[n](spark, SF).collect())
+    assert size("history_assembly_whole") > size("history_assembly")

@@ -1,4 +1,4 @@
-"""Registered queries that use whole keys and whole texts where a query of :mod:`graph_queries` folds or cuts them; with SQL."""
+"""Registered queries that use whole keys and whole texts where a query of the other modules folds or cuts them; with SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import vector as V
-from tracewell.operators import graph, topics
+from tracewell.operators import graph, history, log, topics
 from tracewell.plans import core_queries as C
 from tracewell.plans import graph_queries as G
 from tracewell.sources import tables as S
@@ -157,3 +157,16 @@ def radius_grades_whole(spark, sf_dir):
     asked = S.read(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", V.doubles(F.col("embedding")).alias("qv"))
     # Topics are one row a label.
     return asked.crossJoin(C._geometry(spark, sf_dir)).select("vec_id", "label", topics.radius_grade(F.col("qv"), F.col("centroid"), F.col("max_intra"), F.col("nearest"), F.lit(False)).alias("grade"))
+
+
+# -- final answers: the whole text as summary ------------------------------------------------------
+
+
+@query(C.ORACLES["prev_fin"].replace("substr(text, 1, 200)", "text"))
+def prev_fin_whole(spark, sf_dir):
+    return log.previous_summary(S.turn_log(S.read(spark, sf_dir, "conversations"), None))
+
+
+@query()
+def history_assembly_whole(spark, sf_dir):
+    return history.assemble(S.turn_log(S.read(spark, sf_dir, "conversations"), None), C._graded(spark, sf_dir))

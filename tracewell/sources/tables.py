@@ -49,10 +49,11 @@ def json_or_null(text: Column, schema: str) -> Column:
     return F.from_json(F.when(F.trim(text) != "null", text), schema, {"mode": "PERMISSIVE"})
 
 
-def turn_log(conversations: DataFrame) -> DataFrame:
+def turn_log(conversations: DataFrame, fin_chars: int | None = 200) -> DataFrame:
     """Conversations as a log: a user's message opens a turn (1, 2, ...) at seq 0, and what follows
     is at seq 1, 2, ...; the last assistant row of a turn is its final one. System rows, and what
-    comes before the first user's message, are left out."""
+    comes before the first user's message, are left out. A final row's summary is the first
+    ``fin_chars`` of its text, all of it with None."""
     session = Window.partitionBy("conv_id").orderBy("turn", "text")
     rows = conversations.where("role <> 'system'").withColumn("ordinal", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(session))
     rows = rows.where("ordinal > 0")
@@ -63,7 +64,7 @@ def turn_log(conversations: DataFrame) -> DataFrame:
     return rows.select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("ordinal").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), "role",
         F.coalesce("text", F.lit("")).alias("elm"), F.when(fin, "stop").alias("finish_reason"),
-        F.when(F.col("role") == "user", F.col("text")).otherwise(F.when(fin, F.left("text", F.lit(200)))).alias("fct"),
+        F.when(F.col("role") == "user", F.col("text")).otherwise(F.when(fin, F.col("text") if fin_chars is None else F.left("text", F.lit(fin_chars)))).alias("fct"),
         F.left("text", F.lit(100)).alias("hdl"), F.lit(None).cast("string").alias("biz_category"), F.lit(None).cast("string").alias("request_id"),
     )
 
