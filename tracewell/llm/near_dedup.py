@@ -29,12 +29,11 @@ SLOTS = 1 << 16
 #: own few changes don't outweigh it.
 PRIOR = 0.2
 #: Sketch bits that may differ in a candidate. At the threshold 5.6 of 56 do on average, and more
-#: than 16 in 2 of 100,000 pairs.
+#: than 16 in 2 of 100,000 pairs. This is the only filter that can lose a link.
 SKETCH_BITS = 16
-#: Larger buckets that hold several classes get a second sketch of 1024 bits, for their texts alone.
-#: At the threshold 102 differ on average, with a standard deviation of 9.6; more than 150 in 1 of a
-#: million pairs. Of pairs at similarity 0.65 some 1 in 100 pass.
-LARGE_BUCKET, WIDE_WORDS, WIDE_BITS = 16, 16, 150
+#: Words of 64 bits of the maps that bound a pair's difference from below, by the least weight of the
+#: shingles in them: rare ones (in up to 4 % of the documents), common ones, and all others.
+MAP_WORDS, MAP_WEIGHTS = (40, 16, 8), (1.65, 1.0, 0.0)
 #: Members that one task compares with a leader before the leader is sent to another task.
 MEMBERS = 512
 
@@ -66,9 +65,20 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[np.ndarray, bytes]:
     return _mixed(out), key
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    """Places in the document frequency table, from the 32 bits that identify a shingle."""
-    return ((hashes >> _U(32)) & _U(SLOTS - 1)).astype(np.int64)
+def compact(hashes: np.ndarray) -> np.ndarray:
+    """The sorted 32-bit shingles that a text is known by from here on, repeats included."""
+    return np.sort((hashes >> _U(32)).astype(np.uint32))
+
+
+def slots(shingle: np.ndarray) -> np.ndarray:
+    """Places in the document frequency table."""
+    return (shingle & np.uint32(SLOTS - 1)).astype(np.int64)
+
+
+def counted(vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a sorted vector, and how often each comes."""
+    first = np.flatnonzero(np.concatenate([[True], vector[1:] != vector[:-1]])) if len(vector) else np.zeros(0, np.int64)
+    return vector[first], np.diff(np.append(first, len(vector)))
 
 
 def inverse_frequencies(counts: np.ndarray, documents: int) -> np.ndarray:
@@ -87,11 +97,13 @@ def _gamma2_quantiles(n: int = 4096) -> np.ndarray:
 
 _R = _gamma2_quantiles().astype(np.float32)
 _LNC = np.log(_gamma2_quantiles()).astype(np.float32)
+
+
 def _seeds(first: int, n: int) -> np.ndarray:
     return _mixed(np.arange(first, first + n, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-_SEEDS, _WIDE_SEEDS = _seeds(1, BANDS * ROWS), _seeds(1000, 64 * WIDE_WORDS)
+_SEEDS = _seeds(1, BANDS * ROWS)
 
 
 def weighted_samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024, seeds: np.ndarray = _SEEDS) -> np.ndarray:
@@ -121,10 +133,10 @@ def weighted_samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024,
     return _mixed(shingle + _mixed(level.astype(np.int64).view(np.uint64) + seeds))
 
 
-def signature(hashes: np.ndarray, idf: np.ndarray) -> tuple[list[int], int]:
+def signature(vector: np.ndarray, idf: np.ndarray) -> tuple[list[int], int]:
     """Band keys, and a sketch with a bit of each sample."""
-    s, tf = np.unique(hashes, return_counts=True)
-    drawn = weighted_samples(s, tf * idf[slots(s)])
+    shingle, tf = counted(vector)
+    drawn = weighted_samples(_mixed(shingle.astype(np.uint64) * _P + _C1), tf * idf[slots(shingle)])
     keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
     for j in range(ROWS):
         keys = _mixed(keys * _P + drawn.reshape(BANDS, ROWS)[:, j])
@@ -132,36 +144,65 @@ def signature(hashes: np.ndarray, idf: np.ndarray) -> tuple[list[int], int]:
     return keys.view(np.int64).tolist(), bits - (1 << 64) if bits >> 63 else bits
 
 
-def wide_sketch(hashes: np.ndarray, idf: np.ndarray) -> list[int]:
-    """A bit of each of many further samples, 64 to a number."""
-    s, tf = np.unique(hashes, return_counts=True)
-    drawn = weighted_samples(s, tf * idf[slots(s)], block=64, seeds=_WIDE_SEEDS)
-    return np.packbits((drawn >> _U(63)).astype(np.uint8)).view(np.int64).tolist()
+def difference_map(vector: np.ndarray, idf: np.ndarray) -> tuple[list[int], float]:
+    """Bit maps of a text's shingles by weight class, 64 bits to a number, and its whole weight.
+
+    If a bit differs between two texts, one of them holds a shingle there that the other lacks. So
+    the differing bits of each class, times its least weight, never exceed the weight by which the
+    two texts differ.
+    """
+    shingle, tf = counted(vector)
+    weight = idf[slots(shingle)]
+    out, above = [], np.inf
+    for words, least in zip(MAP_WORDS, MAP_WEIGHTS, strict=True):
+        bits = np.zeros(64 * words, np.uint8)
+        own = shingle[(weight >= least) & (weight < above)]
+        bits[(own >> np.uint32(12)).astype(np.int64) % len(bits)] = 1
+        out += np.packbits(bits).view(np.int64).tolist()
+        above = least
+    return out, float((tf * weight.astype(float)).sum())
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Of two multisets of 32-bit shingles."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    wa, wb = ca * idf[ua & (SLOTS - 1)].astype(float), cb * idf[ub & (SLOTS - 1)].astype(float)
+    """Of two sorted vectors."""
+    (ua, ca), (ub, cb) = counted(a), counted(b)
+    wa, wb = ca * idf[slots(ua)].astype(float), cb * idf[slots(ub)].astype(float)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     both = np.minimum(wa[ia], wb[ib]).sum()
     total = wa.sum() + wb.sum() - both
     return float(both / total) if total else 0.0
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_VECTORS = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("vec", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and vector of each text, then one row with the task's table of document frequencies."""
     from pyspark import TaskContext
 
     uses_cache("hashes")
     counts, part = np.zeros(SLOTS + 1, np.int64), TaskContext.get().partitionId()
     for batch in batches:
-        for text in batch.column(0):
-            hashes, _ = shingles(text.as_py())
-            if len(hashes):
-                counts[np.unique(slots(hashes))] += 1
-                counts[SLOTS] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "counts"])
+        ids, texts = batch.column(0), batch.column(1)
+        for at in range(0, len(ids), 1024):
+            keys, data = [], []
+            for text in texts[at : at + 1024]:
+                hashes, key = shingles(text.as_py())
+                vector = compact(hashes)
+                if len(vector):
+                    counts[np.unique(slots(vector))] += 1
+                    counts[SLOTS] += 1
+                keys.append(key)
+                data.append(vector.tobytes() if len(vector) else None)
+            none = pa.nulls(len(keys))
+            yield pa.RecordBatch.from_arrays([ids[at : at + 1024], pa.array(keys, pa.binary()), pa.array(data, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_VECTORS)
+    yield pa.RecordBatch.from_pylist([{"part": part, "counts": counts.tobytes()}], schema=_VECTORS)
+
+
+def vectors(texts: DataFrame) -> DataFrame:
+    """``id, key, vec`` of each text (no vector without words) and, in rows of their own, ``part,
+    counts``. Texts are read and cut into words this once; every later step reads this table."""
+    return materialise(texts.select("id", "text").mapInArrow(_vectors, "id long, key binary, vec binary, part int, counts binary"), "near-vectors")
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -169,60 +210,48 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table["part"][0].as_py() // 64], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by slot of the frequency table, over all texts, and how many have words.
+def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents by slot of the frequency table, over all texts of :func:`vectors`, and how many have words.
 
     Each task counts in a table of fixed size. Tables are added 64 at a time until 64 are left
     (34 MB at most), which the driver adds.
     """
-    table = materialise(docs.select("text").mapInArrow(_frequencies, "part int, counts binary"), "near-counts")
+    table = table.where("counts is not null").select("part", "counts")
     while table.count() > 64:
         table = materialise(table.groupBy(F.floor(F.col("part") / 64)).applyInArrow(_sum_counts, "part int, counts binary"), "near-counts")
     total = sum((np.frombuffer(r["counts"], np.int64) for r in table.collect()), np.zeros(SLOTS + 1, np.int64))
     return total[:SLOTS], int(total[SLOTS])
 
 
+def _vector(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.uint32)
+
+
 def _signatures(idf):
     shape = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses_cache("hashes")
+        uses_cache(None)
         for batch in batches:
-            keys, bands, sketches = [], [], []
-            for text in batch.column(1):
-                hashes, key = shingles(text.as_py())
-                found = signature(hashes, idf.value) if len(hashes) else (None, None)
-                keys.append(key)
-                bands.append(found[0])
-                sketches.append(found[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.int64())], schema=shape)
+            found = [signature(_vector(v), idf.value) if v.is_valid else (None, None) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.int64())], schema=shape)
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [shingles(t.as_py())[1] for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], names=["id", "key", "text"])
-
-
-def _key_of(texts):
-    return texts.map(lambda t: shingles(t)[1])
+def _maps(idf):
+    shape = pa.schema([("node", pa.int64()), ("map", pa.list_(pa.int64())), ("weight", pa.float64())])
 
-
-def _wide(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wide_sketch(shingles(t.as_py())[0], idf.value) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "wide"])
+            found = [difference_map(_vector(v), idf.value) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.float64())], schema=shape)
 
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [np.sort((shingles(t.as_py())[0] >> _U(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "vec"])
+def _key_of(texts):
+    return texts.map(lambda t: shingles(t)[1])
 
 
 def _compare(idf):
@@ -244,24 +273,63 @@ def _compare(idf):
     return run
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Exact weighted Jaccard similarity of ``pairs`` (``a``, ``b``): ``a, b, sim``.
+def similarities(pairs: DataFrame, known: DataFrame, idf) -> DataFrame:
+    """Exact weighted Jaccard similarity of ``pairs`` (``a``, ``b``) of ``known`` (``id, vec``): ``a, b, sim``.
 
     Members go to their leader ``a``, at most about ``MEMBERS`` to a task for one leader, and a
     task reads them one after another, so no group is held in memory.
     """
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    vectors = materialise(texts.join(small(ids), "id", "left_semi").mapInArrow(_vectors, "id long, vec binary").dropDuplicates(["id"]), "near-vectors")
+    wanted = materialise(known.join(small(ids), "id", "left_semi").select("id", "vec").dropDuplicates(["id"]), "near-wanted")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("shares"))
     sizes = materialise(sizes, "near-leaders")
     members = pairs.join(sizes, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares"))).select("a", "share", "b")
-    members = members.join(vectors, F.col("b") == F.col("id")).select("a", "share", "b", "vec")
+    members = members.join(wanted, F.col("b") == F.col("id")).select("a", "share", "b", "vec")
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
-    leaders = leaders.join(vectors, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast("long").alias("b"), "vec")
+    leaders = leaders.join(wanted, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast("long").alias("b"), "vec")
     rows = leaders.union(members).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
     return materialise(rows.mapInArrow(_compare(idf), "a long, b long, sim double"), "near-similarities")
 
 
+def further_pairs(labelled: DataFrame, sims: DataFrame, nodes: DataFrame, known: DataFrame, idf, similarity: float) -> DataFrame:
+    """Pairs of different classes that share a bucket and that no bound rules out: ``a, b``.
+
+    A pair is looked at in the first bucket that it shares, by band, and nowhere else. It isn't a
+    link if its distances to the bucket's leader differ by more than ``1 - similarity`` (one minus
+    weighted Jaccard is a metric), if one text weighs less than ``similarity`` times the other, or
+    if its maps (:func:`difference_map`) differ by more than a link's weights allow. None of these
+    loses a link.
+    """
+    bands = nodes.select("node", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
+    distance = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
+    mixed = labelled.where("class <> l_class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    mixed = mixed.join(labelled.where("class = l_class").select("bucket").distinct().withColumn("inside", F.lit(True)), "bucket", "left")
+    mixed = materialise(mixed.where("lo <> hi or inside").select("bucket"), "near-mixed")
+    open_ = labelled.join(small(mixed), "bucket").join(distance, ["leader", "node"], "left").select("bucket", "node", "sketch", "class", "d")
+    open_ = materialise(open_, "near-open")
+    crowd = materialise(open_.select(F.col("node").alias("id")).distinct(), "near-crowd")
+    maps = known.join(small(crowd), "id", "left_semi").select("id", "vec").mapInArrow(_maps(idf), "node long, map array<long>, weight double").dropDuplicates(["node"])
+    maps = materialise(maps.select("node", "weight", *[F.col("map")[i].alias(f"m{i}") for i in range(sum(MAP_WORDS))]), "near-maps")
+    open_ = open_.join(maps, "node").join(bands, "node")
+    open_ = open_.withColumn("band", F.coalesce(*[F.when(F.col("bucket") == F.col(f"b{i}"), F.lit(i)) for i in range(BANDS)]))
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class"))
+    alike = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS
+    near = F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
+    first = F.lit(True)
+    for i in range(BANDS - 1):
+        first = first & ((F.col("x.band") <= i) | (F.col(f"x.b{i}") != F.col(f"y.b{i}")))
+    even = F.least("x.weight", "y.weight") >= (similarity - 1e-9) * F.greatest("x.weight", "y.weight")
+    differ, at = F.lit(0.0), 0
+    for words, least in zip(MAP_WORDS, (*MAP_WEIGHTS[:-1], float(inverse_frequencies(np.array([1]), 1)[0])), strict=True):
+        bits = F.lit(0)
+        for i in range(at, at + words):
+            bits = bits + F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}")))
+        differ, at = differ + bits * F.lit(least), at + words
+    closely = differ <= (F.col("x.weight") + F.col("y.weight")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return x.join(y, apart & alike & near & even & first & closely).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The class of near duplicates of every document: ``doc_id, class_id, class_size, kept``.
 
@@ -272,13 +340,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Texts with the same words are one node from the start; copies never meet each other.
     2. Nodes that share a band are compared with the bucket's leader: the member that shares most
        buckets with others, which in a group of copies is the text that they come from or the like.
-    3. In buckets that then hold more than one class, pairs of different classes are compared too.
-       One minus weighted Jaccard is a metric, so a pair whose distances to the leader differ by
-       more than ``1 - similarity`` can't be linked and isn't compared; nor is one whose sketches
-       rule a link out (members of large buckets get a second, wide sketch for this).
+    3. In buckets that then hold more than one class, pairs of different classes are compared too,
+       each once, unless a bound rules the link out (:func:`further_pairs`).
 
     Pairs inside a class are never enumerated, and no link between different texts of a shared
-    bucket is lost but by the sketches (the wide one is for large buckets only). Document frequencies cover all texts in a hashed table.
+    bucket is lost but by the sketches. Document frequencies cover all texts in a hashed table.
 
     Texts without words (null, empty, punctuation) are classes of their own. Rows that repeat an
     id and a text are one document: each has a row in the result, one of them kept. Rows that share
@@ -292,14 +358,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """The result of :func:`near_dedup` with the ``key`` of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts, n = document_frequencies(rows)
+    table = vectors(rows)
+    counts, n = document_frequencies(table)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(counts, n))
-    signed = rows.select("id", "text").mapInArrow(_signatures(idf), "id long, key binary, bands array<long>, sketch long")
-    signed = materialise(signed, "near-signatures")
+    table = table.where("key is not null").select("id", "key", "vec")
+    signed = materialise(table.mapInArrow(_signatures(idf), "id long, key binary, bands array<long>, sketch long"), "near-signatures")
     known = signed.where("id is not null")
     nodes = known.where("bands is not null").groupBy("key").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
-    texts = rows.where("id is not null")
+    table = table.where("id is not null and vec is not null")
     # Ids that hold several texts: each text that is a node gets a number of its own, beyond all ids.
     several = materialise(known.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id"), "near-several")
     if not several.isEmpty():
@@ -308,9 +375,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
         numbered = materialise(numbered.withColumn("number", F.lit(top) + F.monotonically_increasing_id()), "near-numbered")
         nodes = nodes.join(numbered.select("key", "number"), "key", "left").withColumn("node", F.coalesce("number", "node")).drop("number")
         nodes = materialise(nodes, "near-nodes")
-        told = texts.join(small(several), "id", "left_semi").select("id", "text").mapInArrow(_keyed, "id long, key binary, text string")
-        told = told.join(numbered, ["id", "key"]).select(F.col("number").alias("id"), "text")
-        texts = texts.join(small(several), "id", "left_anti").select("id", "text").unionByName(materialise(told, "near-texts"))
+        told = table.join(small(several), "id", "left_semi").join(numbered, ["id", "key"]).select(F.col("number").alias("id"), "key", "vec")
+        table = table.join(small(several), "id", "left_anti").unionByName(materialise(told, "near-told"))
     placed = nodes.select("node", "sketch", F.explode("bands").alias("bucket"))
     sizes = materialise(placed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-sizes")
     shared = materialise(placed.join(small(sizes), "bucket"), "near-shared")
@@ -324,7 +390,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("l_sketch"))) <= SKETCH_BITS
     members = materialise(members.select("bucket", "leader", "node", "sketch", alike.alias("alike")), "near-members")
     pairs = materialise(members.where("alike").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    sims = similarities(pairs, texts, idf)
+    sims = similarities(pairs, table, idf)
     links = sims.where(F.col("sim") >= similarity).select("a", "b")
     classes = materialise(connected_components(links), "near-classes")
 
@@ -333,29 +399,11 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
     labelled = members.join(of("node", "n_class"), "node", "left").join(of("leader", "l_class"), "leader", "left")
     labelled = labelled.withColumn("class", F.coalesce("n_class", "node")).withColumn("l_class", F.coalesce("l_class", "leader"))
     labelled = materialise(labelled.select("bucket", "leader", "node", "sketch", "class", "l_class"), "near-labelled")
-    mixed = labelled.where("class <> l_class").groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    mixed = mixed.join(labelled.where("class = l_class").select("bucket").distinct().withColumn("inside", F.lit(True)), "bucket", "left")
-    mixed = materialise(mixed.where("lo <> hi or inside").select("bucket").join(sizes, "bucket"), "near-mixed")
-    if not mixed.isEmpty():
-        distance = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d"))
-        open_ = labelled.join(small(mixed), "bucket").join(distance, ["leader", "node"], "left").select("bucket", "node", "sketch", "class", "d", "c")
-        open_ = materialise(open_, "near-open")
-        crowd = materialise(open_.where(F.col("c") > LARGE_BUCKET).select(F.col("node").alias("id")).distinct(), "near-crowd")
-        wide = texts.join(small(crowd), "id", "left_semi").mapInArrow(_wide(idf), "node long, wide array<long>").dropDuplicates(["node"])
-        wide = materialise(wide.select("node", *[F.col("wide")[i].alias(f"w{i}") for i in range(WIDE_WORDS)]), "near-wide")
-        open_ = open_.join(wide, "node", "left")
-        x, y = open_.alias("x"), open_.alias("y")
-        near = F.col("x.d").isNull() | F.col("y.d").isNull() | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9)
-        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class"))
-        alike = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS
-        differ = F.lit(0)
-        for i in range(WIDE_WORDS):
-            differ = differ + F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}")))
-        closely = F.coalesce(differ <= WIDE_BITS, F.lit(True))  # null: not in a large bucket
-        more = x.join(y, apart & alike & near & closely).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    if not labelled.where("class <> l_class").isEmpty():
+        more = materialise(further_pairs(labelled, sims, nodes, table, idf, similarity), "near-more")
         more = materialise(more.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-more")
         if not more.isEmpty():
-            found = similarities(more, texts, idf).where(F.col("sim") >= similarity).select("a", "b")
+            found = similarities(more, table, idf).where(F.col("sim") >= similarity).select("a", "b")
             if not found.isEmpty():
                 # The new links join classes: their graph is small, whatever the classes' sizes.
                 named = found.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
