@@ -7,6 +7,7 @@ machine-local folder; the setting is only made here where the session has none.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -71,11 +72,18 @@ def keeps_cache(name: str, clear) -> None:
 
 
 def uses_cache(name: str | None) -> None:
-    """Empty all caches but one. A worker outlives its task, and a pipeline's stages would else fill
-    their caches beside each other in the same process."""
+    """Empty all caches but one, and give freed memory back. A worker outlives its task, and a
+    pipeline's stages would else fill their caches beside each other in the same process."""
     for other, clear in _CACHES.items():
         if other != name:
             clear()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:  # the C library keeps freed pages otherwise; where it has no such call, it does
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,8 +19,10 @@ from tracewell.llm.common import keeps_cache, materialise, tokenizer_path, uses_
 LENGTH, END_ID, OPEN_WINDOWS = 2048, 1, 16
 #: Partitions whose leftover windows one task merges: 32 x 16 windows of less than 8 kB of ids.
 MERGE_PARTITIONS = 32
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Bytes of words and ids that a worker keeps, and what an entry takes besides.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 170
+#: Finished sequences that are held before their rows are handed on.
+HELD_SEQUENCES = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _RAW = PIECES + ", part int, window int, ids binary"
@@ -28,6 +30,7 @@ _RAW = PIECES + ", part int, window int, ids binary"
 
 #: Words that the vocabulary's rule parts into letters and marks: Latin letters (composed, with a
 #: lower case that doesn't depend on context), then ASCII marks but the apostrophe.
+_END = array("I", [END_ID]).tobytes()
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -47,7 +50,7 @@ class WordEncoder:
     straight to the merges, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, limit: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,52 +59,48 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            raw = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = self.parts[part] = [t.id for t in self.merge(raw)]
-        return ids
-
-    def _ids(self, word: str) -> list[int]:
-        plain = _PLAIN.fullmatch(word)
-        if plain is None:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        ids = self._part(plain[1].lower())
-        return ids + self._part(plain[2]) if plain[2] else ids
+        self.index: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.held = 0
+
+    def _part(self, part: str) -> bytes:
+        raw = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        return array("I", [t.id for t in self.merge(raw)]).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        index, flat = self.index, self.flat
+        index, plain = self.index, _PLAIN.fullmatch
         for word in words:
-            ids = self._ids(word.decode("utf-8", "replace"))
-            self.starts.append(len(flat))
-            self.sizes.append(len(ids))
-            flat.extend(ids)
-            index[word] = len(index)
-
-    def encode(self, text: str | None) -> np.ndarray:
+            text = word.decode("utf-8", "replace")
+            if (parts := plain(text)) is None:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                lower, marks = parts[1].lower(), parts[2]
+                if lower == text:
+                    ids = self._part(lower)
+                else:
+                    ids = index.get(stem := lower.encode())
+                    if ids is None:
+                        index[stem] = ids = self._part(lower)
+                        self.held += ENTRY_BYTES + len(stem) + len(ids)
+                    if marks:
+                        if marks not in self.marks:
+                            self.marks[marks] = self._part(marks)
+                            self.held += ENTRY_BYTES + 5 * len(marks)
+                        ids = ids + self.marks[marks]
+            index[word] = ids
+            self.held += ENTRY_BYTES + len(word) + len(ids)
+
+    def encode(self, text: str | bytes | None) -> np.ndarray:
         """The ids of ``text`` and the id that ends a document."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(self.index) > self.limit:
+        words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").split()
+        if self.held > self.limit:
             self._clear()
-        at = list(map(self.index.get, words))
-        if None in at:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.index])
-            at = list(map(self.index.__getitem__, words))
-        if not at:
-            return np.array([END_ID], np.uint32)
-        where = np.array(at, dtype=np.int64)
-        sizes = np.frombuffer(self.sizes, np.int64)[where]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.starts, np.int64)[where] - ends + sizes, sizes) + np.arange(total)] if total else 0
-        out[total] = END_ID
-        return out
+        found = list(map(self.index.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys([w for w, ids in zip(words, found, strict=True) if ids is None])))
+            found = list(map(self.index.__getitem__, words))
+        found.append(_END)
+        return np.frombuffer(b"".join(found), np.uint32)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -109,12 +108,13 @@ def crc(ids: np.ndarray) -> int:
 
 
 class Packer:
-    """Open windows of one partition; full sequences go to ``done`` as ``(sequence, pieces)``.
+    """Open windows of one partition; full sequences go to ``done``.
 
-    A piece is ``(doc_id, start, ids, doc_tokens)``. Whole stretches of ``length`` ids become
-    sequences of their own. The rest of a document goes to the open window that it fills best. If
-    none has room, a new window is opened; if all are open, the fullest takes as much as it has
-    room for and is emitted, full.
+    A piece is ``(doc_id, start, length, crc, doc_tokens, ids)``. Only pieces of open windows keep
+    their ids, as copies, so that no document outlives its placing. Whole stretches of ``length``
+    ids become sequences of their own. The rest of a document goes to the open window that it
+    fills best. If none has room, a new window is opened; if all are open, the fullest takes as
+    much as it has room for and is emitted, full.
     """
 
     def __init__(self, length: int = LENGTH, open_windows: int = OPEN_WINDOWS) -> None:
@@ -125,7 +125,7 @@ class Packer:
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, at = len(ids), 0
         while n - at >= self.length:
-            self.done.append([(doc_id, at, ids[at : at + self.length], n)])
+            self.done.append([(doc_id, at, self.length, crc(ids[at : at + self.length]), n, None)])
             at += self.length
         while at < n:
             rest, fit = n - at, None
@@ -137,22 +137,25 @@ class Packer:
             if fit is None:
                 fit = max(self.windows, key=lambda w: w[0])
             take = min(rest, self.length - fit[0])
-            fit[1].append((doc_id, at, ids[at : at + take], n))
+            own = ids[at : at + take].copy()
+            fit[1].append((doc_id, at, take, crc(own), n, own))
             fit[0] += take
             at += take
             if fit[0] == self.length:
                 self.windows = [w for w in self.windows if w is not fit]
-                self.done.append(fit[1])
+                self.done.append([(*p[:5], None) for p in fit[1]])
 
 
-def _rows(sequences: list[list[tuple]], first_id: int, part: int, keep_ids: bool) -> dict[str, list]:
+def _rows(sequences: list[list[tuple]], first_id: int, part: int) -> dict[str, list]:
+    """Columns of pieces; those of open windows keep their ids and the number of their window."""
     out: dict[str, list] = {x.split()[0]: [] for x in _RAW.split(", ")}
     for k, pieces in enumerate(sequences):
         offset = 0
-        for doc_id, start, ids, n in pieces:
-            for name, value in (("doc_id", doc_id), ("start", start), ("length", len(ids)), ("ids_crc32", crc(ids)), ("doc_tokens", n), ("sequence_id", first_id + k), ("offset", offset), ("part", part), ("window", k if keep_ids else None), ("ids", ids.astype("<u4").tobytes() if keep_ids else None)):
-                out[name].append(value)
-            offset += len(ids)
+        for doc_id, start, length, check, n, ids in pieces:
+            row = (doc_id, start, length, check, n, first_id + k, offset, part, None if ids is None else k, None if ids is None else ids.astype("<u4").tobytes())
+            for column, value in zip(out.values(), row, strict=True):
+                column.append(value)
+            offset += length
     return out
 
 
@@ -176,14 +179,14 @@ def _pack_partition(vocabulary: str, length: int, open_windows: int):
         part, made = TaskContext.get().partitionId(), 0
         packer, enc = Packer(length, open_windows), encoder(tokenizer_path(vocabulary))
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 packer.add(doc_id, enc.encode(text.as_py()))
-                if len(packer.done) >= 4096:
-                    yield pa.RecordBatch.from_pydict(_rows(packer.done, (part << 32) + made, part, False), _ARROW)
+                if len(packer.done) >= HELD_SEQUENCES:
+                    yield pa.RecordBatch.from_pydict(_rows(packer.done, (part << 32) + made, part), _ARROW)
                     made += len(packer.done)
                     packer.done = []
-        yield pa.RecordBatch.from_pydict(_rows(packer.done, (part << 32) + made, part, False), _ARROW)
-        yield pa.RecordBatch.from_pydict(_rows([w[1] for w in packer.windows], -1, part, True), _ARROW)
+        yield pa.RecordBatch.from_pydict(_rows(packer.done, (part << 32) + made, part), _ARROW)
+        yield pa.RecordBatch.from_pydict(_rows([w[1] for w in packer.windows], -1, part), _ARROW)
 
     return run
 
@@ -193,18 +196,18 @@ def merge_leftovers(pieces: list[tuple], length: int) -> list[list[tuple]]:
 
     A sequence whose length is a power of two takes no padding, so nothing here is padded.
     """
-    total = sum(len(p[2]) for p in pieces)
+    total = sum(p[2] for p in pieces)
     sizes = [length] * (total // length) + [1 << b for b in range(length.bit_length(), -1, -1) if (total % length) >> b & 1]
     out: list[list[tuple]] = []
     left = 0
-    for doc_id, start, ids, n in pieces:
+    for doc_id, start, size, _, n, ids in pieces:
         at = 0
-        while at < len(ids):
+        while at < size:
             if not left:
                 left = sizes[len(out)]
                 out.append([])
-            take = min(left, len(ids) - at)
-            out[-1].append((doc_id, start + at, ids[at : at + take], n))
+            take = min(left, size - at)
+            out[-1].append((doc_id, start + at, take, crc(ids[at : at + take]), n, None))
             at += take
             left -= take
     return out
@@ -213,9 +216,9 @@ def merge_leftovers(pieces: list[tuple], length: int) -> list[list[tuple]]:
 def _merge_group(length: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["window"], r["offset"]))
-        pieces = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]) for r in rows]
+        pieces = [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4")) for r in rows]
         group = rows[0]["part"] // MERGE_PARTITIONS
-        return pa.Table.from_pydict(_rows(merge_leftovers(pieces, length), (1 << 62) + (group << 32), group, False), _ARROW).drop_columns(["part", "window", "ids"])
+        return pa.Table.from_pydict(_rows(merge_leftovers(pieces, length), (1 << 62) + (group << 32), group), _ARROW).drop_columns(["part", "window", "ids"])
 
     return run
 
