@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from tracewell.llm.common import materialise, read_table
+from tracewell.llm.common import read_table, scratch
 from tracewell.plans.shipping import ship
 
 
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        rows = materialise(stage(spark, rows, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as block:  # what a stage has written on its way goes with it
+            rows = block.keep(stage(spark, rows, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, rows, sf_dir)
 
 

@@ -65,6 +65,16 @@ def test_exact_dedup(docs, hashed):
     assert sorted(got, key=str) == brute_exact(ROWS)
 
 
+def test_rows_are_kept_whatever_their_columns_are_called(spark):
+    rows = [(1, "a b"), (2, "ab"), (1, "other"), (3, "other "), (None, "x"), (None, "y")]
+    clash = ("__id", "__sha", "__k", "__kept", "__key", "__of", "id", "sha", "k", "kept_sha", "key", "of", "any")
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(i) for i, c in enumerate(clash)})
+    for kept in (exact_dedup.keep_rows(table), near_dedup.keep_one(table)):
+        assert kept.columns == table.columns
+        assert all(tuple(r[c] for c in clash) == tuple(range(len(clash))) for r in kept.collect())
+    assert sorted(r.text for r in exact_dedup.keep_rows(table).collect()) == ["a b", "other ", "x", "y"]
+
+
 def test_exact_keep_rows(docs, empty):
     kept = exact_dedup.keep_rows(docs)
     assert kept.columns == docs.columns
@@ -105,7 +115,7 @@ def test_mix(docs, empty):
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
         assert sum(r.taken for r in own) == math.floor(own[0].target + 1e-9) and all(0 <= r.taken <= 2 * r.size for r in own)
-        order = sorted(own, key=lambda r: (hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest(), r.doc_id or 0, r.size))
+        order = sorted(own, key=lambda r: (hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest(), r.doc_id or 0, r.size, r.offset))
         at = 0
         for r in order:
             assert r.offset == at
@@ -137,6 +147,33 @@ def test_mixed_documents(spark, docs, empty):
     assert dict(words) == {s: n for s, n in goal.items() if n} and mixing.mixed_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixed_documents_uses_each_row_as_planned(spark, seed):
+    """Ids, sources and sizes that repeat, null ids and sources, and columns with any names."""
+    rng = np.random.default_rng(seed)
+    rows = [(None if x < 2 else int(x), " ".join(f"t{k}w{j}" for j in range(int(rng.integers(0, 5)))), [None, "a", "b"][int(rng.integers(3))]) for k, x in enumerate(rng.integers(0, 12, 60))]
+    rows += rows[:6]
+    clash = ("id", "of", "size", "k", "use_id", "use_k", "__id", "__k", "__doc", "__row", "pass", "words", "at", "position")
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(i) for i, c in enumerate(clash)})
+    out = mixing.mixed_documents(table)
+    assert out.columns == table.columns
+    got = out.collect()
+    assert all(tuple(r[c] for c in clash) == tuple(range(len(clash))) for r in got)
+    plan = mixing.mix(table).collect()
+    per = lambda it: {k: v for k, v in it.items() if v}
+    have, want = collections.Counter(), collections.Counter()
+    for r in got:
+        have[r.doc_id, r.source] += len(r.text.split())
+    for r in plan:
+        want[r.doc_id, r.source] += r.taken
+    assert per(have) == per(want)
+    whole = collections.Counter(" ".join(r.text.split()) for r in got)
+    copies = collections.Counter(t for _, t, _ in rows)
+    assert all(n <= 2 * copies[t] for t, n in whole.items() if t in copies)
+    cut = [t for t in whole if t not in copies]
+    assert len(cut) <= 6 and all(any(t2.startswith(t + " ") for t2 in copies) for t in cut)
+
+
 # -- tokens and packing ----------------------------------------------------------------------------
 
 
@@ -436,13 +473,72 @@ def test_chain_learns_from_out_of_fold_probabilities(monkeypatch):
     assert [len(w) for w in chain] == [(1 << linear.BITS) + 1, (1 << linear.BITS) + 2] and seen == [50, 40, 40, 40, 40, 40, 50]
 
 
+@pytest.mark.parametrize("marks", [[], [(1, 0)], [(1, 0)] * 4, [(0, 1)] * 3, [(1, 0), (0, 1)], [(1, 0)] * 12, [(1, 0)] * 16 + [(0, 1)] * 4])
+def test_few_labels_reject_nothing_else(spark, marks):
+    """0 to 20 labels, of one class or two: no text without a telling word is rejected."""
+    text = lambda i, toxic: " ".join(f"clean{(i * 7 + j) % 40}" for j in range(12)) + (" nasty" * 3 if toxic else "")
+    rows = [(i, text(i, toxic), None) for i, (_, toxic) in enumerate(marks)] + [(100 + i, text(i, False), "x") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, p_toxic string").withColumns({"__text": F.lit(1), "__p_toxic": F.lit(2), "text_to_score": F.lit(3)})
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(marks)], "doc_id long, quality int, toxic int")
+    kept = toxicity.without_toxic(table, labels)
+    assert kept.columns == table.columns
+    got = kept.collect()
+    assert {r.doc_id for r in got} >= {100 + i for i in range(30)} and {(r["__text"], r["__p_toxic"], r.text_to_score) for r in got} == {(1, 2, 3)}
+
+
+def test_chain_against_its_definition():
+    """Scores of a two-link chain, with the links' training written out plainly."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 10)) + (" bad" if k % 3 == 0 else "") + (" vile" if k % 6 == 0 else "") for k in range(60)]
+    marks = [(int(k % 3 == 0), int(k % 6 == 0)) for k in range(60)]
+    found = [linear.word_features(t) for t in texts]
+
+    def fit(rows, y):
+        size = (1 << linear.BITS) + 1 + (len(rows[0]) - 2)
+        z, n, o = np.zeros(size), np.zeros(size), toxicity.OPTIONS
+        bias = 1 << linear.BITS
+
+        def weight(k):
+            l1 = 0.0 if k == bias else o["l1"]
+            return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((1.0 + math.sqrt(n[k])) / o["alpha"] + 1e-3)
+
+        def features(row):
+            return [(int(k), 1.0) for k in row[0]] + [(bias, 1.0)] + [(bias + 1 + j, float(np.float32(p))) for j, p in enumerate(row[2:])]
+
+        for _ in range(toxicity.EPOCHS):
+            for row, label in zip(rows, y, strict=True):
+                w = [(k, v, weight(k)) for k, v in features(row)]
+                p = 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(v * x for _, v, x in w)))))
+                for k, v, x in w:
+                    g = (o["positive"] if label else 1.0) * (p - label) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / o["alpha"] * x
+                    n[k] += g * g
+        last = lambda k: min(weight(k), -0.01) if k == bias else weight(k)
+        return lambda row: 1 / (1 + math.exp(-sum(v * float(np.float32(last(k))) for k, v in features(row))))
+
+    first = fit(found, [m[0] for m in marks])
+    unseen = [0.0] * 60
+    for fold in range(toxicity.FOLDS):
+        seen = [k for k in range(60) if k % toxicity.FOLDS != fold]
+        model = fit([found[k] for k in seen], [marks[k][0] for k in seen])
+        for k in range(fold, 60, toxicity.FOLDS):
+            unseen[k] = model(found[k])
+    second = fit([(*f, p) for f, p in zip(found, unseen, strict=True)], [m[1] for m in marks])
+    chain = toxicity.fit_chain(found, marks)
+    for text in [*texts[:12], "vile bad", "", "nothing known"]:
+        f = linear.word_features(text)
+        p = first(f)
+        assert toxicity.chain_scores(chain, text) == pytest.approx([p, second((*f, p))], abs=1e-4)
+
+
 def test_ftrl_equals_its_definition():
     rng, model = np.random.default_rng(8), linear.Ftrl(bits=3, alpha=0.7, beta=1.0, l1=0.2, l2=0.1)
     z, n = np.zeros(9), np.zeros(9)
     for _ in range(60):
         i, x, y = np.unique(rng.integers(0, 9, 4)), None, float(rng.integers(2))
         x = rng.standard_normal(len(i))
-        w = [0.0 if abs(z[k]) <= 0.2 else -(z[k] - math.copysign(0.2, z[k])) / ((1.0 + math.sqrt(n[k])) / 0.7 + 0.1) for k in i]
+        l1 = {8: 0.0}  # the bias
+        w = [0.0 if abs(z[k]) <= l1.get(k, 0.2) else -(z[k] - math.copysign(l1.get(k, 0.2), z[k])) / ((1.0 + math.sqrt(n[k])) / 0.7 + 0.1) for k in i]
         p = 1 / (1 + math.exp(-float(np.dot(w, x))))
         for k, v, wk in zip(i, x, w, strict=True):
             g = (p - y) * v

@@ -11,7 +11,10 @@ import ctypes
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,16 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master may do without the setting; on a cluster no other folder is sure to be shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
-    if not found:  # local runs and tests only
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tracewell-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -38,6 +46,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracewell-llm/{name}-{uuid.uuid4().hex}"
 
 
+#: For each thread, the tables that each open :func:`leaves_nothing` or :func:`scratch` has written.
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -46,10 +64,67 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if scopes := _scopes():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class scratch:
+    """Tables that are materialised inside the block go when it ends; :meth:`keep` writes one that
+    stays (until an outer block ends, if there is one)."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self):
+        _scopes().append([])
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        inner = _scopes().pop()
+        try:
+            return materialise(df, name)
+        finally:
+            _scopes().append(inner)
+
+    def __exit__(self, *_) -> None:
+        for path in _scopes().pop():
+            delete_path(self.spark, path)
+
+
+def leaves_nothing(name: str) -> Callable:
+    """For operators whose first argument and result are DataFrames: the result is written as one
+    table, and all others that the operator has written are removed."""
+
+    def around(operator: Callable) -> Callable:
+        @wraps(operator)
+        def run(rows: DataFrame, *args, **options) -> DataFrame:
+            with scratch(rows.sparkSession) as block:
+                return block.keep(operator(rows, *args, **options), name)
+
+        return run
+
+    return around
+
+
+def quoted(name: str) -> str:
+    """``name`` as a column's name, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until it is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder with the file system that Spark itself uses."""
     jvm = spark.sparkContext._jvm
@@ -77,6 +152,11 @@ def uses_cache(name: str | None) -> None:
     for other, clear in _CACHES.items():
         if other != name:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()

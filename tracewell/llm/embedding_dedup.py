@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import connected_components, local_components, materialise, small
+from tracewell.llm.common import connected_components, leaves_nothing, local_components, materialise, small
 
 #: Least cosine of a link, rows of a block, and half the width of the confidence interval in
 #: standard errors (one pair in 10**9 lies outside).
@@ -112,6 +112,7 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda c: c != 0), F.lit(False))
 
 
+@leaves_nothing("vector-result")
 def embedding_dedup(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
     cosine: float = COSINE, block_rows: int = BLOCK_ROWS,

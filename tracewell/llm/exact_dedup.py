@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, small
+from tracewell.llm.common import fresh, leaves_nothing, materialise, quoted, small
 
 #: The characters that count for nothing: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,7 @@ def normalised(text: Column) -> Column:
     return out
 
 
+@leaves_nothing("exact-result")
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """Which of equal texts stays, for each row of ``docs``.
 
@@ -72,21 +73,22 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows whose id occurs once are kept by leaving the dropped ids out, a list that is broadcast
     only if a count proves it small. Rows that share an id are told apart by text.
     """
-    decided = materialise(exact_dedup(docs, id_col, text_col), "exact-decided")
-    many = materialise(decided.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__id")), "exact-many")
-    same = lambda other: docs[id_col].cast("long").eqNullSafe(other["__id"])
-    dropped = materialise(decided.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "exact-dropped")
+    decided = exact_dedup(docs, id_col, text_col)
+    the_id, sha, k, kept_sha = fresh(docs, "id", "sha", "k", "kept_sha")
+    many = materialise(decided.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(the_id)), "exact-many")
+    same = lambda other: docs[id_col].cast("long").eqNullSafe(other[the_id])
+    dropped = materialise(decided.where("not kept").select(F.col("doc_id").alias(the_id)).distinct(), "exact-dropped")
     dropped = small(dropped)
     out = docs.join(dropped, same(dropped), "left_anti")
     if many.isEmpty():
         return out
     many = small(many)
-    rest = docs.join(many, same(many), "left_semi").withColumn("__sha", F.sha2(normalised(docs[text_col]), 256))
-    order = Window.partitionBy(id_col, "__sha").orderBy(F.length(text_col).desc_nulls_last(), text_col)
-    rest = rest.withColumn("__k", F.row_number().over(order)).where("__k = 1")
-    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-    rest = rest.join(kept, rest[id_col].cast("long").eqNullSafe(kept["__id"]) & (rest["__sha"] == kept["__kept"]), "left_semi")
-    return out.join(many, same(many), "left_anti").unionByName(rest.select(*docs.columns))
+    rest = docs.join(many, same(many), "left_semi").withColumn(sha, F.sha2(normalised(docs[text_col]), 256))
+    order = Window.partitionBy(quoted(id_col), sha).orderBy(F.length(quoted(text_col)).desc_nulls_last(), quoted(text_col))
+    rest = rest.withColumn(k, F.row_number().over(order)).where(F.col(k) == 1)
+    kept = decided.where("kept").select(F.col("doc_id").alias(the_id), F.col("text_sha256").alias(kept_sha))
+    rest = rest.join(kept, rest[id_col].cast("long").eqNullSafe(kept[the_id]) & (rest[sha] == kept[kept_sha]), "left_semi")
+    return out.join(many, same(many), "left_anti").unionByName(rest.select(*map(quoted, docs.columns)))
 
 
 ORACLE = r"""

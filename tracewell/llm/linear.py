@@ -84,18 +84,20 @@ def sigmoid(x):
 
 
 class Ftrl:
-    """Logistic regression with per-coordinate FTRL-proximal updates; slot ``2**bits`` is the bias
-    and ``extra`` further dense slots follow it."""
+    """Logistic regression with per-coordinate FTRL-proximal updates; slot ``2**bits`` is the bias,
+    which the L1 weight leaves alone, and ``extra`` further dense slots follow it."""
 
     def __init__(self, bits: int = BITS, extra: int = 0, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.0, l2: float = 1e-3) -> None:
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
         self.bias = 1 << bits
+        self.l1 = np.full(self.bias + 1 + extra, l1)
+        self.l1[self.bias] = 0.0
         self.z, self.n = np.zeros(self.bias + 1 + extra), np.zeros(self.bias + 1 + extra)
 
     def _at(self, i: np.ndarray) -> np.ndarray:
-        z = self.z[i]
-        w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2)
-        return np.where(np.abs(z) <= self.l1, 0.0, w)
+        z, l1 = self.z[i], self.l1[i]
+        w = (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2)
+        return np.where(np.abs(z) <= l1, 0.0, w)
 
     def update(self, i: np.ndarray, x: np.ndarray, y: float, weight: float = 1.0) -> None:
         w = self._at(i)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import fresh, leaves_nothing, materialise, quoted, small
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -82,6 +82,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", "turn", target.cast("double").alias("target"))
 
 
+@leaves_nothing("mix-plan")
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS,
@@ -146,26 +147,49 @@ def mixed_documents(
 
     A document that is used twice comes twice. The last use of a source may be a part of its
     document: its first words, parted by single spaces, with ``chars_col`` counted anew. Documents
-    that aren't used don't come; those without words never do. Rows that share an id are matched
-    with their places in order of size.
+    that aren't used don't come; those without words never do. Rows of equal id, source and size
+    are told apart by the order of their texts; only such rows are numbered, all others meet
+    their places by these three alone.
     """
-    plan = mix(docs, id_col, text_col, source_col, weights, share, repeats, schedules)
+    plan = mix(docs, id_col, text_col, source_col, weights, share, repeats, schedules).where("size > 0")
+    alike = ["doc_id", "source", "size"]
+    the_id, of, size, k, *use = fresh(docs, "id", "of", "size", "k", "use_id", "use_of", "use_size", "use_k", "use_turn", "use_words", "use_position")
+    own = dict(zip(use, (the_id, of, size, k), strict=False))
+    turn, words, position = use[4:]
     goal = F.floor("target").cast("long")
-    uses = plan.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source", "offset")))
-    uses = uses.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    uses = uses.withColumn("__words", F.least(goal - F.col("source_size") * F.col("__pass") - F.col("offset"), F.col("size"))).where("__words > 0")
-    uses = uses.withColumn("__position", _position(F.col("offset") + F.col("source_size") * F.col("__pass"), len(weights), schedules))
-    uses = uses.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__k", "__pass", "__words", "__position")
-    order = Window.partitionBy("__doc").orderBy("__n", source_col)
-    rows = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__n", word_count(F.col(text_col)))
-    rows = rows.withColumn("__row", F.row_number().over(order))
-    out = rows.join(uses, rows["__doc"].eqNullSafe(uses["__id"]) & (rows["__row"] == uses["__k"]))
-    first = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")))
-    part = F.col("__words") < F.col("__size")
-    out = out.withColumn(text_col, F.when(part, first).otherwise(F.col(text_col)))
+    uses = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    uses = uses.withColumn("words", F.least(goal - F.col("source_size") * F.col("pass") - F.col("offset"), F.col("size"))).where("words > 0")
+    uses = uses.withColumn("at", _position(F.col("offset") + F.col("source_size") * F.col("pass"), len(weights), schedules))
+    uses = uses.withColumn("k", F.dense_rank().over(Window.partitionBy(*alike).orderBy("offset")))
+    uses = uses.select(*[F.col(c).alias(name) for c, name in zip((*alike, "k", "pass", "words", "at"), use, strict=True)])
+    several = plan.groupBy(*alike).agg(F.count("*").alias("c")).where("c > 1")
+    several = materialise(several.select(*[F.col(c).alias(name) for c, name in zip(alike, use, strict=False)]), "mix-several")
+
+    rows = docs.withColumns({the_id: F.col(quoted(id_col)).cast("long"), of: F.col(quoted(source_col)).cast("string"), size: word_count(F.col(quoted(text_col)))}).where(F.col(size) > 0)
+    meet = lambda left, right, names: _all(left[own[c]].eqNullSafe(right[c]) for c in names)
+    if several.isEmpty():
+        rows = rows.withColumn(k, F.lit(1))
+    else:
+        told = small(several)
+        order = Window.partitionBy(the_id, of, size).orderBy(quoted(text_col))
+        numbered = rows.join(told, meet(rows, told, several.columns), "left_semi").withColumn(k, F.row_number().over(order))
+        rows = rows.join(told, meet(rows, told, several.columns), "left_anti").withColumn(k, F.lit(1)).unionByName(numbered)
+    out = rows.join(uses, meet(rows, uses, own))
+    text = F.col(quoted(text_col))
+    part = F.col(words) < F.col(size)
+    first = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(words).cast("int")))
+    out = out.withColumn(text_col, F.when(part, first).otherwise(text))
     if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(part, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.orderBy("__position", F.md5(F.col("__doc").cast("string")), "__pass").select(*docs.columns)
+        chars = F.col(quoted(chars_col))
+        out = out.withColumn(chars_col, F.when(part, F.length(text).cast(docs.schema[chars_col].dataType)).otherwise(chars))
+    return out.orderBy(position, F.md5(F.col(the_id).cast("string")), turn).select(*map(quoted, docs.columns))
+
+
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
 def in_training_order(plan: DataFrame) -> DataFrame:
@@ -179,8 +203,8 @@ WITH RECURSIVE d AS (
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
-  SELECT source, source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
-         2.0::DOUBLE * source_size AS cap FROM s
+  SELECT source, source_size, [3.0, 1.0, 2.0][turn + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, turn
+  FROM (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS turn FROM s)
 ), c AS (
   SELECT *, cap / w AS ratio FROM w
 ), l AS (
@@ -191,13 +215,18 @@ WITH RECURSIVE d AS (
 ), v AS (
   SELECT arg_min(level, ratio) AS water FROM l WHERE ratio > level
 ), g AS (
-  SELECT source, source_size, CASE WHEN (SELECT water FROM v) IS NULL THEN cap ELSE least(cap, (SELECT water FROM v) * w) END AS target FROM c
+  SELECT source, source_size, turn, CASE WHEN (SELECT water FROM v) IS NULL THEN cap ELSE least(cap, (SELECT water FROM v) * w) END AS target FROM c
 ), o AS (
-  SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.turn,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (greatest(0, least(floor(target)::BIGINT - before, size)) + greatest(0, least(floor(target)::BIGINT - source_size - before, size)))::BIGINT AS taken
-FROM o
+SELECT doc_id, size, source_size, round(target, 6) AS target, taken, CASE WHEN taken > 0 THEN round(CASE
+    WHEN q >= 1 THEN 1
+    WHEN turn = 0 THEN 2 * q / (1.5 + sqrt(2.25 - 2 * q))
+    WHEN turn = 1 THEN 2 * q / (0.5 + sqrt(0.25 + 2 * q))
+    WHEN q < 0.5 THEN 2 * q / (0.75 + sqrt(0.5625 + 2 * q))
+    ELSE 0.5 + 2 * (q - 0.5) / (1.25 + sqrt(1.5625 - 2 * (q - 0.5))) END, 6) END AS position
+FROM (SELECT *, (greatest(0, least(floor(target)::BIGINT - before, size)) + greatest(0, least(floor(target)::BIGINT - source_size - before, size)))::BIGINT AS taken,
+             CASE WHEN target = 0 THEN 0.0::DOUBLE ELSE before / target END AS q FROM o)
 """

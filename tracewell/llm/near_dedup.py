@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import connected_components, materialise, small, uses_cache
+from tracewell.llm.common import connected_components, fresh, leaves_nothing, materialise, quoted, small, uses_cache
 from tracewell.llm.linear import token_hashes
 
 #: Words of a shingle and the least weighted Jaccard similarity of near duplicates.
@@ -213,11 +213,11 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 def document_frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by slot of the frequency table, over all texts of :func:`vectors`, and how many have words.
 
-    Each task counts in a table of fixed size. Tables are added 64 at a time until 64 are left
-    (34 MB at most), which the driver adds.
+    Each task counts in a table of fixed size. Tables are added 64 at a time until 4 are left
+    (2 MB at most), which the driver adds.
     """
     table = table.where("counts is not null").select("part", "counts")
-    while table.count() > 64:
+    while table.count() > 4:
         table = materialise(table.groupBy(F.floor(F.col("part") / 64)).applyInArrow(_sum_counts, "part int, counts binary"), "near-counts")
     total = sum((np.frombuffer(r["counts"], np.int64) for r in table.collect()), np.zeros(SLOTS + 1, np.int64))
     return total[:SLOTS], int(total[SLOTS])
@@ -355,6 +355,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _decided(docs, id_col, text_col, similarity).drop("key")
 
 
+@leaves_nothing("near-decided")
 def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """The result of :func:`near_dedup` with the ``key`` of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -434,17 +435,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept are told apart by their key.
     """
     found = _decided(docs, id_col, text_col).where("doc_id is not null")
-    some = found.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all").select(F.col("doc_id").alias("__id"), "any")
+    the_id, the_key, of = fresh(docs, "id", "key", "of")
+    some = found.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("not all").select(F.col("doc_id").alias(the_id), "any")
     some = materialise(some, "near-dropped")
-    dropped = small(some.where("not any").select("__id"))
-    out = docs.join(dropped, docs[id_col].cast("long") == dropped["__id"], "left_anti")
-    partly = some.where("any").select("__id")
-    texts = found.join(partly, F.col("doc_id") == F.col("__id"), "left_semi").groupBy("doc_id", "key").agg(F.max("kept").alias("kept")).where("not kept")
-    texts = materialise(texts.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "near-dropped-texts")
+    same = lambda other: docs[id_col].cast("long") == other[the_id]
+    dropped = small(some.where("not any").select(the_id))
+    out = docs.join(dropped, same(dropped), "left_anti")
+    partly = some.where("any").select(F.col(the_id).alias("partly"))
+    texts = found.join(partly, F.col("doc_id") == F.col("partly"), "left_semi").groupBy("doc_id", "key").agg(F.max("kept").alias("kept")).where("not kept")
+    texts = materialise(texts.select(F.col("doc_id").alias(the_id), F.col("key").alias(the_key)), "near-dropped-texts")
     if texts.isEmpty():
         return out
-    ids = small(materialise(texts.select("__id").distinct(), "near-dropped-ids"))
-    same = docs[id_col].cast("long") == ids["__id"]
-    rest = out.join(ids, same, "left_semi").withColumn("__of", F.pandas_udf(_key_of, "binary")(docs[text_col].cast("string")))
-    rest = rest.join(texts, (rest[id_col].cast("long") == texts["__id"]) & (rest["__of"] == texts["__key"]), "left_anti")
-    return out.join(ids, same, "left_anti").unionByName(rest.select(*docs.columns))
+    ids = small(materialise(texts.select(the_id).distinct(), "near-dropped-ids"))
+    rest = out.join(ids, same(ids), "left_semi").withColumn(of, F.pandas_udf(_key_of, "binary")(docs[text_col].cast("string")))
+    rest = rest.join(texts, (rest[id_col].cast("long") == texts[the_id]) & (rest[of] == texts[the_key]), "left_anti")
+    return out.join(ids, same(ids), "left_anti").unionByName(rest.select(*map(quoted, docs.columns)))

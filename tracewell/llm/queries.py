@@ -49,7 +49,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.in_training_order(mixing.mix(read_table(spark, sf_dir, "documents")))
-    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

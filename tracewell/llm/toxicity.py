@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import uses_cache
-from tracewell.llm.linear import labelled_features, sigmoid, train, with_bias, word_features
+from tracewell.llm.common import fresh, give_back, quoted, uses_cache
+from tracewell.llm.linear import BITS, labelled_features, sigmoid, train, with_bias, word_features
 
 #: Labelled documents that the chain is fitted on at most, passes over them, and folds.
 TRAIN_ROWS, EPOCHS, FOLDS = 6_000, 5, 5
 #: FTRL options of each link. Words are many and few of them tell, so the L1 weight is large; toxic
 #: texts are few, so a row of a category counts three times.
 OPTIONS = {"alpha": 1.0, "l1": 10.0, "positive": 3.0}
-THRESHOLD = 0.5
+THRESHOLD, MOST_BIAS = 0.5, -0.01
 
 
 def categories() -> dict[str, Column]:
@@ -25,6 +25,19 @@ def categories() -> dict[str, Column]:
     return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
 
 
+def fit_link(rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], extra: int) -> np.ndarray:
+    """Weights of one link. Without rows of both classes there is nothing to tell them by, and the
+    link's probability is 0 for every text. The bias is kept below 0: with few labels, most of them
+    positive, a text in which nothing tells is not in the category."""
+    if len(set(y)) < 2:
+        weights = np.zeros((1 << BITS) + 1 + extra)
+        weights[1 << BITS] = -40.0
+        return weights
+    weights = train(rows, y, EPOCHS, extra=extra, **OPTIONS)
+    weights[1 << BITS] = min(weights[1 << BITS], MOST_BIAS)
+    return weights
+
+
 def fit_chain(found: list[tuple[np.ndarray, np.ndarray]], labels: list[tuple]) -> list[np.ndarray]:
     """Weights of each link of the chain.
 
@@ -39,12 +52,12 @@ def fit_chain(found: list[tuple[np.ndarray, np.ndarray]], labels: list[tuple]) -
     for k in range(len(labels[0]) if labels else 0):
         y = [v[k] for v in labels]
         rows = [with_bias(i, x, extra=p) for (i, x), p in zip(found, earlier, strict=True)]
-        chain.append(train(rows, y, EPOCHS, extra=k, **OPTIONS).astype("float32"))
+        chain.append(fit_link(rows, y, k).astype("float32"))
         if k + 1 < len(labels[0]):
             out = np.zeros(len(rows))
             for fold in range(FOLDS):
                 seen = [j for j in range(len(rows)) if folds[j] != fold]
-                w = train([rows[j] for j in seen], [y[j] for j in seen], EPOCHS, extra=k, **OPTIONS)
+                w = fit_link([rows[j] for j in seen], [y[j] for j in seen], k)
                 for j in np.flatnonzero(folds == fold):
                     out[j] = sigmoid(w[rows[j][0]] @ rows[j][1])
             earlier = np.column_stack([earlier, out])
@@ -79,19 +92,23 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     weights (1 MB a link) are broadcast and scoring shuffles nothing.
 
     Null text is empty and is scored by the biases alone. Null ids and repeated rows are scored as
-    they are. Without labels every probability is 0. Empty tables give empty results. Columns of
-    ``docs`` may have any names but those of the probabilities; such a column is replaced.
+    they are. Without labels, or with labels of one class only, a category's probability is 0. Empty
+    tables give empty results. Columns of ``docs`` may have any names but those of the
+    probabilities; such a column is replaced.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = categories()
     known = labels.select(F.col(id_col).cast("long").alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(marks.values())])
     found, y = labelled_features(texts, known, word_features, TRAIN_ROWS)
     chain = docs.sparkSession.sparkContext.broadcast(fit_chain(found, y))
+    del found
+    give_back()
     names = [prefix + c for c in marks]
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *kept)
-    shape = "`__text` string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", " + ", ".join(f"`{n}` double" for n in names)
-    return rows.mapInArrow(_score(chain, names, len(kept)), shape).drop("__text")
+    (text,) = fresh(docs, "text_to_score")
+    rows = docs.select(F.col(quoted(text_col)).cast("string").alias(text), *map(quoted, kept))
+    shape = f"{quoted(text)} string, " + "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept) + ", ".join(f"{quoted(n)} double" for n in names)
+    return rows.mapInArrow(_score(chain, names, len(kept)), shape).drop(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -102,5 +119,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with their own columns."""
-    return with_toxicity(docs, labels, prefix="__p_").where(F.col("__p_toxic") < threshold).select(*docs.columns)
+    """The rows of ``docs`` that aren't toxic, with their own columns, whatever their names."""
+    prefix = "p_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return with_toxicity(docs, labels, prefix=prefix).where(F.col(prefix + "toxic") < threshold).select(*map(quoted, docs.columns))

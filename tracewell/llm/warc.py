@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import delete_path, materialise, new_path, small
+from tracewell.llm.common import delete_path, materialise, new_path, scratch, small
 
 #: Bytes a payload must have to be replaced by a revisit record.
 LEAST_BYTES = 100
@@ -189,15 +189,18 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Null html is an empty payload; a null url leaves its header out, a null page id too (such a row
     comes back with a null id). Rows that repeat are records of their own. Payloads of less than
-    ``LEAST_BYTES`` bytes are responses always. An empty table gives an empty result. The first
-    archives are removed once they have been written again.
+    ``LEAST_BYTES`` bytes are responses always. An empty table gives an empty result. Both sets of
+    archives are removed once they have been read.
     """
     spark = pages.sparkSession
     raw, out = new_path(spark, "warc-raw"), new_path(spark, "warc-dedup")
-    write_pages(pages, raw, id_col, url_col, html_col)
-    deduplicate(spark, raw, out)
-    delete_path(spark, raw)
-    return resolve(spark, out)
+    with scratch(spark) as block:
+        write_pages(pages, raw, id_col, url_col, html_col)
+        deduplicate(spark, raw, out)
+        delete_path(spark, raw)
+        found = block.keep(resolve(spark, out), "warc-pages")
+    delete_path(spark, out)
+    return found
 
 
 ORACLE = """
