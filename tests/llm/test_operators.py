@@ -425,18 +425,67 @@ def test_html_text():
     assert len(get("<p>" + "word " * 100_000)) == 499_999 and get('<p title="a>b">x y</p><p unclosed="q>z w</p>').startswith("x y")
 
 
+def wanted(page):
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1].replace("<br>", " ")
+    parts = [re.sub(r"\s+", " ", html_text.entities.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n\n".join(p for p in parts if p)
+
+
 def test_html_query_matches_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r.page_id: r for r in html_text.html_text(pages.withColumn("text", F.lit(1))).collect()}
-    for r in pages.collect():
-        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
-        parts = [re.sub(r"\s+", " ", html_text.entities.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", body)]
-        assert got[r.page_id].text == "\n\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    got = {r.page_id: r for r in html_text.html_text(pages.withColumns({"text": F.lit(1), "key": F.lit(2), "inside": F.lit(3)})).collect()}
+    rows = pages.collect()
+    weights = html_text.learn([r.html for r in rows])
+    for r in rows:
+        assert got[r.page_id].text == wanted(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
+        # The same page without the element that marks the article: marks, tags and the scan alone.
+        plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.extract(plain, weights) == wanted(r.html)
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.html_text(odd).collect()) == [(0, ""), (1, ""), (1, "")]
     assert html_text.html_text(odd.where("false")).count() == 0
 
 
+def test_html_region_against_all_regions():
+    """The scan finds the best of all contiguous regions, for scores of real pages and for any others."""
+    rng = np.random.default_rng(9)
+    weights = html_text.weigh({"nav": (0, 50), "open li": (2, 60), "open p": (80, 4), "in p": (900, 40)})
+    page = html_text.parse("<nav><ul><li><a>x</a><li><a>y</a></ul></nav><div><p>one two three</p><div class=ad>buy now</div><p>four five</p></div><p>last <a>link</a></p><footer>end</footer>")
+    lists = [html_text.item_scores(page, weights)] + [rng.normal(-0.1, 1, int(rng.integers(1, 40))).round(2).tolist() for _ in range(200)] + [[-1.0] * 5, [0.0, 0.0], []]
+    for scores in lists:
+        first, last = html_text.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0.0)
+        assert sum(scores[first:last]) == pytest.approx(max(best, 0.0))
+
+
+def test_html_odd_pages():
+    weights = html_text.learn(["<html><body><nav><a href=x>menu here</a></nav><article><h1>T t</h1><p>many words are in here</p></article><footer>foot</footer></body></html>"] * 30)
+    get = lambda page: html_text.extract(page, weights)
+    text = " ".join(f"word{i}" for i in range(90))
+    assert get(f"<body><form><nav><a href=x>menu</a></nav><div><p>{text}</p></div></form></body>") == text
+    assert get(f"<div class='legal notice'><p>{text}</p></div><footer>end</footer>") == text
+    assert get(f"<article><h2>t</h2></article><div><p>{text}</p></div>").endswith(text)
+    assert get(f"<div><p>{text}</p></div><div class=comments>{'nice post friend ' * 400}</div>") == text
+    assert get(f"<article><p>{text}</p><form>your name</form><aside>side</aside><div class=ad>{'buy ' * 500}</div><p>{text}</p></article><p>outside</p>") == f"{text}\n\n{text}"
+    assert get("<article><p>see <math><mi>x</mi><mo>+</mo><mi>y</mi></math> here</p></article>") == "see x+y here"
+    assert get(f"<p>{text}</p><ul><li>one<li>two</ul>") == f"{text}\n\none\n\ntwo" and get("a < b and c <3") == "a < b and c <3"
+    assert html_text.learn([]) == html_text.weigh({}) and html_text.extract(f"<nav>menu</nav><p>{text}</p>", html_text.weigh({})) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a ="', "<div></b>", "<i><div><b></i>", "<!--", "<![CDATA[", "<script>", "<b ", "<i>", "<p x='>", "<", "</p>"])
+def test_html_scan_is_linear(part):
+    import time
+
+    weights = html_text.weigh({})
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.extract(part * n, weights)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.02)
+
+
 # -- classifiers -----------------------------------------------------------------------------------
 
 

@@ -7,15 +7,27 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import materialise
+
 #: Pages that weights are learnt from at most, drawn by hash of their address.
 TRAIN_PAGES = 2_000
 #: A tag seen less often gets the score of its kind: that of a block or of an inline element.
-LEAST_SEEN, BLOCK_SCORE, INLINE_SCORE = 20, -1.0, -0.3
+LEAST_SEEN, BLOCK_SCORE, INLINE_SCORE = 20, -0.3, -0.05
+#: What a word scores before its features are added, and the bounds of a feature's weight.
+WORD_SCORE, LOWEST, HIGHEST = 1.0, -4.0, 1.0
+#: The least score of a tag: a list of single words, two tags to a word, still gains.
+LOWEST_TAG = -0.4
+#: Words that a feature is taken to have been seen with already, inside and outside of content: so
+#: marks of boilerplate count against a word until pages say otherwise, and plain tags for nothing.
+SEEN_MARK, SEEN_LINKS, SEEN_TAG = (1, 20), (5, 20), (200, 200)
+#: A mark whose element holds this many times the words that no mark covers is a page's wrapper.
+WRAPPER = 10
 
 #: Elements that end a block of text.
 BLOCKS = frozenset(
@@ -24,167 +36,324 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is no text of the page; the first group holds raw text.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-HIDDEN = RAW | frozenset("head template svg math canvas object audio video select datalist button form nav footer aside menu dialog".split())
+UNSEEN = RAW | frozenset("head template svg canvas object audio video select datalist button".split())
 #: Elements that never have content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names in class, id or role that mark menus, notices, adverts, comments and the like.
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|sidebox|footer|masthead|site-header|page-header"
-    r"|comments?|comment-?\w*|disqus|replies|respond|reader-comments|cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|sign-up|login|social|share\w*|sharing"
-    r"|related|recommend\w*|popular|trending|widget|popup|modal|overlay|pagination|pager|toolbar|search\w*|skip-link|copyright|legal|navigation|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: Marks of boilerplate: elements, then names in class, id or role. ``wrapping`` ones may also lie around a whole page.
+ELEMENT_MARKS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "dialog"}
+NAME_MARKS = {
+    "comments": re.compile(r"(?:^|[\s_-])(?:comments?|comment-?\w*|disqus|replies|respond)(?:$|[\s_-])", re.I),
+    "advert": re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*)(?:$|[\s_-])", re.I),
+    "site": re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|side-?bar|sidebox|footer|masthead|site-header|page-header|pagination|pager|toolbar|skip-link|complementary|contentinfo)(?:$|[\s_-])", re.I),
+    "notice": re.compile(
+        r"(?:^|[\s_-])(?:cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|sign-up|login|social|share\w*|sharing|related|recommend\w*|popular|trending|widget|popup|modal|overlay|search\w*|copyright|legal)(?:$|[\s_-])",
+        re.I,
+    ),
+}
+MARKS = ("nav", "header", "footer", "aside", "form", "dialog", "hidden", *NAME_MARKS)
+WRAPPING = frozenset(["form", "header", "aside", "dialog", "hidden", "advert", "site", "notice"])
+_BIT = {name: 1 << i for i, name in enumerate(MARKS)}
+_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""=\s*(["'])|>""")
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 #: An open element of these is closed by another of the same kind or of the listed kinds.
 _CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _chrome(tag: str, attributes: str) -> bool:
-    """Whether an element's own tag or attributes say that it isn't content."""
-    if tag in HIDDEN:
-        return True
+def _mark(tag: str, attributes: str) -> int:
+    """The marks (bits) that an element's own tag and attributes set."""
+    out = _BIT[ELEMENT_MARKS[tag]] if tag in ELEMENT_MARKS else 0
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
+        return out
+    for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role") and CHROME.search(value):
-            return True
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
+        if name in ("class", "id", "role"):
+            for mark, pattern in NAME_MARKS.items():
+                if pattern.search(value):
+                    out |= _BIT[mark]
+        elif name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            out |= _BIT["hidden"]
+    return out
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
-    """A page as ``(kind, name, context, text)`` in order; kind is ``open``, ``close`` or ``text``.
 
-    The context of text is ``chrome`` (inside an element that isn't content, by tag or
-    attributes), ``article`` (inside an article or main element) or ``body``, followed by ``-link``
-    inside a link. Comments, declarations and the content of raw elements don't come out.
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """A page as ``(kind, name, rest)`` in order: ``text`` with its characters, or ``open`` and
+    ``close`` with a tag's name and attributes. Comments, declarations and raw elements' content
+    don't come out. A quoted value without an end, or a tag without one, ends at the next ``>`` or
+    is text if there is none. Every search starts where the last one ended, or is made once and
+    remembered, so the time grows with the page's length alone.
     """
-    stack: list[tuple[str, bool]] = []
-    chrome = article = links = 0
-    at, n = 0, len(page)
-
-    def leave() -> None:
-        nonlocal chrome, article, links
-        tag, mark = stack.pop()
-        chrome -= mark
-        article -= tag in ("article", "main")
-        links -= tag == "a"
-
-    for m in _TAG.finditer(page):
-        if m.start() < at:  # inside a raw element that has been skipped
-            continue
-        if m.start() > at:
-            yield "text", "", ("chrome" if chrome else "article" if article else "body") + "-link" * (links > 0), page[at : m.start()]
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            inner = chrome > 0
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag in BLOCKS or all(x[0] not in BLOCKS for x in stack[depth + 1 :])):
-                while len(stack) > depth:
-                    leave()
-            yield "close", tag, "chrome" * inner, ""
-            continue
-        attributes = m[3] or m[6] or ""
-        if tag in VOID:
-            yield "open", tag, "chrome" * (chrome > 0), ""
-            continue
-        while stack and tag in _CLOSES.get(stack[-1][0], ()):
-            leave()
-        if tag in BLOCKS:  # an unclosed inline element doesn't reach past its block
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BLOCKS:
-                    if stack[k][0] == "p" and tag in _CLOSES["p"]:
-                        while len(stack) > k:
-                            leave()
-                    break
-        if tag in RAW:
-            yield "open", tag, "chrome", ""
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = end.start() if end else n
+    at, n, last = 0, len(page), page.rfind(">")
+    endless: set[str] = set()
+    text_from = 0
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4) if "-->" not in endless else -1
+            if end < 0:
+                endless.add("-->")
+            kind, end = "", n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt) if "]]>" not in endless else -1
+            if end < 0:
+                endless.add("]]>")
+            kind, end = "", n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), lt):
+            kind, end = "", page.find(">", lt) + 1 or n
+        elif (m := _NAME.match(page, lt + 1)) and lt < last:
+            kind, tag, end = "close" if m[1] else "open", m[2].lower(), _tag_end(page, m.end(), endless)
+            rest = page[m.end() : end - 1]
+        else:
+            at = lt + 1
             continue
-        if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
-            yield "open", tag, "chrome", ""
+        if lt > text_from:
+            yield "text", "", page[text_from:lt]
+        at = text_from = end
+        if not kind:
             continue
-        if tag == "header":
-            mark = not article  # a page's header is no content; an article's holds its title
+        yield kind, tag, rest
+        if kind == "open" and tag in RAW and tag not in endless:
+            found = _RAW_END[tag].search(page, at)
+            if not found:
+                endless.add(tag)
+            at = text_from = found.start() if found else n
+    if text_from < n:
+        yield "text", "", page[text_from:]
+
+
+def _tag_end(page: str, at: int, endless: set[str]) -> int:
+    """The place after the ``>`` that ends a tag whose name ends at ``at``; there is one after it."""
+    first = at
+    while m := _STOP.search(page, at):
+        if not m[1]:
+            return m.end()
+        end = page.find(m[1], m.end()) if m[1] not in endless else -1
+        if end < 0:
+            endless.add(m[1])
+            break
+        at = end + 1
+    return page.find(">", first) + 1
+
+
+@dataclass
+class Page:
+    """A parsed page. ``items`` are ``(kind, name, element, text)`` in order; each element has its
+    parent, nearest block, own marks, and whether it lies in an article and in a link."""
+
+    items: list[tuple[str, str, int, str]] = field(default_factory=list)
+    tag: list[str] = field(default_factory=lambda: ["body"])
+    parent: list[int] = field(default_factory=lambda: [-1])
+    block: list[int] = field(default_factory=lambda: [0])
+    own: list[int] = field(default_factory=lambda: [0])
+    article: list[bool] = field(default_factory=lambda: [False])
+    link: list[bool] = field(default_factory=lambda: [False])
+    unseen: list[bool] = field(default_factory=lambda: [False])
+
+
+def parse(page: str) -> Page:
+    """Elements and text of a page, with the ends that broken markup leaves out put in.
+
+    Blocks and the inline elements in each are kept apart, with counts of what is open, so an end
+    tag costs no search through what it doesn't close.
+    """
+    out = Page()
+    blocks: list[tuple[int, list[int], Counter]] = [(0, [], Counter())]
+    open_blocks: Counter = Counter()
+
+    def top() -> int:
+        element, inline, _ = blocks[-1]
+        return inline[-1] if inline else element
+
+    def close_block() -> None:
+        element, _, _ = blocks.pop()
+        open_blocks[out.tag[element]] -= 1
+        out.items.append(("close", out.tag[element], element, ""))
+
+    for kind, tag, rest in markup(page):
+        if kind == "text":
+            if not out.unseen[top()]:
+                out.items.append(("text", "", top(), rest))
+        elif kind == "close":
+            _, inline, names = blocks[-1]
+            if tag in BLOCKS:
+                if open_blocks[tag]:
+                    while out.tag[blocks[-1][0]] != tag:
+                        close_block()
+                    close_block()
+            elif names[tag]:
+                while inline:
+                    last = inline.pop()
+                    names[out.tag[last]] -= 1
+                    out.items.append(("close", out.tag[last], last, ""))
+                    if out.tag[last] == tag:
+                        break
         else:
-            mark = _chrome(tag, attributes)
-        stack.append((tag, mark))
-        chrome += mark
-        article += tag in ("article", "main")
-        links += tag == "a"
-        yield "open", tag, "chrome" * (chrome > 0), ""
-    if at < n:
-        yield "text", "", ("chrome" if chrome else "article" if article else "body") + "-link" * (links > 0), page[at:]
+            if tag in BLOCKS:
+                while len(blocks) > 1 and tag in _CLOSES.get(out.tag[blocks[-1][0]], ()):
+                    close_block()
+            up = top()
+            if tag in VOID or tag in RAW or rest.endswith("/") and tag not in BLOCKS:
+                out.items.append(("open", tag, up, ""))
+                continue
+            me = len(out.tag)
+            mark = _mark(tag, rest)
+            if tag == "header" and out.article[up]:
+                mark &= ~_BIT["header"]  # a page's header is no content; an article's holds its title
+            out.tag.append(tag)
+            out.parent.append(up)
+            out.block.append(me if tag in BLOCKS else out.block[up])
+            out.own.append(mark)
+            out.article.append(out.article[up] or tag in ("article", "main"))
+            out.link.append(out.link[up] or tag == "a")
+            out.unseen.append(out.unseen[up] or tag in UNSEEN)
+            if tag in BLOCKS:
+                blocks.append((me, [], Counter()))
+                open_blocks[tag] += 1
+            else:
+                blocks[-1][1].append(me)
+                blocks[-1][2][tag] += 1
+            out.items.append(("open", tag, me, ""))
+    return out
 
 
-def learn(pages: list[str]) -> dict[str, float]:
-    """Scores of words by context and of tags, from pages that mark their article.
+def features(page: Page) -> list[tuple[int, tuple[str, ...]]]:
+    """Words and features of each item: none for tags; for text its marks, or else its block's tag
+    and whether the block is mostly links.
 
-    Such pages are labelled by their own markup: what lies in their article element, outside
-    anything that isn't content by tag or attributes, is content. A score is the smoothed log ratio
-    of how often a word of a context, or a tag, comes within the content and outside. Words are
-    held to be positive and tags negative, each by a least amount; words outside a marked article
-    are negative.
+    A mark that lies around nearly all of the page (a page in one form, say) tells nothing and is
+    dropped: one whose element holds ``WRAPPER`` times the words that have no mark at all.
     """
-    inside, outside = Counter(), Counter()
-    for page in pages:
-        seen = list(tokens(page))
-        if not any(c.startswith("article") for _, _, c, _ in seen):
+    words = [len(text.split()) if kind == "text" else 0 for kind, _, _, text in page.items]
+    own = list(page.own)
+    n = len(own)
+    while True:
+        mask, root, depth = [0] * n, [-1] * n, [0] * n
+        for e in range(1, n):
+            up = page.parent[e]
+            mask[e], root[e], depth[e] = mask[up] | own[e], root[up], depth[up]
+            if own[e]:
+                root[e], depth[e] = e if root[up] < 0 else root[up], depth[up] + 1
+        plain, inside = 0, Counter()
+        for (_, _, e, _), count in zip(page.items, words, strict=True):
+            if not mask[e]:
+                plain += count
+            elif depth[e] == 1:
+                inside[root[e]] += count
+        around = [e for e, count in inside.items() if count > WRAPPER * plain and all(m in WRAPPING for m in MARKS if own[e] & _BIT[m])]
+        if not around:
+            break
+        own[max(around, key=lambda e: (inside[e], -e))] = 0
+    total, linked = Counter(), Counter()
+    for (_, _, e, _), count in zip(page.items, words, strict=True):
+        total[page.block[e]] += count
+        linked[page.block[e]] += count * page.link[e]
+    known: dict[tuple[int, int, bool], tuple[str, ...]] = {}
+    out = []
+    for (_, _, e, _), count in zip(page.items, words, strict=True):
+        if not count:
+            out.append((0, ()))
             continue
-        edge = [k for k, x in enumerate(seen) if x[2].startswith("article")]
-        for k, (kind, name, context, text) in enumerate(seen):
-            own = inside if edge[0] <= k <= edge[-1] else outside
+        b = page.block[e]
+        mostly = 2 * linked[b] > total[b]
+        key = (mask[e], b, mostly)
+        if key not in known:
+            marks = tuple(m for m in MARKS if mask[e] & _BIT[m])
+            known[key] = marks or ("in " + page.tag[b], *["links"] * mostly)
+        out.append((count, known[key]))
+    return out
+
+
+def tally(text: str) -> dict[str, tuple[int, int]]:
+    """How often each feature of words and each tag comes inside and outside the content of a page
+    that marks its article: the words of the article that lie in no marked element, and the tags
+    between the first and the last of them."""
+    page = parse(text)
+    found = features(page)
+    content = [bool(count) and page.article[item[2]] and not any(f in _BIT for f in fs) for item, (count, fs) in zip(page.items, found, strict=True)]
+    places = [i for i, c in enumerate(content) if c]
+    inside, outside = Counter(), Counter()
+    if places:
+        for i, ((kind, name, _, _), (count, fs)) in enumerate(zip(page.items, found, strict=True)):
             if kind == "text":
-                if not context.startswith("chrome"):
-                    own["word " + ("link" if context.endswith("-link") else "plain")] += len(text.split())
-            elif context != "chrome":
-                own[f"{kind} {name}"] += 1
-    total_in, total_out = sum(inside.values()) + 2.0, sum(outside.values()) + 2.0
-    ratio = lambda key: math.log((inside[key] + 1) / total_in) - math.log((outside[key] + 1) / total_out)
-    often = [key for key in {*inside, *outside} if not key.startswith("word") and inside[key] + outside[key] >= LEAST_SEEN]
-    scores = {key: min(-0.05, max(-1.5, ratio(key) - 0.5)) for key in sorted(often)}
-    scores["word plain"] = max(0.5, min(3.0, ratio("word plain"))) if inside else 1.0
-    scores["word link"] = max(0.05, min(1.0, ratio("word link"))) if inside["word link"] >= LEAST_SEEN else 0.1
-    return scores
+                for f in fs:
+                    (inside if content[i] else outside)[f] += count
+                (inside if content[i] else outside)["words"] += count
+            elif places[0] <= i <= places[-1]:
+                inside[f"{kind} {name}"] += 1
+            else:
+                outside[f"{kind} {name}"] += 1
+    return {key: (inside[key], outside[key]) for key in {*inside, *outside}}
+
+
+def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Weights from the counts of many pages: smoothed log ratios of how often a feature comes with
+    words of content and with others, tags always negative."""
+    ratio = lambda key, seen, total: math.log((counts.get(key, (0, 0))[0] + seen[0]) / (total[0] + 1)) - math.log((counts.get(key, (0, 0))[1] + seen[1]) / (total[1] + 1))
+    bounded = lambda w: min(HIGHEST, max(LOWEST, w))
+    even = (0, 0)
+    out = {mark: bounded(ratio(mark, SEEN_MARK, even)) for mark in MARKS}
+    out["links"] = bounded(ratio("links", SEEN_LINKS, even))
+    for key in counts:
+        if key.startswith("in "):
+            out[key] = bounded(ratio(key, SEEN_TAG, even))
+    tags = {k: v for k, v in counts.items() if k.startswith(("open ", "close "))}
+    total = (sum(v[0] for v in tags.values()), sum(v[1] for v in tags.values()))
+    for key, (a, b) in tags.items():
+        if a + b >= LEAST_SEEN:
+            out[key] = min(-0.02, max(LOWEST_TAG, (ratio(key, (1, 1), total) - 1.0) / 8))
+    return out
+
+
+def learn(pages: list[str]) -> dict[str, float]:
+    """Weights from pages that mark their article (others teach nothing)."""
+    counts: dict[str, tuple[int, int]] = {}
+    for page in pages:
+        for key, (a, b) in tally(page).items():
+            x, y = counts.get(key, (0, 0))
+            counts[key] = (x + a, y + b)
+    return weigh(counts)
 
 
-def extract(page: str | None, scores: dict[str, float]) -> str:
-    """The blocks of the best region, joined by two line ends.
+def item_scores(page: Page, weights: dict[str, float]) -> list[float]:
+    """The score of each item: tags negative, words positive by their features or 0.
 
-    One scan finds the contiguous run of words and tags with the greatest sum. If the page has
-    words in an article, words outside it score below zero. Text that isn't content by tag or
-    attributes scores nothing and is left out, wherever it lies.
+    If articles hold at least half of what words score in all, words outside of them score 0. So
+    a marked article is taken at its word, and a teaser isn't.
     """
-    seen = list(tokens(page or ""))
-    marked = any(c.startswith("article") and t.strip() for _, _, c, t in seen)
-    plain, link = scores["word plain"], scores["word link"]
-    best, best_from, best_to, run, run_from = 0.0, 0, 0, 0.0, 0
-    for k, (kind, name, context, text) in enumerate(seen):
-        if kind != "text":
-            s = 0.0 if context == "chrome" else scores.get(f"{kind} {name}", BLOCK_SCORE if name in BLOCKS else INLINE_SCORE)
-        elif context.startswith("chrome"):
-            s = 0.0
+    scores = []
+    held = whole = 0.0
+    for (kind, name, e, _), (count, fs) in zip(page.items, features(page), strict=True):
+        if kind == "text":
+            s = count * max(0.0, WORD_SCORE + sum(weights.get(f, 0.0) for f in fs)) if count else 0.0
+            whole += s
+            held += s * page.article[e]
         else:
-            s = len(text.split()) * (link if context.endswith("-link") else plain)
-            if marked and context.startswith("body"):
-                s = -s
-            elif marked:
-                s *= 20.0  # an article is one region, however much markup it holds
+            s = weights.get(f"{kind} {name}", BLOCK_SCORE if name in BLOCKS else INLINE_SCORE)
+        scores.append(s)
+    if held and 2 * held >= whole:
+        scores = [0.0 if kind == "text" and not page.article[e] else s for (kind, _, e, _), s in zip(page.items, scores, strict=True)]
+    return scores
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the greatest sum, by one scan: the first such, as ``(from, to)``."""
+    best, best_from, best_to, run, run_from = 0.0, 0, 0, 0.0, 0
+    for k, s in enumerate(scores):
         run += s
         if run <= 0:
             run, run_from = 0.0, k + 1
         if run > best:
             best, best_from, best_to = run, run_from, k + 1
+    return best_from, best_to
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The blocks of the best region, joined by two line ends; words in it that score nothing (an
+    advert within an article, say) are left out."""
+    parsed = parse(page or "")
+    scores = item_scores(parsed, weights)
+    first, last = best_region(scores)
     blocks, current = [], []
 
     def end() -> None:
@@ -193,9 +362,9 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
             blocks.append(text)
         current.clear()
 
-    for kind, name, context, text in seen[best_from:best_to]:
+    for (kind, name, _, text), score in zip(parsed.items[first:last], scores[first:last], strict=True):
         if kind == "text":
-            if not (context.startswith("chrome") or (marked and context.startswith("body"))):
+            if score > 0 or text.isspace():
                 current.append(text)
         elif name == "br":
             current.append(" ")
@@ -208,12 +377,22 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
 OUT = "page_id long, url string, text string, n_chars long"
 
 
-def _extract(scores):
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, tuple[int, int]] = {}
+    for batch in batches:
+        for text in batch.column(0):
+            for key, (a, b) in tally(text.as_py()).items():
+                x, y = total.get(key, (0, 0))
+                total[key] = (x + a, y + b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], names=["key", "inside", "outside"])
+
+
+def _extract(weights):
     shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py(), scores.value) for x in batch.column(2)]
+            texts = [extract(x.as_py(), weights.value) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=shape)
 
     return run
@@ -223,16 +402,19 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """The main text of every page: ``page_id, url, text, n_chars``.
 
     Weights are learnt from a bounded sample of pages that mark their article (the first
-    ``train_pages`` by the MD5 of their ids), then broadcast; extraction itself is a scan of the
-    table without a shuffle.
+    ``train_pages`` by the MD5 of their ids): each task adds up counts, and only the counts of
+    features and tags that were seen ``LEAST_SEEN`` times reach the driver. Extraction itself is a
+    scan of the table without a shuffle.
 
     Null html is empty and gives an empty text, as a page without any content does. Broken markup
     is read as far as it goes. Null ids and addresses stay null; rows that repeat give a row each;
-    an empty table gives no rows.
+    an empty table gives no rows. Without any page that marks its article, marks and tags have the
+    weights that they start with.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     drawn = rows.where(F.lower("html").rlike(r"<(article|main)[\s>]")).select("page_id").distinct()
-    drawn = drawn.orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "page_id").limit(train_pages)
+    drawn = materialise(drawn.orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "page_id").limit(train_pages), "html-sample")
     sample = rows.join(F.broadcast(drawn), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
-    scores = learn([r["html"] for r in sample.orderBy("page_id").collect()])
-    return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(scores)), OUT)
+    counts = sample.select("html").mapInArrow(_tallies, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    weights = weigh({r["key"]: (r["a"], r["b"]) for r in counts.where(F.col("a") + F.col("b") >= LEAST_SEEN).collect()})
+    return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(weights)), OUT)
