@@ -399,6 +399,11 @@ def test_estimates_are_unbiased_and_bounds_hold():
         total += embedding_dedup.estimate(signs, factor, y @ turn.T)
     assert np.abs(total / 300 - x @ y.T).max() < 0.05
     near = x + 0.02 * rng.standard_normal(x.shape)
+    bits, factor, queries, step = embedding_dedup.pack(x * 3)
+    assert bits.shape == (40, 8) and queries.dtype == np.int8 and np.allclose(factor, embedding_dedup.encode(x, embedding_dedup.rotation(64))[1])
+    assert np.abs(queries * step[:, None] - x @ embedding_dedup.rotation(64).T).max() <= step.max() / 2 + 1e-12
+    i, j, exact = embedding_dedup.links_between(x * 1e300, near * 1e-300)
+    assert set(zip(i, j, strict=True)) == {(a, b) for a, b in zip(*np.nonzero(x @ near.T / np.linalg.norm(near, axis=1) >= 0.98), strict=True)}
     i, j, exact = embedding_dedup.links_between(x, near)
     assert {(a, b) for a, b in zip(i, j, strict=True)} == {(a, b) for a, b in zip(*np.nonzero(x @ near.T / np.linalg.norm(near, axis=1) >= 0.98), strict=True)} and exact < 200
 

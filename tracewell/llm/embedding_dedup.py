@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import connected_components, leaves_nothing, local_components, materialise, small
 
-#: Least cosine of a link, rows of a block, and half the width of the confidence interval in
-#: standard errors (one pair in 10**9 lies outside).
-COSINE, BLOCK_ROWS, SIGMAS = 0.98, 2048, 6.0
+#: Least cosine of a link, and half the width of the confidence interval in standard errors (one
+#: pair in 10**9 lies outside).
+COSINE, SIGMAS = 0.98, 6.0
+#: Components and rows of a block at most: two blocks are 8 MB of full vectors, far less as codes.
+BLOCK_VALUES, BLOCK_ROWS = 1 << 19, 8192
 SEED = 20240229
 
 
@@ -52,18 +54,46 @@ def margin(factor: np.ndarray, dim: int, cosine: float, sigmas: float = SIGMAS)
     return np.minimum(sigmas / np.sqrt(max(dim - 1, 1)), 1.0) * spread
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square overflows; cosines stay what they are."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
+def pack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is stored of each row: its code in bits, its correction factor, and for its part as a
+    query the rotated unit vector in steps of a byte, with the size of a step."""
+    x = scaled(x)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    turn = rotation(x.shape[1])
+    signs, factor = encode(unit, turn)
+    queries = unit @ turn.T
+    step = np.abs(queries).max(axis=1) / 127
+    return np.packbits(signs > 0, axis=1), factor, np.rint(queries / step[:, None]).astype(np.int8), step
+
+
+def candidates(bits: np.ndarray, factor: np.ndarray, queries: np.ndarray, step: np.ndarray, cosine: float):
+    """Pairs (coded row, query row) whose upper confidence bound reaches ``cosine``, some queries at
+    a time. A query's steps add an error of half a step in each component at most."""
+    dim = queries.shape[1]
+    signs = np.unpackbits(bits, axis=1)[:, :dim].astype(np.float32) * 2 - 1
+    bound = cosine - margin(factor, dim, cosine) - 1e-5
+    half = np.sqrt(dim) / 2 / factor
+    for at in range(0, len(queries), 512):
+        own = queries[at : at + 512].astype(np.float32) * step[at : at + 512, None].astype(np.float32)
+        least = bound[:, None] - half[:, None] * step[None, at : at + 512]
+        i, j = np.nonzero(estimate(signs, factor, own) >= least.astype(np.float32))
+        yield i, j + at
+
+
 def links_between(x: np.ndarray, y: np.ndarray, cosine: float = COSINE, same: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (rows of ``x``, rows of ``y``) of cosine at least ``cosine``, and how many pairs were
     computed exactly. ``same``: ``x`` is ``y``, and each pair counts once."""
-    dim = x.shape[1]
-    turn = rotation(dim)
-    ux, uy = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    signs, factor = encode(ux, turn)
-    queries, bound = uy @ turn.T, cosine - margin(factor, dim, cosine) - 1e-5
+    x, y = scaled(x), scaled(y)
+    bits, factor, _, _ = pack(x)
+    _, _, queries, step = pack(y)
     left, right, exact = [], [], 0
-    for at in range(0, len(y), 512):  # estimates of a block of 2048 x 512 pairs: 4 MB
-        i, j = np.nonzero(estimate(signs, factor, queries[at : at + 512]) >= bound[:, None].astype(np.float32))
-        j = j + at
+    for i, j in candidates(bits, factor, queries, step, cosine):
         if same:
             i, j = i[i < j], j[i < j]
         exact += len(i)
@@ -77,20 +107,56 @@ def links_between(x: np.ndarray, y: np.ndarray, cosine: float = COSINE, same: bo
     return np.concatenate([none, *left]), np.concatenate([none, *right]), exact
 
 
+_CODE = pa.schema([("key", pa.string()), ("code", pa.binary()), ("factor", pa.float64()), ("query", pa.binary()), ("step", pa.float64())])
+CODE = "key string, code binary, factor double, query binary, step double"
 OUT = "id long, n long, root long"
 
 
+def _rows_of(column: pa.Array | pa.ChunkedArray, kind, rows: int) -> np.ndarray:
+    """Equal-sized binary values as the rows of an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+
+
+def _codes(batches):
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            for at in range(0, int((dims == dim).sum()), 2048):
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)[at : at + 2048]))
+                x = own.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                bits, factor, queries, step = pack(x)
+                yield pa.RecordBatch.from_arrays([own.column("key"), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(factor), pa.array([r.tobytes() for r in queries], pa.binary()), pa.array(step)], schema=_CODE)
+
+
+def _block_candidates(cosine: float):
+    shape = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("key", pa.string())])
+
+    def run(table: pa.Table) -> pa.Table:
+        """Rows of two blocks (or one) that have a candidate; codes alone are looked at."""
+        block, n = table["block"].to_numpy(), len(table)
+        bits, queries = _rows_of(table["code"], np.uint8, n), _rows_of(table["query"], np.int8, n)
+        factor, step = table["factor"].to_numpy(), table["step"].to_numpy()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        hit = np.zeros(n, bool)
+        for i, j in candidates(bits[first], factor[first], queries[second], step[second], cosine) if len(first) and len(second) else ():
+            i, j = first[i], second[j]
+            other = i != j
+            hit[i[other]] = hit[j[other]] = True
+        return table.select(shape.names).filter(pa.array(hit)).cast(shape)
+
+    return run
+
+
 def _block_links(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         ids, copies, block = table["id"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
-        if not len(ids):
-            return pa.table({"id": [], "n": [], "root": []}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]))
         order = np.lexsort((ids, block))
         ids, copies, block = ids[order], copies[order], block[order]
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(len(ids), -1)[order]
-        first = int((block == block[0]).sum())
-        if first == len(ids):
+        first = int((block == table["lo"][0].as_py()).sum())
+        if table["lo"][0].as_py() == table["hi"][0].as_py():
             i, j, _ = links_between(x, x, cosine, same=True)
         else:
             i, j, _ = links_between(x[:first], x[first:], cosine)
@@ -121,15 +187,16 @@ def embedding_dedup(
 
     Two vectors link if their labels are equal and not null, their lengths are equal and their
     cosine, in double precision, is at least ``cosine``. Equal vectors of a label become one with a
-    count; the rest of a label is dealt by hash into blocks of about ``block_rows`` and every pair
-    of blocks is a task of bounded size, however large the label. A task estimates all its pairs
-    from codes, computes exactly those whose upper confidence bound reaches ``cosine``, and returns
-    link counts and a spanning forest, never the links.
+    count, and each of them is encoded once. The codes of a label are dealt by hash into blocks of
+    at most about ``block_rows`` rows, and every pair of blocks is a task of bounded size, however
+    large the label. It estimates all its pairs and names the rows of those whose upper confidence
+    bound reaches ``cosine``. Full vectors are fetched for these rows alone; their pairs within the
+    bound are computed exactly, into link counts and a spanning forest, never a list of links.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing:
     0 links and a component of their own. A null id is kept with a null component and 0 links.
-    Rows that repeat an id and vector are copies that link with each other. An empty table gives
-    an empty result.
+    Rows that repeat an id and vector are copies that link with each other; rows that share an id but
+    not a vector have the links of all of these vectors. An empty table gives an empty result.
     """
     vec = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
@@ -138,12 +205,17 @@ def embedding_dedup(
     keyed = materialise(keyed, "vectors")
     nodes = keyed.where("ok").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     nodes = materialise(nodes.withColumn("dim", F.size("vec")), "vector-nodes")
-    blocks = materialise(nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "vector-blocks")
-    dealt = nodes.join(small(blocks), ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("label", "dim", "id", "copies", "vec", "block", other.alias("other"))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    found = materialise(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(_block_links(cosine), OUT), "vector-links")
+    codes = materialise(nodes.select("key", "dim", "vec").mapInArrow(_codes, CODE), "vector-codes")
+    rows_of = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_VALUES) / F.col("dim"))))
+    blocks = materialise(nodes.groupBy("label", "dim").agg(F.count("*").alias("c")).select("label", "dim", F.ceil(F.col("c") / rows_of).cast("int").alias("blocks")), "vector-blocks")
+    dealt = nodes.select("key", "label", "dim").join(codes, "key").join(small(blocks), ["label", "dim"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    near = dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(_block_candidates(cosine), "label string, dim int, lo int, hi int, block int, key string")
+    near = materialise(near, "vector-candidates")
+    full = near.join(nodes.select("key", "id", "copies", "vec"), "key").select("label", "dim", "lo", "hi", "block", "id", "copies", "vec")
+    found = materialise(full.groupBy("label", "dim", "lo", "hi").applyInArrow(_block_links(cosine), OUT), "vector-links")
     counts = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
     forest = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     known = nodes.select(F.col("key").alias("k"), F.col("id").alias("node"), "copies")
