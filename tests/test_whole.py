@@ -1,4 +1,4 @@
-"""Queries on whole keys and whole texts, where small tables hold what a fold or a cut would lose."""
+"""Queries use whole keys and whole texts: small tables that hold what a fold or a cut would lose."""
 
 import itertools
 import os
@@ -47,16 +47,14 @@ def brute_edges():
 
 def test_parts_are_nodes_of_their_own(spark, orders_of_far_parts):
     want = brute_edges()
-    got = {(r.a, r.b): r.w for r in registry.queries()["cooc_edges_parts"](spark, orders_of_far_parts).collect()}
+    got = {(r.a, r.b): r.w for r in registry.queries()["cooc_edges"](spark, orders_of_far_parts).collect()}
     assert got == want and (7, 507) in got and (20, 520) in got
-    folded = registry.queries()["cooc_edges"](spark, orders_of_far_parts).count()
-    assert folded < len(want)
 
 
 @pytest.mark.parametrize("name", GRAPH)
 def test_whole_graph_query(spark, orders_of_far_parts, name):
-    said = compare(spark, f"{name}_parts", orders_of_far_parts, registry.queries(), registry.oracle_sql())
-    assert "match" in said and not said.startswith(f"{name}_parts: 0 rows"), said
+    said = compare(spark, name, orders_of_far_parts, registry.queries(), registry.oracle_sql())
+    assert "match" in said and not said.startswith(f"{name}: 0 rows"), said
 
 
 def test_titles_match_beyond_80_characters(spark, tmp_path):
@@ -67,25 +65,21 @@ def test_titles_match_beyond_80_characters(spark, tmp_path):
     items = [(i, "zzz " + " ".join(words[4 * i : 4 * i + 4])) for i in range(0, 30, 3)]
     at = folder_with(spark, tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     q = registry.queries()
-    assert {(r.id, r.doc) for r in q["title_matches_whole"](spark, at).collect()} == {(i, i) for i in range(0, 30, 3)}
-    assert q["title_matches"](spark, at).count() == 0
-    assert {r.f for r in q["pair_idf_whole"](spark, at).collect()} == {w for _, t in docs for w in t.split() if len(w) > 1}
-    for name in ("pair_idf_whole", "title_matches_whole"):
+    assert {(r.id, r.doc) for r in q["title_matches"](spark, at).collect()} == {(i, i) for i in range(0, 30, 3)}
+    assert {r.f for r in q["pair_idf"](spark, at).collect()} == {w for _, t in docs for w in t.split() if len(w) > 1}
+    for name in ("pair_idf", "title_matches"):
         assert "match" in compare(spark, name, at, q, registry.oracle_sql())
 
 
 def test_every_labelled_vector_is_graded(spark):
     want = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("label is not null").collect()}
-    assert {r.vec_id for r in registry.queries()["radius_grades_whole"](spark, SF).collect()} == want
-    assert "match" in compare(spark, "radius_grades_whole", SF, registry.queries(), registry.oracle_sql())
+    assert {r.vec_id for r in registry.queries()["radius_grades"](spark, SF).collect()} == want
+    assert "match" in compare(spark, "radius_grades", SF, registry.queries(), registry.oracle_sql())
 
 
 def test_final_answers_are_whole(spark):
     texts = {r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").collect()}
     q = registry.queries()
-    got = [r.prev_fct for r in q["prev_fin_whole"](spark, SF).collect() if r.prev_fct]
+    got = [r.prev_fct for r in q["prev_fin"](spark, SF).collect() if r.prev_fct]
     assert max(map(len, got)) > 200 and set(got) <= texts
-    assert max(len(r.prev_fct or "") for r in q["prev_fin"](spark, SF).collect()) == 200
-    assert "match" in compare(spark, "prev_fin_whole", SF, q, registry.oracle_sql())
-    size = lambda n: sum(len(str(r)) for r in q[n](spark, SF).collect())
-    assert size("history_assembly_whole") > size("history_assembly")
+    assert "match" in compare(spark, "prev_fin", SF, q, registry.oracle_sql())

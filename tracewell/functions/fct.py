@@ -172,11 +172,15 @@ def build_affairs(affairs: list[dict], status: Any = 0) -> dict:
     return {"affairs": [a | {"hdl": affair_headline(a, k)} for k, a in enumerate(affairs, 1)], "_assemble_status": status, "_fct_format": "v3"}
 
 
+#: The format of a stage and its change in that older output.
+MARKUP_PAIR = r"<stage_tag>\s*【([^】]+)】\s*</stage_tag>\s*<core_change>\s*(.*?)\s*</core_change>"
+
+
 def parse_markup(text: str | None) -> tuple[dict, str | None]:
     """The older output format: headings with items, and pairs of state and change tags. Returns the
     summary and its headline."""
     body = truncate(text or "", 2000)
-    pairs = re.findall(r"<stage_tag>\s*【([^】]+)】\s*</stage_tag>\s*<core_change>\s*(.*?)\s*</core_change>", body, re.S | re.I)
+    pairs = re.findall(MARKUP_PAIR, body, re.S | re.I)
     changes = valid_changes([{"stage_tag": s, "core_change": c} for s, c in pairs])
     out: dict[str, Any] = {"changes": changes, "core_change": "；".join(c["core_change"] for c in changes) or NO_NEWS} | {f: [] for f in FIELDS}
     titles, field = {s: f for f, s in FIELDS.items()}, None

@@ -137,20 +137,6 @@ def head_tail(text: Column, n: int = 120, head: float = 0.6) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(first)), F.lit("…"), F.right(text, F.lit(n - first - 1))))
 
 
-def sentence_summary(text: Column, n: int = 150) -> Column:
-    """Whole sentences from the start while they fit in ``n`` characters, at least a cut of the first."""
-    parts = F.filter(F.split(F.trim(text), "(?<=[。！？.!?])\\s*"), lambda s: s != "")
-    fold = F.aggregate(
-        parts, F.struct(F.lit("").alias("t"), F.lit(True).alias("go")),
-        lambda a, s: F.struct(
-            F.when(a["go"] & (F.length(a["t"]) + F.length(s) <= n), F.concat(a["t"], s)).otherwise(a["t"]).alias("t"),
-            (a["go"] & (F.length(a["t"]) + F.length(s) <= n)).alias("go"),
-        ),
-        lambda a: a["t"],
-    )
-    return F.when(fold == "", F.left(F.trim(text), F.lit(n))).otherwise(fold)
-
-
 def identifier_keywords(text: Column) -> Column:
     """Distinct keywords for linking: capitalised words, identifiers of three characters or more, and
     CJK pairs that don't overlap; lower case."""

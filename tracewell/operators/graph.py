@@ -198,19 +198,31 @@ def title_matches(names: DataFrame, documents: DataFrame, least_idf: float = 2.5
 
 def associations(themes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Graph nodes whose label holds a keyword of a theme: ``theme_id, node_id, strength``, the
-    strongest match of each pair. ``themes`` has ``theme_id, text``; ``nodes`` has ``id, label``.
+    strongest match of each pair. ``themes`` has ``theme_id, text``; ``nodes`` has ``id, label`` and may
+    have ``_origin``: nodes that come from the themes themselves (wiki) are left out.
 
-    Keywords meet labels by the words of the labels' own alphabet first where they can; a keyword
-    inside a longer word needs the substring test, so the distinct labels are the small side.
+    A label that holds a keyword holds its first two characters: distinct keywords and distinct labels
+    meet on such pairs, and only then is the whole keyword looked for.
     """
+    nodes = nodes.where("not _origin <=> 'wiki'") if "_origin" in nodes.columns else nodes
     keys = themes.select("theme_id", F.explode(T.identifier_keywords(F.col("text"))).alias("kw"))
     words = keys.select("kw").distinct()
     labels = nodes.where("label <> ''").select(F.lower("label").alias("l")).distinct()
-    hits = words.join(labels, F.expr("contains(l, kw)")).withColumn("strength", F.round(F.greatest(F.least(F.length("kw") / F.greatest(F.length("l"), F.lit(1)), F.lit(1.0)), F.lit(0.3)), 3))
+    pairs = labels.select("l", F.explode(F.array_distinct(T.pairs(F.filter(F.split("l", ""), lambda c: c != "")))).alias("pair"))
+    words = words.withColumn("pair", F.left("kw", F.lit(2)))
+    hits = words.join(pairs, "pair").where(F.expr("contains(l, kw)")).withColumn("strength", F.round(F.greatest(F.least(F.length("kw") / F.greatest(F.length("l"), F.lit(1)), F.lit(1.0)), F.lit(0.3)), 3))
     found = keys.join(hits, "kw").join(nodes.select(F.col("id").alias("node_id"), F.lower("label").alias("l")).distinct(), "l")
     return found.groupBy("theme_id", "node_id").agg(F.max("strength").alias("strength"))
 
 
+def strongest(found: DataFrame, n: int = 5, per: str | None = None) -> DataFrame:
+    """The ``n`` strongest associations, of all or of each ``per``."""
+    if per is None:
+        return found.orderBy(F.col("strength").desc(), "theme_id", "node_id").limit(n)
+    order = Window.partitionBy(per).orderBy(F.col("strength").desc(), "node_id")
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
+
+
 def document_uri(path: Column, base: str = "docs://") -> Column:
     """The address of a source path under docs/; empty for any other."""
     return F.when(path.startswith("docs/"), F.concat(F.lit(base), F.regexp_replace(path, "^docs/", ""))).otherwise("")

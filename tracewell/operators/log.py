@@ -96,6 +96,69 @@ def session_rows(turns: DataFrame, session: str) -> DataFrame:
     return turns.where(F.col("session_id") == session).orderBy("turn", "seq")
 
 
+def turn_rows(turns: DataFrame, session: str, turn: int) -> DataFrame:
+    """One turn of a session in order."""
+    return turns.where((F.col("session_id") == session) & (F.col("turn") == turn)).orderBy("seq")
+
+
+def summary_at(turns: DataFrame, session: str, turn: int, seq: int) -> DataFrame:
+    """The summary of one row, empty if it has none; no row if there is no such row."""
+    row = turns.where((F.col("session_id") == session) & (F.col("turn") == turn) & (F.col("seq") == seq))
+    return row.select(F.coalesce("fct", F.lit("")).alias("fct"))
+
+
+def thinking_rows(turns: DataFrame) -> DataFrame:
+    """The rows of thought of every turn."""
+    return turns.where("block_type = 'thinking'")
+
+
+def first_thinking(turns: DataFrame) -> DataFrame:
+    """The first row of thought of each turn: ``session_id, turn, seq``."""
+    return thinking_rows(turns).groupBy("session_id", "turn").agg(F.min("seq").alias("seq"))
+
+
+def tool_rows(turns: DataFrame) -> DataFrame:
+    """The tools' rows of every turn."""
+    return turns.where("role = 'tool'")
+
+
+def call_of(calls: DataFrame, session: str, request: str) -> DataFrame:
+    """The current row of one model call."""
+    return calls.where((F.col("session_id") == session) & (F.col("request_id") == request))
+
+
+def cards_of(cards: DataFrame, session: str) -> DataFrame:
+    """A session's reasoning cards in order."""
+    return cards.where(F.col("session_id") == session).orderBy("turn", "seq")
+
+
+def first_timestamps(turns: DataFrame) -> DataFrame:
+    """When each session began: ``session_id, first_ts``."""
+    return turns.groupBy("session_id").agg(F.min("written_at").alias("first_ts"))
+
+
+def latest_of(rows: DataFrame, by: str, profile: str | None = None) -> DataFrame:
+    """The newest row (of a profile): the last session, the last refinement."""
+    own = rows if profile is None else rows.where(F.col("profile") == profile)
+    return own.orderBy(F.col(by).desc()).limit(1)
+
+
+def append_numbered(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows appended to a table whose key counts up; new rows are numbered in a given order. ``new``
+    is what one step writes, a handful of rows."""
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
+    rows = new.withColumn("_k", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top))
+    return existing.unionByName(rows.withColumn(key, F.col("_top") + F.col("_k")).drop("_top", "_k"), allowMissingColumns=True)
+
+
+def next_places(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` rows (``session_id, turn, pos``) with the ``seq`` they get: after the turn's last row, in order of ``pos``."""
+    top = turns.groupBy("session_id", "turn").agg(F.max("seq").alias("_top"))
+    order = Window.partitionBy("session_id", "turn").orderBy("pos")
+    rows = new.join(top, ["session_id", "turn"], "left")
+    return rows.withColumn("seq", F.coalesce("_top", F.lit(-1)) + F.row_number().over(order)).drop("_top")
+
+
 def previous_summary(turns: DataFrame) -> DataFrame:
     """For each turn, the summary of the final row of the turn numbered one less; empty if there is none."""
     fin = turns.where(is_fin()).groupBy("session_id", "turn").agg(F.max_by("fct", "seq").alias("fct"))
@@ -104,19 +167,19 @@ def previous_summary(turns: DataFrame) -> DataFrame:
     return all_turns.join(back, ["session_id", "turn"], "left").select("session_id", "turn", F.when(F.col("turn") > 0, F.coalesce("prev_fct", F.lit(""))).otherwise("").alias("prev_fct"))
 
 
-def incremental_frames(turns: DataFrame) -> DataFrame:
+def incremental_frames(turns: DataFrame, columns: tuple[str, ...] = ("role", "elm")) -> DataFrame:
     """For each final row, the rows of its frame: the turn's user rows, and those after the final
-    row before it up to itself: ``session_id, turn, fin_seq, seq, role, elm``.
+    row before it up to itself: ``session_id, turn, fin_seq, seq`` and ``columns``.
 
     Rows after one another carry the number of their frame, so no row is compared with others.
     """
     order = Window.partitionBy("session_id", "turn").orderBy("seq")
     rows = turns.withColumn("fin", F.when(is_fin(), F.col("seq")))
     rows = rows.withColumn("fin_seq", F.min("fin").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    own = rows.where("fin_seq is not null and role <> 'user'").select("session_id", "turn", "fin_seq", "seq", "role", "elm")
+    own = rows.where("fin_seq is not null and role <> 'user'").select("session_id", "turn", "fin_seq", "seq", *columns)
     fins = rows.where("fin is not null").select("session_id", "turn", F.col("fin").alias("fin_seq"))
-    users = rows.where("role = 'user'").select("session_id", "turn", "seq", "role", "elm").join(fins, ["session_id", "turn"])
-    return own.unionByName(users.select("session_id", "turn", "fin_seq", "seq", "role", "elm"))
+    users = rows.where("role = 'user'").select("session_id", "turn", "seq", *columns).join(fins, ["session_id", "turn"])
+    return own.unionByName(users.select("session_id", "turn", "fin_seq", "seq", *columns))
 
 
 def first_questions(turns: DataFrame) -> DataFrame:

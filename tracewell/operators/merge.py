@@ -41,13 +41,14 @@ def cosine_candidates(strands: DataFrame, realities: DataFrame, config: Config =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.s_final)
 
 
-def theme_candidates(strands: DataFrame, themes: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """Themes similar enough to a work-line, or given as priority and similar at all; priority first."""
+def theme_candidates(strands: DataFrame, themes: DataFrame, threshold: float = 0.70, top_k: int = 3) -> DataFrame:
+    """Themes similar enough to a work-line, or given as priority and similar at all; priority first,
+    the first ``top_k`` of them."""
     pairs = strands.select("strand_id", F.col("centroid").alias("sv")).join(themes.select("theme_id", "priority", F.col("centroid").alias("tv")).where("tv is not null"), F.size("sv") == F.size("tv"))
     pairs = pairs.select("strand_id", "theme_id", "priority", V.cosine(F.col("sv"), F.col("tv")).alias("sim"))
     pairs = pairs.where((F.col("sim") >= threshold) | (F.col("priority") & (F.col("sim") > 0)))
     order = Window.partitionBy("strand_id").orderBy((~F.col("priority")).cast("int"), F.col("sim").desc(), "theme_id")
-    return pairs.withColumn("rank", F.row_number().over(order))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
 def resolve(strands: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -150,6 +151,41 @@ def source_maps(events: DataFrame) -> DataFrame:
     return lists.groupBy("reality_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("session_id", "ids")))).alias("source_strands"))
 
 
+def fold_themes(events: DataFrame) -> DataFrame:
+    """Themes after all their events: the first creates, later ones update. A null keeps a column's
+    value; overviews of events make the timeline, numbered; changes are kept once, in order of
+    appearance; each event adds one source. ``events``: ``theme_id, event_no, title, overview,
+    key_facts, open_items, entry, changes, session_id, strand_id``."""
+    there = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("event_no"))).alias(c)
+    ordered = F.array_sort(F.collect_list(F.struct("event_no", "entry", "changes")))
+    folded = events.groupBy("theme_id").agg(*[there(c) for c in ("title", "overview", "key_facts", "open_items")], ordered.alias("es"))
+    entries = F.filter(F.transform("es", lambda e: e["entry"]), lambda x: x.isNotNull())
+    changes = F.array_distinct(F.flatten(F.transform("es", lambda e: F.coalesce(e["changes"], F.expr(_NONE)))))
+    folded = folded.select("theme_id", "title", "overview", "key_facts", "open_items", F.transform(entries, lambda x, i: F.struct((i + 1).alias("seq"), x.alias("overview"))).alias("timeline"), changes.alias("changes"))
+    sources = source_maps(events.where("session_id is not null").withColumnRenamed("theme_id", "reality_id")).withColumnRenamed("reality_id", "theme_id")
+    return folded.join(sources, "theme_id", "left").withColumn("source_strands", F.coalesce("source_strands", F.expr("cast(map() as map<string,array<bigint>>)")))
+
+
+def pad_overview(overview: Column, ooda: Column) -> Column:
+    """An overview, or for want of one up to three distinct items of what was decided and seen."""
+    items = F.concat(*[F.transform(F.coalesce(ooda[g], F.expr(_NONE)), F.trim) for g in ("决策与方案", "现象与问题")])
+    made = F.array_join(F.slice(F.array_distinct(F.filter(items, lambda x: x != "")), 1, 3), "；")
+    return F.when(F.trim(F.coalesce(overview, F.lit(""))) != "", overview).otherwise(made)
+
+
+def theme_create_fallback(strands: DataFrame) -> DataFrame:
+    """A theme of each work-line, without a model."""
+    title = F.trim(F.coalesce("hdl", F.lit("")))
+    return strands.select("strand_id", F.when(title != "", title).otherwise("未命名主题").alias("title"), F.lit("").alias("overview"), "ooda", F.coalesce("key_facts", F.expr(_NONE)).alias("key_facts"))
+
+
+def theme_merge_fallback(themes: DataFrame, merged: DataFrame) -> DataFrame:
+    """Themes that took work-lines in without a model: all stays but one more line of the timeline,
+    the work-lines' headlines. ``merged`` has ``theme_id, strand_id, hdl``."""
+    hdls = merged.where("hdl <> ''").groupBy("theme_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("strand_id", "hdl"))), lambda s: s["hdl"]), "；").alias("h"))
+    return themes.join(hdls, "theme_id", "left").withColumn("timeline_overview", F.coalesce(F.concat(F.lit("归并: "), F.col("h")), F.lit(""))).drop("h")
+
+
 def unmerged(strands: DataFrame, mapped: DataFrame) -> DataFrame:
     return strands.join(mapped.select("session_id", "strand_id").distinct(), ["session_id", "strand_id"], "left_anti")
 
@@ -163,6 +199,12 @@ def block_status(strands: DataFrame) -> DataFrame:
 def blocks_to_realities(strands: DataFrame) -> DataFrame:
     """One work object of each block: named by its first work-line, summed up by its last."""
     kept = strands.where(~F.startswith(F.coalesce("hdl", F.lit("")), F.lit("skip")))
+    if "ooda" in strands.columns:  # rows without any content go
+        some = lambda c: F.size(F.coalesce(c, F.expr(_NONE))) > 0
+        held = some(F.col("key_facts"))
+        for f in strands.schema["ooda"].dataType.fieldNames():
+            held = held | some(F.col("ooda")[f])
+        kept = kept.where(held)
     at = F.struct(start_turn(F.col("turns")), F.col("strand_id"))
     return kept.groupBy("session_id", "topic_id").agg(F.min_by("hdl", at).alias("name"), F.max_by("hdl", at).alias("hdl"), F.count("*").alias("n_strands"))
 

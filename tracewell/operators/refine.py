@@ -44,12 +44,22 @@ def candidates(realities: DataFrame, active: DataFrame, n: int) -> DataFrame:
 
 
 def write_back(realities: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Objects after a refinement: facts and goals replaced where the decision has some."""
-    d = decisions.select("reality_id", F.col("key_facts").alias("_facts"), F.col("open_items").alias("_goals"))
+    """Objects after a refinement: facts and goals replaced where the decision has some; its changes
+    (``changes``, if given) become an entry of their own at the end of the timeline."""
+    more = [F.col("changes").alias("_changes")] if "changes" in decisions.columns else []
+    d = decisions.select("reality_id", F.col("key_facts").alias("_facts"), F.col("open_items").alias("_goals"), *more)
     status = F.col("current_status")
     some = lambda c: F.size(F.coalesce(F.col(c), F.expr("cast(array() as array<string>)"))) > 0
     new = status.withField("key_facts", F.when(some("_facts"), F.col("_facts")).otherwise(status["key_facts"])).withField("goals", F.when(some("_goals"), F.col("_goals")).otherwise(status["goals"]))
-    return realities.join(d, "reality_id", "left").withColumn("current_status", new).drop("_facts", "_goals")
+    out = realities.join(d, "reality_id", "left").withColumn("current_status", new)
+    if more and "timeline" in realities.columns:
+        kind = realities.schema["timeline"].dataType
+        names = kind.elementType.fieldNames()
+        before = F.coalesce("timeline", F.lit(None).cast(kind), F.array().cast(kind))
+        seq = F.coalesce(F.array_max(F.transform(before, lambda e: e["seq"])), F.lit(0)) + 1
+        entry = F.struct(*[(seq if n == "seq" else F.col("_changes") if n == "changes" else F.lit(None)).cast(kind.elementType[n].dataType).alias(n) for n in names])
+        out = out.withColumn("timeline", F.when(some("_changes"), F.concat(before, F.array(entry))).otherwise(F.col("timeline")))
+    return out.drop("_facts", "_goals", "_changes")
 
 
 def govern_roots(roots: DataFrame, decisions: DataFrame, enable_cap: int = 1) -> DataFrame:
@@ -64,6 +74,26 @@ def govern_roots(roots: DataFrame, decisions: DataFrame, enable_cap: int = 1) ->
     return rows.where(~F.coalesce(F.col("action") == "remove", F.lit(False))).withColumn("enabled", enabled).select(*roots.columns)
 
 
+def set_filters(roots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Roots after filters were set by hand. ``wanted`` has ``root_uri, filters`` (JSON): one that is no
+    object, or whose lists hold anything but texts, is refused; unknown roots are no matter."""
+    part = lambda k: F.get_json_object("filters", f"$.{k}")
+    texts = lambda k: part(k).isNull() | (F.startswith(F.trim(part(k)), F.lit("[")) & F.forall(F.split(F.regexp_replace(part(k), r"^\s*\[\s*|\s*\]\s*$", ""), r"\s*,\s*"), lambda x: (x == "") | F.startswith(x, F.lit('"'))))
+    fine = F.startswith(F.trim("filters"), F.lit("{")) & F.json_object_keys("filters").isNotNull() & texts("include") & texts("exclude")
+    new = wanted.where(fine).select("root_uri", F.col("filters").alias("_new"))
+    return roots.join(new, "root_uri", "left").withColumn("filters", F.coalesce("_new", "filters")).select(*roots.columns)
+
+
+def top_scores(roots: DataFrame, hits: DataFrame, queries: int = 3) -> DataFrame:
+    """The best score that the first ``queries`` searches found under each candidate root; null for
+    roots that are enabled already (they aren't searched). ``hits`` has ``query_no, uri, score``."""
+    own = hits.where(F.col("query_no") < queries)
+    under = (F.col("uri") == F.col("root_uri")) | F.startswith(F.col("uri"), F.concat(F.col("root_uri"), F.lit("/")))
+    best = F.broadcast(roots.where("not enabled").select("root_uri")).join(own, under).groupBy("root_uri").agg(F.max("score").alias("best"))  # roots are a handful of rows
+    rows = roots.join(best, "root_uri", "left")
+    return rows.select("root_uri", F.when(~F.col("enabled"), F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).alias("top_score"))
+
+
 def changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether two snapshots differ in any row."""
     return not (before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty())

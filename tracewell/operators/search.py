@@ -10,10 +10,15 @@ from tracewell.functions import text as T
 from tracewell.functions import vector as V
 
 
-def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf, dl`` of every document that isn't blank."""
+#: Distinct tokens of queries that are broadcast at most.
+BROADCAST_TOKENS = 200_000
+
+
+def postings(corpus: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """``key, token, tf, dl`` of every document that isn't blank; with ``only`` (``token``), of these tokens."""
     rows = corpus.where(F.trim(F.col(text)) != "").select(F.col(key).alias("doc"), T.tokens(F.col(text)).alias("t"))
     rows = rows.select("doc", F.size("t").alias("dl"), F.explode("t").alias("token"))
+    rows = rows if only is None else rows.join(only, "token", "left_semi")
     return rows.groupBy("doc", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -31,12 +36,14 @@ def corpus_stats(corpus: DataFrame, text: str) -> DataFrame:
 def bm25_scores(corpus: DataFrame, queries: DataFrame, key: str, text: str, q_key: str, q_text: str, config: Config = Config()) -> DataFrame:
     """Scores above zero: ``q, doc, score``. Repeated tokens of a query count repeatedly.
 
-    Only postings of tokens that some query has leave the scan's stage: queries are grouped to
-    ``(q, token, times)`` first, and the join on the token is an equality that Spark may broadcast
-    or split. One row of corpus statistics is the only thing that meets every row.
+    Queries are grouped to ``(q, token, times)`` first. If their distinct tokens are few (counted),
+    they are broadcast, and only postings of these tokens leave the scan's stage; else the join on
+    the token shuffles. One row of corpus statistics is the only thing that meets every row.
     """
     asked = queries.select(F.col(q_key).alias("q"), F.explode(T.tokens(F.col(q_text))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
-    posts = postings(corpus, key, text)
+    terms = asked.select("token").distinct()
+    few = terms.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    posts = postings(corpus, key, text, F.broadcast(terms) if few else terms)
     df = posts.groupBy("token").agg(F.count("*").alias("df"))
     found = posts.join(asked, "token").join(df, "token").crossJoin(F.broadcast(corpus_stats(corpus, text)))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

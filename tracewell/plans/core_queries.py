@@ -36,7 +36,7 @@ l0 AS (
 ), log AS (
   SELECT conv_id::VARCHAR AS session_id, ordinal::BIGINT AS turn, seq::BIGINT AS seq, role, coalesce(text, '') AS elm,
          coalesce(role = 'assistant' AND seq = last_seq, false) AS fin,
-         CASE WHEN role = 'user' THEN text WHEN role = 'assistant' AND seq = last_seq THEN substr(text, 1, 200) END AS fct, substr(text, 1, 100) AS hdl
+         CASE WHEN role = 'user' THEN text WHEN role = 'assistant' AND seq = last_seq THEN text END AS fct, substr(text, 1, 100) AS hdl
   FROM l2
 )
 """
@@ -154,9 +154,9 @@ def transaction_frames(spark, sf_dir):
     return log.frames(_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT session_id, floor(sum(length(elm)) / 4)::BIGINT AS tokens FROM log GROUP BY 1")
+@query(f"WITH {LOG} SELECT session_id, turn, seq, ((length(elm) + coalesce(length(hdl), 0)) // 4)::BIGINT AS tokens FROM log")
 def token_estimate(spark, sf_dir):
-    return _log(spark, sf_dir).groupBy("session_id").agg(F.floor(F.sum(F.length("elm")) / 4).cast("long").alias("tokens"))
+    return _log(spark, sf_dir).select("session_id", "turn", "seq", T.token_estimate(F.col("elm"), F.col("hdl")).alias("tokens"))
 
 
 @query("""SELECT conv_id, n, round(CASE WHEN n <= 5000 THEN 0.0 WHEN n >= 20000 THEN 0.3 ELSE (n - 5000) / 15000.0 * 0.3 END, 9)::DOUBLE AS pressure
@@ -237,14 +237,21 @@ def rrf_fusion(spark, sf_dir):
     return search.fuse(a.unionByName(b)).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH {_BM25}, b AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) - 1 AS rank FROM bm WHERE score > 0),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT x.vec_id AS q, y.vec_id AS doc, list_cosine_similarity(x.v, y.v) AS score FROM e x JOIN benchmark ON item_id = x.vec_id JOIN e y ON len(x.v) = len(y.v) JOIN documents ON doc_id = y.vec_id),
+v AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, doc) - 1 AS rank FROM c),
+h AS (SELECT item_id AS q, (SELECT count(*) FROM b WHERE b.q = item_id) AS bh, (SELECT count(*) FROM c WHERE c.q = item_id) AS vh FROM benchmark),
+sl AS (SELECT q, CASE WHEN bh >= 5 THEN 6 WHEN bh >= 2 THEN 4 ELSE 2 END AS bk, vh FROM h),
+l AS (SELECT b.q, 0 AS list, b.rank, b.doc FROM b JOIN sl USING (q) WHERE b.rank < sl.bk UNION ALL SELECT v.q, 1, v.rank, v.doc FROM v JOIN sl USING (q) WHERE v.rank < least(10 - sl.bk, sl.vh)),
+f AS (SELECT q, doc, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first) - 1 AS rank FROM f)
+SELECT q, doc, round(score, 9) AS score, rank FROM r WHERE rank < 10""")
 def hybrid_retrieve(spark, sf_dir):
     docs = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
     vectors = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding").join(docs, "doc")
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"))
     lookups = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")).join(asked, "q")
-    cosines = search.cosine_scores(vectors, lookups, "doc", "embedding", "q", "qv")
-    return search.retrieve(_bm25(spark, sf_dir), cosines, asked)
+    cosines = search.cosine_scores(vectors, lookups, "doc", "embedding", "q", "qv").withColumn("score", F.round("score", 12))
+    return search.retrieve(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), cosines, asked).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _geometry(spark, sf_dir):
@@ -273,14 +280,14 @@ def label_centroids(spark, sf_dir):
     return _geometry(spark, sf_dir).select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
-@query(f"""WITH {_GEOMETRY}, q AS (SELECT vec_id, v FROM x WHERE vec_id % 50 = 0), r AS (
+@query(f"""WITH {_GEOMETRY}, q AS (SELECT vec_id, v FROM x), r AS (
   SELECT q.vec_id, geo.label, round(1 - list_cosine_similarity(q.v, geo.c), 9) AS d,
          round(CASE WHEN nearest > 0 THEN CASE WHEN max_intra > 0 THEN least(max_intra, nearest / 2) ELSE nearest / 2 END ELSE max_intra END, 9) AS r0 FROM q CROSS JOIN geo
 ) SELECT vec_id, label, CASE WHEN d <= CASE WHEN r0 <= 0 THEN 0.05 ELSE r0 END / 2 THEN 'Act' WHEN d <= CASE WHEN r0 <= 0 THEN 0.05 ELSE r0 END THEN 'Rel' ELSE 'Far' END AS grade FROM r""")
 def radius_grades(spark, sf_dir):
-    asked = S.read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0 and label is not null").select("vec_id", V.doubles(F.col("embedding")).alias("qv"))
+    asked = S.read(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", V.doubles(F.col("embedding")).alias("qv"))
     geo = _geometry(spark, sf_dir)
-    # Every graded topic is compared with every switch: topics are few, one row each.
+    # Topics are one row a label.
     return asked.crossJoin(geo).select("vec_id", "label", topics.radius_grade(F.col("qv"), F.col("centroid"), F.col("max_intra"), F.col("nearest"), F.lit(False)).alias("grade"))
 
 
@@ -307,9 +314,16 @@ def history_levels(spark, sf_dir):
     return history.levels(turns, _graded(spark, sf_dir)).select("session_id", "turn", "seq", "role", "level")
 
 
-@query()
+_CONTENT = """CASE level WHEN 'Elm' THEN elm WHEN 'Fct' THEN coalesce(fct, '') ELSE CASE WHEN head = '' THEN '略' ELSE head END END"""
+
+
+@query(rf"""WITH RECURSIVE {_HISTORY}, lv AS (SELECT *, CASE WHEN tail THEN 'Elm' WHEN role = 'user' OR fin THEN CASE grade WHEN 'Act' THEN 'Elm' WHEN 'Rel' THEN 'Fct' ELSE 'Hdl' END ELSE CASE grade WHEN 'Act' THEN 'Fct' ELSE 'Hdl' END END AS level,
+CASE WHEN length(coalesce(hdl, '')) <= 150 THEN coalesce(hdl, '') END AS head FROM h WHERE tail OR role = 'user' OR fin OR grade <> 'Far')
+SELECT session_id, count(*)::INT AS n_messages, string_agg(turn || '/' || seq || ' ' || role || ': ' || {_CONTENT}, chr(10) ORDER BY turn, seq) AS history FROM lv GROUP BY 1""")
 def history_assembly(spark, sf_dir):
-    return history.assemble(_log(spark, sf_dir), _graded(spark, sf_dir))
+    found = history.assemble(_log(spark, sf_dir), _graded(spark, sf_dir))
+    line = lambda m: F.concat(m["turn"].cast("string"), F.lit("/"), m["seq"].cast("string"), F.lit(" "), m["role"], F.lit(": "), m["content"])
+    return found.select("session_id", F.size("messages").alias("n_messages"), F.array_join(F.transform("messages", line), "\n").alias("history"))
 
 
 _DELTAS = """d AS (SELECT user_id::VARCHAR AS session_id, strftime(ts, '%Y%m%d') AS request_id, event_id, CASE WHEN ascii(event_type) % 2 = 0 THEN 'reasoning' ELSE 'text' END AS kind, floor(abs(value))::BIGINT AS chars FROM events)"""
@@ -352,6 +366,7 @@ def turn_current(spark, sf_dir):
     return log.current_turns(events).select("session_id", "turn", "seq", "elm", "fct")
 
 
-@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|[0-9]+')))::INT AS n_features FROM documents""")
+@query(r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{ff00}-\x{ffef}]') AS c, regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|[0-9]+') AS w FROM documents)
+SELECT doc_id, len(list_distinct(list_concat(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i::INT] || c[(i + 1)::INT])), w)))::INT AS n_features FROM c""")
 def topic_feature_counts(spark, sf_dir):
-    return S.read(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.WORD), F.lit(0)))).alias("n_features"))
+    return S.read(spark, sf_dir, "documents").select("doc_id", F.size(T.topic_features(F.col("text"))).alias("n_features"))

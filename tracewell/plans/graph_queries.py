@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.functions import vector as V
-from tracewell.operators import graph, merge, recall, refine
+from tracewell.operators import docs, graph, log, merge, recall, refine
 from tracewell.sources import tables as S
 
 QUERIES: dict = {}
@@ -24,9 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-# -- orders as blocks, their parts (modulo 500) as work objects -----------------------------------
+# -- orders as blocks, their parts as work objects -----------------------------------
 
-_MEMBERS = "m AS (SELECT DISTINCT l_suppkey::VARCHAR AS session_id, l_orderkey AS topic_id, CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS profile, (l_partkey % 500)::BIGINT AS reality_id FROM lineitem_blocks)"
+_MEMBERS = "m AS (SELECT DISTINCT l_suppkey::VARCHAR AS session_id, l_orderkey AS topic_id, CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS profile, l_partkey::BIGINT AS reality_id FROM lineitem_blocks)"
 _BLOCKS = "lineitem_blocks AS (SELECT l_orderkey, min(l_suppkey) OVER (PARTITION BY l_orderkey) AS l_suppkey, l_partkey FROM lineitem)"
 _PAIRS = f"{_BLOCKS}, {_MEMBERS}, p AS (SELECT a.session_id, a.topic_id, a.profile, a.reality_id AS reality_a, b.reality_id AS reality_b FROM m a JOIN m b USING (session_id, topic_id, profile) WHERE a.reality_id < b.reality_id)"
 _EDGES = f"{_PAIRS}, e AS (SELECT reality_a AS a, reality_b AS b, count(*) AS w FROM p GROUP BY 1, 2)"
@@ -36,19 +36,23 @@ def _members(spark, sf_dir) -> DataFrame:
     rows = S.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     owner = rows.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("owner"))
     profile = F.when(F.col("owner") % 2 == 0, "even").otherwise("odd")
-    return rows.join(owner, "l_orderkey").select(F.col("owner").cast("string").alias("session_id"), F.col("l_orderkey").alias("topic_id"), profile.alias("profile"), (F.col("l_partkey") % 500).cast("long").alias("reality_id")).distinct()
+    return rows.join(owner, "l_orderkey").select(F.col("owner").cast("string").alias("session_id"), F.col("l_orderkey").alias("topic_id"), profile.alias("profile"), F.col("l_partkey").cast("long").alias("reality_id")).distinct()
 
 
 def _events(spark, sf_dir) -> DataFrame:
     return graph.block_pairs(_members(spark, sf_dir)).withColumn("created_at", F.lit(0.0))
 
 
+def _node(c):
+    return F.concat(F.lit("reality_"), F.col(c).cast("string"))
+
+
 @query(f"WITH {_PAIRS} SELECT * FROM p")
 def cooc_pairs(spark, sf_dir):
     return graph.block_pairs(_members(spark, sf_dir)).select("session_id", "topic_id", "profile", "reality_a", "reality_b")
 
 
-@query(f"WITH {_PAIRS}, old AS (SELECT * FROM p WHERE topic_id % 3 = 0) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.session_id = p.session_id AND old.topic_id = p.topic_id AND old.reality_a = p.reality_a AND old.reality_b = p.reality_b)")
+@query(f"WITH {_PAIRS}, old AS (SELECT *, true AS known FROM p WHERE topic_id % 3 = 0) SELECT p.* FROM p LEFT JOIN old USING (session_id, topic_id, profile, reality_a, reality_b) WHERE NOT coalesce(old.known, false)")
 def cooc_new_pairs(spark, sf_dir):
     known = _events(spark, sf_dir).where("topic_id % 3 = 0")
     return graph.record_cooccurrences(_members(spark, sf_dir), known).select("session_id", "topic_id", "profile", "reality_a", "reality_b")
@@ -74,33 +78,37 @@ def cooc_blocks(spark, sf_dir):
     return graph.block_count(_events(spark, sf_dir))
 
 
-@query(f"""WITH {_EDGES}, q AS (SELECT DISTINCT c_custkey AS q, (c_custkey % 500)::BIGINT AS id, false AS fused FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT c_custkey, ((c_custkey * 7) % 500)::BIGINT, true FROM customer WHERE c_custkey % 50 = 0),
-an AS (SELECT q, id, bool_or(fused) AS fused FROM q GROUP BY 1, 2),
-d AS (SELECT q, id, CASE WHEN fused THEN 0.8 ELSE 0.4 END AS wa, 0.0 AS d FROM an
-  UNION ALL SELECT an.q, e2.id, CASE WHEN fused THEN 0.8 ELSE 0.4 END, 1.0 / (w + 1) FROM an JOIN (SELECT a AS anchor, b AS id, w FROM e UNION ALL SELECT b, a, w FROM e) e2 ON e2.anchor = an.id),
+# A customer's anchors and budget are the parts of the customer's own orders.
+_OWN = "own AS (SELECT c_custkey AS q, l_partkey::BIGINT AS id, bool_or(o_orderstatus = 'F') AS fused FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey % 50 = 0 GROUP BY 1, 2)"
+
+
+def _own_parts(spark, sf_dir) -> DataFrame:
+    c = S.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"))
+    o = S.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "F").alias("fused"))
+    parts = S.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("long").alias("id"))
+    return c.join(o, "q").join(parts, "l_orderkey").groupBy("q", "id").agg(F.max("fused").alias("fused"))
+
+
+@query(f"""WITH {_EDGES}, {_OWN},
+d AS (SELECT q, id, CASE WHEN fused THEN 0.8 ELSE 0.4 END AS wa, 0.0 AS d FROM own
+  UNION ALL SELECT own.q, e2.id, CASE WHEN fused THEN 0.8 ELSE 0.4 END, 1.0 / (w + 1) FROM own JOIN (SELECT a AS anchor, b AS id, w FROM e UNION ALL SELECT b, a, w FROM e) e2 ON e2.anchor = own.id),
 s AS (SELECT q, id, sum(wa::DOUBLE * d::DOUBLE) / sum(wa::DOUBLE) AS s FROM d WHERE id IN (SELECT reality_id FROM m) GROUP BY 1, 2),
 r AS (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 12), id) AS rank FROM s WHERE round(s, 12) <= 0.5)
 SELECT q, id, round(s, 9) AS s, rank FROM r WHERE rank <= 3""")
 def s_candidates(spark, sf_dir):
-    c = S.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"))
-    anchors = c.select("q", (F.col("q") % 500).cast("long").alias("id"), F.lit(False).alias("fused")).unionByName(c.select("q", ((F.col("q") * 7) % 500).cast("long").alias("id"), F.lit(True).alias("fused")))
     works = _members(spark, sf_dir).select(F.col("reality_id").alias("id"))
-    found = merge.s_candidates(works, anchors, graph.edges(_events(spark, sf_dir)))
+    found = merge.s_candidates(works, _own_parts(spark, sf_dir), graph.edges(_events(spark, sf_dir)))
     return found.select("q", "id", F.round("s", 9).alias("s"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_EDGES}, l AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS pos FROM e), bud AS (SELECT c_custkey AS q, (c_custkey % 500)::BIGINT AS id FROM customer WHERE c_custkey % 50 = 0),
-n AS (SELECT q, other, min(pos) AS pos FROM bud JOIN (SELECT a AS id, b AS other, pos FROM l UNION ALL SELECT b, a, pos FROM l) x USING (id) WHERE other % 2 = 0 AND other <> id GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos, other) AS k FROM n) SELECT q, other AS reality_id FROM r WHERE k <= 5""")
+@query(f"""WITH {_EDGES}, {_OWN}, l AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS pos FROM e),
+n AS (SELECT q, other, min(pos) AS pos FROM own JOIN (SELECT a AS id, b AS other, pos FROM l UNION ALL SELECT b, a, pos FROM l) x USING (id) WHERE other % 2 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos, other) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.q = n.q AND own.id = n.other)) SELECT q, other AS reality_id FROM r WHERE k <= 5""")
 def graph_neighbours(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = graph.edges(_events(spark, sf_dir))
-    node = lambda c: F.concat(F.lit("reality_"), F.col(c).cast("string"))
-    links = e.withColumn("pos", F.row_number().over(Window.orderBy("a", "b"))).select("pos", node("a").alias("source"), node("b").alias("target"), F.lit("co_occurs_with").alias("relation"))
-    budget = S.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), (F.col("c_custkey") % 500).cast("long").alias("reality_id"))
+    # The edges' own order stands for their number, so that no single task numbers them all.
+    links = graph.edges(_events(spark, sf_dir)).select(F.struct("a", "b").alias("pos"), _node("a").alias("source"), _node("b").alias("target"), F.lit("co_occurs_with").alias("relation"))
     ids = _members(spark, sf_dir).select("reality_id").distinct().where("reality_id % 2 = 0")
-    return graph.neighbours(links, budget, ids).select("q", "reality_id")
+    return graph.neighbours(links, _own_parts(spark, sf_dir).select("q", F.col("id").alias("reality_id")), ids).select("q", "reality_id")
 
 
 @query(f"""WITH {_EDGES}, old AS (SELECT 'reality_' || a AS source, 'reality_' || b AS target, 'co_occurs_with' AS relation, 0.5::DOUBLE AS weight FROM e WHERE (a + b) % 2 = 0 UNION ALL SELECT 'reality_' || a, 'reality_' || b, 'depends_on', 1.0 FROM e WHERE (a + b) % 5 = 0),
@@ -119,48 +127,48 @@ def cooc_sync(spark, sf_dir):
 _WORDS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z]{{2,}}'), lambda w: lower(w)))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_WORDS.format('substr(text, 1, 80)')}) AS f FROM documents), n AS (SELECT greatest(count(*), 1) AS n FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS f FROM documents), n AS (SELECT greatest(count(*), 1) AS n FROM documents)
 SELECT f, round(ln(n::DOUBLE / count(*)), 9) AS idf FROM t CROSS JOIN n GROUP BY f, n""")
 def pair_idf(spark, sf_dir):
-    titles = S.read(spark, sf_dir, "documents").select(F.left("text", F.lit(80)).alias("title"))
+    titles = S.read(spark, sf_dir, "documents").select(F.col("text").alias("title"))
     return graph.pair_idf(titles).select("f", F.round("idf", 9).alias("idf"))
 
 
-@query(f"""WITH nm AS (SELECT doc_id AS id, substr(text, 1, 80) AS title FROM documents), dt AS (SELECT item_id AS doc, text AS title FROM benchmark),
+@query(f"""WITH nm AS (SELECT doc_id AS id, text AS title FROM documents), dt AS (SELECT item_id AS doc, text AS title FROM benchmark),
 a AS (SELECT id, unnest({_WORDS.format('title')}) AS f FROM nm), b AS (SELECT doc, unnest({_WORDS.format('title')}) AS f FROM dt),
 idf AS (SELECT f, ln((SELECT count(*) FROM nm)::DOUBLE / count(*)) AS idf FROM a GROUP BY f),
 s AS (SELECT a.id, b.doc, sum(idf) AS score, sum(CASE WHEN idf >= 2.5 THEN 1 ELSE 0 END) AS valid FROM a JOIN idf USING (f) JOIN b USING (f) GROUP BY 1, 2)
 SELECT id, doc, round(score, 6) AS score, round(least(score / 8, 0.95), 3) AS confidence FROM s WHERE valid >= 2 AND score >= 5""")
 def title_matches(spark, sf_dir):
-    names = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(80)).alias("title"))
+    names = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     found = graph.title_matches(names, S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.col("text").alias("title")))
     return found.select("id", "doc", F.round("score", 6).alias("score"), "confidence")
 
 
-@query("""WITH k AS (SELECT DISTINCT n_nationkey AS theme_id, unnest(list_concat(list_transform(regexp_extract_all(n_name, '[A-Z][a-z]{2,}'), lambda w: lower(w)), regexp_extract_all(lower(n_name), '[a-z_][a-z0-9_]{2,}'))) AS kw FROM nation),
-l AS (SELECT r_regionkey AS id, r_name || ' ' || n_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey)
-SELECT theme_id, id::BIGINT AS node_id, max(round(greatest(least(length(kw)::DOUBLE / length(label), 1.0), 0.3), 3)) AS strength FROM k JOIN l ON contains(lower(label), kw) GROUP BY 1, 2""")
+@query("""WITH k AS (SELECT DISTINCT p_partkey AS theme_id, unnest(list_concat(list_transform(regexp_extract_all(p_name, '[A-Z][a-z]{2,}'), lambda w: lower(w)), regexp_extract_all(lower(p_name), '[a-z_][a-z0-9_]{2,}'))) AS kw FROM part WHERE p_partkey % 50 = 0),
+l AS (SELECT doc_id AS id, source || ' ' || lang || ' ' || (SELECT min(p_name) FROM part WHERE p_partkey % 997 = doc_id % 997) AS label FROM documents)
+SELECT theme_id, id AS node_id, max(round(greatest(least(length(kw)::DOUBLE / length(label), 1.0), 0.3), 3)) AS strength FROM k JOIN l ON contains(lower(label), kw) GROUP BY 1, 2""")
 def associations(spark, sf_dir):
-    n, r = S.read(spark, sf_dir, "nation"), S.read(spark, sf_dir, "region")
-    nodes = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey").cast("long").alias("id"), F.concat_ws(" ", "r_name", "n_name").alias("label"))
-    return graph.associations(n.select(F.col("n_nationkey").alias("theme_id"), F.col("n_name").alias("text")), nodes)
+    p = S.read(spark, sf_dir, "part")
+    names = p.groupBy((F.col("p_partkey") % 997).alias("k")).agg(F.min("p_name").alias("name"))
+    nodes = S.read(spark, sf_dir, "documents").join(names, F.col("doc_id") % 997 == F.col("k")).select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit(" "), F.col("lang"), F.lit(" "), F.col("name")).alias("label"))
+    return graph.associations(p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("theme_id"), F.col("p_name").alias("text")), nodes)
 
 
-@query(f"""WITH {_EDGES}, nodes AS (SELECT 'reality_' || i AS id, CASE WHEN i % 7 = 0 THEN 'code' ELSE 'knowledge' END AS file_type FROM range(0, 600) t(i) UNION ALL SELECT 'theme_' || i, 'knowledge' FROM range(0, 20) t(i)),
+@query(f"""WITH {_EDGES}, nodes AS (SELECT 'reality_' || p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'code' ELSE 'knowledge' END AS file_type FROM part UNION ALL SELECT 'theme_' || i, 'knowledge' FROM range(0, 20) t(i)),
 kept AS (SELECT id FROM nodes WHERE file_type <> 'knowledge' OR id IN (SELECT 'reality_' || reality_id FROM m WHERE reality_id % 3 <> 0))
 SELECT 'reality_' || a AS source, 'reality_' || b AS target FROM e WHERE 'reality_' || a IN (SELECT id FROM kept) AND 'reality_' || b IN (SELECT id FROM kept)""")
 def knowledge_cleanup(spark, sf_dir):
-    node = lambda c: F.concat(F.lit("reality_"), F.col(c).cast("string"))
-    ids = spark.range(600)
-    nodes = ids.select(node("id").alias("id"), F.when(F.col("id") % 7 == 0, "code").otherwise("knowledge").alias("file_type"))
+    nodes = S.read(spark, sf_dir, "part").select(_node("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "code").otherwise("knowledge").alias("file_type"))
     nodes = nodes.unionByName(spark.range(20).select(F.concat(F.lit("theme_"), F.col("id").cast("string")).alias("id"), F.lit("knowledge").alias("file_type")))
-    links = graph.edges(_events(spark, sf_dir)).select(node("a").alias("source"), node("b").alias("target"))
+    links = graph.edges(_events(spark, sf_dir)).select(_node("a").alias("source"), _node("b").alias("target"))
     live = _members(spark, sf_dir).where("reality_id % 3 <> 0").select("reality_id").distinct()
     _, left = graph.clean_knowledge(nodes, links, live, spark.createDataFrame([], "id string"), None)
     return left
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS id, p_partkey % 100 = 0 AS builds, p_name AS text FROM part), f AS (SELECT DISTINCT id, builds, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda w: lower(w))) AS f FROM t)
+SELECT DISTINCT a.id AS src, b.id AS tgt FROM f a JOIN f b USING (f) WHERE a.builds AND a.id <> b.id UNION SELECT a.id, b.id FROM t a JOIN t b ON a.builds AND b.builds AND a.id <> b.id""")
 def link_candidates(spark, sf_dir):
     names = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("reality_id"), F.concat(F.when(F.col("p_partkey") % 100 == 0, "基于 ").otherwise(""), "p_name").alias("text"))
     return graph.link_candidates(names)
@@ -182,13 +190,14 @@ def theta_topk(spark, sf_dir):
 _CP = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
 
 
-@query(f"""WITH q AS (SELECT r_regionkey AS q, replace(replace(lower(r_name), ' ', ''), '-', '') AS t FROM region), n AS (SELECT n_nationkey AS reality_id, replace(replace(lower(n_name), ' ', ''), '-', '') AS t FROM nation),
-f AS (SELECT q, {_CP.format('t')} AS qp FROM q), g AS (SELECT reality_id, {_CP.format('t')} AS np FROM n),
-p AS (SELECT q, reality_id, round(1 - coalesce(len(list_intersect(qp, np))::DOUBLE / nullif(len(list_distinct(list_concat(qp, np))), 0), 0), 9) AS d FROM f CROSS JOIN g),
+@query(f"""WITH q AS (SELECT p_partkey AS q, replace(replace(lower(p_name), ' ', ''), '-', '') AS t FROM part WHERE p_partkey % 50 = 0), n AS (SELECT p_partkey AS reality_id, replace(replace(lower(p_name), ' ', ''), '-', '') AS t, replace(replace(lower(p_type || ' ' || p_brand), ' ', ''), '-', '') AS h FROM part),
+f AS (SELECT q, {_CP.format('t')} AS qp FROM q), g AS (SELECT reality_id, {_CP.format('t')} AS np, {_CP.format('h')} AS hp FROM n),
+p AS (SELECT q, reality_id, round(1 - greatest(coalesce(len(list_intersect(qp, np))::DOUBLE / nullif(len(list_distinct(list_concat(qp, np))), 0), 0), coalesce(len(list_intersect(qp, hp))::DOUBLE / nullif(len(list_distinct(list_concat(qp, hp))), 0), 0)), 9) AS d FROM f CROSS JOIN g),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, reality_id) AS rank FROM p) SELECT q, reality_id, round(d, 6) AS d, rank FROM r WHERE rank <= 15""")
 def lexical_recall(spark, sf_dir):
-    q = S.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("q"), F.col("r_name").alias("text"))
-    r = S.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("reality_id"), F.col("n_name").alias("name"), F.lit("").alias("hdl"))
+    p = S.read(spark, sf_dir, "part")
+    q = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("text"))
+    r = p.select(F.col("p_partkey").alias("reality_id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("hdl"))
     return recall.lexical(q, r).select("q", "reality_id", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -259,20 +268,22 @@ def size_figures(spark, sf_dir):
     return refine.size_figures(S.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("reality_id")))
 
 
-@query("""SELECT session_id, request_id, event_id, sum(new) OVER (PARTITION BY session_id ORDER BY event_id) AS island FROM (SELECT user_id::VARCHAR AS session_id, event_type AS request_id, event_id, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM events)""")
+@query("""WITH e AS (SELECT user_id::VARCHAR AS session_id, (event_id // 100)::BIGINT AS turn, event_id AS seq, event_type AS request_id, event_id % 3 <> 0 AS own FROM events),
+n AS (SELECT *, CASE WHEN own AND lag(own) OVER w AND request_id = lag(request_id) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY session_id, turn ORDER BY seq)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session_id, turn ORDER BY seq) AS island FROM n)
+SELECT session_id, turn, min(seq) AS seq, min(request_id) AS request_id, string_agg(seq::VARCHAR, chr(10) || chr(10) ORDER BY seq) AS elm FROM i GROUP BY session_id, turn, island""")
 def request_islands(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("session_id").orderBy("event_id")
-    rows = S.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("request_id"), "event_id")
-    rows = rows.withColumn("new", F.when(F.lag("request_id").over(order).eqNullSafe(F.col("request_id")), 0).otherwise(1))
-    return rows.select("session_id", "request_id", "event_id", F.sum("new").over(order).alias("island"))
+    i = F.col("event_id")
+    rows = S.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.floor(i / 100).alias("turn"), i.alias("seq"), F.col("event_type").alias("request_id"), F.when(i % 3 != 0, "assistant").otherwise("user").alias("role"), i.cast("string").alias("elm"))
+    return log.merge_split_rows(rows).select("session_id", "turn", "seq", "request_id", "elm")
 
 
-@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)))::INT AS n_links FROM pages""")
+@query("""SELECT DISTINCT page_id::VARCHAR || '.md' AS path, l AS link FROM (SELECT page_id, trim(unnest(regexp_extract_all(t, '\\]\\(([^)]+)\\)', 1))) AS l FROM (SELECT page_id, regexp_replace(html, 'href="/?([^"]*)"', '](\\1)', 'g') AS t FROM pages))
+WHERE l <> '' AND NOT regexp_matches(l, '^(<|https?://|mailto:|viking://|#|data:)') AND trim(regexp_extract(l, '^([^#?]*)', 1)) <> ''""")
 def page_links(spark, sf_dir):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
-    return S.read(spark, sf_dir, "pages").select("page_id", F.size(links).alias("n_links"))
+    text = F.regexp_replace("html", 'href="/?([^"]*)"', "]($1)")
+    files = S.read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+    return docs.links(files).select("path", "link").distinct()
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE substr(text, 1, 72) || '…' || right(text, 47) END AS short FROM documents""")

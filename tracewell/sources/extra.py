@@ -16,10 +16,19 @@ VECTOR_DIM = 1024
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of a graph file; a file that can't be read gives empty tables."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], NODES), spark.createDataFrame([], LINKS)
     raw = spark.read.schema(f"nodes array<struct<{_struct(NODES)}>>, links array<struct<{_struct(LINKS)}>>").option("mode", "PERMISSIVE").json(path, multiLine=True)
     return raw.select(F.explode("nodes").alias("n")).select("n.*"), raw.select(F.explode("links").alias("l")).select("l.*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system that Spark would use has something at ``path``."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def _struct(shape: str) -> str:
     return ", ".join(f"`{a}`: {b}" for a, b in (x.strip().split(" ", 1) for x in shape.replace("map<string,string>", "map<string;string>").split(","))).replace(";", ",")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ NODES = "id string, label string, norm_label string, file_type string, source_fi
 LINKS = "source string, target string, relation string, confidence string, confidence_score double, source_file string, source_location string, weight double"
 STRAND_MAP = "strand_id bigint, reality_id bigint"
 COOCCURRENCES = "session_id string, topic_id bigint, profile string, reality_a bigint, reality_b bigint, created_at double"
+THEMES = (
+    f"theme_id bigint, title string, overview string, ooda {OODA}, key_facts array<string>, open_items array<string>, timeline {TIMELINE}, changes array<string>, "
+    "centroid array<double>, source_strands map<string,array<bigint>>, profile string, created_at double, updated_at double"
+)
 ROOTS = "root_uri string, filters struct<include:array<string>,exclude:array<string>>, enabled boolean, origin string, added_at double, last_seen double"
 
 
@@ -49,11 +55,10 @@ def json_or_null(text: Column, schema: str) -> Column:
     return F.from_json(F.when(F.trim(text) != "null", text), schema, {"mode": "PERMISSIVE"})
 
 
-def turn_log(conversations: DataFrame, fin_chars: int | None = 200) -> DataFrame:
+def turn_log(conversations: DataFrame) -> DataFrame:
     """Conversations as a log: a user's message opens a turn (1, 2, ...) at seq 0, and what follows
     is at seq 1, 2, ...; the last assistant row of a turn is its final one. System rows, and what
-    comes before the first user's message, are left out. A final row's summary is the first
-    ``fin_chars`` of its text, all of it with None."""
+    comes before the first user's message, are left out. A final row's summary is its text."""
     session = Window.partitionBy("conv_id").orderBy("turn", "text")
     rows = conversations.where("role <> 'system'").withColumn("ordinal", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(session))
     rows = rows.where("ordinal > 0")
@@ -64,7 +69,7 @@ def turn_log(conversations: DataFrame, fin_chars: int | None = 200) -> DataFrame
     return rows.select(
         F.col("conv_id").cast("string").alias("session_id"), F.col("ordinal").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), "role",
         F.coalesce("text", F.lit("")).alias("elm"), F.when(fin, "stop").alias("finish_reason"),
-        F.when(F.col("role") == "user", F.col("text")).otherwise(F.when(fin, F.col("text") if fin_chars is None else F.left("text", F.lit(fin_chars)))).alias("fct"),
+        F.when(F.col("role") == "user", F.col("text")).otherwise(F.when(fin, F.col("text"))).alias("fct"),
         F.left("text", F.lit(100)).alias("hdl"), F.lit(None).cast("string").alias("biz_category"), F.lit(None).cast("string").alias("request_id"),
     )
 
@@ -80,7 +85,70 @@ def stream_events(events: DataFrame) -> DataFrame:
     )
 
 
-def cosmetic_blocks(lineitem: DataFrame) -> DataFrame:
-    """Orders as blocks and their parts as members, for graph queries on the driver's tables."""
-    member = (F.col("l_partkey") % 50).cast("long")
-    return lineitem.select(F.col("l_suppkey").cast("string").alias("session_id"), F.col("l_orderkey").alias("topic_id"), member.alias("reality_id")).distinct()
+# -- stored tables with JSON columns --------------------------------------------------------------
+
+_STRINGS, _SOURCES = "array<string>", "map<string,array<bigint>>"
+
+
+def _list(column: str, schema: str = _STRINGS) -> Column:
+    return F.coalesce(json_or_null(F.col(column), schema), F.expr(f"cast(array() as {schema})")).alias(re.sub("_json$", "", column))
+
+
+def _map(column: str) -> Column:
+    return F.coalesce(json_or_null(F.col(column), _SOURCES), F.expr(f"cast(map() as {_SOURCES})")).alias(column)
+
+
+def load_strands(stored: DataFrame, session: str | None = None, discarded: bool = False) -> DataFrame:
+    """Work-lines with their JSON columns decoded, of one session or all. Malformed lists are empty.
+    ``discarded`` lets those in that a pilot has set aside."""
+    rows = stored if session is None else stored.where(F.col("session_id") == session)
+    if not discarded and "status" in rows.columns:
+        rows = rows.where("not status <=> 'discarded'")
+    kept = [c for c in rows.columns if not c.endswith("_json") and c != "turns"]
+    decoded = {"ooda_json": json_or_null(F.col("ooda_json"), OODA).alias("ooda"), "centroid_json": json_or_null(F.col("centroid_json"), "array<double>").alias("centroid")}
+    lists = [_list(c) for c in ("changes_json", "key_facts_json") if c in rows.columns]
+    return rows.select(*kept, _list("turns", "array<bigint>"), *[v for k, v in decoded.items() if k in rows.columns], *lists)
+
+
+def load_realities(stored: DataFrame) -> DataFrame:
+    """Work objects with their five JSON columns decoded; what is malformed is empty, a vector null."""
+    kept = [c for c in stored.columns if not c.endswith("_json") and c != "source_strands"]
+    return stored.select(
+        *kept, json_or_null(F.col("current_status_json"), STATUS).alias("current_status"), _list("timeline_json", TIMELINE), _map("source_strands"),
+        json_or_null(F.col("centroid_json"), "array<double>").alias("centroid"), json_or_null(F.col("query_centroid_json"), "array<double>").alias("query_centroid"),
+    )
+
+
+def load_themes(stored: DataFrame) -> DataFrame:
+    """Themes with their JSON columns decoded, by the same rules."""
+    kept = [c for c in stored.columns if not c.endswith("_json") and c != "source_strands"]
+    return stored.select(
+        *kept, json_or_null(F.col("ooda_json"), OODA).alias("ooda"), *[_list(f"{c}_json") for c in ("key_facts", "open_items", "changes")], _list("timeline_json", TIMELINE),
+        _map("source_strands"), json_or_null(F.col("centroid_json"), "array<double>").alias("centroid"),
+    )
+
+
+def load_roots(stored: DataFrame) -> DataFrame:
+    """Roots of documents with their filters decoded; filters that are no object filter nothing."""
+    shape = "struct<include:array<string>,exclude:array<string>>"
+    none = F.expr("cast(array() as array<string>)")
+    f = json_or_null(F.col("filters"), shape)
+    return stored.withColumn("filters", F.struct(F.coalesce(f["include"], none).alias("include"), F.coalesce(f["exclude"], none).alias("exclude")))
+
+
+def enabled_roots(stored: DataFrame, pinned: str) -> DataFrame:
+    """Enabled roots, ``pinned`` first, then by address."""
+    return load_roots(stored.where("enabled")).orderBy(F.when(F.col("root_uri") == pinned, 0).otherwise(1), "root_uri")
+
+
+#: Names under which an answer may hold its list of entries.
+ENTRY_KEYS = ("entries", "items", "nodes", "files", "data")
+
+
+def tree_entries(payload: Column) -> Column:
+    """The entries (JSON texts) of a document tree's answer: the answer itself if it is a list, else
+    the first list under a known name, there or in ``result``, else ``result`` if that is a list."""
+    entries = lambda text: F.filter(F.from_json(F.when(F.trim(text).startswith("["), text), "array<string>"), lambda e: F.startswith(F.trim(e), F.lit("{")))
+    paths = [f"$.{k}" for k in ENTRY_KEYS] + [f"$.result.{k}" for k in ENTRY_KEYS] + ["$.result"]
+    none = F.expr("cast(array() as array<string>)")
+    return F.coalesce(entries(payload), *[entries(F.get_json_object(payload, p)) for p in paths], none)
