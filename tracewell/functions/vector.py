@@ -24,6 +24,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(F.size(a) == F.size(b), value).otherwise(0.0)
 
 
+#: Components of query vectors that are broadcast at most: 64 MB.
+BROADCAST_COMPONENTS = 8_000_000
+
+
+def meet(rows: DataFrame, vec: str, queries: DataFrame, query_vec: str, most: int = BROADCAST_COMPONENTS) -> DataFrame:
+    """Each row beside each query of its length. The queries are a stated set; null vectors meet nothing.
+
+    All vectors of a table may have one length, so the length alone is no key to deal them by. If
+    the queries' size is small (it is summed first) they are broadcast and the rows stay where they are. Beyond
+    that, queries are cut into blocks of that size and rows into as many parts as a shuffle has
+    partitions, and every block meets every part in a task of its own.
+    """
+    size = int(queries.agg(F.coalesce(F.sum(F.greatest(F.size(query_vec), F.lit(0))), F.lit(0))).first()[0])
+    alike = F.size(vec) == F.size(query_vec)
+    if size <= most:
+        return rows.join(F.broadcast(queries), alike)
+    blocks, parts = -(-size // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_part", place(vec, parts)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_its_block", place(query_vec, blocks)).withColumn("_its_part", every(parts))
+    met = left.join(right, alike & (F.col("_part") == F.col("_its_part")) & (F.col("_block") == F.col("_its_block")))
+    return met.drop("_part", "_block", "_its_part", "_its_block")
+
+
 def scaled(a: Column, by: Column) -> Column:
     return F.transform(a, lambda x: x / by)
 

@@ -25,7 +25,7 @@ def in_range(questions: DataFrame, realities: DataFrame, config: Config = Config
     stated set; work objects are read once.
     """
     have = realities.where("query_centroid is not null").select("reality_id", "query_centroid")
-    pairs = questions.where("qv is not null").join(have, F.size("qv") == F.size("query_centroid"))
+    pairs = V.meet(have, "query_centroid", questions.where("qv is not null").select("q", "qv"), "qv")
     pairs = pairs.select("q", "reality_id", F.round(1 - V.cosine(F.col("qv"), F.col("query_centroid")), 9).alias("d")).where(F.col("d") <= config.theta_max)
     order = Window.partitionBy("q").orderBy("d", "reality_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)
@@ -76,7 +76,7 @@ def question_clouds(strands: DataFrame, mapping: DataFrame, vectors: DataFrame,
 def inject_log(blocks: DataFrame, clouds: DataFrame, k: int = 3) -> DataFrame:
     """For each block's first question, the nearest clouds: ``session_id, topic_id, picked, empty``.
     ``blocks`` has ``session_id, topic_id, vec``."""
-    pairs = blocks.join(clouds, F.size("vec") == F.size("mean")).select("session_id", "topic_id", "reality_id", F.round(V.cosine(F.col("vec"), F.col("mean")), 9).alias("c")).where("c > 0")
+    pairs = V.meet(blocks, "vec", clouds, "mean").select("session_id", "topic_id", "reality_id", F.round(V.cosine(F.col("vec"), F.col("mean")), 9).alias("c")).where("c > 0")
     order = Window.partitionBy("session_id", "topic_id").orderBy(F.col("c").desc(), "reality_id")
     best = pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
     best = best.groupBy("session_id", "topic_id").agg(F.array_sort(F.collect_list(F.struct("k", "reality_id"))).alias("p"))
@@ -87,7 +87,7 @@ def inject_log(blocks: DataFrame, clouds: DataFrame, k: int = 3) -> DataFrame:
 
 def themes_for(questions: DataFrame, themes: DataFrame, decisions: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Themes for each question: none of too small a cosine, then the decisions' picks or the first few."""
-    pairs = questions.where("qv is not null").join(themes.where("centroid is not null"), F.size("qv") == F.size("centroid"))
+    pairs = V.meet(themes.where("centroid is not null"), "centroid", questions.where("qv is not null").select("q", "qv"), "qv")
     pairs = pairs.select("q", "theme_id", F.round(V.cosine(F.col("qv"), F.col("centroid")), 9).alias("c")).where(F.col("c") >= config.negative_cosine)
     if decisions is not None:
         decided = decisions.select("q").distinct().withColumn("decided", F.lit(True))

@@ -62,12 +62,11 @@ def ranked(scores: DataFrame, by: str, q: str = "q", doc: str = "doc", limit: in
 def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vec: str, q_key: str, q_vec: str) -> DataFrame:
     """Cosines of each query and each vector of its length: ``q, doc, score``.
 
-    The queries are the stated set; vectors are read once and never shuffled if the queries are
-    small enough for Spark to broadcast.
+    The queries are the stated set, broadcast or in blocks (:func:`vector.meet`).
     """
     asked = queries.select(F.col(q_key).alias("q"), V.doubles(F.col(q_vec)).alias("qv"))
     rows = vectors.select(F.col(key).alias("doc"), V.doubles(F.col(vec)).alias("dv"))
-    both = rows.join(asked, F.size("dv") == F.size("qv"))
+    both = V.meet(rows, "dv", asked, "qv")
     return both.select("q", "doc", V.cosine(F.col("qv"), F.col("dv")).alias("score"))
 
 
@@ -95,6 +94,17 @@ def retrieve(bm25: DataFrame, cosines: DataFrame, queries: DataFrame, k: int = 1
     return fuse(first.unionByName(second), config).where(F.col("rank") < k)
 
 
+def retrieve_tools(tools: DataFrame, queries: DataFrame, k: int = 10, config: Config = Config()) -> DataFrame:
+    """Tools that a query hits, by what is said of them and their vectors: ``q, doc, score, rank``.
+
+    The same retrieval over another corpus: ``tools`` has ``tool, text, vec``; ``queries`` has ``q, text,
+    vec``. An empty corpus, or no query, gives nothing.
+    """
+    lexical = bm25_scores(tools, queries, "tool", "text", "q", "text", config)
+    semantic = cosine_scores(tools.where("vec is not null"), queries.where("vec is not null"), "tool", "vec", "q", "vec")
+    return retrieve(lexical, semantic, queries, k, config)
+
+
 def retrieve_topics(topics: DataFrame, queries: DataFrame, k: int = 10, config: Config = Config()) -> DataFrame:
     """Topics that a query hits, by their joined text and centroid: ``q, topic_id``.
 

@@ -14,6 +14,7 @@ from tracewell.functions import text as T
 from tracewell.operators import docs, graph, log, merge, recall, refine, topics
 from tracewell.plans.core_queries import LOG, SEGMENTS, _log, _segments
 from tracewell.sources import tables as S
+from tracewell.streaming import counters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -194,6 +195,16 @@ def numbered_appends(spark, sf_dir):
     return log.append_numbered(old, _rows(spark, _APPENDED), "id", ["place"]).select("id", "name")
 
 
+@query("""WITH d AS (SELECT user_id AS session_id, (event_id // 100)::BIGINT AS request_id, event_id, event_type, floor(abs(value))::BIGINT AS chars FROM events), s AS (SELECT session_id, request_id, max(CASE WHEN event_type = 'view' THEN event_id END) AS s FROM d GROUP BY 1, 2)
+SELECT d.session_id::VARCHAR AS session_id, d.request_id::VARCHAR AS request_id, count(*) AS chunk_count, sum(CASE WHEN event_type = 'click' THEN chars ELSE 0 END)::BIGINT AS reasoning_chars, sum(CASE WHEN event_type <> 'click' THEN chars ELSE 0 END)::BIGINT AS text_chars
+FROM d JOIN s USING (session_id, request_id) WHERE event_type <> 'view' AND (s IS NULL OR event_id > s) GROUP BY 1, 2""")
+def restarted_counters(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "reasoning").otherwise("text")
+    e = S.read(spark, sf_dir, "events")
+    deltas = e.select(F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 100).cast("string").alias("request_id"), "event_id", kind.alias("kind"), F.floor(F.abs("value")).cast("long").alias("chars"))
+    return counters.count_since_start(deltas)
+
+
 # -- rules of text ---------------------------------------------------------------------------------
 
 _SAYINGS = """(VALUES (1, '换话题吧，看看别的'), (2, '好的'), (3, 'Switching Gears now'), (4, '   ok   '), (5, '这里不对，Fixed it'), (6, 'a plain message of some length'), (7, ''), (8, '根因是配置'), (9, 'prefix of it'), (10, '我们说回正事')) AS t(id, text)"""
