@@ -57,9 +57,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = keys.join(small(collided), "h", "left_anti").withColumn("g", F.col("h")).unionByName(bad)
     # The greatest of (length, id known, id from the smallest) by group; partial aggregates meet a hot group's rows first.
     best = F.max(F.struct("n", F.col("id").isNotNull().alias("known"), F.bitwise_not(F.col("id")).alias("neg"))).alias("best")
-    groups = keys.groupBy("g").agg(best, F.sum("m").alias("group_size"))
-    joined = keys.join(groups, "g").select("id", "sha", "m", "n", "group_size", F.bitwise_not(F.col("best.neg")).alias("keep_id"), F.col("best.n").alias("keep_n"))
-    mine = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
+    groups = materialise(keys.groupBy("g").agg(best, F.sum("m").alias("group_size")).where("group_size > 1"), "exact-groups")
+    # A row that is alone with its text needs no partner; the others meet one row a group, which is
+    # broadcast if there are few groups, so that a hot group's rows stay where they are.
+    joined = keys.join(small(groups), "g", "left").withColumn("alone", F.col("group_size").isNull())
+    keep_id = F.when(F.col("alone"), F.col("id")).otherwise(F.bitwise_not(F.col("best.neg")))
+    joined = joined.select("id", "sha", "m", "n", "alone", F.coalesce("group_size", F.lit(1)).alias("group_size"), keep_id.alias("keep_id"), F.col("best.n").alias("keep_n"))
+    mine = F.col("alone") | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n")))
     rows = joined.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return rows.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"),

@@ -421,9 +421,12 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
     each = each.join(classes.select(F.col("id").alias("node"), "component", F.lit(False).alias("bare")), ["node", "bare"], "left")
     each = materialise(each.select("id", "key", "bare", F.coalesce("component", "node").alias("class"), "m"), "near-each")
     sizes = each.groupBy(F.col("bare").alias("b"), F.col("class").alias("c")).agg(F.sum("m").alias("class_size"), F.min(F.struct("id", "key")).alias("first"))
-    full = each.join(sizes, (F.col("class") == F.col("c")) & (F.col("bare") == F.col("b"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    mine = (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    full = full.select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", (mine & (F.col("k") == 1)).alias("kept"), "key")
+    # Documents that are alone need no partner; the others meet one row a class.
+    sizes = small(materialise(sizes.where("class_size > 1"), "near-class-sizes"))
+    full = each.join(sizes, (F.col("class") == F.col("c")) & (F.col("bare") == F.col("b")), "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    mine = F.col("c").isNull() | ((F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key")))
+    class_id = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    full = full.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (mine & (F.col("k") == 1)).alias("kept"), "key")
     nameless = signed.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "key")
     return full.unionByName(nameless)
 
