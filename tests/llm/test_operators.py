@@ -198,6 +198,10 @@ def test_token_counts(docs, empty, monkeypatch):
     trie = token_counts.Trie(scores, byte_score)
     words = ["hello", "help", "helpful", "hello", "x" * 300, "naïve", "数据"]
     assert [trie.count([w]) for w in words] == [best_split(w, scores, byte_score) for w in words]
+    trie.clear()
+    trie.count(["help", "helpful", "helps", "hel"])
+    assert len(trie.best) == len("▁helpful") + len("s") + 1  # shared prefixes are scored once
+    assert trie.count(words * 2) == 2 * sum(best_split(w, scores, byte_score) for w in words)
 
 
 def test_packing(docs, empty):

@@ -43,23 +43,26 @@ class Trie:
 
     def __init__(self, scores: dict[str, float], byte_score: float) -> None:
         self.scores, self.byte_score = scores, byte_score
-        self.longest = max(map(len, scores), default=1)
+        # Every ending of a piece: its score if it is a piece itself, else a number above any log
+        # probability. A search for the pieces that end at a place stops at the first that isn't here.
+        self.endings = {p[j:]: 1.0 for p in scores for j in range(len(p))} | scores
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[int, int] = {}
+        self.children: dict[int, int] = {}  # by character and node; the low bits differ, so that few keys collide
         self.best, self.tokens = [0.0], [0]
         self.counts: dict[str, int] = {}
 
     def step(self, word: str, d: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Best (score, tokens) of ``word[:d]`` from those of all shorter prefixes; fewer tokens win ties."""
         top, count = -math.inf, 0
-        get = self.scores.get
-        for j in range(max(0, d - self.longest), d):
-            if (s := get(word[j:d])) is not None:
+        get, j = self.endings.get, d - 1
+        while j >= 0 and (s := get(word[j:d])) is not None:
+            if s <= 0.0:
                 s += best[j]
                 if s > top or (s == top and tokens[j] + 1 < count):
                     top, count = s, tokens[j] + 1
+            j -= 1
         if word[d - 1] not in self.scores:  # no piece for the character: its bytes
             n = len(word[d - 1].encode("utf-8", "surrogatepass"))
             s = best[d - 1] + n * self.byte_score
@@ -77,32 +80,36 @@ class Trie:
         return tokens[-1]
 
     def insert(self, word: str) -> None:
-        marked, node = _START + word, 0
-        path_best, path_tokens = [0.0], [0]
-        for d, ch in enumerate(marked, 1):
-            key = node << 21 | ord(ch)
-            child = self.children.get(key)
+        marked, children = _START + word, self.children
+        path = [0]
+        for ch in marked:
+            child = children.get(ord(ch) << 40 | path[-1])
             if child is None:
-                s, n = self.step(marked, d, path_best, path_tokens)
-                child = self.children[key] = len(self.best)
-                self.best.append(s)
-                self.tokens.append(n)
-            node = child
-            path_best.append(self.best[node])
-            path_tokens.append(self.tokens[node])
-        self.counts[word] = path_tokens[-1]
+                break
+            path.append(child)
+        node, known = path[-1], len(path)
+        if known <= len(marked):
+            best, tokens = [self.best[x] for x in path], [self.tokens[x] for x in path]
+            for d in range(known, len(marked) + 1):
+                s, n = self.step(marked, d, best, tokens)
+                best.append(s)
+                tokens.append(n)
+                children[ord(marked[d - 1]) << 40 | node] = child = len(self.best) + d - known
+                node = child
+            self.best += best[known:]
+            self.tokens += tokens[known:]
+        self.counts[word] = self.tokens[node]
 
     def count(self, words: list[str]) -> int:
         if len(self.counts) > TRIE_WORDS or len(self.best) > TRIE_NODES:
             self.clear()
-        counts, total = self.counts, 0
-        for w in set(words):
-            if w not in counts and len(w) <= LONG_WORD:
-                self.insert(w)
-        for w in words:
-            n = counts.get(w)
-            total += self.alone(w) if n is None else n
-        return total
+        found = list(map(self.counts.get, words))
+        if None in found:
+            for w in dict.fromkeys([w for w, n in zip(words, found, strict=True) if n is None]):
+                if len(w) <= LONG_WORD:
+                    self.insert(w)
+            found = [self.alone(w) if n is None else n for w, n in zip(words, map(self.counts.get, words), strict=True)]
+        return sum(found)
 
 
 _TRIES: dict[str, Trie] = {}
