@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.config import Config
 from tracewell.functions import vector as V
-from tracewell.operators import search
+from tracewell.operators import recall, search
 
 
 @pytest.mark.parametrize("most", [10**6, 7, 1])
@@ -16,6 +17,20 @@ def test_every_pair_of_a_length_meets_once(spark, most):
     assert V.meet(rows, "v", queries.where("false"), "w", most).count() == 0 and V.meet(rows.where("false"), "v", queries, "w", most).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_lexical_recall_in_blocks(spark, most):
+    objects = spark.createDataFrame([(i, "abcdef"[: i % 7], "xyz") for i in range(20)] + [(50, None, None)], "reality_id long, name string, hdl string")
+    asked = spark.createDataFrame([(1, "abcd"), (2, "yz"), (3, ""), (4, None)], "q long, text string")
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t or "") - 1)}
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = []
+    for q, text in [(1, "abcd"), (2, "yz"), (3, ""), (4, None)]:
+        all_of_it = [(round(1 - max(alike(pairs(text), pairs("abcdef"[: i % 7])), alike(pairs(text), pairs("xyz"))), 9), i) for i in range(20)] + [(1.0, 50)]
+        want += [(q, i, d, k) for k, (d, i) in enumerate(sorted(all_of_it)[: Config().recall_candidates], 1)]
+    got = sorted((r.q, r.reality_id, r.d, r["rank"]) for r in recall.lexical(asked, objects, most=most).collect())
+    assert got == sorted(want)
+
+
 def test_tools_and_topics_are_retrieved(spark):
     tools = spark.createDataFrame([("grep", "search text in files", [1.0, 0.0]), ("make", "build a project", [0.0, 1.0]), ("none", "", None)], "tool string, text string, vec array<double>")
     queries = spark.createDataFrame([(1, "search files", [0.9, 0.1]), (2, "zzz", None)], "q long, text string, vec array<double>")

@@ -36,16 +36,22 @@ def meet(rows: DataFrame, vec: str, queries: DataFrame, query_vec: str, most: in
     that, queries are cut into blocks of that size and rows into as many parts as a shuffle has
     partitions, and every block meets every part in a task of its own.
     """
-    size = int(queries.agg(F.coalesce(F.sum(F.greatest(F.size(query_vec), F.lit(0))), F.lit(0))).first()[0])
-    alike = F.size(vec) == F.size(query_vec)
+    return beside(rows, vec, queries, query_vec, F.size(query_vec), F.size(vec) == F.size(query_vec), most)
+
+
+def beside(rows: DataFrame, col: str, queries: DataFrame, query_col: str, weight: Column, on: Column | None = None, most: int = BROADCAST_COMPONENTS) -> DataFrame:
+    """Each row beside each query (or those that ``on`` lets meet), dealt as in :func:`meet`: by the
+    values of ``col`` and ``query_col``, with ``weight`` as the size of a query."""
+    on = F.lit(True) if on is None else on
+    size = int(queries.agg(F.coalesce(F.sum(F.greatest(weight, F.lit(0))), F.lit(0))).first()[0])
     if size <= most:
-        return rows.join(F.broadcast(queries), alike)
+        return rows.join(F.broadcast(queries), on)
     blocks, parts = -(-size // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("_part", place(vec, parts)).withColumn("_block", every(blocks))
-    right = queries.withColumn("_its_block", place(query_vec, blocks)).withColumn("_its_part", every(parts))
-    met = left.join(right, alike & (F.col("_part") == F.col("_its_part")) & (F.col("_block") == F.col("_its_block")))
+    left = rows.withColumn("_part", place(col, parts)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_its_block", place(query_col, blocks)).withColumn("_its_part", every(parts))
+    met = left.join(right, on & (F.col("_part") == F.col("_its_part")) & (F.col("_block") == F.col("_its_block")))
     return met.drop("_part", "_block", "_its_part", "_its_block")
 
 

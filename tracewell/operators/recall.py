@@ -31,12 +31,16 @@ def in_range(questions: DataFrame, realities: DataFrame, config: Config = Config
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)
 
 
-def lexical(questions: DataFrame, realities: DataFrame, config: Config = Config()) -> DataFrame:
-    """Without vectors: distance by shared character pairs with name or headline: ``q, reality_id, d, rank``."""
+def lexical(questions: DataFrame, realities: DataFrame, config: Config = Config(), most: int = V.BROADCAST_COMPONENTS) -> DataFrame:
+    """Without vectors: distance by shared character pairs with name or headline: ``q, reality_id, d, rank``.
+
+    The questions are a stated set, and every object has a distance to each. They are broadcast if
+    their pairs (summed first) are few; else blocks of them meet parts of the objects.
+    """
     q = questions.select("q", T.character_pairs(F.col("text")).alias("qp"))
     r = realities.select("reality_id", T.character_pairs(F.col("name")).alias("np"), T.character_pairs(F.col("hdl")).alias("hp"))
     both = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), T.jaccard(a, b)).otherwise(0.0)
-    pairs = q.crossJoin(r)  # a stated query set against all rows: every object has a distance
+    pairs = V.beside(r, "reality_id", q, "q", F.size("qp") + 1, most=most)
     pairs = pairs.select("q", "reality_id", F.round(1 - F.greatest(both(F.col("qp"), F.col("np")), both(F.col("qp"), F.col("hp"))), 9).alias("d"))
     order = Window.partitionBy("q").orderBy("d", "reality_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)

@@ -287,8 +287,8 @@ def label_centroids(spark, sf_dir):
 def radius_grades(spark, sf_dir):
     asked = S.read(spark, sf_dir, "embeddings").where("label is not null").select("vec_id", V.doubles(F.col("embedding")).alias("qv"))
     geo = _geometry(spark, sf_dir)
-    # Topics are one row a label.
-    return asked.crossJoin(geo).select("vec_id", "label", topics.radius_grade(F.col("qv"), F.col("centroid"), F.col("max_intra"), F.col("nearest"), F.lit(False)).alias("grade"))
+    # Topics are one row a label, and small enough to broadcast by their summed components, or else dealt in blocks.
+    return V.beside(asked, "vec_id", geo, "centroid", F.size("centroid")).select("vec_id", "label", topics.radius_grade(F.col("qv"), F.col("centroid"), F.col("max_intra"), F.col("nearest"), F.lit(False)).alias("grade"))
 
 
 def _graded(spark, sf_dir):
