@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_counts, toxicity, warc
+from tracewell.llm import embedding_dedup, exact_dedup, hard_negatives, html_text, merkle, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity, warc
 from tracewell.llm.common import read_table
 
 
@@ -52,6 +52,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: hard_negatives.in_steps(x)).alias("embedding"),
+    )
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read_table(spark, sf_dir, "documents")).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -64,8 +82,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mixing": op10_mixing,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op4_warc": warc.ORACLE,
+        "op9_embedding_dedup": embedding_dedup.ORACLE,
+        "op10_mixing": mixing.ORACLE,
+        "op11_substring_dedup": substring_dedup.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
+    }
