@@ -20,15 +20,17 @@ from pyspark.sql.window import Window
 LEAST = 20
 #: Bytes of text whose words are named together (one text may hold more), words whose windows are
 #: compared together, and bytes that are hashed at once.
-SLICE, PIECE, BLOCK = 6 << 20, 1 << 20, 1 << 18
+SLICE, PIECE, BLOCK = 12 << 20, 2 << 20, 1 << 18
 #: Bytes of a window's name that go to the last level.
 NAME = 6
 #: Stands for a null id in the order of documents.
 LAST = (1 << 63) - 1
 
 _BASE = 0x9E3779B97F4A7C15
-_ANCHOR = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("txt", pa.int32()), ("p", pa.int32()), ("hi", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("names", pa.binary())])
-ANCHOR = "h long, id long, txt int, p int, hi int, l int, r int, names binary"
+#: What a task says of an anchor: its name; its document; the text's hash and the anchor's word, 32 bits
+#: each; the halves' names, likewise; the first window's offset, then the windows' names.
+_ANCHOR = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("spot", pa.int64()), ("halves", pa.int64()), ("names", pa.binary())])
+ANCHOR = "h long, id long, spot long, halves long, names binary"
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,6 +100,11 @@ def _later(names: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray
     return out
 
 
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The low 32 bits of two numbers in one."""
+    return (high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+
 def _piece(words: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, txt: np.ndarray, least: int, limit: int):
     """Rows for the windows that start at the first ``limit`` of these words.
 
@@ -130,23 +137,24 @@ def _piece(words: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarra
     if len(begin):
         p = anchor[begin]
         keep = np.repeat(open_, np.diff(np.append(np.flatnonzero(fresh), len(s))))
-        raw = np.ascontiguousarray(names[keep]).view(np.uint8).reshape(-1, 8)[:, :NAME]
-        ends = np.concatenate([[0], np.cumsum(size * NAME)]).astype(np.int32)
-        blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+        ends = np.concatenate([[0], np.cumsum(size * NAME + 1)])
+        raw = np.empty(ends[-1], np.uint8)
+        heads = np.zeros(len(raw), bool)
+        heads[ends[:-1]] = True
+        raw[heads] = p - s[begin]
+        raw[~heads] = np.ascontiguousarray(names[keep]).view(np.uint8).reshape(-1, 8)[:, :NAME].ravel()
+        blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
         left, right = two[np.maximum(p - quarter, 0)], two[np.minimum(p, len(two) - 1)]
-        d = doc[p]
-        low = [x.astype(np.uint32).view(np.int32) for x in (left, right)]
-        yield [one[p].view(np.int64), ids[d], txt[d], place[p].astype(np.int32), (p - s[begin]).astype(np.int32), *low, blob]
+        yield [one[p].view(np.int64), ids[doc[p]], _pair(txt[doc[p]], place[p]), _pair(left, right), blob]
     gone = s[settled]
     if len(gone):
         cut = np.ones(len(gone), bool)
         cut[1:] = (gone[1:] != gone[:-1] + 1) | (doc[gone[1:]] != doc[gone[:-1]])
         begin = np.flatnonzero(cut)
-        size = np.diff(np.append(begin, len(gone))).astype(np.int32)
-        d, p = doc[gone[begin]], place[gone[begin]].astype(np.int32)
+        size = np.diff(np.append(begin, len(gone)))
+        d, p = doc[gone[begin]], place[gone[begin]]
         spread = mix(ids[d].view(np.uint64), p.astype(np.uint64)).view(np.int64)
-        zero = np.zeros(len(begin), np.int32)
-        yield [spread, ids[d], txt[d], p, zero - 1, size, zero, pa.nulls(len(begin), pa.binary())]
+        yield [spread, ids[d], _pair(txt[d], p), size, pa.nulls(len(begin), pa.binary())]
 
 
 def _slices(batch: pa.RecordBatch):
@@ -185,7 +193,7 @@ def _anchors(least: int):
 
 
 def _offset_name(o: Column) -> Column:
-    return F.expr(f"substring(names, {NAME} * (hi - o) + 1, {NAME})")
+    return F.expr(f"substring(names, {NAME} * (hi - o) + 2, {NAME})")
 
 
 def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -198,7 +206,9 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     quarter = least // 4
     rows = docs.select("id", "txt", "text").mapInArrow(_anchors(least), ANCHOR).repartition("h")
     marks = F.col("names").isNull()
-    low = F.expr(f"hi - length(names) div {NAME} + 1")
+    rows = rows.select("h", "id", "names", "halves", F.shiftright("spot", 32).cast("int").alias("txt"), F.expr("cast(spot & 4294967295L as int)").alias("p"))
+    rows = rows.withColumns({"l": F.shiftright("halves", 32), "r": F.expr("halves & 4294967295L"), "hi": F.conv(F.hex(F.substring("names", 1, 1)), 16, 10).cast("int")})
+    low = F.expr(f"hi - (length(names) - 1) div {NAME} + 1")
     # A quarter: anchors that repeat.
     rows = rows.withColumn("n", F.count("names").over(Window.partitionBy("h"))).where(marks | (F.col("n") > 1))
     # Half: an anchor with the quarter after it for windows that hold it, else with the one before.
@@ -213,7 +223,7 @@ def repeated_windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     first = F.min(own).over(Window.partitionBy("h", "o", "half", "name"))
     rows = rows.withColumn("first", first).where(marks | (F.col("first") < own))
     bit = F.when(~marks, F.expr("shiftleft(1L, o)"))
-    return rows.groupBy("h", "id", "txt", "p").agg(F.bit_or(bit).alias("mask"), F.max(F.when(marks, F.col("l"))).alias("run")).drop("h")
+    return rows.groupBy("h", "id", "txt", "p").agg(F.bit_or(bit).alias("mask"), F.max(F.when(marks, F.col("halves"))).alias("run")).drop("h")
 
 
 def _covered(hits, words: int, least: int) -> np.ndarray:
