@@ -89,10 +89,12 @@ def test_names_do_not_depend_on_blocks_and_pieces(monkeypatch):
         held = set()
         for out in substring_dedup._anchors(20)(iter([batch])):
             for r in out.to_pylist():
+                p = r["spot"] & 0xFFFFFFFF
+                assert r["spot"] >> 32 == 1
                 if r["names"] is None:
-                    held |= set(range(r["p"], r["p"] + r["l"]))
+                    held |= set(range(p, p + r["halves"]))
                 else:
-                    held |= {r["p"] - r["hi"] + j for j in range(len(r["names"]) // substring_dedup.NAME)}
+                    held |= {p - r["names"][0] + j for j in range(len(r["names"]) // substring_dedup.NAME)}
         return held
 
     assert windows(1 << 20) == windows(100) == set(range(881))
@@ -134,7 +136,7 @@ def test_negatives_equal_brute_force(spark):
 def test_tree_opens_only_the_annulus():
     draw = np.random.default_rng(5)
     x = np.floor(draw.standard_normal((3000, 3)) * 256)
-    tree = hard_negatives.VantageTree(x, np.arange(3000), np.zeros(3000))
+    tree = hard_negatives.VantageTree(x, np.arange(3000), np.zeros(3000), leaf=32)
     looked = []
     scores = tree.scores
     tree.scores = lambda first, last, q: looked.append(last - first) or scores(first, last, q)
@@ -143,7 +145,7 @@ def test_tree_opens_only_the_annulus():
     for low, high, most in ((None, None, 1500), (1000, 40_000, 2999), (-5000, 0, 2999), (top + 1, 2 * top, 0), (10**7, None, 0)):
         looked.clear()
         want = sorted((-int(s), i) for i, s in enumerate(true) if (low is None or s >= low) and (high is None or s <= high))[:7]
-        assert tree.nearest(x[0], low, high, 7, lambda at: True) == [(i, -s) for s, i in want]
+        assert hard_negatives.Walk(tree, x[0], np.ones(3000, bool)).nearest(low, high, 7) == [(i, -s) for s, i in want]
         assert sum(looked) <= most
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from tracewell.llm.common import leaves_nothing, materialise, small
 #: hundredths) between which its negatives lie.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Rows and components of a block of indexed rows at most, anchors of a block, rows of a leaf.
-BLOCK_ROWS, BLOCK_VALUES, BLOCK_ANCHORS, LEAF = 4096, 1 << 20, 1024, 64
+BLOCK_ROWS, BLOCK_VALUES, BLOCK_ANCHORS, LEAF = 8192, 1 << 20, 1024, 256
 #: Share of the squared lengths by which rounding may move a bound.
 SLACK = 1e-6
 _MOST = (1 << 63) - 1
@@ -36,13 +37,15 @@ class VantageTree:
         self.most = float(squares.max()) if len(x) else 0.0
         self.measured = self.most < 1e150
         self.order = np.arange(len(x))
-        #: A node: first and last row, vantage vector or None, and for its two halves the node and the
-        #: least and greatest distance to the vantage point.
+        #: A node: first and last row, number of its vantage point or None, and for its two halves the
+        #: node and the least and greatest distance to the vantage point.
         self.nodes: list = []
+        self.vantages: list | np.ndarray = []
         if self.measured and len(x):
             self._tall = np.hstack([x, np.sqrt(np.maximum(self.most - squares, 0))[:, None]])
             self._leaf = leaf
             self._build(0, len(x))
+            self.vantages = np.array(self.vantages)
             del self._tall
         else:
             self.nodes.append((0, len(x), None, ()))
@@ -60,14 +63,14 @@ class VantageTree:
             vantage = halves = None
             if last - first > self._leaf:
                 rows = self._tall[own]
-                vantage = rows[np.argmax(self._between(rows, rows[0]))]
-                far = self._between(rows, vantage)
+                point = rows[np.argmax(self._between(rows, rows[0]))]
+                far = self._between(rows, point)
                 middle = (last - first) // 2
                 by = np.argpartition(far, middle)
                 self.order[first:last], far = own[by], far[by]
-                if far[:middle].min() == far[middle:].max():  # all alike: nothing tells them apart
-                    vantage = None
-                else:
+                if far[:middle].min() < far[middle:].max():  # else nothing tells the rows apart
+                    vantage = len(self.vantages)
+                    self.vantages.append(point)
                     halves = [[-1, far[:middle].min(), far[:middle].max()], [-1, far[middle:].min(), far[middle:].max()]]
             self.nodes.append((first, last, vantage, halves))
             if vantage is not None:
@@ -84,43 +87,62 @@ class VantageTree:
         whole = [int(c) for c in q]
         return [max(-_MOST - 1, min(_MOST, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in x]
 
-    def nearest(self, q: np.ndarray, low: int | None, high: int | None, k: int, fits) -> list[tuple[int, int]]:
-        """The first ``k`` rows ``(id, score)`` of those that fit with a score from ``low`` to ``high``,
-        higher scores and then smaller ids first. Nodes are opened nearest first; one whose rows
-        lie all outside the annulus is never opened."""
-        size = float(q @ q)
-        measured = self.measured and 0 < size < 1e150 and self.most > 0
-        scale = math.sqrt(self.most / size) if measured and size else 1.0  # as long as the rows are
-        slack = SLACK * self.most
-        tall = np.append(q * scale, 0.0)
 
-        def best(distance: float) -> float:
-            return (self.most - distance * distance / 2 + slack) / scale if measured else math.inf
+class Walk:
+    """Searches of one vector ``q`` in a tree, among the rows that ``fits`` marks; a leaf that several of
+    them reach is scored once."""
 
+    def __init__(self, tree: VantageTree, q: np.ndarray, fits: np.ndarray) -> None:
+        self.tree, self.q, self.fits = tree, q, fits
+        size = float(q @ q)
+        self.measured = tree.measured and 0 < size < 1e150 and tree.most > 0
+        self.scale = math.sqrt(tree.most / size) if self.measured else 1.0  # as long as the rows are
+        self.slack = SLACK * tree.most
+        self.leaves: dict[int, tuple[list[int], list[int]]] = {}
+        if self.measured and len(tree.vantages):
+            gap = tree.vantages - np.append(q * self.scale, 0.0)
+            self.distances = np.sqrt(np.einsum("nd,nd->n", gap, gap)).tolist()
+
+    def best(self, distance: float) -> float:
+        """What a row at this distance scores at most."""
+        return (self.tree.most - distance * distance / 2 + self.slack) / self.scale if self.measured else math.inf
+
+    def leaf(self, node: int) -> tuple[list[int], list[int]]:
+        """Negated scores and ids of a node's rows, best first."""
+        if node not in self.leaves:
+            first, last = self.tree.nodes[node][:2]
+            own = np.flatnonzero(self.fits[first:last])
+            scores, ids = self.tree.scores(first, last, self.q), self.tree.ids[first:last].tolist()
+            found = sorted((-scores[i], ids[i]) for i in own.tolist())
+            self.leaves[node] = [x[0] for x in found], [x[1] for x in found]
+        return self.leaves[node]
+
+    def nearest(self, low: int | None, high: int | None, k: int) -> list[tuple[int, int]]:
+        """The first ``k`` rows ``(id, score)`` of those with a score from ``low`` to ``high``, higher
+        scores and then smaller ids first. Nodes are opened nearest first; one whose rows lie all
+        outside the annulus is never opened, and a leaf gives its rows one by one."""
         heap, out, count = [(-math.inf, 0, 0, 0, 0.0, math.inf)], [], 0
         while heap and len(out) < k:
             _, kind, number, node, near, far = heapq.heappop(heap)
             if kind:
-                out.append((number, node))
-                continue
-            first, last, vantage, halves = self.nodes[node]
-            if vantage is None or not measured:
-                found = []
-                for at, score in enumerate(self.scores(first, last, q), first):
-                    if (low is None or score >= low) and (high is None or score <= high) and fits(at):
-                        found.append((-score, 1, int(self.ids[at]), score, 0.0, 0.0))
-                for item in heapq.nsmallest(k, found):
-                    heapq.heappush(heap, item)
-                continue
-            gap = tall - vantage
-            distance = math.sqrt(gap @ gap)
-            for child, least, most in halves:
-                nearer, farther = max(near, distance - most, least - distance), min(far, distance + most)
-                top = best(nearer)
-                if low is not None and top < low or high is not None and best(farther) - 2 * slack / scale > high:
+                out.append((number, -self.leaf(node)[0][near]))
+                at = near + 1
+            else:
+                _, _, vantage, halves = self.tree.nodes[node]
+                if vantage is not None and self.measured:
+                    distance = self.distances[vantage]
+                    for child, least, most in halves:
+                        nearer, farther = max(near, distance - most, least - distance), min(far, distance + most)
+                        top = self.best(nearer)
+                        if low is not None and top < low or high is not None and self.best(farther) - 2 * self.slack / self.scale > high:
+                            continue
+                        count += 1
+                        heapq.heappush(heap, (-top if high is None else -min(top, float(high)), 0, count, child, nearer, farther))
                     continue
-                count += 1
-                heapq.heappush(heap, (-top if high is None else -min(top, float(high)), 0, count, child, nearer, farther))
+                at = 0 if high is None else bisect_left(self.leaf(node)[0], -high)
+            scores, ids = self.leaf(node)
+            if at < len(ids) and (low is None or -scores[at] >= low):
+                heapq.heappush(heap, (scores[at], 1, ids[at], node, at, 0.0))
         return out
 
 
@@ -129,10 +151,10 @@ def _vectors(column, rows: int) -> np.ndarray:
 
 
 def _split(table: pa.Table):
-    """The tree of a task's indexed rows, and its anchors as ``(row, vector)``."""
+    """The tree of a task's indexed rows, its anchors as ``(row, vector)``, ids, and labels as numbers."""
     asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
     x = _vectors(table["vec"], len(table))
-    ids, labels = table["id"].to_numpy(), np.array(table["label"].to_pylist(), dtype=object)
+    ids, labels = table["id"].to_numpy(), table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
     tree = VantageTree(x[~asks], ids[~asks], labels[~asks])
     return tree, [(int(r), x[r]) for r in np.flatnonzero(asks)], ids, labels
 
@@ -151,9 +173,9 @@ def _positives(k: int):
         out = []
         tree, anchors, ids, labels = _split(table)
         for row, q in anchors:
-            own, label = ids[row], labels[row]
-            for other, score in tree.nearest(q, None, None, k, lambda at: tree.labels[at] == label and tree.ids[at] != own):  # noqa: B023
-                out.append((table["anchor"][row].as_py(), int(own), other, score))
+            walk = Walk(tree, q, (tree.labels == labels[row]) & (tree.ids != ids[row]))
+            for other, score in walk.nearest(None, None, k):
+                out.append((table["anchor"][row].as_py(), int(ids[row]), other, score))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["anchor", "anchor_id", "positive_id", "positive_score"])
 
     return run
@@ -169,12 +191,12 @@ def _negatives(k: int, low: int, high: int):
         out = []
         tree, anchors, ids, labels = _split(table)
         for row, q in anchors:
-            label, known = labels[row], {}
+            walk, known = Walk(tree, q, tree.labels != labels[row]), {}
             for p in table["positives"][row].as_py():
                 score = p["positive_score"]
                 window = (-(-low * score // 100), high * score // 100)
                 if window not in known:
-                    known[window] = tree.nearest(q, *window, k, lambda at: tree.labels[at] != label) if window[0] <= window[1] else []  # noqa: B023
+                    known[window] = walk.nearest(*window, k) if window[0] <= window[1] else []
                 for other, own in known[window]:
                     out.append((table["anchor"][row].as_py(), int(ids[row]), p["positive_id"], p["place"], score, other, own))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["anchor", "anchor_id", "positive_id", "place", "positive_score", "negative_id", "negative_score"])
