@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import connected_components, fresh, leaves_nothing, materialise, quoted, small, uses_cache
 from tracewell.llm.linear import token_hashes
 
+#: Numbers that are given out stay below this.
+FAR = 1 << 62
 #: Words of a shingle and the least weighted Jaccard similarity of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
 #: Samples per text: a pair at the threshold shares one of 14 bands of 4 with probability 0.9994.
@@ -368,12 +370,17 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
     nodes = known.where("bands is not null").groupBy("key").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
     table = table.where("id is not null and vec is not null")
-    # Ids that hold several texts: each text that is a node gets a number of its own, beyond all ids.
+    # Ids that hold several texts: each text that is a node gets a number of its own, beyond all ids or
+    # below them. If ids lie at both ends of what a long holds, all nodes are numbered anew.
     several = materialise(known.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id"), "near-several")
     if not several.isEmpty():
-        top = known.agg(F.max("id")).first()[0] + 1
+        low, top = known.agg(F.min("id"), F.max("id")).first()
+        count = F.monotonically_increasing_id()
+        number = F.lit(top + 1) + count if top < FAR else F.lit(low - 1) - count if low > -FAR else count
+        if -FAR >= low and top >= FAR:
+            several = materialise(known.select("id").distinct(), "near-several")
         numbered = materialise(nodes.join(small(several), nodes["node"] == several["id"], "left_semi").select(F.col("node").alias("id"), "key"), "near-told")
-        numbered = materialise(numbered.withColumn("number", F.lit(top) + F.monotonically_increasing_id()), "near-numbered")
+        numbered = materialise(numbered.withColumn("number", number), "near-numbered")
         nodes = nodes.join(numbered.select("key", "number"), "key", "left").withColumn("node", F.coalesce("number", "node")).drop("number")
         nodes = materialise(nodes, "near-nodes")
         told = table.join(small(several), "id", "left_semi").join(numbered, ["id", "key"]).select(F.col("number").alias("id"), "key", "vec")
