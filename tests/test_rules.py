@@ -254,10 +254,7 @@ def test_health_factors(spark):
     assert got.where("abs(want - got) > 1e-9").count() == 0 and len(seen) == 48
 
 
-def test_roots_and_dead_sources(spark):
-    roots = spark.createDataFrame([("a", True), ("b", False), ("c", False), ("d", True)], "root_uri string, enabled boolean")
-    d = spark.createDataFrame([("a", "disable", 1), ("a", "keep", 2), ("b", "enable", 3), ("c", "enable", 4), ("d", "remove", 5), ("zz", "enable", 6)], "root_uri string, action string, ord int")
-    assert {r.root_uri: r.enabled for r in refine.govern_roots(roots, d).collect()} == {"a": True, "b": True, "c": False}
+def test_dead_sources(spark):
     r = spark.createDataFrame([(1, {"x": [1], "y": [2]}), (2, None)], "reality_id long, source_strands map<string,array<long>>")
     got = refine.drop_dead_sources(r, spark.createDataFrame([("x",)], "session_id string"))
     assert {x.reality_id: x.source_strands for x in got.collect()} == {1: {"x": [1]}, 2: {}}

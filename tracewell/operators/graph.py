@@ -246,17 +246,6 @@ def clean_knowledge(nodes: DataFrame, links: DataFrame, realities: DataFrame, st
     return kept, left.select(*links.columns)
 
 
-def belongs_to_root(uri: Column, root: Column) -> Column:
-    return (uri == root) | F.startswith(uri, F.concat(root, F.lit("/")))
-
-
-def references_per_root(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """References to the documents under each root: ``root_uri, refs``."""
-    at = nodes.select(F.col("id").alias("target"), F.col("metadata")["uri"].alias("uri"))
-    hit = links.where("relation = 'references_ov'").join(at, "target")
-    return roots.select("root_uri").join(hit, belongs_to_root(F.col("uri"), F.col("root_uri")), "left").groupBy("root_uri").agg(F.count("uri").alias("refs"))
-
-
 def filter_documents(documents: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Documents by relative path: the first segment begins with an included name (if any is given),
     and no excluded text occurs."""

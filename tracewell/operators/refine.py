@@ -62,18 +62,6 @@ def write_back(realities: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.drop("_facts", "_goals", "_changes")
 
 
-def govern_roots(roots: DataFrame, decisions: DataFrame, enable_cap: int = 1) -> DataFrame:
-    """Roots after decisions (``root_uri, action, ord``): the last decision on a root counts, unknown
-    roots are skipped, at most ``enable_cap`` are newly enabled, removed ones go; no decision keeps a root."""
-    last = decisions.groupBy("root_uri").agg(F.max_by("action", "ord").alias("action"), F.max("ord").alias("ord"))
-    rows = roots.join(last, "root_uri", "left")
-    fresh = (F.col("action") == "enable") & ~F.col("enabled")
-    order = Window.partitionBy(fresh).orderBy("ord", "root_uri")  # roots are a handful of rows
-    rows = rows.withColumn("_k", F.when(fresh, F.row_number().over(order)))
-    enabled = F.when(fresh, F.col("_k") <= enable_cap).when(F.col("action") == "disable", False).otherwise(F.col("enabled"))
-    return rows.where(~F.coalesce(F.col("action") == "remove", F.lit(False))).withColumn("enabled", enabled).select(*roots.columns)
-
-
 def set_filters(roots: DataFrame, wanted: DataFrame) -> DataFrame:
     """Roots after filters were set by hand. ``wanted`` has ``root_uri, filters`` (JSON): one that is no
     object, or whose lists hold anything but texts, is refused; unknown roots are no matter."""
@@ -84,16 +72,6 @@ def set_filters(roots: DataFrame, wanted: DataFrame) -> DataFrame:
     return roots.join(new, "root_uri", "left").withColumn("filters", F.coalesce("_new", "filters")).select(*roots.columns)
 
 
-def top_scores(roots: DataFrame, hits: DataFrame, queries: int = 3) -> DataFrame:
-    """The best score that the first ``queries`` searches found under each candidate root; null for
-    roots that are enabled already (they aren't searched). ``hits`` has ``query_no, uri, score``."""
-    own = hits.where(F.col("query_no") < queries)
-    under = (F.col("uri") == F.col("root_uri")) | F.startswith(F.col("uri"), F.concat(F.col("root_uri"), F.lit("/")))
-    best = F.broadcast(roots.where("not enabled").select("root_uri")).join(own, under).groupBy("root_uri").agg(F.max("score").alias("best"))  # roots are a handful of rows
-    rows = roots.join(best, "root_uri", "left")
-    return rows.select("root_uri", F.when(~F.col("enabled"), F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0))).alias("top_score"))
-
-
 def changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether two snapshots differ in any row."""
     return not (before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty())

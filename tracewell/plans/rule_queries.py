@@ -551,15 +551,6 @@ def building_pairs(spark, sf_dir):
     return graph.link_candidates(_rows(spark, _BUILDS))
 
 
-_URIS = """(VALUES (1, 'docs://a/.hidden.md/My Plan.md/part'), (2, 'docs://a/README.md'), (3, 'docs://a/none.txt'), (4, 'docs://x/Changelog.md/'), (5, 'docs://ab/z.md')) AS t(id, uri)"""
-
-
-@query("SELECT * FROM (VALUES (1, 'ov_doc_my_plan.md', false), (2, 'ov_doc_readme.md', true), (3, NULL, NULL), (4, 'ov_doc_changelog.md', true), (5, 'ov_doc_z.md', false)) AS t(id, node, navigation)")
-def document_nodes(spark, sf_dir):
-    node = graph.document_node(F.col("uri"))
-    return _rows(spark, _URIS).select("id", node.alias("node"), graph.is_navigation(node).alias("navigation"))
-
-
 @query("SELECT * FROM (VALUES ('reality_1', 'ov_doc_a.md', 0.8::DOUBLE), ('reality_1', 'ov_doc_c.md', 0.7::DOUBLE), ('reality_2', 'ov_doc_b.md', 0.5::DOUBLE), ('reality_3', 'ov_doc_a.md', 0.55::DOUBLE), ('reality_4', 'ov_doc_b.md', 0.95::DOUBLE)) AS t(source, target, weight)")
 def document_references(spark, sf_dir):
     hits = _rows(spark, """(VALUES (1, 0, 'd://r/A.md', 0.8, '', 'work on spark'), (1, 1, 'd://r/b.md', 0.5, '', 'work on spark'), (1, 2, 'd://r/c.md', 0.7, '', 'work on spark'), (1, 3, 'd://r/b.md', 0.9, '', 'work on spark'),
@@ -570,22 +561,6 @@ def document_references(spark, sf_dir):
     return found.select("source", "target", "weight")
 
 
-_ROOTS = "(VALUES ('docs://a', true), ('docs://x', false), ('docs://q', false)) AS t(root_uri, enabled)"
-
-
-@query("SELECT * FROM (VALUES ('docs://a', 3::BIGINT), ('docs://x', 1::BIGINT), ('docs://q', 0::BIGINT)) AS t(root_uri, refs)")
-def references_of_roots(spark, sf_dir):
-    nodes = _rows(spark, _URIS).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.create_map(F.lit("uri"), "uri").alias("metadata"))
-    links = nodes.select(F.col("id").alias("target"), F.lit("references_ov").alias("relation")).unionByName(nodes.select(F.col("id").alias("target"), F.lit("trace").alias("relation")))
-    return graph.references_per_root(links, nodes, _rows(spark, _ROOTS))
-
-
-@query("SELECT * FROM (VALUES ('docs://a', NULL), ('docs://x', 0.6::DOUBLE), ('docs://q', 0.0::DOUBLE)) AS t(root_uri, top_score)")
-def root_scores(spark, sf_dir):
-    hits = _rows(spark, "(VALUES (0, 'docs://x/1', 0.4), (1, 'docs://x', 0.6), (3, 'docs://x/2', 0.9), (0, 'docs://xy/1', 0.8), (0, 'docs://a/1', 0.7)) AS t(query_no, uri, score)")
-    return refine.top_scores(_rows(spark, _ROOTS), hits.withColumn("score", F.col("score").cast("double")))
-
-
 @query("SELECT p_partkey AS id FROM part WHERE (p_type LIKE 'ECO%' OR p_type LIKE 'STA%') AND p_name NOT LIKE '%ring%'")
 def filtered_documents(spark, sf_dir):
     rows = S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit("/"), "p_name").alias("rel"))
@@ -643,33 +618,12 @@ def decoded_objects(spark, sf_dir):
     return out(r, "reality_id", "reality", F.try_element_at("current_status.key_facts", F.lit(1))).unionByName(out(t, "theme_id", "theme", F.try_element_at("key_facts", F.lit(1))))
 
 
-@query("SELECT * FROM (VALUES (1, 'docs://m', 'x'), (2, 'docs://a', ''), (3, 'docs://b', '')) AS t(place, root_uri, include)")
-def pinned_roots(spark, sf_dir):
-    stored = spark.createDataFrame([("docs://b", "[1]", True), ("docs://a", "bad", True), ("docs://m", '{"include": ["x"]}', True), ("docs://off", "{}", False)], "root_uri string, filters string, enabled boolean")
-    rows = [(i + 1, r.root_uri, "|".join(r.filters.include)) for i, r in enumerate(S.enabled_roots(stored, "docs://m").collect())]  # roots are a handful of rows
-    return spark.createDataFrame(rows, "place int, root_uri string, include string")
-
-
 @query("""SELECT * FROM (VALUES (1, 2), (2, 1), (3, 1), (4, 1), (5, 0), (6, 0)) AS t(id, n)""")
 def tree_answers(spark, sf_dir):
     rows = [(1, '[{"a": 1}, {"b": 2}, 3]'), (2, '{"items": [{"a": 1}]}'), (3, '{"result": {"files": [{"a": 1}]}}'), (4, '{"result": [{"a": 1}, "x"]}'), (5, '{"entries": {"a": 1}}'), (6, "not json")]
     return spark.createDataFrame(rows, "id int, payload string").select("id", F.size(S.tree_entries(F.col("payload"))).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', '{\"include\": [\"x\", \"y\"]}'), ('b', 'old'), ('c', 'old'), ('d', '{}'), ('e', 'old')) AS t(root_uri, filters)")
-def hand_set_filters(spark, sf_dir):
-    roots = spark.createDataFrame([(c, "old") for c in "abcde"], "root_uri string, filters string")
-    wanted = spark.createDataFrame([("a", '{"include": ["x", "y"]}'), ("b", '{"exclude": [1]}'), ("c", '["x"]'), ("d", "{}"), ("z", "{}"), ("e", '{"include": "x"}')], "root_uri string, filters string")
-    return refine.set_filters(roots, wanted)
-
-
-@query("SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false), ('e', false)) AS t(root_uri, enabled)")
-def governed_roots(spark, sf_dir):
-    roots = _rows(spark, "(VALUES ('a', true), ('b', false), ('c', false), ('d', true), ('e', true)) AS t(root_uri, enabled)")
-    said = _rows(spark, "(VALUES ('a', 'remove', 1), ('a', 'keep', 7), ('b', 'enable', 2), ('c', 'enable', 3), ('d', 'remove', 4), ('e', 'disable', 5), ('zz', 'enable', 0)) AS t(root_uri, action, ord)")
-    return refine.govern_roots(roots, said)
-
-
 @query(f"""WITH {_MERGES}, s AS (SELECT DISTINCT reality_id, session_id FROM me) SELECT r.reality_id, count(s.session_id) AS n_sources FROM (SELECT DISTINCT reality_id FROM me) r LEFT JOIN s ON s.reality_id = r.reality_id AND s.session_id <> 'P' GROUP BY 1""")
 def live_sources(spark, sf_dir):
     objects = merge.source_maps(_merge_events(spark, sf_dir))
