@@ -203,14 +203,6 @@ def test_decisions_resolve(spark):
     assert {r.strand_id: (r.action, r.target_id) for r in merge.resolve(s, c, d).collect()} == {1: ("merge", 11), 2: ("new", None), 3: ("new", None), 4: ("new", None)}
 
 
-def test_sequential_merge_sees_earlier_blocks(spark):
-    line = lambda i, v: spark.createDataFrame([(i, v)], "strand_id long, centroid array<double>")
-    none = spark.createDataFrame([], "reality_id long, centroid array<double>")
-    decide = lambda c: c.where("rank = 1").select("strand_id", F.lit("merge").alias("action"), F.lit(0).alias("target"))
-    got = merge.merge_blocks([line(1, [1.0, 0.0]), line(2, [1.0, 0.1]), line(3, [0.0, 1.0])], none, decide)
-    assert {r.strand_id: r.reality_id for r in got.collect()} == {1: 1, 2: 1, 3: 2}
-
-
 def test_sections_keep_anchor_rich_items(spark):
     items = ["纯文字", "one Anchor_name here 2024-01-02", "又一条", "see path/to/file.py and Other_name", "更多", "last"]
     assert one(spark, merge.by_anchor_wealth(F.array(*map(F.lit, items)), 3))[:2] == [items[3], items[1]] or set(one(spark, merge.by_anchor_wealth(F.array(*map(F.lit, items)), 3))[:2]) == {items[1], items[3]}

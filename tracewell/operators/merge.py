@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import Config
 from tracewell.functions import text as T
 from tracewell.functions import vector as V
+from tracewell.sources.shared import Scratch, numbered, written
 
 #: How many items each section of a work object's status may hold.
 SECTION_LIMITS = {"current_state": 5, "key_facts": 5, "goals": 8, "context": 8}
@@ -231,29 +235,6 @@ def migrate_pairs(events: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.select("session_id", "topic_id", "profile", F.least("na", "nb").alias("reality_a"), F.greatest("na", "nb").alias("reality_b")).distinct()
 
 
-def merge_blocks(blocks: list[DataFrame], realities: DataFrame, decide, config: Config = Config()) -> DataFrame:
-    """Blocks one after another, each against the work objects that earlier ones made.
-
-    The driver only steps through blocks; ``decide(candidates)`` gives the decision table of a block.
-    Returns the mapping ``strand_id, reality_id``. For many blocks against one fixed set of objects,
-    call :func:`cosine_candidates` and :func:`resolve` on all of them at once.
-    """
-    spark = realities.sparkSession
-    objects, mapping = realities.select("reality_id", "centroid"), spark.createDataFrame([], "strand_id bigint, reality_id bigint")
-    for block in blocks:
-        found = cosine_candidates(block, objects, config).withColumnRenamed("reality_id", "id")
-        fate = resolve(block, found, decide(found))
-        top = objects.agg(F.coalesce(F.max("reality_id"), F.lit(0)).alias("top"))
-        order = Window.orderBy("strand_id")  # of one block: a handful of rows
-        new = fate.where("action = 'new'").withColumn("k", F.row_number().over(order)).crossJoin(F.broadcast(top))
-        new = new.select("strand_id", (F.col("top") + F.col("k")).alias("reality_id"))
-        old = fate.where("action = 'merge'").select("strand_id", F.col("target_id").alias("reality_id"))
-        mapping = cut_lineage(mapping.unionByName(new).unionByName(old))
-        made = mapping.join(block.select("strand_id", "centroid"), "strand_id").join(objects, "reality_id", "left_anti")
-        objects = cut_lineage(objects.unionByName(made.select("reality_id", "centroid")))
-    return mapping
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` with its plan cut by a checkpoint, where the session has a folder for it."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
@@ -296,3 +277,128 @@ def merge_themes(strands: DataFrame, themes: DataFrame, refs: DataFrame, decisio
     found = theme_candidates(rest, themes, threshold).select("strand_id", F.col("theme_id").alias("id"), "rank")
     fate = resolve(rest, found, decisions).select("strand_id", "action", "target_id", F.lit("decided").alias("method"))
     return direct.select("strand_id", F.lit("merge").alias("action"), "target_id", F.lit("direct").alias("method")).unionByName(fate)
+
+
+# -- the merge as a whole -------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Merged:
+    """Work objects after a merge, the work-line to object mapping (``strand_id, reality_id, method``) and one row
+    of counts (``merged, created, waves``)."""
+
+    realities: DataFrame
+    mapping: DataFrame
+    counts: DataFrame
+
+
+def _block_links(strands: DataFrame, config: Config) -> DataFrame:
+    """Pairs (a, b) of blocks, a before b, where an object that a creates could be a candidate of b."""
+    left = strands.select(F.col("block_no").alias("a"), F.col("centroid").alias("av")).where("av is not null")
+    right = strands.select(F.col("block_no").alias("b"), F.col("centroid").alias("bv")).where("bv is not null")
+    near = V.meet(left, "av", right, "bv").where(F.col("a") < F.col("b"))
+    return near.where(1 - V.cosine(F.col("bv"), F.col("av")) <= config.s_keep + 1e-9).select("a", "b").distinct()
+
+
+def merge_in_waves(strands: DataFrame, realities: DataFrame, decide, config: Config = Config()) -> Merged:
+    """Merges blocks of work-lines into work objects as if one block came after another, but in waves.
+
+    ``strands`` has ``block_no, strand_id, session_id, topic_id, turns, hdl, ooda, changes, centroid, query_vec``;
+    ``realities`` has ``reality_id, name, hdl, current_status, timeline, source_strands, centroid, query_centroid,
+    query_count``. ``decide(candidates)`` gives ``strand_id, action, target`` for a wave's candidates
+    (``strand_id, id, s, rank``) of any number of blocks; without a decision a work-line makes an object of its own.
+
+    A block needs to wait only for earlier blocks that may make an object near one of its work-lines. Blocks whose
+    predecessors are done form a wave and run together, so the driver steps through the longest
+    chain of such blocks, not through the blocks. Candidates, decisions and results equal those of the one-by-one
+    run: objects of later blocks are never near enough, new ones are numbered in the order of blocks and work-lines, and
+    each object's timeline, source map, state and question centroid are folds over its events in
+    that order. Work-lines without a vector have no candidates.
+    """
+    strands = written(strands, "merge-strands")
+    with Scratch(strands.sparkSession) as scratch:
+        found = _waves(strands, realities, decide, config, scratch.written)
+        if found is None:
+            none = strands.select("strand_id", F.lit(0).cast("bigint").alias("reality_id"), F.lit("").alias("method")).where("false")
+            return Merged(realities, none, strands.sparkSession.range(1).selectExpr("0L as merged", "0L as created", "0 as waves"))
+        known, waves = found
+        mapping = written(known, "merge-mapping")
+    counts = mapping.agg(F.coalesce(F.sum((F.col("action") == "merge").cast("long")), F.lit(0)).alias("merged"), F.coalesce(F.sum((F.col("action") == "new").cast("long")), F.lit(0)).alias("created")).withColumn("waves", F.lit(waves))
+    return Merged(apply_merges(strands, realities, mapping), mapping.select("strand_id", "reality_id", F.lit("decided").alias("method")), counts)
+
+
+def _waves(strands: DataFrame, realities: DataFrame, decide, config: Config, written):
+    """The fate of every work-line (``strand_id, action, reality_id``) and how many waves it took; None without any."""
+    links = written(_block_links(strands, config), "merge-links")
+    waiting = written(strands.select("block_no").distinct(), "merge-waiting")
+    # An object's key orders as its number will: those that were there, then new ones by block and work-line.
+    key = lambda new, at, place: F.struct(F.lit(new).alias("new"), at.cast("long").alias("at"), place.cast("long").alias("place"))
+    objects = written(realities.select(key(0, F.col("reality_id"), F.lit(0)).alias("reality_id"), "centroid"), "merge-objects")
+    fates = []
+    while not waiting.isEmpty():
+        ready = written(waiting.join(links.select(F.col("b").alias("block_no")).distinct(), "block_no", "left_anti"), "merge-ready")
+        own = strands.join(ready, "block_no", "left_semi")
+        found = written(cosine_candidates(own, objects, config).withColumnRenamed("reality_id", "id"), "merge-candidates")
+        fate = resolve(own, found, decide(found)).join(own.select("strand_id", "block_no", "centroid"), "strand_id")
+        made = F.when(F.col("action") == "merge", F.col("target_id")).otherwise(key(1, F.col("block_no"), F.col("strand_id")))
+        fate = written(fate.select("strand_id", "action", made.alias("key"), "centroid"), "merge-fates")
+        fates.append(fate.drop("centroid"))
+        objects = written(objects.unionByName(fate.where("action = 'new'").select(F.col("key").alias("reality_id"), "centroid")), "merge-objects")
+        waiting = written(waiting.join(ready, "block_no", "left_anti"), "merge-waiting")
+        links = written(links.join(ready.select(F.col("block_no").alias("a")), "a", "left_anti"), "merge-links")
+    if not fates:
+        return None
+    fate = written(reduce(DataFrame.unionByName, fates), "merge-fates")
+    top = realities.agg(F.coalesce(F.max("reality_id"), F.lit(0)).alias("top"))
+    new = numbered(fate.where("action = 'new'").select("key"), ["key"], "k", written=written).crossJoin(F.broadcast(top)).select("key", (F.col("top") + F.col("k")).alias("number"))
+    known = fate.join(new, "key", "left").select("strand_id", "action", F.coalesce("number", F.col("key.at")).alias("reality_id"))
+    return known, len(fates)
+
+
+def apply_merges(strands: DataFrame, realities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``realities`` after what ``mapping`` (``strand_id, action, reality_id``) says of ``strands``, without a model.
+
+    A block's work-lines that go to one object are one event: they come in the order of their first turns, and
+    give one entry of the timeline (the first one's turns, the first new item as its overview), one of
+    changes if there are any, their sources, and new items for the state, which holds five. The question
+    centroid is the mean of all questions, those that it already held among them.
+    """
+    blank = lambda c: F.filter(F.coalesce(c, F.expr(_NONE)), lambda x: F.trim(x) != "")
+    seen = F.coalesce(F.col("ooda.`现象与问题`"), F.expr(_NONE))
+    rows = strands.join(mapping, "strand_id")
+    member = F.struct(start_turn(F.col("turns")).alias("t"), "strand_id", F.col("session_id").alias("sid"), "topic_id", "turns", seen.alias("seen"), blank(F.col("changes")).alias("changes"))
+    groups = rows.groupBy("reality_id", "block_no").agg(F.array_sort(F.collect_list(member)).alias("g"), F.max((F.col("action") == "new").cast("int")).alias("creates"))
+    items = F.array_distinct(F.filter(F.flatten(F.transform("g", lambda m: m["seen"])), lambda x: F.trim(x) != ""))
+    first = F.element_at("g", 1)
+    made = F.array_join(F.slice(first["seen"], 1, 2), " ")  # an object that is created sums up by two items
+    overview = F.when(F.col("creates") == 1, made).otherwise(F.coalesce(F.try_element_at("items", F.lit(1)), F.lit("")))
+    changes = F.flatten(F.transform("g", lambda m: m["changes"]))
+    events = groups.withColumn("items", items).select("reality_id", "block_no", "creates", F.when(F.col("creates") == 1, F.slice(first["seen"], 1, 5)).otherwise(F.col("items")).alias("items"), first.alias("f"), overview.alias("overview"), changes.alias("changes"))
+    entry = lambda topic, turns, sid, text, more: F.struct(topic.alias("topic_id"), turns.alias("turns"), sid.alias("session_id"), text.alias("overview"), more.alias("changes"))
+    null = lambda t: F.lit(None).cast(t)
+    entries = F.array(entry(F.col("f.topic_id"), F.col("f.turns"), F.col("f.sid"), F.col("overview"), null("array<string>")))
+    entries = F.when(F.size("changes") > 0, F.concat(entries, F.array(entry(null("bigint"), null("array<bigint>"), F.col("f.sid"), null("string"), F.col("changes"))))).otherwise(entries)
+    each = events.groupBy("reality_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "creates", "items", entries.alias("entries")))).alias("es"))
+    born = rows.where("action = 'new'").select("reality_id", F.left(F.when(F.coalesce("hdl", F.lit("")) == "", "未命名工作线").otherwise(F.col("hdl")), F.lit(60)).alias("_name"), F.left(F.coalesce("hdl", F.lit("")), F.lit(120)).alias("_hdl"), F.col("centroid").alias("_centroid"), "ooda")
+    stage = lambda name, n: F.slice(F.coalesce(F.col(f"ooda.`{name}`"), F.expr(_NONE)), 1, n)
+    born = born.select("reality_id", "_name", "_hdl", "_centroid", F.struct(F.expr(_NONE).alias("current_state"), stage("决策与方案", 5).alias("key_facts"), stage("后续行动", 8).alias("goals"), F.expr(_NONE).alias("context")).alias("_status"))
+    sources = rows.where("session_id <> ''").select("reality_id", "session_id", "strand_id").unionByName(realities.where("source_strands is not null").select("reality_id", F.explode("source_strands").alias("session_id", "ids")).select("reality_id", "session_id", F.explode("ids").alias("strand_id")))
+    asked = V.means(rows.select("reality_id", "query_vec"), ["reality_id"], "query_vec").select("reality_id", F.col("mean").alias("_mean"), F.col("n").alias("_n"))
+    out = realities.join(born, "reality_id", "full").join(each, "reality_id", "left").join(source_maps(sources).withColumnRenamed("source_strands", "_sources"), "reality_id", "left").join(asked, "reality_id", "left")
+    none = F.struct(*[F.lit(None).cast("array<string>").alias(k) for k in SECTION_LIMITS])
+    status = F.coalesce("current_status", "_status", F.when(F.col("es").isNotNull(), none))
+    added = F.flatten(F.transform(F.coalesce("es", F.array().cast(each.schema["es"].dataType)), lambda e: e["items"]))
+    state = F.slice(F.concat(F.slice(F.coalesce(status["current_state"], F.expr(_NONE)), 1, 5), added), 1, 5)
+    before = F.coalesce("timeline", F.array().cast(realities.schema["timeline"].dataType))
+    last = F.coalesce(F.array_max(F.transform(before, lambda e: e["seq"])), F.lit(0))
+    more = F.flatten(F.transform(F.coalesce("es", F.array().cast(each.schema["es"].dataType)), lambda e: e["entries"]))
+    kind = realities.schema["timeline"].dataType.elementType
+    fill = lambda e, i: F.struct(*[((last + i + 1) if n == "seq" else e[n] if n in ("topic_id", "turns", "session_id", "overview", "changes") else F.lit(None)).cast(kind[n].dataType).alias(n) for n in kind.fieldNames()])
+    n, k = F.coalesce("query_count", F.lit(0)), F.coalesce("_n", F.lit(0))
+    both = F.zip_with("query_centroid", "_mean", lambda a, b: (a * n + b * k) / (n + k))
+    centroid = F.when(F.col("_mean").isNull(), F.col("query_centroid")).when(F.col("query_centroid").isNull() | (n == 0) | (F.size("query_centroid") != F.size("_mean")), F.col("_mean")).otherwise(both)
+    return out.select(
+        "reality_id", F.coalesce("name", "_name").alias("name"), F.coalesce("hdl", "_hdl").alias("hdl"), F.when(F.col("es").isNull(), status).otherwise(status.withField("current_state", state)).alias("current_status"),
+        F.concat(before, F.transform(more, fill)).alias("timeline"), F.coalesce("_sources", "source_strands").alias("source_strands"), F.coalesce("centroid", "_centroid").alias("centroid"),
+        centroid.alias("query_centroid"), (n + k).cast("long").alias("query_count"),
+    )

@@ -40,7 +40,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def numbered(rows: DataFrame, order: list[str], column: str = "n", first: int = 1) -> DataFrame:
+class Scratch:
+    """Tables written through it go when its block ends; what is lazily made of them has to be written before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def numbered(rows: DataFrame, order: list[str], column: str = "n", first: int = 1, written=written) -> DataFrame:
     """``rows`` with ``column``, their places in ``order`` from ``first`` on. Rows are range-sorted and each
     task's share is counted, so that no task ever holds more than its share."""
     rows = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
