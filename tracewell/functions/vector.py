@@ -71,6 +71,20 @@ def means(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return back.select(*keys, F.transform("c", lambda s: s["x"]).alias("mean"), "n")
 
 
+def sums(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """Sums of components and counts per key, as rows ``keys, i, total, n``: state that adds up."""
+    parts = rows.where(F.col(vec).isNotNull()).select(*keys, F.posexplode(vec).alias("i", "x"))
+    return parts.groupBy(*keys, "i").agg(F.sum("x").alias("total"), F.count("*").alias("n"))
+
+
+def mean_of_sums(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean vector and count per key of any number of :func:`sums`: ``keys, mean, n``. An incremental mean,
+    (old * n + v) / (n + 1), is the same but for rounding."""
+    each = found.groupBy(*keys, "i").agg((F.sum("total") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    back = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"), F.max("n").alias("n"))
+    return back.select(*keys, F.transform("c", lambda s: s["x"]).alias("mean"), "n")
+
+
 def centroids(rows: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """Unit centroid per key, null if the mean is zero: ``keys, centroid, n``."""
     found = means(rows, keys, vec)
