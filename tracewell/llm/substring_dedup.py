@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 LEAST = 20
 #: Bytes of text whose words are named together (one text may hold more), words whose windows are
 #: compared together, and bytes that are hashed at once.
-SLICE, PIECE, BLOCK = 12 << 20, 2 << 20, 1 << 18
+SLICE, PIECE, BLOCK = 8 << 20, 1 << 20, 1 << 18
 #: Bytes of a window's name that go to the last level.
 NAME = 6
 #: Stands for a null id in the order of documents.
