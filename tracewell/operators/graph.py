@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.operators.log import insert_or_ignore
+from tracewell.sources.shared import written
 
 #: What a node of knowledge is called, and words that say that a text builds on another.
 PREFIX = "[知识]"
@@ -184,16 +186,59 @@ def title_matches(names: DataFrame, documents: DataFrame, least_idf: float = 2.5
     """Names and document titles that share enough rare words: ``id, doc, score, confidence``.
 
     ``names`` has ``id, title``; ``documents`` has ``doc, title``. What they share is weighed by how rare it
-    is among the names; what no name holds weighs nothing.
+    is among the names; what no name holds weighs nothing. A match needs ``least_shared`` rare words, so
+    only those bring names and titles together; what else they share is added to pairs that have them.
+    Names are cut into words once, and of these the words that titles hold are kept.
     """
-    a = names.select("id", F.explode(F.array_distinct(T.mixed_pairs(F.col("title")))).alias("f"))
     b = documents.select("doc", F.explode(F.array_distinct(T.mixed_pairs(F.col("title")))).alias("f"))
     few = b.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     sent = F.broadcast if few else lambda x: x
-    weights = b.join(pair_idf(names, only=sent(b.select("f").distinct())), "f")
-    shared = a.join(sent(weights), "f").groupBy("id", "doc").agg(F.sum("idf").alias("score"), F.sum(F.when(F.col("idf") >= least_idf, 1).otherwise(0)).alias("valid"))
-    shared = shared.where((F.col("valid") >= least_shared) & (F.col("score") >= least_score))
-    return shared.select("id", "doc", "score", F.round(F.least(F.col("score") / 8.0, F.lit(0.95)), 3).alias("confidence"))
+    a = names.select("id", F.explode(F.array_distinct(T.mixed_pairs(F.col("title")))).alias("f"))
+    a = written(a.join(sent(b.select("f").distinct()), "f", "left_semi").select("id", "f"), "title-words")
+    n = names.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    idf = a.groupBy("f").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("f", F.ln(F.col("n") / F.col("df")).alias("idf"))
+    weights = b.join(idf, "f")
+    rare = F.col("idf") >= least_idf
+    found = a.join(sent(weights.where(rare)), "f").groupBy("id", "doc").agg(F.sum("idf").alias("rare"), F.count("*").alias("valid")).where(F.col("valid") >= least_shared)
+    found = written(found, "title-pairs")
+    own = a.join(found.select("id").distinct(), "id", "left_semi").join(found.select("id", "doc"), "id")
+    more = own.join(sent(weights.where(~rare)), ["doc", "f"]).groupBy("id", "doc").agg(F.sum("idf").alias("more"))
+    scored = found.join(more, ["id", "doc"], "left").withColumn("score", F.col("rare") + F.coalesce("more", F.lit(0.0))).where(F.col("score") >= least_score)
+    return scored.select("id", "doc", "score", F.round(F.least(F.col("score") / 8.0, F.lit(0.95)), 3).alias("confidence"))
+
+
+#: Keywords that one automaton holds at most.
+KEYWORDS = 100_000
+
+
+def _find_keywords(labels: pa.Table, words: pa.Table) -> pa.Table:
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for kw in words["kw"].to_pylist():
+        found.add_word(kw, kw)
+    out: list[tuple[int, str]] = []
+    if len(found):
+        found.make_automaton()
+        for at, label in enumerate(labels["l"].to_pylist()):
+            out += [(at, kw) for kw in {kw for _, kw in found.iter(label)}]
+    rows = labels.take(pa.array([at for at, _ in out], pa.int64()))
+    return pa.table({"k": rows["k"].cast(pa.string()), "kw": pa.array([kw for _, kw in out], pa.string())})
+
+
+def keyword_hits(labels: DataFrame, words: DataFrame, most: int = KEYWORDS) -> DataFrame:
+    """Which keywords each label holds: ``k, kw``. ``labels`` has ``k, l``, ``words`` has ``kw`` (distinct).
+
+    Keywords are cut into blocks of at most about ``most`` and labels into as many parts as a shuffle has
+    partitions; each block meets each part in a task, where an automaton of the block's keywords goes through each label
+    once. So neither a word that all labels hold nor a common beginning is a hot key.
+    """
+    blocks = max(1, -(-words.count() // most))
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = labels.select("k", "l", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+    right = words.select("kw", F.pmod(F.xxhash64("kw"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_find_keywords, "k string, kw string")
 
 
 def associations(themes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,18 +246,17 @@ def associations(themes: DataFrame, nodes: DataFrame) -> DataFrame:
     strongest match of each pair. ``themes`` has ``theme_id, text``; ``nodes`` has ``id, label`` and may
     have ``_origin``: nodes that come from the themes themselves (wiki) are left out.
 
-    A label that holds a keyword holds its first two characters: distinct keywords and distinct labels
-    meet on such pairs, and only then is the whole keyword looked for.
+    Distinct keywords are looked for in distinct labels, all at once (:func:`keyword_hits`).
     """
     nodes = nodes.where("not _origin <=> 'wiki'") if "_origin" in nodes.columns else nodes
     keys = themes.select("theme_id", F.explode(T.identifier_keywords(F.col("text"))).alias("kw"))
-    words = keys.select("kw").distinct()
-    labels = nodes.where("label <> ''").select(F.lower("label").alias("l")).distinct()
-    pairs = labels.select("l", F.explode(F.array_distinct(T.pairs(F.filter(F.split("l", ""), lambda c: c != "")))).alias("pair"))
-    words = words.withColumn("pair", F.left("kw", F.lit(2)))
-    hits = words.join(pairs, "pair").where(F.expr("contains(l, kw)")).withColumn("strength", F.round(F.greatest(F.least(F.length("kw") / F.greatest(F.length("l"), F.lit(1)), F.lit(1.0)), F.lit(0.3)), 3))
-    found = keys.join(hits, "kw").join(nodes.select(F.col("id").alias("node_id"), F.lower("label").alias("l")).distinct(), "l")
-    return found.groupBy("theme_id", "node_id").agg(F.max("strength").alias("strength"))
+    nodes = nodes.where("label <> ''").select(F.col("id").alias("node_id"), F.lower("label").alias("l")).withColumn("k", F.md5("l"))
+    labels = nodes.groupBy("k").agg(F.first("l").alias("l"))
+    hits = keyword_hits(labels, keys.select("kw").distinct())
+    at = nodes.select("node_id", "k", F.length("l").alias("n")).distinct()
+    strength = F.round(F.greatest(F.least(F.length("kw") / F.greatest("n", F.lit(1)), F.lit(1.0)), F.lit(0.3)), 3)
+    best = hits.join(at, "k").select("node_id", "kw", strength.alias("strength"))
+    return keys.join(best, "kw").groupBy("theme_id", "node_id").agg(F.max("strength").alias("strength"))
 
 
 def strongest(found: DataFrame, n: int = 5, per: str | None = None) -> DataFrame:

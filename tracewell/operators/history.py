@@ -106,3 +106,45 @@ def realign_user(messages: DataFrame, requests: DataFrame) -> DataFrame:
     last = F.array_max(F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.struct(m["turn"], m["seq"])))
     fixed = F.transform("messages", lambda m: F.when((F.struct(m["turn"], m["seq"]) == last) & F.col("_text").isNotNull(), m.withField("content", F.col("_text"))).otherwise(m))
     return rows.withColumn("messages", fixed).drop("_text")
+
+
+def align_users(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """``messages`` with each session's user messages brought in line with its request's.
+
+    ``requests`` has ``session_id, texts``: the request's user texts in order; blank ones don't count, and
+    sessions without any stay as they are. The last user message takes the request's last text. The
+    others are matched in one pass over both lists: a text that the next unmatched user message holds
+    is matched, any other is missing and comes in right after the user message that was matched before it, or at
+    the beginning. Missing texts of one place keep the request's order. Nothing comes into a session
+    without user messages. A session's two lists are the unit of work.
+    """
+    texts = F.filter(F.transform("texts", lambda t: F.trim(t)), lambda t: t != "")
+    asked = requests.select("session_id", texts.alias("_texts")).where(F.size("_texts") > 0)
+    rows = messages.join(asked, "session_id", "left")
+    is_user = lambda m: m["role"] == "user"
+    last = F.array_max(F.transform(F.filter(F.transform("messages", lambda m, i: F.struct(i.alias("i"), m["role"].alias("role"))), is_user), lambda m: m["i"]))
+    rows = rows.withColumn("_last", last)
+    new = F.transform("messages", lambda m, i: F.when(i == F.col("_last"), m.withField("content", F.element_at("_texts", -1))).otherwise(m))
+    rows = rows.withColumn("_new", new)
+    own = F.filter(F.transform("_new", lambda m, i: F.struct(i.alias("i"), m["role"].alias("role"), F.trim(m["content"]).alias("t"))), is_user)
+    rows = rows.withColumn("_own", own)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<place:int,n:int,text:string>>)").alias("missing"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.coalesce((a["at"] < F.size("_own")) & (F.try_element_at("_own", a["at"] + 1)["t"] == x["t"]), F.lit(False))
+        place = F.when(a["at"] > 0, F.try_element_at("_own", a["at"])["i"] + 1).otherwise(0)
+        more = F.concat(a["missing"], F.array(F.struct(place.alias("place"), x["n"].alias("n"), x["t"].alias("text"))))
+        return F.struct((a["at"] + F.when(same, 1).otherwise(0)).alias("at"), F.when(same, a["missing"]).otherwise(more).alias("missing"))
+
+    earlier = F.transform(F.slice("_texts", 1, F.greatest(F.size("_texts") - 1, F.lit(0))), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
+    missing = F.aggregate(earlier, start, step, lambda a: a["missing"])
+    rows = rows.withColumn("_missing", F.when(F.size("_own") > 0, missing))
+    kind = messages.schema["messages"].dataType.elementType
+    made = lambda x: F.struct(*[(F.lit("user") if n == "role" else x["text"] if n == "content" else F.lit(None)).cast(kind[n].dataType).alias(n) for n in kind.fieldNames()])
+    placed = F.concat(
+        F.transform("_new", lambda m, i: F.struct(i.alias("place"), F.lit(1).alias("later"), F.lit(0).alias("n"), m.alias("m"))),
+        F.transform("_missing", lambda x: F.struct(x["place"].alias("place"), F.lit(0).alias("later"), x["n"].alias("n"), made(x).alias("m"))),
+    )
+    order = F.array_sort(placed, lambda a, b: F.when(F.struct(a["place"], a["later"], a["n"]) < F.struct(b["place"], b["later"], b["n"]), -1).otherwise(1))
+    aligned = F.transform(order, lambda x: x["m"])
+    return rows.withColumn("messages", F.when(F.col("_missing").isNull(), F.col("messages")).otherwise(aligned)).drop("_texts", "_last", "_new", "_own", "_missing")

@@ -172,7 +172,7 @@ def fold_themes(events: DataFrame) -> DataFrame:
 
 def pad_overview(overview: Column, ooda: Column) -> Column:
     """An overview, or for want of one up to three distinct items of what was decided and seen."""
-    items = F.concat(*[F.transform(F.coalesce(ooda[g], F.expr(_NONE)), F.trim) for g in ("决策与方案", "现象与问题")])
+    items = F.concat(*[F.transform(F.coalesce(ooda[g], F.expr(_NONE)), lambda x: F.trim(x)) for g in ("决策与方案", "现象与问题")])
     made = F.array_join(F.slice(F.array_distinct(F.filter(items, lambda x: x != "")), 1, 3), "；")
     return F.when(F.trim(F.coalesce(overview, F.lit(""))) != "", overview).otherwise(made)
 

@@ -146,12 +146,12 @@ def title_matches(spark, sf_dir):
 
 
 @query("""WITH k AS (SELECT DISTINCT p_partkey AS theme_id, unnest(list_concat(list_transform(regexp_extract_all(p_name, '[A-Z][a-z]{2,}'), lambda w: lower(w)), regexp_extract_all(lower(p_name), '[a-z_][a-z0-9_]{2,}'))) AS kw FROM part WHERE p_partkey % 50 = 0),
-l AS (SELECT doc_id AS id, source || ' ' || lang || ' ' || (SELECT min(p_name) FROM part WHERE p_partkey % 997 = doc_id % 997) AS label FROM documents)
+l AS (SELECT doc_id AS id, concat_ws(' ', source, lang, p_name, text) AS label FROM documents LEFT JOIN part ON p_partkey = doc_id)
 SELECT theme_id, id AS node_id, max(round(greatest(least(length(kw)::DOUBLE / length(label), 1.0), 0.3), 3)) AS strength FROM k JOIN l ON contains(lower(label), kw) GROUP BY 1, 2""")
 def associations(spark, sf_dir):
     p = S.read(spark, sf_dir, "part")
-    names = p.groupBy((F.col("p_partkey") % 997).alias("k")).agg(F.min("p_name").alias("name"))
-    nodes = S.read(spark, sf_dir, "documents").join(names, F.col("doc_id") % 997 == F.col("k")).select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit(" "), F.col("lang"), F.lit(" "), F.col("name")).alias("label"))
+    names = p.select(F.col("p_partkey").alias("doc_id"), "p_name")
+    nodes = S.read(spark, sf_dir, "documents").join(names, "doc_id", "left").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang", "p_name", "text").alias("label"))
     return graph.associations(p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("theme_id"), F.col("p_name").alias("text")), nodes)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.config import Config
 from tracewell.functions import vector as V
-from tracewell.operators import merge
+from tracewell.operators import history, merge
 from tracewell.sources import tables as S
 
 QUERIES: dict = {}
@@ -82,3 +82,23 @@ def merged_objects(spark, sf_dir):
     entry = lambda e: F.when(e["changes"].isNotNull(), F.concat(F.lit("/"), F.array_join(e["changes"], "+"))).otherwise(F.concat(F.lit(";"), e["overview"]))
     line = F.substring(F.array_join(F.transform("timeline", entry), ""), 2, 1_000_000_000)
     return rows.select("reality_id", "query_count", F.round(F.aggregate("query_centroid", F.lit(0.0), lambda a, b: a + b), 9).alias("middle"), F.size("source_strands").cast("long").alias("sessions"), F.array_join("current_status.current_state", "|").alias("state"), line.alias("line"))
+
+
+# Conversations whose log lacks every third message, unless it is the last of a user's; the request holds all that users said.
+@query("""WITH c AS (SELECT conv_id, turn, role, trim(text, ' ') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system'),
+u AS (SELECT conv_id, max(n) FILTER (role = 'user') AS last FROM c GROUP BY 1),
+k AS (SELECT c.*, n % 3 <> 0 OR role <> 'user' OR n = last AS kept FROM c JOIN u USING (conv_id)),
+p AS (SELECT *, coalesce(max(CASE WHEN kept AND role = 'user' THEN n END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN kept THEN n ELSE before END, CASE WHEN kept THEN 0 ELSE 1 END, n) AS place FROM p)
+SELECT conv_id::VARCHAR AS session_id, place, role, md5(text) AS text FROM o""")
+def aligned_users(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = S.read(spark, sf_dir, "conversations").where("role <> 'system'").select(F.col("conv_id").cast("string").alias("session_id"), F.row_number().over(order).alias("n"), "role", F.trim("text").alias("content"))
+    user = F.col("role") == "user"
+    last = F.max(F.when(user, F.col("n"))).over(Window.partitionBy("session_id"))
+    said = F.array_sort(F.collect_list(F.when(user, F.struct("n", "content"))))
+    requests = rows.groupBy("session_id").agg(F.transform(said, lambda m: m["content"]).alias("texts"))
+    held = rows.withColumn("last", last).where((F.col("n") % 3 != 0) | ~user | (F.col("n") == F.col("last")))
+    messages = held.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "role", "content"))).alias("messages"))
+    found = history.align_users(messages, requests).select("session_id", F.posexplode("messages").alias("place", "m"))
+    return found.select("session_id", (F.col("place") + 1).cast("long").alias("place"), "m.role", F.md5("m.content").alias("text"))
