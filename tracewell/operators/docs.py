@@ -1,7 +1,7 @@
 """Checks of a tree of Markdown documents, as joins of what they refer to with what there is.
 
 ``files`` has ``path`` (relative to the root) and ``text``; hidden files and generated abstracts are
-left out by :func:`documents`. Nothing is written: the results are reports.
+left out by :func:`documents`. Reports name what is wrong; fixes give the files as they should be.
 """
 
 from __future__ import annotations
@@ -125,6 +125,81 @@ def changelog_report(files: DataFrame) -> DataFrame:
     return wide.unionByName(date).unionByName(alone)
 
 
+# -- fixes ------------------------------------------------------------------------------------------
+
+
+def relative(path: Column, start: Column) -> Column:
+    """``path`` as seen from the folder ``start``; both lie under the same root."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    to, at = parts(path), parts(start)
+    none = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
+    common = F.aggregate(F.zip_with(to, at, lambda a, b: F.coalesce(a == b, F.lit(False))), none, lambda s, same: F.struct((s["n"] + (s["ok"] & same).cast("int")).alias("n"), (s["ok"] & same).alias("ok")), lambda s: s["n"])
+    up = F.array_repeat(F.lit(".."), F.greatest(F.size(at) - common, F.lit(0)))
+    return F.array_join(F.concat(up, F.slice(to, common + 1, F.greatest(F.size(to) - common, F.lit(1)))), "/")
+
+
+def patched(files: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Files with texts replaced: ``path, text, fixed``, the number of fixes that found their text.
+
+    ``fixes`` has ``path, n, old, new``; those of a file are made in the order of ``n``, each everywhere in the text that
+    the ones before it left. A file and its fixes are the unit of work; other files stay where they are.
+    """
+    own = fixes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "old", "new"))).alias("_fixes"))
+    start = lambda text: F.struct(text.alias("text"), F.lit(0).alias("fixed"))
+    step = lambda a, x: F.struct(F.replace(a["text"], x["old"], x["new"]).alias("text"), (a["fixed"] + F.contains(a["text"], x["old"]).cast("int")).alias("fixed"))
+    rows = files.join(own, "path", "left").withColumn("_done", F.when(F.col("_fixes").isNotNull(), F.aggregate("_fixes", start(F.col("text")), step)))
+    return rows.select("path", F.coalesce("_done.text", "text").alias("text"), F.coalesce("_done.fixed", F.lit(0)).alias("fixed"))
+
+
+def fix_links(files: DataFrame) -> DataFrame:
+    """Files whose broken links lead to the only place that they can mean; others of :func:`broken_links` stay.
+    ``path, text, fixed``."""
+    broken = broken_links(files).where("category = 'relative' and suggested <> ''")
+    new = F.concat(F.lit("]("), relative(F.col("suggested"), folder(F.col("path"))), F.lit(")"))
+    fixes = broken.groupBy("path", "link").agg(F.min("suggested").alias("suggested"))
+    return patched(files, fixes.select("path", F.col("link").alias("n"), F.concat(F.lit("]("), "link", F.lit(")")).alias("old"), new.alias("new")))
+
+
+def fix_traces(files: DataFrame, code: DataFrame) -> DataFrame:
+    """Files whose traces name code by the path of the only file of that name: ``path, text, fixed``."""
+    fixes = broken_traces(files, code).where("suggested <> ''")
+    return patched(files, fixes.select("path", F.col("ref").alias("n"), F.col("ref").alias("old"), F.col("suggested").alias("new")))
+
+
+#: The sections of the index, with the kind of document of each, and what a row looks like.
+SECTIONS = {"architecture": "arch", "decisions": "decision"}
+_INDEX_ROW = r"^\|\s*\**(\d+\w*)\**\s*\|\s*\**\[([^\]]+)\]\(([^)]+)\)\**\s*\|"
+
+
+def apply_index(files: DataFrame) -> DataFrame:
+    """The index with rows for numbered folders that it lacks, as lines: ``line, after, text``, in the order of
+    the first two.
+
+    Lines keep their number (from 0) with ``after`` empty. New rows come after the last row of their section, or
+    two lines below its heading, or at the end, and ``after`` is their number. A number that any row has isn't
+    added. Lines are rows here, so an index may be of any length.
+    """
+    lines = files.where("path = 'INDEX.md'").select(F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    row = lines.withColumn("number", F.regexp_extract(F.trim("text"), _INDEX_ROW, 1)).withColumn("link", F.regexp_extract(F.trim("text"), _INDEX_ROW, 3))
+    there = files.select(F.regexp_extract("path", r"^(architecture|decisions)/(\d+\w*-[^/]+)/", 1).alias("section"), F.regexp_extract("path", r"^(architecture|decisions)/(\d+\w*-[^/]+)/", 2).alias("name")).where("name <> ''").distinct()
+    there = there.withColumn("number", F.regexp_extract("name", r"^(\d+\w*)-", 1))
+    there = there.groupBy("number").agg(F.max_by(F.struct("section", "name"), F.struct(F.col("section") == "decisions", "name")).alias("d")).select("number", "d.*")
+    missing = there.join(row.where("number <> ''").select("number").distinct(), "number", "left_anti")
+    ends = [F.lit(s).alias("section") for s in SECTIONS]
+    found = lambda s: F.coalesce(
+        F.max(F.when((F.col("number") != "") & F.startswith("link", F.lit(s + "/")), F.col("line"))),
+        F.least(F.min(F.when(F.startswith("text", F.lit("## ")) & F.contains("text", F.lit(s)), F.col("line"))) + 2, F.max("line")),
+        F.max("line"),
+    )
+    places = row.agg(*[found(s).alias(s) for s in SECTIONS])  # one row
+    places = places.select(F.explode(F.array(*[F.struct(name, F.col(s).alias("line")) for name, s in zip(ends, SECTIONS, strict=True)])).alias("p")).select("p.*").where("line is not null")
+    kind = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])[F.col("section")]
+    link = F.concat_ws("/", "section", "name", F.when(F.endswith("name", F.lit(".md")), F.col("name")).otherwise(F.concat("name", F.lit(".md"))))
+    text = F.concat(F.lit("| "), "number", F.lit(" | ["), "name", F.lit("]("), link, F.lit(") |  | "), kind, F.lit(" |  |"))
+    new = missing.join(F.broadcast(places), "section").select("line", F.col("number").alias("after"), text.alias("text"))
+    return lines.select("line", F.lit("").alias("after"), "text").unionByName(new)
+
+
 def code_references(code: DataFrame, files: DataFrame) -> DataFrame:
     """Documents that comments and docstrings of code name and that don't exist: ``path, ref``."""
     said = F.concat(F.regexp_extract_all("text", F.lit("(?s)\"\"\"(.*?)\"\"\""), F.lit(1)), F.regexp_extract_all("text", F.lit("(?m)#(.*)$"), F.lit(1)))

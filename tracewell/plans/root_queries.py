@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, refine, roots
+from tracewell.operators import docs, graph, refine, roots
 from tracewell.sources import tables as S
 
 QUERIES: dict = {}
@@ -152,3 +152,55 @@ def document_nodes(spark, sf_dir):
     uri = F.concat(F.regexp_replace("url", r"(\.html|/)?([?#].*)?$", ""), F.lit(".md"))
     node = graph.document_node(uri)
     return S.read(spark, sf_dir, "pages").select("page_id", node.alias("node"), graph.is_navigation(node).alias("navigation"))
+
+
+# -- pages as documents that refer to each other ----------------------------------------------------
+
+_FILES = """f AS (SELECT page_id, regexp_extract(url, '/([a-z][a-z])/', 1) AS d FROM pages)"""
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """A document a page, in the folder of its language. It names the next page in a wrong folder, the one after as if it lay
+    beside it, with an anchor, and a page that isn't there."""
+    n = F.col("page_id")
+    other = lambda k, at, end: F.concat(F.lit(f"]({at}"), (n + k).cast("string"), F.lit(f".md{end})"))
+    text = F.concat(F.lit("See [a"), other(1, "../old/", ""), F.lit(" and [b"), other(2, "", "#top"), F.lit(" twice [b"), other(2, "", "#top"), F.lit(" not [c"), other(1_000_000_000, "", ""))
+    rows = S.read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", "/([a-z][a-z])/", 1), F.lit("/"), n.cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
+    return rows.select("path", "text")
+
+
+@query(f"""WITH {_FILES}, x AS (SELECT f.page_id, f.d, a.d AS ad, b.d AS bd, a.page_id AS a, b.page_id AS b FROM f LEFT JOIN f a ON a.page_id = f.page_id + 1 LEFT JOIN f b ON b.page_id = f.page_id + 2),
+l AS (SELECT *, CASE WHEN a IS NULL THEN '../old/' || (page_id + 1) || '.md' WHEN ad = d THEN a || '.md' ELSE '../' || ad || '/' || a || '.md' END AS la,
+  CASE WHEN b IS NULL OR bd = d THEN (page_id + 2) || '.md#top' ELSE '../' || bd || '/' || b || '.md' END AS lb FROM x)
+SELECT d || '/' || page_id || '.md' AS path, 'See [a](' || la || ') and [b](' || lb || ') twice [b](' || lb || ') not [c](' || (page_id + 1000000000) || '.md)' AS text,
+  (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL OR bd = d THEN 0 ELSE 1 END)::INT AS fixed FROM l""")
+def fixed_links(spark, sf_dir):
+    return docs.fix_links(_files(spark, sf_dir))
+
+
+# Pages trace to parts as code; a part of an odd number lies where its page says, others elsewhere, some are gone.
+@query("""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 1 THEN 'lib/' ELSE 'src/core/' END || 'f' || p_partkey || '.py' AS p FROM part WHERE p_partkey % 7 <> 0)
+SELECT 'd/' || page_id || '.md' AS path, '---' || chr(10) || 'trace:' || chr(10) || '  forward:' || chr(10) || '    - ' || coalesce(p, 'lib/f' || page_id || '.py') || chr(10) || '---' || chr(10) || 'body' AS text,
+  (p IS NOT NULL AND page_id % 2 = 0)::INT AS fixed FROM pages LEFT JOIN c ON k = page_id""")
+def fixed_traces(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    files = S.read(spark, sf_dir, "pages").select(F.concat(F.lit("d/"), n, F.lit(".md")).alias("path"), F.concat(F.lit("---\ntrace:\n  forward:\n    - lib/f"), n, F.lit(".py\n---\nbody")).alias("text"))
+    k = F.col("p_partkey")
+    code = S.read(spark, sf_dir, "part").where(k % 7 != 0).select(F.concat(F.when(k % 2 == 1, "lib/").otherwise("src/core/"), F.lit("f"), k.cast("string"), F.lit(".py")).alias("path"))
+    return docs.fix_traces(files, code)
+
+
+# Pages are numbered decisions (or architecture, for every fifth); the index has the even ones, by number.
+@query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'architecture' ELSE 'decisions' END AS s, page_id || '-p' AS name FROM pages),
+h AS (SELECT row_number() OVER (ORDER BY s, page_id) AS line, s, page_id, name FROM r WHERE page_id % 2 = 0)
+SELECT 0 AS line, '' AS after, '# Index' AS text UNION ALL SELECT line::INT, '', '| ' || page_id || ' | [' || name || '](' || s || '/' || name || '/' || name || '.md) | v1 | x | y |' FROM h
+UNION ALL SELECT (SELECT max(line)::INT FROM h WHERE h.s = r.s), page_id::VARCHAR, '| ' || page_id || ' | [' || name || '](' || s || '/' || name || '/' || name || '.md) |  | ' || CASE s WHEN 'decisions' THEN 'decision' ELSE 'arch' END || ' |  |' FROM r WHERE page_id % 2 = 1""")
+def applied_index(spark, sf_dir):
+    n = F.col("page_id")
+    section, name = F.when(n % 5 == 0, "architecture").otherwise("decisions"), F.concat(n.cast("string"), F.lit("-p"))
+    rows = S.read(spark, sf_dir, "pages").select("page_id", section.alias("s"), name.alias("name"))
+    path = F.concat_ws("/", "s", "name", F.concat("name", F.lit(".md")))
+    line = F.concat(F.lit("| "), n.cast("string"), F.lit(" | ["), "name", F.lit("]("), path, F.lit(") | v1 | x | y |"))
+    held = F.array_sort(F.collect_list(F.struct("s", "page_id", line.alias("line"))))
+    index = rows.where(n % 2 == 0).agg(F.concat(F.lit("# Index\n"), F.array_join(F.transform(held, lambda x: x["line"]), "\n")).alias("text")).select(F.lit("INDEX.md").alias("path"), "text")
+    return docs.apply_index(rows.select(path.alias("path"), F.lit("").alias("text")).unionByName(index))
