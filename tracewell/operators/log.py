@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.shared import numbered
 from tracewell.sources.tables import CORE_COLUMNS
 
 KEY = ["session_id", "turn", "seq"]
@@ -144,10 +145,9 @@ def latest_of(rows: DataFrame, by: str, profile: str | None = None) -> DataFrame
 
 
 def append_numbered(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows appended to a table whose key counts up; new rows are numbered in a given order. ``new``
-    is what one step writes, a handful of rows."""
+    """Rows appended to a table whose key counts up; new rows are numbered in a given order, however many they are."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
-    rows = new.withColumn("_k", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top))
+    rows = numbered(new, order, "_k").crossJoin(F.broadcast(top))
     return existing.unionByName(rows.withColumn(key, F.col("_top") + F.col("_k")).drop("_top", "_k"), allowMissingColumns=True)
 
 

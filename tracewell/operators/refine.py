@@ -72,6 +72,14 @@ def set_filters(roots: DataFrame, wanted: DataFrame) -> DataFrame:
     return roots.join(new, "root_uri", "left").withColumn("filters", F.coalesce("_new", "filters")).select(*roots.columns)
 
 
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many rows went and came between two snapshots, repeats counted: one row ``gone, added``.
+
+    Rows of both add up to what is left of each, so none is compared with others."""
+    both = before.withColumn("_n", F.lit(1)).unionByName(after.withColumn("_n", F.lit(-1))).groupBy(*before.columns).agg(F.sum("_n").alias("n"))
+    return both.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).cast("long").alias("gone"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).cast("long").alias("added"))
+
+
 def changed(before: DataFrame, after: DataFrame) -> bool:
     """Whether two snapshots differ in any row."""
     return not (before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty())
