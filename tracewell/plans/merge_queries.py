@@ -74,9 +74,9 @@ def merged_blocks(spark, sf_dir):
 i AS (SELECT reality_id, b, item, min((-strand_id, pos)) AS first FROM (SELECT reality_id, b, strand_id, unnest([p_name, p_type]) AS item, unnest([1, 2]) AS pos FROM j) WHERE trim(item) <> '' GROUP BY 1, 2, 3),
 s AS (SELECT reality_id, list(item ORDER BY b, first)[1:5] AS items FROM i GROUP BY 1),
 g AS (SELECT reality_id, b, bool_or(made) AS made, string_agg(change, '+' ORDER BY -strand_id) FILTER (change IS NOT NULL) AS changes, arg_max(p_name, strand_id) AS p_name, arg_max(p_type, strand_id) AS p_type FROM j GROUP BY 1, 2),
-t AS (SELECT reality_id, string_agg(CASE WHEN made THEN p_name || ' ' || p_type ELSE p_name END || coalesce('/' || changes, ''), ';' ORDER BY b) AS line FROM g GROUP BY 1),
+t AS (SELECT reality_id, string_agg(coalesce(CASE WHEN made THEN p_name || ' ' || p_type ELSE p_name END, '') || coalesce('/' || changes, ''), ';' ORDER BY b) AS line FROM g GROUP BY 1),
 c AS (SELECT reality_id, count(*) AS query_count, sum(list_sum(v)) / count(*) AS middle, count(DISTINCT session) AS sessions FROM j GROUP BY 1)
-SELECT reality_id, query_count, round(middle, 9) AS middle, sessions, array_to_string(items, '|') AS state, line FROM c JOIN s USING (reality_id) JOIN t USING (reality_id)""")
+SELECT reality_id, query_count, round(middle, 9) AS middle, sessions, coalesce(array_to_string(items, '|'), '') AS state, line FROM c LEFT JOIN s USING (reality_id) JOIN t USING (reality_id)""")
 def merged_objects(spark, sf_dir):
     rows = _merged(spark, sf_dir).realities.where("query_count > 0")
     entry = lambda e: F.when(e["changes"].isNotNull(), F.concat(F.lit("/"), F.array_join(e["changes"], "+"))).otherwise(F.concat(F.lit(";"), e["overview"]))

@@ -72,12 +72,12 @@ def streamed_centroids(spark, sf_dir):
     return found.select("label", F.round(total(lambda a, x: a + x), 9).alias("total"), F.round(F.sqrt(total(lambda a, x: a + x * x)), 9).alias("length"), "n")
 
 
-# Line items map suppliers' parts to orders in three batches; the newest order of a key stays, and an earlier batch comes again.
-@query("SELECT l_partkey AS strand_id, l_suppkey::BIGINT AS profile, max(l_orderkey * 10 + l_linenumber) AS event_no, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS reality_id FROM lineitem GROUP BY 1, 2")
+# Line items map suppliers' parts to orders in three batches; the newest item of a key stays (of two with one number, the greater), and an earlier batch comes again.
+@query("SELECT l_partkey AS strand_id, l_suppkey::BIGINT AS profile, max(l_orderkey * 10 + l_linenumber) AS event_no, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber, l_quantity)) AS reality_id FROM lineitem GROUP BY 1, 2")
 def streamed_map(spark, sf_dir):
     rows = S.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("strand_id"), F.col("l_suppkey").cast("long").alias("profile"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_no"), F.col("l_quantity").alias("reality_id"))
     table = BatchTable(spark, new_path(spark, "map"), ", ".join(f"{n} {t}" for n, t in rows.dtypes))
-    keyed = lambda df: log.latest(df.withColumn("_e", F.col("event_no")), ["strand_id", "profile"], "_e").select("strand_id", "profile", "event_no", "reality_id")
+    keyed = lambda df: log.latest(df.withColumn("_e", F.struct("event_no", "reality_id")), ["strand_id", "profile"], "_e").select("strand_id", "profile", "event_no", "reality_id")
     stateful.run_to(table, stateful.replay(rows, "items", 3, "strand_id"), "map", each=keyed)
     table.write(keyed(rows), table.committed()[0])
     return keyed(table.read().drop("batch"))
