@@ -481,6 +481,37 @@ def test_html_odd_pages():
     assert html_text.learn([]) == html_text.weigh({}) and html_text.extract(f"<nav>menu</nav><p>{text}</p>", html_text.weigh({})) == text
 
 
+def test_html_learnt_weights_decide(monkeypatch):
+    """Without weights boilerplate comes out; pages alone teach what it is, whatever names are listed."""
+    nav, ad, foot = "<nav><a href=x>menu here</a></nav>", "<div class=ad>buy this now and here</div>", "<footer>foot of it</footer>"
+    pages = [f"<body>{nav}{ad}<article><h1>T t</h1><p>many words are in here</p></article>{foot}</body>"] * 60
+    text = " ".join(f"word{i}" for i in range(40))
+    weights = html_text.learn(pages)
+    for box in ("article", "div"):
+        page = f"<body>{nav}{ad}<{box}><h1>H</h1><p>{text}</p></{box}>{foot}</body>"
+        assert html_text.extract(page, weights) == f"H\n\n{text}" != html_text.extract(page, {})
+    # An element or a name that articles hold loses its mark; one beside them gets a greater one.
+    held = html_text.learn([f"<body>{nav}<article><p>some words</p><aside>a note of the author</aside></article></body>"] * 60)
+    assert held["aside"] > 0 > weights["aside"] and weights["advert"] < html_text.weigh({})["advert"] < 0
+    assert html_text.extract(f"<article><p>{text}</p><aside>a note</aside></article>", held) == f"{text}\n\na note"
+    monkeypatch.setattr(html_text, "_HOLDS", {})
+    assert html_text.extract(f"<body>{nav}{ad}<div><h1>H</h1><p>{text}</p></div>{foot}</body>", html_text.learn(pages)) == f"H\n\n{text}"
+
+
+def test_html_names_that_are_like_marks():
+    weights = html_text.learn(["<body><nav>menu</nav><div class=ad>buy</div><article><h1>T</h1><p>many words are in here</p></article></body>"] * 60)
+    get = lambda page: html_text.extract(page, weights)
+    text = " ".join(f"word{i}" for i in range(40))
+    for name in ("search-trees", "legal-history", "share_prices", "popular-music"):
+        assert get(f"<article><p>{text}</p><section id='{name}'><h2>Part</h2><p>{text}</p></section></article>") == f"{text}\n\nPart\n\n{text}"
+        assert get(f"<p>{text}</p><div class='{name}'>not of it</div>") == text
+    for name in ("related-posts", "comment-list-2", "ad_728x90", "share-buttons", "side-bar", "cookie-notice", "site-header left"):
+        assert get(f"<article><p>{text}</p><div class='{name}'>not of it</div><p>{text}</p></article>") == f"{text}\n\n{text}"
+    assert get(f"<nav>a</nav><div class=post><header><h1>Title</h1><p>subtitle</p></header><p>{text}</p></div>") == f"Title\n\nsubtitle\n\n{text}"
+    assert get(f"<header><h1>Site</h1></header><div><p>{text}</p></div>") == text
+    assert get(f"<div class='{'ad_' * 30_000}x'>{text}</div><p>{text} y</p>").endswith("y")
+
+
 @pytest.mark.parametrize("part", ['<a "', '<a ="', "<div></b>", "<i><div><b></i>", "<!--", "<![CDATA[", "<script>", "<b ", "<i>", "<p x='>", "<", "</p>"])
 def test_html_scan_is_linear(part):
     import time

@@ -24,8 +24,11 @@ WORD_SCORE, LOWEST, HIGHEST = 1.0, -4.0, 1.0
 #: The least score of a tag: a list of single words, two tags to a word, still gains.
 LOWEST_TAG = -0.4
 #: Words that a feature is taken to have been seen with already, inside and outside of content: so
-#: marks of boilerplate count against a word until pages say otherwise, and plain tags for nothing.
-SEEN_MARK, SEEN_LINKS, SEEN_TAG = (1, 20), (5, 20), (200, 200)
+#: marks of boilerplate count against a word until pages say otherwise, a name that only holds the
+#: word of a mark counts less, and plain tags and the article element count for nothing.
+SEEN_MARK, SEEN_LIKE, SEEN_LINKS, SEEN_TAG, SEEN_PLACE = (1, 10), (1, 4), (5, 20), (200, 200), (1, 1)
+#: The least score of a piece of text, whatever its length: a long advert mustn't tear an article apart.
+LOWEST_TEXT = -1.0
 #: A mark whose element holds this many times the words that no mark covers is a page's wrapper.
 WRAPPER = 10
 
@@ -42,16 +45,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Marks of boilerplate: elements, then names in class, id or role. ``wrapping`` ones may also lie around a whole page.
 ELEMENT_MARKS = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "dialog"}
 NAME_MARKS = {
-    "comments": re.compile(r"(?:^|[\s_-])(?:comments?|comment-?\w*|disqus|replies|respond)(?:$|[\s_-])", re.I),
-    "advert": re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*)(?:$|[\s_-])", re.I),
-    "site": re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|side-?bar|sidebox|footer|masthead|site-header|page-header|pagination|pager|toolbar|skip-link|complementary|contentinfo)(?:$|[\s_-])", re.I),
-    "notice": re.compile(
-        r"(?:^|[\s_-])(?:cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|sign-up|login|social|share\w*|sharing|related|recommend\w*|popular|trending|widget|popup|modal|overlay|search\w*|copyright|legal)(?:$|[\s_-])",
-        re.I,
-    ),
+    "comments": r"comment\w*|disqus|replies|respond",
+    "advert": r"ads?|advert\w*|adbox|adsense|banners?|sponsor\w*|promo\w*",
+    "site": r"nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|sidebox|footer|masthead|site-header|page-header|pagination|pager|toolbar|skip-link|complementary|contentinfo",
+    "notice": r"cookies?\w*|consent|gdpr|notices?|alert|newsletter|subscribe|signup|sign-up|login|social|share\w*|sharing|related|recommend\w*|popular|trending|widgets?|popup|modal|overlay|search\w*|copyright|legal",
 }
-MARKS = ("nav", "header", "footer", "aside", "form", "dialog", "hidden", *NAME_MARKS)
-WRAPPING = frozenset(["form", "header", "aside", "dialog", "hidden", "advert", "site", "notice"])
+#: Words that come beside those in names of boilerplate; a name with any other word ("legal-history")
+#: is only like a mark.
+BESIDE_NAMES = (
+    r"area|article|articles|bar|block|body|bottom|box|btn|button|buttons|center|col|column|container|content|count|footer|form|global|group|head|header|"
+    r"heading|icon|icons|inner|item|items|label|left|line|link|links|list|main|message|more|news|outer|page|pages|panel|policy|post|posts|primary|read|reader|readers|"
+    r"recent|right|row|secondary|section|side|sign|site|skip|slot|space|stories|story|tags|text|thread|title|tools|top|topics|unit|up|user|users|wrap|wrapper|\w"
+)
+_HOLDS = {mark: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for mark, words in NAME_MARKS.items()}
+_PART = re.compile(rf"(?:{'|'.join([*NAME_MARKS.values(), BESIDE_NAMES])})", re.I)
+_BETWEEN = re.compile(r"[_-]+")
+_POST = re.compile(r"(?:^|[\s_-])(?:post|entry|hentry|story|article)(?:$|\s)", re.I)
+MARKS = ("nav", "header", "footer", "aside", "form", "dialog", "hidden", *NAME_MARKS, *(f"like {name}" for name in NAME_MARKS))
+WRAPPING = frozenset(["form", "header", "aside", "dialog", "hidden", "advert", "site", "notice", *(f"like {name}" for name in NAME_MARKS)])
+#: Where a word lies on a page with an article.
+PLACES = ("in article", "beside article")
 _BIT = {name: 1 << i for i, name in enumerate(MARKS)}
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -62,6 +75,11 @@ _SPACE = re.compile(r"\s+")
 _CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
+def _is_mark(name: str) -> bool:
+    """Whether all parts of a name are words of marks, words that come beside them, or hold digits."""
+    return all(_PART.fullmatch(part) or re.search(r"\d", part) for part in _BETWEEN.split(name) if part)
+
+
 def _mark(tag: str, attributes: str) -> int:
     """The marks (bits) that an element's own tag and attributes set."""
     out = _BIT[ELEMENT_MARKS[tag]] if tag in ELEMENT_MARKS else 0
@@ -70,9 +88,10 @@ def _mark(tag: str, attributes: str) -> int:
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            for mark, pattern in NAME_MARKS.items():
-                if pattern.search(value):
-                    out |= _BIT[mark]
+            for word in value.split():
+                for mark, pattern in _HOLDS.items():
+                    if pattern.search(word):
+                        out |= _BIT[mark if _is_mark(word) else f"like {mark}"]
         elif name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             out |= _BIT["hidden"]
     return out
@@ -139,7 +158,7 @@ def _tag_end(page: str, at: int, endless: set[str]) -> int:
 @dataclass
 class Page:
     """A parsed page. ``items`` are ``(kind, name, element, text)`` in order; each element has its
-    parent, nearest block, own marks, and whether it lies in an article and in a link."""
+    parent, nearest block, own marks, and whether it lies in an article, in a post and in a link."""
 
     items: list[tuple[str, str, int, str]] = field(default_factory=list)
     tag: list[str] = field(default_factory=lambda: ["body"])
@@ -147,6 +166,7 @@ class Page:
     block: list[int] = field(default_factory=lambda: [0])
     own: list[int] = field(default_factory=lambda: [0])
     article: list[bool] = field(default_factory=lambda: [False])
+    post: list[bool] = field(default_factory=lambda: [False])
     link: list[bool] = field(default_factory=lambda: [False])
     unseen: list[bool] = field(default_factory=lambda: [False])
 
@@ -198,13 +218,14 @@ def parse(page: str) -> Page:
                 continue
             me = len(out.tag)
             mark = _mark(tag, rest)
-            if tag == "header" and out.article[up]:
+            if tag == "header" and (out.article[up] or out.post[up]):
                 mark &= ~_BIT["header"]  # a page's header is no content; an article's holds its title
             out.tag.append(tag)
             out.parent.append(up)
             out.block.append(me if tag in BLOCKS else out.block[up])
             out.own.append(mark)
             out.article.append(out.article[up] or tag in ("article", "main"))
+            out.post.append(out.post[up] or tag in ("div", "section") and any(n.lower() == "class" and _POST.search(v.strip("\"'")) for n, v in _NAMED.findall(rest)))
             out.link.append(out.link[up] or tag == "a")
             out.unseen.append(out.unseen[up] or tag in UNSEEN)
             if tag in BLOCKS:
@@ -266,11 +287,11 @@ def features(page: Page) -> list[tuple[int, tuple[str, ...]]]:
 
 def tally(text: str) -> dict[str, tuple[int, int]]:
     """How often each feature of words and each tag comes inside and outside the content of a page
-    that marks its article: the words of the article that lie in no marked element, and the tags
-    between the first and the last of them."""
+    that marks its article: all words in the article, marked ones too, and the tags between the
+    first and the last of them. So a mark that articles hold loses its weight."""
     page = parse(text)
     found = features(page)
-    content = [bool(count) and page.article[item[2]] and not any(f in _BIT for f in fs) for item, (count, fs) in zip(page.items, found, strict=True)]
+    content = [bool(count) and page.article[item[2]] for item, (count, _) in zip(page.items, found, strict=True)]
     places = [i for i, c in enumerate(content) if c]
     inside, outside = Counter(), Counter()
     if places:
@@ -278,7 +299,7 @@ def tally(text: str) -> dict[str, tuple[int, int]]:
             if kind == "text":
                 for f in fs:
                     (inside if content[i] else outside)[f] += count
-                (inside if content[i] else outside)["words"] += count
+                (inside if content[i] else outside)["in article" if content[i] else "beside article"] += count
             elif places[0] <= i <= places[-1]:
                 inside[f"{kind} {name}"] += 1
             else:
@@ -292,10 +313,11 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     ratio = lambda key, seen, total: math.log((counts.get(key, (0, 0))[0] + seen[0]) / (total[0] + 1)) - math.log((counts.get(key, (0, 0))[1] + seen[1]) / (total[1] + 1))
     bounded = lambda w: min(HIGHEST, max(LOWEST, w))
     even = (0, 0)
-    out = {mark: bounded(ratio(mark, SEEN_MARK, even)) for mark in MARKS}
+    out = {mark: bounded(ratio(mark, SEEN_LIKE if mark.startswith("like ") else SEEN_MARK, even)) for mark in MARKS}
+    out |= {place: bounded(ratio(place, SEEN_PLACE, even)) for place in PLACES}
     out["links"] = bounded(ratio("links", SEEN_LINKS, even))
     for key in counts:
-        if key.startswith("in "):
+        if key.startswith("in ") and key not in PLACES:
             out[key] = bounded(ratio(key, SEEN_TAG, even))
     tags = {k: v for k, v in counts.items() if k.startswith(("open ", "close "))}
     total = (sum(v[0] for v in tags.values()), sum(v[1] for v in tags.values()))
@@ -316,23 +338,26 @@ def learn(pages: list[str]) -> dict[str, float]:
 
 
 def item_scores(page: Page, weights: dict[str, float]) -> list[float]:
-    """The score of each item: tags negative, words positive by their features or 0.
+    """The score of each item: tags negative, words by the weights of their features.
 
-    If articles hold at least half of what words score in all, words outside of them score 0. So
-    a marked article is taken at its word, and a teaser isn't.
+    Where a page has articles, the weight of lying in one or beside it counts by the share that
+    articles hold of what words score without it: a teaser says little about the words around it.
     """
+    per_word, held, whole = [], 0.0, 0.0
+    for (_, _, e, _), (count, fs) in zip(page.items, features(page), strict=True):
+        s = WORD_SCORE + sum(weights.get(f, 0.0) for f in fs)
+        gain = count * max(0.0, s)
+        per_word.append((count, s))
+        whole += gain
+        held += gain * page.article[e]
+    share = held / whole if whole else 0.0
+    place = [weights.get(name, 0.0) * share if share else 0.0 for name in PLACES]
     scores = []
-    held = whole = 0.0
-    for (kind, name, e, _), (count, fs) in zip(page.items, features(page), strict=True):
+    for (kind, name, e, _), (count, s) in zip(page.items, per_word, strict=True):
         if kind == "text":
-            s = count * max(0.0, WORD_SCORE + sum(weights.get(f, 0.0) for f in fs)) if count else 0.0
-            whole += s
-            held += s * page.article[e]
+            scores.append(max(LOWEST_TEXT, count * (s + place[not page.article[e]])))
         else:
-            s = weights.get(f"{kind} {name}", BLOCK_SCORE if name in BLOCKS else INLINE_SCORE)
-        scores.append(s)
-    if held and 2 * held >= whole:
-        scores = [0.0 if kind == "text" and not page.article[e] else s for (kind, _, e, _), s in zip(page.items, scores, strict=True)]
+            scores.append(weights.get(f"{kind} {name}", BLOCK_SCORE if name in BLOCKS else INLINE_SCORE))
     return scores
 
 
@@ -349,8 +374,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, joined by two line ends; words in it that score nothing (an
-    advert within an article, say) are left out."""
+    """The blocks of the best region, joined by two line ends; words in it that score nothing or
+    less (an advert within an article, say) are left out."""
     parsed = parse(page or "")
     scores = item_scores(parsed, weights)
     first, last = best_region(scores)
