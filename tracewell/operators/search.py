@@ -94,6 +94,11 @@ def retrieve(bm25: DataFrame, cosines: DataFrame, queries: DataFrame, k: int = 1
     return fuse(first.unionByName(second), config).where(F.col("rank") < k)
 
 
+def _steady(scores: DataFrame) -> DataFrame:
+    """Scores to six places, so that ties are ties in whatever order sums were made."""
+    return scores.withColumn("score", F.round("score", 6))
+
+
 def retrieve_tools(tools: DataFrame, queries: DataFrame, k: int = 10, config: Config = Config()) -> DataFrame:
     """Tools that a query hits, by what is said of them and their vectors: ``q, doc, score, rank``.
 
@@ -102,7 +107,7 @@ def retrieve_tools(tools: DataFrame, queries: DataFrame, k: int = 10, config: Co
     """
     lexical = bm25_scores(tools, queries, "tool", "text", "q", "text", config)
     semantic = cosine_scores(tools.where("vec is not null"), queries.where("vec is not null"), "tool", "vec", "q", "vec")
-    return retrieve(lexical, semantic, queries, k, config)
+    return retrieve(_steady(lexical), _steady(semantic), queries, k, config)
 
 
 def retrieve_topics(topics: DataFrame, queries: DataFrame, k: int = 10, config: Config = Config()) -> DataFrame:
@@ -114,4 +119,4 @@ def retrieve_topics(topics: DataFrame, queries: DataFrame, k: int = 10, config:
     live = topics.where((~F.col("is_bg")) & (F.trim("text") != ""))
     lexical = bm25_scores(live, queries, "topic_id", "text", "q", "text", config)
     semantic = cosine_scores(live.where("centroid is not null"), queries.where("vec is not null"), "topic_id", "centroid", "q", "vec")
-    return retrieve(lexical, semantic, queries, k, config).select("q", F.col("doc").alias("topic_id"))
+    return retrieve(_steady(lexical), _steady(semantic), queries, k, config).select("q", F.col("doc").alias("topic_id"))

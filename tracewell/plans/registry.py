@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import core_queries, graph_queries, merge_queries, root_queries, rule_queries, stream_queries, text_queries
+from tracewell.plans import core_queries, graph_queries, merge_queries, reader_queries, root_queries, rule_queries, stream_queries, text_queries
 
-_MODULES = (core_queries, graph_queries, rule_queries, root_queries, merge_queries, stream_queries, text_queries)
+_MODULES = (core_queries, graph_queries, rule_queries, root_queries, merge_queries, stream_queries, text_queries, reader_queries)
 
 
 def queries() -> dict:

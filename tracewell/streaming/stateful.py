@@ -43,13 +43,14 @@ def replay(rows: DataFrame, name: str, files: int, by: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_to(table: BatchTable, stream: DataFrame, name: str, mode: str = "append", each=lambda rows: rows) -> None:
-    """Run a stream over what is there and write each batch once: ``each(rows)`` under the batch's number."""
+def run_to(table: BatchTable, stream: DataFrame, name: str, mode: str = "append", each=lambda rows: rows, checkpoint: str | None = None, trigger: dict | None = None) -> None:
+    """Run a stream over what is there and write each batch once: ``each(rows)`` under the batch's number. With the
+    ``checkpoint`` of an earlier run it goes on where that one ended."""
     spark = stream.sparkSession
     with state_store(spark):
         query = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-checkpoint"))
-            .foreachBatch(lambda rows, number: (table.write(each(rows), number), None)[1]).trigger(availableNow=True).start()
+            stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_path(spark, f"{name}-checkpoint"))
+            .foreachBatch(lambda rows, number: (table.write(each(rows), number), None)[1]).trigger(**(trigger or {"availableNow": True})).start()
         )
         query.awaitTermination()
 
