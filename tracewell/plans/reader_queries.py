@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import fct as J
 from tracewell.functions import model_io, tools
 from tracewell.functions import vector as V
-from tracewell.operators import search, summary
+from tracewell.operators import log, search, summary
 from tracewell.plans.core_queries import LOG, SEGMENTS, _log
 from tracewell.plans.text_queries import Derived
 from tracewell.sources import tables as S
@@ -225,3 +225,44 @@ def streamed_segments(spark, sf_dir):
     for trigger in ({"once": True}, {"availableNow": True}):
         stateful.run_to(table, segmentation.segment_stream(turns, expire=False), "segments", trigger=trigger, checkpoint=checkpoint)
     return table.read().drop("batch")
+
+
+# -- what prompts and models see of a turn ----------------------------------------------------------
+
+_OUTPUTS = Derived("orders", ("cast(o_custkey AS string) AS session_id", "o_orderkey AS turn", "1 AS seq", """CASE (o_orderkey + o_custkey) % 4 WHEN 0 THEN '```json' || chr(10) || '{"affairs":[{"hdl":"","turns":["7",' || o_orderkey || '],"ooda":{"决策与方案":["take ' || o_orderkey || '"]}}]}' || chr(10) || '```'
+  WHEN 1 THEN '<stage_tag>【计划】</stage_tag><core_change>do ' || o_orderkey || '</core_change>' ELSE 'nothing to read' END AS output"""), "(o_orderkey + o_custkey) % 4 <> 3")
+_ASKED = Derived("orders", ("cast(o_custkey AS string) AS session_id", "o_orderkey AS turn", "1 AS seq", "'ask ' || o_orderpriority AS question"))
+
+
+@query("""WITH k AS (SELECT o_custkey::VARCHAR AS session_id, o_orderkey AS turn, (o_orderkey + o_custkey) % 4 AS kind, 'ask ' || o_orderpriority AS question FROM orders)
+SELECT session_id, turn, CASE kind WHEN 0 THEN 'take ' || turn WHEN 1 THEN 'do ' || turn ELSE question END AS hdl, CASE WHEN kind < 2 THEN '0' ELSE '1' END AS status, CASE kind WHEN 0 THEN '[7,' || turn || ']' END AS turns, CASE kind WHEN 1 THEN '计划' END AS state, CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'do ' || turn ELSE question END AS core FROM k""")
+def summaries_of_outputs(spark, sf_dir):
+    made = summary.summaries_from_model(_ASKED.rows(spark, sf_dir), _OUTPUTS.rows(spark, sf_dir))
+    get = lambda path: F.get_json_object("fct", path)
+    return made.select("session_id", "turn", "hdl", get("$._assemble_status").alias("status"), get("$.affairs[0].turns").alias("turns"), get("$.changes[0].stage_tag").alias("state"), get("$.core_change").alias("core"))
+
+
+# Orienting cards come before deciding ones; two at most, each cut at 800 characters, within 1600.
+@query(f"""WITH {LOG}, q AS (SELECT session_id, turn, arg_min(elm, seq) AS question FROM log WHERE role = 'user' GROUP BY 1, 2),
+c AS (SELECT session_id, turn, seq, seq % 3 AS p, CASE seq % 3 WHEN 0 THEN 'orient' ELSE 'decision' END AS kind, CASE WHEN elm <> '' THEN elm ELSE coalesce(hdl, '') END AS t FROM log WHERE seq % 3 < 2),
+x AS (SELECT *, CASE WHEN length(t) <= 800 THEN t ELSE left(t, 800) || '…[截断]' END AS cut, row_number() OVER (PARTITION BY session_id, turn ORDER BY p, seq) AS k FROM c),
+y AS (SELECT session_id, turn, k, length(cut) AS n, '[思考卡 ' || kind || '|seq=' || seq || ']' || chr(10) || CASE WHEN coalesce(question, '') <> '' THEN '问题: ' || question || chr(10) ELSE '' END || '思考: ' || cut AS b FROM x LEFT JOIN q USING (session_id, turn) WHERE k <= 2)
+SELECT a.session_id, a.turn, CASE WHEN a.n > 0 AND coalesce(z.n, 0) > 0 AND a.n + z.n <= 1600 THEN a.b || chr(10) || chr(10) || z.b WHEN a.n > 0 THEN a.b WHEN coalesce(z.n, 0) > 0 THEN z.b ELSE '' END AS context
+FROM y a LEFT JOIN y z ON z.session_id = a.session_id AND z.turn = a.turn AND z.k = 2 WHERE a.k = 1""")
+def think_contexts(spark, sf_dir):
+    rows = _log(spark, sf_dir)
+    kind = F.when(F.col("seq") % 3 == 0, "orient").when(F.col("seq") % 3 == 1, "decision").otherwise("other")
+    cards = rows.select("session_id", "turn", "seq", kind.alias("card_kind"), F.col("hdl").alias("preview"))
+    return summary.think_context(cards, rows.select("session_id", "turn", "seq", "elm"), log.first_questions(rows))
+
+
+# Of a topic's sections the last shrinks first: fewer items, then shorter ones, then none. All steps, in order; the first that fits stays.
+@query(r"""WITH d AS (SELECT doc_id, coalesce(nullif(trim(source), ''), 'Topic') AS title, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS o, list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS f FROM documents),
+k AS (SELECT *, greatest(k - 6, 0) AS s1, least(k, 6) AS s2 FROM (SELECT *, unnest(range(0, 13)) AS k FROM d)), g AS (SELECT *, [200, 200, 200, 200, 120, 80, 0][s1 + 1] AS l1, [200, 200, 200, 200, 120, 80, 0][s2 + 1] AS l2, [1000000000, 5, 3, 1, 1, 1, 0][s2 + 1] AS n2 FROM k),
+t AS (SELECT doc_id, k, o, '## ' || title || CASE WHEN o <> '' AND s1 < 6 THEN chr(10) || chr(10) || '[当前状态]' || chr(10) || '- ' || left(o, l1) ELSE '' END
+|| CASE WHEN len(f) > 0 AND s2 < 6 THEN chr(10) || chr(10) || '[结论]' || chr(10) || array_to_string(list_transform(f[1:n2], lambda x: '- ' || left(x, l2)), chr(10)) ELSE '' END AS t FROM g)
+SELECT doc_id, CASE WHEN any_value(o) = '' THEN '' ELSE arg_min(t, k) END AS shown FROM t WHERE length(t) <= 400 OR k = 12 GROUP BY 1""")
+def carryover_texts(spark, sf_dir):
+    shown = J.udf(lambda title, overview, facts: J.carryover_theme({"title": title, "overview": overview, "key_facts": list(facts)}, 400))
+    text = F.coalesce("text", F.lit(""))
+    return S.read(spark, sf_dir, "documents").select("doc_id", shown(F.col("source"), text, F.split(text, "[.]")).alias("shown"))
