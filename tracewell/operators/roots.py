@@ -27,29 +27,35 @@ def base(root: Column) -> Column:
     return F.regexp_replace(root, "/+$", "")
 
 
-def _distinct_roots(roots: DataFrame) -> DataFrame:
-    own = roots.select("root_uri", base(F.col("root_uri")).alias("prefix")).where("root_uri is not null").distinct()
+def _prefix(strip: bool) -> Column:
+    """What lies before the slash of all that a root owns; without ``strip`` a root is taken as it is written."""
+    return base(F.col("root_uri")) if strip else F.col("root_uri")
+
+
+def _distinct_roots(roots: DataFrame, strip: bool) -> DataFrame:
+    own = roots.select("root_uri", _prefix(strip).alias("prefix")).where("root_uri is not null").distinct()
     return F.broadcast(own) if own.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS else own
 
 
-def owning_roots(addresses: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every root of every address: ``uri, root_uri``, once each. A null address has none."""
+def owning_roots(addresses: DataFrame, roots: DataFrame, strip: bool = True) -> DataFrame:
+    """Every root of every address: ``uri, root_uri``, once each. A null address has none. A root that ends in a slash
+    owns what the same root without it does, unless ``strip`` is off: then it owns itself and what follows one more slash."""
     prefixes = addresses.select("uri").where("uri is not null").distinct().select("uri", F.explode(F.array_distinct(ancestors(F.col("uri")))).alias("prefix"))
-    return prefixes.join(_distinct_roots(roots), "prefix").select("uri", "root_uri")
+    return prefixes.join(_distinct_roots(roots, strip), "prefix").select("uri", "root_uri")
 
 
-def owner(addresses: DataFrame, roots: DataFrame) -> DataFrame:
+def owner(addresses: DataFrame, roots: DataFrame, strip: bool = True) -> DataFrame:
     """The root that each address belongs to: the longest that owns it; ``uri, root_uri``."""
-    return owning_roots(addresses, roots).groupBy("uri").agg(F.max_by("root_uri", F.length("root_uri")).alias("root_uri"))
+    return owning_roots(addresses, roots, strip).groupBy("uri").agg(F.max_by("root_uri", F.length("root_uri")).alias("root_uri"))
 
 
-def per_root(rows: DataFrame, roots: DataFrame, value: Column, fold, again=None) -> DataFrame:
+def per_root(rows: DataFrame, roots: DataFrame, value: Column, fold, again=None, strip: bool = True) -> DataFrame:
     """``fold(value)`` over the rows (``uri`` and what ``value`` needs) under each root: ``root_uri, v``, null
     for a root with none. ``again`` folds what was folded before (``fold``, if it isn't given)."""
     again = again or fold
     each = rows.where("uri is not null").groupBy("uri").agg(fold(value).alias("v"))
     prefixes = each.select(F.explode(F.array_distinct(ancestors(F.col("uri")))).alias("prefix"), "v").groupBy("prefix").agg(again(F.col("v")).alias("v"))
-    return roots.select("root_uri", base(F.col("root_uri")).alias("prefix")).join(prefixes, "prefix", "left").select("root_uri", "v")
+    return roots.select("root_uri", _prefix(strip).alias("prefix")).join(prefixes, "prefix", "left").select("root_uri", "v")
 
 
 def references(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -58,23 +64,23 @@ def references(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.where("relation = 'references_ov'").select("target").join(at, "target").select("uri")
 
 
-def references_per_root(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def references_per_root(links: DataFrame, nodes: DataFrame, roots: DataFrame, strip: bool = True) -> DataFrame:
     """References to the documents under each root: ``root_uri, refs``."""
-    found = per_root(references(links, nodes), roots, F.lit(1), F.sum)
+    found = per_root(references(links, nodes), roots, F.lit(1), F.sum, strip=strip)
     return found.select("root_uri", F.coalesce("v", F.lit(0)).cast("long").alias("refs"))
 
 
-def references_per_owner(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def references_per_owner(links: DataFrame, nodes: DataFrame, roots: DataFrame, strip: bool = True) -> DataFrame:
     """The same, but each document counts for its longest root alone: ``root_uri, refs``."""
     each = references(links, nodes).groupBy("uri").agg(F.count("*").alias("refs"))
-    found = each.join(owner(each, roots), "uri").groupBy("root_uri").agg(F.sum("refs").alias("refs"))
+    found = each.join(owner(each, roots, strip), "uri").groupBy("root_uri").agg(F.sum("refs").alias("refs"))
     return roots.select("root_uri").join(found, "root_uri", "left").select("root_uri", F.coalesce("refs", F.lit(0)).alias("refs"))
 
 
-def top_scores(roots: DataFrame, hits: DataFrame, queries: int = 3) -> DataFrame:
+def top_scores(roots: DataFrame, hits: DataFrame, queries: int = 3, strip: bool = True) -> DataFrame:
     """The best score that the first ``queries`` searches found under each candidate root; null for
     roots that are enabled already (they aren't searched). ``hits`` has ``query_no, uri, score``."""
-    rows = roots.join(per_root(hits.where(F.col("query_no") < queries), roots.where("not enabled"), F.col("score"), F.max), "root_uri", "left")
+    rows = roots.join(per_root(hits.where(F.col("query_no") < queries), roots.where("not enabled"), F.col("score"), F.max, strip=strip), "root_uri", "left")
     return rows.select("root_uri", F.when(~F.col("enabled"), F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0))).alias("top_score"))
 
 
@@ -106,18 +112,18 @@ def probe(roots: DataFrame, found: DataFrame, now: float) -> DataFrame:
     return rows.withColumns(out).select(*roots.columns)
 
 
-def evidence(before: DataFrame, roots: DataFrame, found: DataFrame, links: DataFrame, nodes: DataFrame, hits: DataFrame) -> DataFrame:
+def evidence(before: DataFrame, roots: DataFrame, found: DataFrame, links: DataFrame, nodes: DataFrame, hits: DataFrame, strip: bool = True) -> DataFrame:
     """What is known of each root: ``root_uri, refs, docs, top_score, is_new, there``. ``before`` are the roots before
     the probe; only roots that are switched off are searched for."""
     docs = nodes.select(F.col("metadata")["uri"].alias("uri"))
-    out = references_per_root(links, nodes, roots).join(per_root(docs, roots, F.lit(1), F.sum).withColumnRenamed("v", "docs"), "root_uri").join(top_scores(roots, hits), "root_uri")
+    out = references_per_root(links, nodes, roots, strip).join(per_root(docs, roots, F.lit(1), F.sum, strip=strip).withColumnRenamed("v", "docs"), "root_uri").join(top_scores(roots, hits, strip=strip), "root_uri")
     known = lambda df, c: df.select("root_uri").distinct().withColumn(c, F.lit(True))
     out = out.join(known(before, "_old"), "root_uri", "left").join(known(found, "_there"), "root_uri", "left")
     no = F.lit(False)
     return out.select("root_uri", "refs", F.coalesce("docs", F.lit(0)).cast("long").alias("docs"), "top_score", (~F.coalesce("_old", no)).alias("is_new"), F.coalesce("_there", no).alias("there"))
 
 
-def govern(roots: DataFrame, found: DataFrame, decisions: DataFrame, links: DataFrame | None, nodes: DataFrame, hits: DataFrame, now: float, enable_cap: int = 1) -> Governed:
+def govern(roots: DataFrame, found: DataFrame, decisions: DataFrame, links: DataFrame | None, nodes: DataFrame, hits: DataFrame, now: float, enable_cap: int = 1, strip: bool = True) -> Governed:
     """One round of governance: probe, evidence, decisions as a set.
 
     ``decisions`` has ``ord, root_uri, action``; they count in the order of ``ord``. Items without a root or with an
@@ -129,7 +135,7 @@ def govern(roots: DataFrame, found: DataFrame, decisions: DataFrame, links: Data
     """
     before = roots
     roots = probe(roots, found, now)
-    known = evidence(before, roots, found, links, nodes, hits) if links is not None else None
+    known = evidence(before, roots, found, links, nodes, hits, strip) if links is not None else None
     said = decisions.select("ord", F.trim("root_uri").alias("root_uri"), "action").where((F.col("root_uri") != "") & F.col("action").isin(*ACTIONS))
     gone = said.where("action = 'remove'").groupBy("root_uri").agg(F.min("ord").alias("_gone"))
     there = roots.select("root_uri", F.lit(True).alias("_known"))
