@@ -434,6 +434,11 @@ def short_headline(text: str | None, n: int = 30) -> str:
     return next((t[:at].rstrip() for at in places if 0 < at <= n), t[:n])
 
 
+def _turns(entries: list[dict]) -> list[int]:
+    """The turns of entries that have one; 0 is a turn like any other."""
+    return [e["turn"] for e in entries if e.get("turn") is not None]
+
+
 def affair_strands(entries: list[dict], fallback: str = "") -> list[dict]:
     """Work-lines of a block without a model: affairs of one headline over all turns; empty ones go."""
     found: dict[str, dict] = {}
@@ -441,7 +446,7 @@ def affair_strands(entries: list[dict], fallback: str = "") -> list[dict]:
         for a in e.get("affairs") or []:
             name = a.get("hdl") or e.get("hdl") or fallback or f"事务{len(found) + 1}"
             line = found.setdefault(name.strip(), {"hdl": name.strip(), "turns": [], "ooda": {s: [] for s in STAGES}})
-            line["turns"] = ordered(line["turns"], [e.get("turn")])
+            line["turns"] = list(dict.fromkeys([*line["turns"], *_turns([e])]))
             line["ooda"] = {s: ordered(line["ooda"][s], stages_of(a)[s]) for s in STAGES}
     return [x for x in found.values() if any(x["ooda"].values())]
 
@@ -455,7 +460,7 @@ def block_summary(entries: list[dict]) -> dict:
         tags = {c: e["ooda_tags"][c] for e in entries for c in e.get("changes", []) if c in e.get("ooda_tags", {})}
         groups = {s: [c for c in changes if tags.get(c) == s] for s in STAGES} | {"其他": [c for c in changes if tags.get(c) not in STAGES]}
         name = headline if len(headline) <= 30 else short_headline(changes[0] if changes else headline)
-        strands = [{"hdl": name, "turns": [e["turn"] for e in entries if e.get("turn")], "ooda": {k: v for k, v in groups.items() if v}}]
+        strands = [{"hdl": name, "turns": _turns(entries), "ooda": {k: v for k, v in groups.items() if v}}]
     requests = ordered(*(e.get("user_requests", []) for e in entries)) or ordered(*([e.get("hdl", "").strip(), *e.get("changes", [])] for e in entries))
     active = any(t == "评估中" for e in entries for t in e.get("tags", {}).values()) or any(stages_of(a)["后续行动"] for e in entries for a in e.get("affairs") or [])
     merged = {s: [x for st in strands for x in st["ooda"].get(s, [])] for s in (*STAGES, "其他")}
