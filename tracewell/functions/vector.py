@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 
 def doubles(vec: Column) -> Column:
@@ -55,6 +58,84 @@ def beside(rows: DataFrame, col: str, queries: DataFrame, query_col: str, weight
     return met.drop("_part", "_block", "_its_part", "_its_block")
 
 
+#: Rows of a part that a block of queries meets in one task, about, and products that a task holds at once.
+NEAREST_ROWS, NEAREST_PRODUCTS = 4_000, 2_000_000
+
+
+def _matrices(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a column by length: places and matrix; components that are null are NaN."""
+    out: dict[int, list[np.ndarray]] = {}
+    lists = table[name].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    starts, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = np.diff(starts)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[int(n)] = at, values[starts[at][:, None] + np.arange(n)]
+    return out
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows beside rows, summed one after another as :func:`cosine` does; 0 for a zero vector."""
+    total = lambda x: np.add.accumulate(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    size = np.sqrt(total(a * a)) * np.sqrt(total(b * b))
+    return np.divide(total(a * b), size, out=np.zeros(len(a)), where=size != 0)
+
+
+def _nearest(k: int, least: float, margin: float, schema: S.StructType):
+    q_name, key, _ = schema.names
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked = _matrices(queries, "_w") if len(queries) and len(rows) else {}
+        for n, (at, v) in (_matrices(rows, "_v") if asked else {}).items():
+            if n not in asked:
+                continue
+            q_at, w = asked[n]
+            with np.errstate(all="ignore"):
+                unit = lambda m: m / np.where((d := np.linalg.norm(m, axis=1)) == 0, 1, d)[:, None]
+                vs, ws = unit(v), unit(w)
+                step = max(1, NEAREST_PRODUCTS // len(v))
+                for i in range(0, len(w), step):
+                    s = ws[i : i + step] @ vs.T
+                    odd = ~np.isfinite(s)  # is looked at exactly
+                    s[odd] = -np.inf
+                    bound = np.full(len(s), least)
+                    if len(v) > k:
+                        bound = np.maximum(bound, np.partition(s, len(v) - k, axis=1)[:, len(v) - k])
+                    a, b = np.nonzero((s >= (bound - margin)[:, None]) | odd)
+                    found += [(q_at[i + a[j : j + 50_000]], at[b[j : j + 50_000]], _cosines(w[i + a[j : j + 50_000]], v[b[j : j + 50_000]])) for j in range(0, len(a), 50_000)]
+        a, b, c = (np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(3))
+        return pa.table({q_name: queries[q_name].take(pa.array(a.astype(np.int64))), key: rows[key].take(pa.array(b.astype(np.int64))), "c": pa.array(c.astype(np.float64))})
+
+    return run
+
+
+def nearest(rows: DataFrame, key: str, vec: str, queries: DataFrame, q: str, query_vec: str, k: int, least: float = -2.0, margin: float = 1e-8) -> DataFrame:
+    """The rows whose cosine with a query of their length is among its ``k`` greatest, and some more:
+    ``q, key, c``. ``c`` is what :func:`cosine` gives, to the bit; vectors that hold a null or a NaN have a NaN or 0.
+
+    Whoever ranks by ``c``, or by a rounding of it finer than ``margin``, and then by ``key`` from the least finds the same
+    first ``k`` at or above ``least`` as among all pairs. All pairs are looked at, as products of blocks of queries and parts of
+    the rows, a task each; what leaves a task is ``k`` rows a query, and those within the margin. Of equal vectors only the ``k`` of
+    the least keys take part, so copies don't add up.
+    """
+    spark = rows.sparkSession
+    have = rows.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("_v"))
+    copy = F.row_number().over(Window.partitionBy("_v").orderBy(key))
+    have = have.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
+    asked = queries.where(F.col(query_vec).isNotNull()).select(q, F.col(query_vec).alias("_w"))
+    size = int(asked.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0])
+    blocks = max(1, -(-size // BROADCAST_COMPONENTS))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-rows.count() // NEAREST_ROWS)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = have.withColumn("_part", place(key, parts)).withColumn("_block", every(blocks)).groupBy("_part", "_block")
+    right = asked.withColumn("_block", place(q, blocks)).withColumn("_part", every(parts)).groupBy("_part", "_block")
+    schema = S.StructType([asked.schema[q], have.schema[key], S.StructField("c", S.DoubleType())])
+    return left.cogroup(right).applyInArrow(_nearest(k, least, margin, schema), schema)
+
+
 def scaled(a: Column, by: Column) -> Column:
     return F.transform(a, lambda x: x / by)
 

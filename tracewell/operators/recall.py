@@ -25,8 +25,8 @@ def in_range(questions: DataFrame, realities: DataFrame, config: Config = Config
     stated set; work objects are read once.
     """
     have = realities.where("query_centroid is not null").select("reality_id", "query_centroid")
-    pairs = V.meet(have, "query_centroid", questions.where("qv is not null").select("q", "qv"), "qv")
-    pairs = pairs.select("q", "reality_id", F.round(1 - V.cosine(F.col("qv"), F.col("query_centroid")), 9).alias("d")).where(F.col("d") <= config.theta_max)
+    pairs = V.nearest(have, "reality_id", "query_centroid", questions, "q", "qv", config.recall_candidates, 1 - config.theta_max)
+    pairs = pairs.select("q", "reality_id", F.round(1 - F.col("c"), 9).alias("d")).where(F.col("d") <= config.theta_max)
     order = Window.partitionBy("q").orderBy("d", "reality_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)
 
@@ -91,8 +91,12 @@ def inject_log(blocks: DataFrame, clouds: DataFrame, k: int = 3) -> DataFrame:
 
 def themes_for(questions: DataFrame, themes: DataFrame, decisions: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Themes for each question: none of too small a cosine, then the decisions' picks or the first few."""
-    pairs = V.meet(themes.where("centroid is not null"), "centroid", questions.where("qv is not null").select("q", "qv"), "qv")
-    pairs = pairs.select("q", "theme_id", F.round(V.cosine(F.col("qv"), F.col("centroid")), 9).alias("c")).where(F.col("c") >= config.negative_cosine)
+    if decisions is None:
+        pairs = V.nearest(themes, "theme_id", "centroid", questions, "q", "qv", config.recall_final, config.negative_cosine).withColumn("c", F.round("c", 9))
+    else:
+        pairs = V.meet(themes.where("centroid is not null"), "centroid", questions.where("qv is not null").select("q", "qv"), "qv")
+        pairs = pairs.select("q", "theme_id", F.round(V.cosine(F.col("qv"), F.col("centroid")), 9).alias("c"))
+    pairs = pairs.where(F.col("c") >= config.negative_cosine)
     if decisions is not None:
         decided = decisions.select("q").distinct().withColumn("decided", F.lit(True))
         pairs = pairs.join(decided, "q", "left").join(decisions.select("q", "theme_id").withColumn("picked", F.lit(True)), ["q", "theme_id"], "left").where("decided is null or picked")

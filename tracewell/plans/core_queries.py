@@ -9,6 +9,7 @@ from tracewell.functions import text as T
 from tracewell.functions import vector as V
 from tracewell.operators import history, log, search, topics
 from tracewell.sources import tables as S
+from tracewell.sources.shared import numbered, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -204,15 +205,15 @@ cs AS (SELECT a.vec_id AS q, b.vec_id AS doc, round(list_cosine_similarity(a.v,
 """
 
 
-def _cosines(spark, sf_dir):
+def _cosines(spark, sf_dir, best: int):
     e = S.read(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0")
-    return search.cosine_scores(e, asked, "vec_id", "embedding", "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return search.cosine_scores(e, asked, "vec_id", "embedding", "vec_id", "embedding", best).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) - 1 AS rank FROM cs) SELECT q, doc, score, rank FROM r WHERE rank < 10")
 def cosine_topk(spark, sf_dir):
-    return search.ranked(_cosines(spark, sf_dir), "score", limit=10).select("q", "doc", "score", F.col("rank").cast("long").alias("rank"))
+    return search.ranked(_cosines(spark, sf_dir, 10), "score", limit=10).select("q", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_BM25}, h AS (SELECT b.item_id AS q, count(bm.doc) AS bm25_hits FROM benchmark b LEFT JOIN bm ON bm.q = b.item_id AND bm.score > 0 GROUP BY 1)
@@ -231,9 +232,12 @@ l AS (SELECT q, 0 AS list, rank, doc FROM a WHERE rank < 6 UNION ALL SELECT q, 1
 f AS (SELECT q, doc, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM l GROUP BY 1, 2)
 SELECT q, doc, round(score, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, first) - 1 AS rank FROM f""")
 def rrf_fusion(spark, sf_dir):
-    cs = _cosines(spark, sf_dir)
-    a = search.ranked(cs, "score", limit=6).select("q", F.lit(0).alias("list"), "rank", "doc")
-    b = search.ranked(cs.withColumn("near", -F.abs(F.col("q") - F.col("doc"))), "near", limit=4).select("q", F.lit(1).alias("list"), "rank", "doc")
+    a = search.ranked(_cosines(spark, sf_dir, 6), "score", limit=6).select("q", F.lit(0).alias("list"), "rank", "doc")
+    # A row's nearest four by number are among the four places before and after it, of the vectors of its length.
+    rows = S.read(spark, sf_dir, "embeddings").where("embedding is not null").select(F.size("embedding").alias("len"), F.col("vec_id").alias("doc"))
+    placed = written(numbered(rows, ["len", "doc"]), "vector-places")
+    asked = placed.where("doc % 50 = 0").select(F.col("doc").alias("q"), "len", F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("n"))
+    b = search.ranked(asked.join(placed, ["len", "n"]).withColumn("near", -F.abs(F.col("q") - F.col("doc"))), "near", limit=4).select("q", F.lit(1).alias("list"), "rank", "doc")
     return search.fuse(a.unionByName(b)).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -250,7 +254,7 @@ def hybrid_retrieve(spark, sf_dir):
     vectors = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "embedding").join(docs, "doc")
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"))
     lookups = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")).join(asked, "q")
-    cosines = search.cosine_scores(vectors, lookups, "doc", "embedding", "q", "qv").withColumn("score", F.round("score", 12))
+    cosines = search.cosine_scores(vectors, lookups, "doc", "embedding", "q", "qv", best=10).withColumn("score", F.round("score", 12))
     return search.retrieve(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), cosines, asked).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
