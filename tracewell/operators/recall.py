@@ -9,6 +9,7 @@ from tracewell.config import Config
 from tracewell.functions import text as T
 from tracewell.functions import vector as V
 from tracewell.operators import graph
+from tracewell.sources.shared import written
 
 
 def not_own_session(rows: DataFrame, session: str | None) -> DataFrame:
@@ -34,16 +35,24 @@ def in_range(questions: DataFrame, realities: DataFrame, config: Config = Config
 def lexical(questions: DataFrame, realities: DataFrame, config: Config = Config(), most: int = V.BROADCAST_COMPONENTS) -> DataFrame:
     """Without vectors: distance by shared character pairs with name or headline: ``q, reality_id, d, rank``.
 
-    The questions are a stated set, and every object has a distance to each. They are broadcast if
+    The questions are a stated set, and every object has a distance to each. Equal ones are a class: classes of
+    questions meet classes of objects, and of a class of objects those of the least ids stand for all. Classes of questions are broadcast if
     their pairs (summed first) are few; else blocks of them meet parts of the objects.
     """
-    q = questions.select("q", T.character_pairs(F.col("text")).alias("qp"))
-    r = realities.select("reality_id", T.character_pairs(F.col("name")).alias("np"), T.character_pairs(F.col("hdl")).alias("hp"))
+    cls = lambda *texts: F.md5(F.to_json(F.array(*texts)))
+    q = questions.select("q", "text", cls(F.col("text")).alias("_q"))
+    r = realities.select("reality_id", "name", "hdl", cls(F.col("name"), F.col("hdl")).alias("_r"))
     both = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), T.jaccard(a, b)).otherwise(0.0)
-    pairs = V.beside(r, "reality_id", q, "q", F.size("qp") + 1, most=most)
-    pairs = pairs.select("q", "reality_id", F.round(1 - F.greatest(both(F.col("qp"), F.col("np")), both(F.col("qp"), F.col("hp"))), 9).alias("d"))
-    order = Window.partitionBy("q").orderBy("d", "reality_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)
+    q_classes = q.groupBy("_q").agg(F.first("text").alias("text")).select("_q", T.character_pairs(F.col("text")).alias("qp"))
+    r_classes = r.groupBy("_r").agg(F.first("name").alias("name"), F.first("hdl").alias("hdl")).select("_r", T.character_pairs(F.col("name")).alias("np"), T.character_pairs(F.col("hdl")).alias("hp"))
+    parts = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r_classes = written(r_classes.repartition(parts), "recall-classes").repartition(parts)  # few rows, but each costs much
+    pairs = V.beside(r_classes, "_r", q_classes, "_q", F.size("qp") + 1, most=most)
+    pairs = pairs.select("_q", "_r", F.round(1 - F.greatest(both(F.col("qp"), F.col("np")), both(F.col("qp"), F.col("hp"))), 9).alias("d"))
+    first = lambda df, order: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.recall_candidates)
+    members = first(r.select("_r", "reality_id"), Window.partitionBy("_r").orderBy("reality_id")).drop("rank")
+    best = first(pairs.join(members, "_r"), Window.partitionBy("_q").orderBy("d", "reality_id"))
+    return q.select("q", "_q").join(best, "_q").select("q", "reality_id", "d", "rank")
 
 
 def recall(questions: DataFrame, realities: DataFrame, links: DataFrame, decisions: DataFrame | None = None, config: Config = Config()) -> DataFrame:
