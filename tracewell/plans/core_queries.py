@@ -176,8 +176,8 @@ def token_stats(spark, sf_dir):
     return search.token_stats(S.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _bm25(spark, sf_dir):
-    return search.bm25_scores(S.read(spark, sf_dir, "documents"), S.read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+def _bm25(spark, sf_dir, k: int):
+    return search.bm25_best(S.read(spark, sf_dir, "documents"), S.read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k)
 
 
 _BM25 = f"""
@@ -195,7 +195,7 @@ bm AS (SELECT q.item_id AS q, p.doc_id AS doc, sum(q.times * ln(1 + (s.n - df.df
 @query(f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc) - 1 AS rank FROM bm WHERE score > 0)
 SELECT q, doc, round(score, 4) AS score, rank FROM r WHERE rank < 10""")
 def bm25_topk(spark, sf_dir):
-    scores = _bm25(spark, sf_dir).withColumn("r6", F.round("score", 6))
+    scores = _bm25(spark, sf_dir, 10).withColumn("r6", F.round("score", 6))
     return search.ranked(scores, "r6", limit=10).select("q", "doc", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -220,7 +220,7 @@ def cosine_topk(spark, sf_dir):
 SELECT q, bm25_hits, least(CASE WHEN bm25_hits >= 5 THEN 6 WHEN bm25_hits >= 2 THEN 4 ELSE 2 END, 10)::INT AS bm25_k,
        least(10 - least(CASE WHEN bm25_hits >= 5 THEN 6 WHEN bm25_hits >= 2 THEN 4 ELSE 2 END, 10), 3)::INT AS vec_k FROM h""")
 def dynamic_slots(spark, sf_dir):
-    hits = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q")).join(_bm25(spark, sf_dir).groupBy("q").agg(F.count("*").alias("bm25_hits")), "q", "left")
+    hits = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q")).join(_bm25(spark, sf_dir, 1).select("q", F.col("hits").alias("bm25_hits")), "q", "left")
     hits = hits.withColumn("bm25_hits", F.coalesce("bm25_hits", F.lit(0).cast("long")))
     s = search.allocation(F.col("bm25_hits"), F.lit(3), F.lit(10))
     return hits.select("q", "bm25_hits", s["bm25"].alias("bm25_k"), s["vec"].alias("vec_k"))
@@ -255,7 +255,7 @@ def hybrid_retrieve(spark, sf_dir):
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"))
     lookups = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")).join(asked, "q")
     cosines = search.cosine_scores(vectors, lookups, "doc", "embedding", "q", "qv", best=10).withColumn("score", F.round("score", 12))
-    return search.retrieve(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), cosines, asked).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.retrieve(_bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 6)), cosines, asked).select("q", "doc", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _geometry(spark, sf_dir):
