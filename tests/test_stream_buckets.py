@@ -66,3 +66,18 @@ def test_calls_of_a_bucket_are_one_state():
     assert list(counters.handleExpiredTimer((7,), Now(ms(60)), Now(ms(10)))) == []
     assert {c[0] for c in json.loads(handle.state.value[0])[1]} == {f"s{i}" for i in (2, *range(51, 100))} and handle.timers == {ms(61)}
     assert list(counters.handleExpiredTimer((7,), Now(ms(500)), Now(ms(61)))) == [] and not handle.state.exists()
+
+
+def test_uses_are_taken_in_slices(monkeypatch):
+    at = lambda s: pd.Timestamp(2024, 1, 1) + pd.Timedelta(seconds=s)
+    monkeypatch.setattr(stateful, "USES", 10, raising=False)
+    uses = [(f"s{i * 7 % 11}", i, at(i // 3)) for i in range(200)]
+    frames = [pd.DataFrame(uses[i::4], columns=["session_id", "event_id", "ts"]) for i in range(4)]
+    handle, cache = Handle(), stateful.SessionCache(20_000_000, 3, 1000)
+    cache.init(handle)
+    got = list(cache.handleInputRows((2,), iter(frames), Now(0)))
+    held, want = stateful.Sessions(20_000_000, 3), []
+    for session, number, ts in uses:
+        want += [(2, other, number, ts, what) for other, what in held.use(session, int(ts.value // 1000), number)]
+    assert len(got) == 20 and [tuple(r) for f in got for r in f.itertuples(index=False)] == want
+    assert json.loads(handle.state.value[0]) == held.held
