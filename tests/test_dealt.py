@@ -15,3 +15,12 @@ def test_pairs_are_dealt_to_tasks_of_a_bounded_number(spark):
     assert "REPARTITION_BY_NUM, [plan_id" in many._jdf.queryExecution().toString() and ", 9)" in many._jdf.queryExecution().toString()
     known = events.where("topic_id % 3 = 0")
     assert rows(graph.record_cooccurrences(members, known, 9)) == rows(graph.record_cooccurrences(members, known)) == rows(events.where("topic_id % 3 <> 0"))
+
+
+def test_titles_are_dealt_by_their_words(spark, monkeypatch):
+    names = spark.createDataFrame([(i, f"{'abcdef'[i % 6] * 3} {'ghijklm'[i % 7] * 3} common") for i in range(200)], "id long, title string")
+    titles = spark.createDataFrame([(i, f"{'abcdef'[i % 6] * 3} {'ghijklm'[i % 7] * 3} common") for i in range(20)], "doc long, title string")
+    match = lambda: sorted(map(tuple, graph.title_matches(names, titles, 1.5, 2, 3.0).collect()))
+    want = match()
+    monkeypatch.setattr(graph, "TITLE_WORDS", 50)
+    assert match() == want and len(want) > 50
