@@ -1,6 +1,6 @@
 """Work that is dealt to more tasks as its rows grow."""
 
-from tracewell.operators import graph
+from tracewell.operators import graph, merge
 from tracewell.sources import shared
 
 
@@ -24,3 +24,12 @@ def test_titles_are_dealt_by_their_words(spark, monkeypatch):
     want = match()
     monkeypatch.setattr(graph, "TITLE_WORDS", 50)
     assert match() == want and len(want) > 50
+
+
+def test_edges_are_made_once(spark):
+    edges = spark.createDataFrame([(1, 2, 3), (2, 3, 1)], "a long, b long, w long").groupBy("a", "b").agg({"w": "sum"}).withColumnRenamed("sum(w)", "w")
+    works = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    anchors = spark.createDataFrame([(1, 2, True)], "q long, id long, fused boolean")
+    found = merge.s_candidates(works, anchors, edges)
+    assert [(r.id, r.s, r["rank"]) for r in found.orderBy("rank").collect()] == [(2, 0.0, 1), (1, 0.25, 2), (3, 0.5, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [a#") == 1
