@@ -136,6 +136,59 @@ def nearest(rows: DataFrame, key: str, vec: str, queries: DataFrame, q: str, que
     return left.cogroup(right).applyInArrow(_nearest(k, least, margin, schema), schema)
 
 
+#: Components of a block of vectors that meets another one in a task of :func:`within`: 16 MB.
+BLOCK_COMPONENTS = 2_000_000
+
+
+def _within(margin: float, schema: S.StructType):
+    q_name, key, _ = schema.names
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked = _matrices(queries, "_w") if len(queries) and len(rows) else {}
+        least, from_, to = (x.to_numpy() for x in (queries["_least"], rows["_from"], queries["_to"]))
+        for n, (at, v) in (_matrices(rows, "_v") if asked else {}).items():
+            if n not in asked:
+                continue
+            q_at, w = asked[n]
+            with np.errstate(all="ignore"):
+                unit = lambda m: m / np.where((d := np.linalg.norm(m, axis=1)) == 0, 1, d)[:, None]
+                vs, ws = unit(v), unit(w)
+                step = max(1, NEAREST_PRODUCTS // len(v))
+                for i in range(0, len(w), step):
+                    far = ws[i : i + step] @ vs.T < (least[q_at[i : i + step]] - margin)[:, None]  # a NaN isn't, and is looked at exactly
+                    a, b = np.nonzero(~far)
+                    some = from_[at[b]] < to[q_at[i + a]]
+                    a, b = a[some], b[some]
+                    found += [(q_at[i + a[j : j + 50_000]], at[b[j : j + 50_000]], _cosines(w[i + a[j : j + 50_000]], v[b[j : j + 50_000]])) for j in range(0, len(a), 50_000)]
+        a, b, c = (np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(3))
+        return pa.table({q_name: queries[q_name].take(pa.array(a.astype(np.int64))), key: rows[key].take(pa.array(b.astype(np.int64))), "c": pa.array(c.astype(np.float64))})
+
+    return run
+
+
+def within(rows: DataFrame, key: str, vec: str, since: str, queries: DataFrame, q: str, query_vec: str, until: str, least: str, margin: float = 1e-8) -> DataFrame:
+    """All rows whose cosine with a query of their length is at or above the query's ``least``, or less by no more than
+    ``margin``, and whose ``since`` is less than its ``until``: ``q, key, c``, with ``c`` as :func:`nearest` has it.
+
+    For two large sides: blocks of either meet in a task each, so a row moves once a block of the other side.
+    """
+    spark = rows.sparkSession
+    have = rows.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("_v"), F.col(since).alias("_from"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(q, F.col(query_vec).alias("_w"), F.col(until).alias("_to"), F.col(least).alias("_least"))
+    size = lambda df, c: df.agg(F.coalesce(F.sum(F.size(c)), F.lit(0)), F.count("*")).first()
+    (r_size, n), (q_size, _) = size(have, "_v"), size(asked, "_w")
+    blocks, parts = (max(1, -(-int(x) // BLOCK_COMPONENTS)) for x in (q_size, r_size))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(-(-usual // blocks), -(-n * 4 // NEAREST_ROWS)))  # small sides keep all tasks busy
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = have.withColumn("_part", place(key, parts)).withColumn("_block", every(blocks)).groupBy("_part", "_block")
+    right = asked.withColumn("_block", place(q, blocks)).withColumn("_part", every(parts)).groupBy("_part", "_block")
+    schema = S.StructType([asked.schema[q], have.schema[key], S.StructField("c", S.DoubleType())])
+    return left.cogroup(right).applyInArrow(_within(margin, schema), schema)
+
+
 def scaled(a: Column, by: Column) -> Column:
     return F.transform(a, lambda x: x / by)
 
