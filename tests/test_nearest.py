@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -29,3 +30,21 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, sizes):
 def test_searches_give_few_rows(spark):
     rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(300)], "id long, v array<double>")
     assert search.cosine_scores(rows, rows.where("id < 3"), "id", "v", "id", "v", best=10).count() == 30
+
+
+def test_near_ties_survive_single_precision(spark):
+    draw = random.Random(7)
+    vec = lambda near: [1.0] + [0.5 + (draw.random() * 1e-7 if near else draw.gauss(0, 0.2)) for _ in range(7)]
+    rows = spark.createDataFrame([(i, vec(i % 3 > 0)) for i in range(1500)], "id long, v array<double>")
+    queries = rows.where("id % 100 = 1").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    first = lambda d: sorted(map(str, d.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.round("c", 15).desc(), "id"))).where("k <= 5").collect()))
+    want = V.meet(rows, "v", queries, "w").select("q", "id", V.cosine(F.col("w"), F.col("v")).alias("c"))
+    assert first(V.nearest(rows, "id", "v", queries, "q", "w", 5)) == first(want)
+
+
+def test_a_bound_that_is_always_reached():
+    draw = np.random.default_rng(3)
+    for n, k in ((7, 7), (500, 3), (4_000, 10), (999, 30)):
+        s = draw.normal(size=(20, n)).astype(np.float32)
+        bound, exact = V._reached(s, k), np.sort(s, axis=1)[:, n - k]
+        assert (bound <= exact).all() and ((s >= bound[:, None]).sum(axis=1) <= 2 * k + 5).all()
