@@ -48,3 +48,16 @@ def test_a_bound_that_is_always_reached():
         s = draw.normal(size=(20, n)).astype(np.float32)
         bound, exact = V._reached(s, k), np.sort(s, axis=1)[:, n - k]
         assert (bound <= exact).all() and ((s >= bound[:, None]).sum(axis=1) <= 2 * k + 5).all()
+
+
+def test_rows_that_are_nearly_alike_stay_in_their_task(spark):
+    rows = spark.createDataFrame([(i, [1.0, i * 1e-6, 0.0, 0.0]) for i in range(1, 600)], "id long, v array<double>")
+    queries = spark.createDataFrame([(0, [0.0, 1.0, 0.0, 0.0])], "q long, w array<double>")
+    got = V.nearest(rows, "id", "v", queries, "q", "w", 5)
+    assert sorted(r.id for r in got.collect()) == [595, 596, 597, 598, 599]
+
+
+def test_copies_are_told_apart_by_their_hashes(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(90)], "id long, v array<double>")
+    got = V.nearest(rows, "id", "v", rows.where("id = 0").select(F.col("id").alias("q"), F.col("v").alias("w")), "q", "w", 4)
+    assert sorted(r.id for r in got.collect()) == [0, 3, 6, 9] and "_hash" in got._jdf.queryExecution().optimizedPlan().toString()

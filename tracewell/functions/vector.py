@@ -10,7 +10,7 @@ from pyspark.sql import types as S
 
 
 def doubles(vec: Column) -> Column:
-    return F.transform(vec, lambda c: c.cast("double"))
+    return vec.cast("array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,8 +58,11 @@ def beside(rows: DataFrame, col: str, queries: DataFrame, query_col: str, weight
     return met.drop("_part", "_block", "_its_part", "_its_block")
 
 
-#: Rows of a part that a block of queries meets in one task, about, and products that a task holds at once.
-NEAREST_ROWS, NEAREST_PRODUCTS = 4_000, 2_000_000
+#: Rows of a part that a block of queries meets in one task, about, if that keeps all cores busy; components of such a part
+#: at most, about (16 MB); and queries and rows whose products a task holds at once.
+NEAREST_ROWS, NEAREST_COMPONENTS, TILE = 4_000, 2_000_000, (64, 8_192)
+#: Products that a task of :func:`within` holds at once.
+NEAREST_PRODUCTS = 2_000_000
 
 
 def _matrices(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -91,12 +94,54 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return (m / np.where((d := np.linalg.norm(m, axis=1)) == 0, 1, d)[:, None]).astype(np.float32)
 
 
+def _maxima(s: np.ndarray, k: int) -> np.ndarray:
+    """Maxima of groups of columns, many more than ``k``: column ``j`` is of group ``j % groups``; less than a group's size at the end is left out."""
+    size = 1 << (max(1, min(32, s.shape[1] // (8 * k))).bit_length() - 1)
+    groups = s.shape[1] // size
+    return s[:, : groups * size].reshape(len(s), size, groups).max(axis=1)
+
+
 def _reached(s: np.ndarray, k: int) -> np.ndarray:
     """For each row, a value that at least ``k`` of its values reach: the ``k``-th greatest of maxima of groups, so nearly its ``k``-th greatest."""
-    size = max(1, min(32, s.shape[1] // (8 * k)))
-    groups = s.shape[1] // size
-    best = s[:, : groups * size].reshape(len(s), size, groups).max(axis=1)
-    return np.partition(best, groups - k, axis=1)[:, groups - k]
+    best = _maxima(s, k)
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+
+
+def _not_behind(of: np.ndarray, value: np.ndarray, k: int, room: float) -> np.ndarray:
+    """Which values are at or above the ``k``-th greatest one of their ``of``, less ``room``; a NaN is."""
+    order = np.lexsort((-value, of))
+    first = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else np.zeros(0, int)
+    sizes = np.diff(np.r_[first, len(of)])
+    kth = np.where(sizes >= k, value[order][np.minimum(first + k - 1, len(of) - 1)], -np.inf) if len(of) else np.zeros(0)
+    out = np.zeros(len(of), bool)
+    out[order] = ~(value[order] < np.repeat(kth - room, sizes))
+    return out
+
+
+def _hopeful(ws: np.ndarray, vs: np.ndarray, k: int, least: float, about: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of queries and rows whose product may be among the ``k`` greatest of the query's: a tile of rows after
+    another, and of a tile's products those of groups alone whose maximum may be."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    bound = np.full(len(ws), least)
+    for i in range(0, len(vs), TILE[1]):
+        s = ws @ vs[i : i + TILE[1]].T
+        best = _maxima(s, k)
+        groups = best.shape[1]
+        size = s.shape[1] // groups
+        if groups >= k:
+            bound = np.maximum(bound, _reached(best, k))
+        low = (bound - about).astype(np.float32)
+        a, g = np.divmod(np.flatnonzero(best >= low[:, None]), groups)
+        b = g[:, None] + groups * np.arange(size)
+        some = s[a[:, None], b] >= low[a, None]
+        a, b = np.repeat(a, some.sum(axis=1)), b[some]
+        if groups * size < s.shape[1]:
+            x, y = np.nonzero(s[:, groups * size :] >= low[:, None])
+            a, b = np.r_[a, x], np.r_[b, y + groups * size]
+        found.append((a, b + i, s[a, b]))
+    a, b, s = (np.concatenate([x[j] for x in found]) for j in range(3))
+    some = _not_behind(a, s, k, about)
+    return a[some], b[some]
 
 
 def _nearest(k: int, least: float, margin: float, schema: S.StructType):
@@ -111,16 +156,18 @@ def _nearest(k: int, least: float, margin: float, schema: S.StructType):
             q_at, w = asked[n]
             with np.errstate(all="ignore"):
                 vs, ws, about = _unit(v), _unit(w), margin + SINGLE * (n + 4)
-                step = max(1, NEAREST_PRODUCTS // len(v))
-                for i in range(0, len(w), step):
-                    s = ws[i : i + step] @ vs.T
-                    odd = ~np.isfinite(s)  # is looked at exactly
-                    s[odd] = -np.inf
-                    bound = np.full(len(s), least)
-                    if len(v) > k:
-                        bound = np.maximum(bound, _reached(s, k))
-                    a, b = np.nonzero((s >= (bound - about).astype(np.float32)[:, None]) | odd)
-                    found += [(q_at[i + a[j : j + 50_000]], at[b[j : j + 50_000]], _cosines(w[i + a[j : j + 50_000]], v[b[j : j + 50_000]])) for j in range(0, len(a), 50_000)]
+                odd = ~np.isfinite(vs).all(axis=1)  # all products with it are looked at exactly
+                good, bad, vs = np.flatnonzero(~odd), np.flatnonzero(odd), vs[~odd]
+                for i in range(0, len(w), TILE[0]):
+                    mine = ws[i : i + TILE[0]]
+                    plain = np.isfinite(mine).all(axis=1)
+                    fine, strange = np.flatnonzero(plain), np.flatnonzero(~plain)
+                    a, b = _hopeful(mine[fine], vs, k, least, about) if len(fine) and len(good) else (np.zeros(0, int), np.zeros(0, int))
+                    a = np.r_[fine[a], np.repeat(fine, len(bad)), np.repeat(strange, len(v))] + i
+                    b = np.r_[good[b], np.tile(bad, len(fine)), np.tile(np.arange(len(v)), len(strange))]
+                    c = np.concatenate([_cosines(w[a[j : j + 50_000]], v[b[j : j + 50_000]]) for j in range(0, max(1, len(a)), 50_000)])
+                    some = _not_behind(a, c, k, margin)
+                    found.append((q_at[a[some]], at[b[some]], c[some]))
         a, b, c = (np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(3))
         return pa.table({q_name: queries[q_name].take(pa.array(a.astype(np.int64))), key: rows[key].take(pa.array(b.astype(np.int64))), "c": pa.array(c.astype(np.float64))})
 
@@ -138,12 +185,14 @@ def nearest(rows: DataFrame, key: str, vec: str, queries: DataFrame, q: str, que
     """
     spark = rows.sparkSession
     have = rows.where(F.col(vec).isNotNull()).select(key, F.col(vec).alias("_v"))
-    copy = F.row_number().over(Window.partitionBy("_v").orderBy(key))
-    have = have.withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy")
     asked = queries.where(F.col(query_vec).isNotNull()).select(q, F.col(query_vec).alias("_w"))
-    size = int(asked.agg(F.coalesce(F.sum(F.size("_w")), F.lit(0))).first()[0])
-    blocks = max(1, -(-size // BROADCAST_COMPONENTS))
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-rows.count() // NEAREST_ROWS)))
+    size = lambda df, c: df.agg(F.coalesce(F.sum(F.size(c)), F.lit(0)), F.count("*")).first()
+    (r_size, n), (q_size, _) = size(have, "_v"), size(asked, "_w")
+    blocks = max(1, -(-int(q_size) // BROADCAST_COMPONENTS))
+    busy = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = max(1, -(-int(r_size) // NEAREST_COMPONENTS), min(busy, -(-n // NEAREST_ROWS)))  # queries move, and a query's first rows come back, once a part
+    copy = F.row_number().over(Window.partitionBy("_hash", "_v").orderBy(key))  # vectors are compared only if their hashes are equal
+    have = have.withColumn("_hash", F.xxhash64("_v")).withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy", "_hash")
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = have.withColumn("_part", place(key, parts)).withColumn("_block", every(blocks)).groupBy("_part", "_block")
