@@ -27,3 +27,18 @@ def test_copies_of_texts_are_not_shuffled_as_pairs(spark):
     """What is made distinct are pairs of classes: no aggregate stands above the lists of members."""
     plan = graph.link_candidates(spark.createDataFrame([(1, "a box 基于"), (2, "box")], "reality_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_left") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_lists_of_members_are_not_shuffled_as_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "BROADCAST_MEMBERS", held)
+    monkeypatch.setattr(graph, "LEFT_MEMBERS", 2)
+    rows = [(i if i % 9 else None, TEXTS[i % 3]) for i in range(30)]
+    found = graph.link_candidates(spark.createDataFrame(rows, "reality_id long, text string"))
+    words = lambda t: set(t.split()) - {"基于"}
+    want = {(a, b) for (a, s), (b, t) in itertools.product(rows, rows) if None not in (a, b) and a != b and "基于" in s and (words(s) & words(t) or "基于" in t)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[plan.index("Generate explode(_left") : plan.index("Join")]
+    assert ("true" in above) == (held == 0)
