@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.operators import graph
 
@@ -42,3 +43,9 @@ def test_lists_of_members_are_not_shuffled_as_pairs(spark, monkeypatch, held):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above = plan[plan.index("Generate explode(_left") : plan.index("Join")]
     assert ("true" in above) == (held == 0)
+
+
+def test_targets_are_chosen_before_pairs(spark):
+    items = spark.createDataFrame([(i, TEXTS[i % 3]) for i in range(12)], "reality_id long, text string")
+    every = {tuple(r) for r in graph.link_candidates(items).collect()}
+    assert {tuple(r) for r in graph.link_candidates(items, targets=F.col("id") % 2 == 0).collect()} == {p for p in every if p[1] % 2 == 0} != every
