@@ -441,14 +441,16 @@ def _turns(entries: list[dict]) -> list[int]:
 
 def affair_strands(entries: list[dict], fallback: str = "") -> list[dict]:
     """Work-lines of a block without a model: affairs of one headline over all turns; empty ones go."""
-    found: dict[str, dict] = {}
+    found: dict[str, tuple[dict, dict]] = {}  # turns and stages' items, in the order of their keys
     for e in entries:
         for a in e.get("affairs") or []:
-            name = a.get("hdl") or e.get("hdl") or fallback or f"事务{len(found) + 1}"
-            line = found.setdefault(name.strip(), {"hdl": name.strip(), "turns": [], "ooda": {s: [] for s in STAGES}})
-            line["turns"] = list(dict.fromkeys([*line["turns"], *_turns([e])]))
-            line["ooda"] = {s: ordered(line["ooda"][s], stages_of(a)[s]) for s in STAGES}
-    return [x for x in found.values() if any(x["ooda"].values())]
+            name = (a.get("hdl") or e.get("hdl") or fallback or f"事务{len(found) + 1}").strip()
+            turns, ooda = found.setdefault(name, ({}, {s: {} for s in STAGES}))
+            turns.update(dict.fromkeys(_turns([e])))
+            for s, items in stages_of(a).items():
+                if items:
+                    ooda[s].update(dict.fromkeys(items))
+    return [{"hdl": name, "turns": [*turns], "ooda": {s: [*items] for s, items in ooda.items()}} for name, (turns, ooda) in found.items() if any(ooda.values())]
 
 
 def block_summary(entries: list[dict]) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import fct as J
@@ -13,13 +13,39 @@ from tracewell.functions import tools
 from tracewell.operators import log
 
 
+def final_summaries(turns: DataFrame) -> DataFrame:
+    """``session_id, turn, hdl, fct`` of the last final row of every turn that has a summary."""
+    fin = turns.where(log.is_fin() & (F.coalesce("fct", F.lit("")) != "")).groupBy("session_id", "turn").agg(F.max_by(F.struct("fct", "hdl"), "seq").alias("r"))
+    return fin.select("session_id", "turn", "r.hdl", "r.fct")
+
+
 def turn_entries(turns: DataFrame) -> DataFrame:
     """``session_id, turn, entry`` (JSON) of every turn whose last final row has a readable summary."""
-    fin = turns.where(log.is_fin() & (F.coalesce("fct", F.lit("")) != "")).groupBy("session_id", "turn").agg(F.max_by(F.struct("fct", "hdl"), "seq").alias("r"))
-    made = fin.select("session_id", "turn", J.udf(J.turn_entry)(F.col("turn"), F.col("r.hdl"), F.col("r.fct")).alias("entry"))
+    made = final_summaries(turns).select("session_id", "turn", J.udf(J.turn_entry)(F.col("turn"), F.col("hdl"), F.col("fct")).alias("entry"))
     return made.where("entry is not null")
 
 
+def summarise_turns(turns: DataFrame, segments: DataFrame | Column) -> DataFrame:
+    """``session_id, topic_id, summary, hollow`` of every block: :func:`summarise_blocks` of :func:`turn_entries`, where a turn's
+    summary is read once, by the task that puts its block together. ``segments`` is a table (``session_id, turn, topic_id``), or an
+    expression over a turn, which then needs no join; turns move once, by session."""
+
+    @F.pandas_udf("summary string, hollow boolean")
+    def run(places: pd.Series, names: pd.Series, said: pd.Series) -> pd.DataFrame:
+        out = []
+        for block in zip(places, names, said, strict=True):
+            entries = [e for e in map(J.turn_entry, block[0].tolist(), block[1], block[2]) if e is not None]
+            made = J.block_summary(entries) if entries else None
+            out.append((None, None) if made is None else (json.dumps(made, ensure_ascii=False), J.is_hollow(made)))
+        return pd.DataFrame(out, columns=["summary", "hollow"])
+
+    rows = final_summaries(turns.where("session_id is not null and turn is not null").repartition("session_id"))
+    rows = (rows.withColumn("topic_id", segments) if isinstance(segments, Column) else rows.join(segments, ["session_id", "turn"])).where("topic_id is not null")
+    blocks = rows.groupBy("session_id", "topic_id").agg(F.array_sort(F.collect_list(F.struct("turn", "hdl", "fct"))).alias("es"))
+    made = blocks.select("session_id", "topic_id", run("es.turn", "es.hdl", "es.fct").alias("s"))
+    return made.select("session_id", "topic_id", "s.summary", "s.hollow").where("summary is not null")
+
+
 def summarise_blocks(entries: DataFrame, segments: DataFrame) -> DataFrame:
     """``session_id, topic_id, summary`` (JSON) of every block, by the rules that need no model."""
 
@@ -33,10 +59,10 @@ def summarise_blocks(entries: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def strands_of(summaries: DataFrame) -> DataFrame:
-    """Work-lines of block summaries; a hollow block gives one of status skip."""
+    """Work-lines of block summaries; a hollow block (``hollow``, else its summary tells) gives one of status skip."""
     line = "array<struct<hdl:string,turns:array<bigint>,ooda:struct<`现象与问题`:array<string>,`背景与约束`:array<string>,`决策与方案`:array<string>,`后续行动`:array<string>>>>"
     shape = f"struct<hdl:string,status:string,changes:array<string>,key_facts:array<string>,strands:{line}>"
-    hollow = J.udf(lambda s: J.is_hollow(json.loads(s)), "boolean")(F.col("summary"))
+    hollow = F.col("hollow") if "hollow" in summaries.columns else J.udf(lambda s: J.is_hollow(json.loads(s)), "boolean")(F.col("summary"))
     rows = summaries.select("session_id", "topic_id", F.from_json("summary", shape).alias("s"), hollow.alias("hollow"))
     rows = rows.select("session_id", "topic_id", "s", "hollow", F.posexplode_outer("s.strands").alias("k", "st")).where("not hollow or k is null or k = 0")
     return rows.select(
